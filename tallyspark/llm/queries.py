@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, url_filters
+from . import decontaminate, mixing, quality, sharding, toxicity, url_filters
 from .common import read_table
 
 
@@ -27,11 +27,23 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op6_mix_sources": op6_mix_sources,
     "op7_decontaminate": op7_decontaminate,
     "op8_shards": op8_shards,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 _OP3 = r"""
