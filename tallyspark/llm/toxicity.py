@@ -23,7 +23,9 @@ from .common import LOWER, byte_class, content_key, slices, word_hashes, word_sp
 
 #: Most rows that a model is fitted on.
 MAX_POSITIVES, MAX_UNLABELLED = 4_000, 16_000
-FEATURE_BITS = 18
+FEATURE_BITS = 20
+#: Beginnings of words, in bytes, that are features beside the whole words: inflected languages vary the ends.
+PREFIXES = (4, 5, 6, 7, 8)
 #: Steps of the fit, their size, and weight decay.
 STEPS, RATE, DECAY = 400, 0.05, 1e-5
 #: Letters, digits and everything beyond ASCII.
@@ -37,13 +39,21 @@ class Model:
     prior: float
 
 
-def features(data: np.ndarray, ends: np.ndarray, bits: int = FEATURE_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, bounds): the distinct hashed lower-case words of each text, one after another."""
+def features(data: np.ndarray, ends: np.ndarray, kept: np.ndarray | None = None, bits: int = FEATURE_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds): the distinct hashed lower-case words of each text and their beginnings, one text after another. kept: flags of the features that are wanted."""
     data = LOWER[data]
     starts, stops, first = word_spans(data, ends, _WORD)
-    ids = (word_hashes(data, starts, stops) >> np.uint64(64 - bits)).astype(np.int64)
     owner = np.repeat(np.arange(len(ends) - 1), np.diff(first))
-    pairs = np.unique((owner << bits) | ids)
+    found = []
+    for n in (0, *PREFIXES):
+        longer = slice(None) if not n else np.flatnonzero(stops - starts > n)
+        ids = (word_hashes(data, starts[longer], stops[longer] if not n else starts[longer] + n) >> np.uint64(64 - bits)).astype(np.int64)
+        own = owner[longer]
+        if kept is not None:
+            wanted = kept[ids]
+            ids, own = ids[wanted], own[wanted]
+        found.append((own << bits) | ids)
+    pairs = np.unique(np.concatenate(found))
     return (pairs & ((1 << bits) - 1)).astype(np.int64), np.searchsorted(pairs >> bits, np.arange(len(ends)))
 
 
@@ -105,6 +115,30 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(weights.astype(np.float32), bias, prior)
 
 
+def calibrated(model: Model, positive: list[np.ndarray], negative: list[np.ndarray], share: float) -> Model:
+    """The model with its logit stretched and shifted so that sigmoid() is the rate of toxic texts among labelled ones; share is that rate over all of them."""
+    if not positive or not negative or not 0 < share < 1:
+        return model
+    weights = model.weights.astype(np.float64)
+
+    def logits(rows: list[np.ndarray]) -> np.ndarray:
+        return np.clip([weights[x].sum() + model.bias for x in rows], -30, 30)
+
+    z = np.concatenate([logits(positive), logits(negative)])
+    y = np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
+    c = np.concatenate([np.full(len(positive), share / len(positive)), np.full(len(negative), (1 - share) / len(negative))])
+    a, b = 1.0, 0.0
+    for _ in range(50):  # Newton's steps on two parameters
+        p = sigmoid(a * z + b)
+        g = np.array([np.sum(c * (p - y) * z) + 1e-4 * (a - 1), np.sum(c * (p - y))])
+        h = c * p * (1 - p)
+        hessian = np.array([[np.sum(h * z * z) + 1e-4, np.sum(h * z)], [np.sum(h * z), np.sum(h)]]) + 1e-9 * np.eye(2)
+        step = np.linalg.solve(hessian, g)
+        step *= min(1.0, 1.0 / max(np.abs(step).max(), 1e-12))
+        a, b = max(a - step[0], 0.05), b - step[1]
+    return Model((weights * a).astype(np.float32), model.bias * a + b, model.prior)
+
+
 def _sampled(rows: DataFrame, most: int) -> list[np.ndarray]:
     """Features of at most `most` distinct texts, those with the smallest content keys; only the features reach the driver."""
     picked = rows.select(content_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"]).orderBy("key").limit(most)
@@ -124,18 +158,20 @@ def held_out(doc_id) -> "F.Column":
 def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, toxic). The rows that held_out() picks are used neither as positives nor as unlabelled texts.
 
-    The class prior is the share of toxic rows among the labelled ones that may be used.
+    The class prior is the share of toxic rows among the labelled ones that may be used. After the
+    fit, two numbers (stretch and shift of the logit) are set on labelled rows, up to max_positives of either label.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     prior = usable.agg(F.avg("toxic")).first()[0] or 0.0
     texts = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
-    # Labelled rows are few: which they are is settled on ids alone, and only texts drawn are moved.
+    # Which rows are drawn is settled on ids alone; only their texts are read for features.
     order = F.md5(F.col("doc_id").cast("string"))
-    toxic = usable.where("toxic = 1").select("doc_id").distinct().orderBy(order).limit(max_positives)
-    plain = texts.select("doc_id").orderBy(order).limit(max_unlabelled)
-    positive = _sampled(texts.join(F.broadcast(toxic), "doc_id", "left_semi"), max_positives)
-    unlabelled = _sampled(texts.join(F.broadcast(plain), "doc_id", "left_semi"), max_unlabelled)
-    return fit(positive, unlabelled, prior)
+
+    def drawn(ids: DataFrame, most: int) -> list[np.ndarray]:
+        return _sampled(texts.join(F.broadcast(ids.select("doc_id").distinct().orderBy(order).limit(most)), "doc_id", "left_semi"), most)
+
+    positive, unlabelled = drawn(usable.where("toxic = 1"), max_positives), drawn(texts, max_unlabelled)
+    return calibrated(fit(positive, unlabelled, prior), positive, drawn(usable.where("toxic = 0"), max_positives), prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -147,8 +183,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         weights = m.weights.astype(np.float64)
+        kept = weights != 0
         for batch, data, ends in slices(batches):
-            ids, bounds = features(data, ends)
+            ids, bounds = features(data, ends, kept)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(_logit(weights, m.bias, ids, bounds)))], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, schema)
@@ -162,8 +199,9 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         weights = m.weights.astype(np.float64)
+        kept = weights != 0
         for batch, data, ends in slices(batches, "text"):
-            ids, bounds = features(data, ends)
+            ids, bounds = features(data, ends, kept)
             yield batch.filter(pa.array(sigmoid(_logit(weights, m.bias, ids, bounds)) < threshold))
 
     return docs.mapInArrow(run, schema)
