@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as in `[\x20\x09-\x0D]`.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -59,6 +60,11 @@ def content_key(text) -> "F.Column":
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def extended(df: DataFrame, added: str) -> T.StructType:
+    """The schema of df with the fields of a DDL string after its own."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])
+
+
 # ------------------------------------------------------------------ Arrow slices
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import extended
+
 #: (bytes from, least ratio, most ratio) of original to compressed size; the last row that applies counts.
 DOCUMENT_BANDS = ((0, 0.0, 4.0), (256, 1.05, 5.0), (1024, 1.15, 7.0), (4096, 1.25, 9.0), (16384, 1.3, 12.0), (65536, 1.35, 15.0))
 #: Chunks are this long; only full ones count. At most this share of them may lie outside the chunk band.
@@ -83,9 +85,7 @@ def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    schema = rows.select("doc_id").schema
-    for field in _ADDED.split(", "):
-        schema = schema.add(*field.split(" "))
+    schema = extended(rows.select("doc_id"), _ADDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL)

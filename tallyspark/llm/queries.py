@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, toxicity, url_filters
+from . import decontaminate, mixing, quality, sharding, token_files, toxicity, url_filters
 from .common import read_table
 
 
@@ -14,6 +14,14 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_files.write_token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    read = token_files.read_records(token_files.read_index(spark, path), path, "read_tokens bigint, ids_crc32 bigint", token_files.digest)
+    return read.select("doc_id", "start", F.col("read_tokens").alias("n_tokens"), "ids_crc32")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,6 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_url_filters": op3_url_filters,
+    "op4_token_files": op4_token_files,
     "op6_mix_sources": op6_mix_sources,
     "op7_decontaminate": op7_decontaminate,
     "op8_shards": op8_shards,

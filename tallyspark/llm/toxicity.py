@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_class, content_key, slices, word_hashes, word_spans
+from .common import LOWER, byte_class, content_key, extended, slices, word_hashes, word_spans
 
 #: Most rows that a model is fitted on.
 MAX_POSITIVES, MAX_UNLABELLED = 4_000, 16_000
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     """doc_id and score of every row of docs; only the text is read. Null and empty texts get the score of a text without words."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    schema = rows.select("doc_id").schema.add("score", "double")
+    schema = extended(rows.select("doc_id"), "score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
