@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, token_files, toxicity, url_filters
+from . import decontaminate, mixing, ngram_join, quality, sharding, token_files, toxicity, url_filters
 from .common import read_table
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_classes(read_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -46,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_url_filters": op3_url_filters,
     "op4_token_files": op4_token_files,
     "op6_mix_sources": op6_mix_sources,
@@ -135,4 +140,22 @@ SELECT h.doc_id, h.n_bytes, s.prefix AS shard, s.d AS depth, s.bytes AS shard_by
 FROM h JOIN s ON starts_with(h.h, s.prefix)
 """
 
-ORACLE = {"op3_url_filters": _OP3, "op6_mix_sources": _OP6, "op7_decontaminate": _OP7, "op8_shards": _OP8}
+_OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, m) AS (
+  SELECT doc_id, doc_id FROM w
+  UNION
+  SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.m)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
+ORACLE = {"op2_ngram_join": _OP2, "op3_url_filters": _OP3, "op6_mix_sources": _OP6, "op7_decontaminate": _OP7, "op8_shards": _OP8}
