@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, quality, sharding, token_files, toxicity, url_filters
+from . import decontaminate, mixing, ngram_join, pii, quality, sharding, token_files, toxicity, url_filters
 from .common import read_table
 
 
@@ -26,6 +26,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", F.col("read_tokens").alias("n_tokens"), "ids_crc32")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(read_table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(pii.named(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.named(F.col("spans")).alias("spans"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,6 +59,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_url_filters": op3_url_filters,
     "op4_token_files": op4_token_files,
+    "op5_personal_data": op5_personal_data,
     "op6_mix_sources": op6_mix_sources,
     "op7_decontaminate": op7_decontaminate,
     "op8_shards": op8_shards,
