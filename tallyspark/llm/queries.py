@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, pii, quality, sharding, token_files, toxicity, url_filters
+from . import decontaminate, mixing, ngram_join, pii, quality, sharding, suffix_dedup, token_files, toxicity, url_filters
 from .common import read_table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_long_strings(read_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(read_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -56,6 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op3_url_filters": op3_url_filters,
     "op4_token_files": op4_token_files,
