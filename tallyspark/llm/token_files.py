@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from .common import extended, new_path, slices
 
 END_ID = 1
 #: Words whose ids a worker remembers; beyond that it starts anew.
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 1_000_000
 
 # Fixed values of CRC-32C (reflected polynomial) and of the mask that framed records use.
 CRC32C_POLYNOMIAL, MASK_DELTA, MASK_SHIFT = 0x82F63B78, 0xA282EAD8, 15
@@ -156,51 +157,96 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.marks = {b".": self.alone(b"."), b",": self.alone(b",")}
+        self.marks = {m: self.tokenizer.encode(m.decode(), add_special_tokens=False).ids for m in (b".", b",")}
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[bytes, np.ndarray] = {}
-
-    def alone(self, word: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+        """What is remembered: a row for each word, and of each row where its ids stand in one long array. Row 0 is the end of a text."""
+        self.row: dict[bytes, int] = {_END: 0}
+        self.flat, self.used = np.full(1 << 16, END_ID, np.uint32), 1
+        self.start, self.count, self.rows = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), 1
+
+    def _add(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Rows of new words, whose ids follow one another."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while self.rows + len(counts) > len(self.start):
+            self.start, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.count))
+        self.flat[self.used : self.used + len(ids)] = ids
+        new = np.arange(self.rows, self.rows + len(counts))
+        self.start[new] = self.used + np.cumsum(counts) - counts
+        self.count[new] = counts
+        self.used, self.rows = self.used + len(ids), self.rows + len(counts)
+        return new
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = self.count[rows]
+        ends = np.cumsum(counts)
+        return self.flat[np.repeat(self.start[rows] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)], counts
+
+    def _alone(self, words: list[bytes]) -> None:
+        if words:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+            rows = self._add(np.fromiter(chain.from_iterable(got), np.uint32), np.array([len(x) for x in got], np.int64))
+            self.row.update(zip(words, rows.tolist(), strict=True))
 
     def learn(self, words: set[bytes]) -> None:
         """Adds the words to what is remembered."""
-        plain: dict[bytes, list[tuple[bytes, bytes]]] = {}
+        odd, bases, same, marked = [], [], [], []
+        known = self.row
+        fresh: set[bytes] = set()
         for w in words:
             low = w.lower() if w.isascii() else w
-            mark = low[-1:] if low[-1:] in self.marks else b""
-            base = low[: len(low) - len(mark)]
-            if base and (base.isalpha() if base.isascii() else base.decode("utf-8", "replace").isalpha()):
-                plain.setdefault(base, []).append((w, mark))
-            else:
-                self.ids[w] = self.alone(w)
-        bases = [b for b in plain if b not in self.ids]
-        for at in range(0, len(bases), 1000):
-            part = bases[at : at + 1000]
-            got = np.array(self.tokenizer.encode(b" ".join(part).decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            mark = low[-1:]
+            base = low[:-1] if mark in self.marks else low
+            if not (base.isalpha() if base.isascii() else base.decode("utf-8", "replace").isalpha()):
+                odd.append(w)
+                continue
+            if base not in known and base not in fresh:
+                fresh.add(base)
+                bases.append(base)
+            if base is not low:
+                marked.append((w, base, mark))
+            elif w != base:
+                same.append((w, base))
+        parts = [bases[at : at + 1000] for at in range(0, len(bases), 1000)]
+        encoded = self.tokenizer.encode_batch_fast([b" ".join(part).decode("utf-8", "replace") for part in parts], add_special_tokens=False)
+        for part, one in zip(parts, encoded, strict=True):
+            got = np.array(one.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[got]) + 1
             # One run of letters is one word for the tokenizer, or more; as many ends as words: exactly one each.
-            if len(cuts) == len(part) and len(cuts) and cuts[-1] == len(got):
-                self.ids.update(zip(part, np.split(got, cuts[:-1]), strict=True))
+            if len(cuts) == len(part) and cuts[-1] == len(got):
+                known.update(zip(part, self._add(got, np.diff(cuts, prepend=0)).tolist(), strict=True))
             else:
-                self.ids.update((b, self.alone(b)) for b in part)
-        for base, forms in plain.items():
-            for w, mark in forms:
-                self.ids[w] = np.concatenate((self.ids[base], self.marks[mark])) if mark else self.ids[base]
+                self._alone(part)
+        self._alone(odd)
+        known.update((w, known[base]) for w, base in same)
+        for mark, tail in self.marks.items():
+            own = [(w, base) for w, base, m in marked if m == mark]
+            if own:
+                ids, counts = self._gather(np.array([known[b] for _, b in own], np.int64))
+                ids = np.insert(ids, np.repeat(np.cumsum(counts), len(tail)), np.tile(np.array(tail, np.uint32), len(own)))
+                known.update(zip((w for w, _ in own), self._add(ids, counts + len(tail)).tolist(), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text, with END_ID after them."""
         split = [t.split() for t in texts]  # bytes.split() parts at ASCII white space only
-        if len(self.ids) > MAX_CACHED_WORDS:
+        if len(self.row) > MAX_CACHED_WORDS:
             self.clear()
         unknown: set[bytes] = set()
         for words in split:
             unknown.update(words)
-        unknown.difference_update(self.ids)
+            words.append(_END)
+        unknown.difference_update(self.row)
         self.learn(unknown)
-        get, end, none = self.ids.__getitem__, np.array([END_ID], np.uint32), np.zeros(0, np.uint32)
-        return [np.concatenate((*map(get, words), end)) if words else np.concatenate((none, end)) for words in split]
+        sizes = np.array([len(words) for words in split], np.int64)
+        ids, counts = self._gather(np.fromiter(map(self.row.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum())))
+        ends = np.cumsum(counts)[np.cumsum(sizes) - 1]
+        return [ids[a:b] for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)]
+
+
+#: Stands for the end of a text among its words, none of which has white space.
+_END = b" "
 
 
 @lru_cache(2)
