@@ -76,7 +76,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     # Words that are no more frequent in the positives than elsewhere tell nothing and would only be learnt by heart.
     share_p, share_u = (np.bincount(np.concatenate(x), minlength=size) for x in (positive, unlabelled))
     rate_p, rate_u = share_p / len(positive), share_u / len(unlabelled)
-    told = (share_p >= max(3, 0.01 * len(positive))) & (np.abs(rate_p - rate_u) > 6 * np.sqrt((rate_p + rate_u + 1e-9) * (1 / len(positive) + 1 / len(unlabelled)) / 2))
+    told = (share_p >= max(3, 0.01 * len(positive))) & (np.abs(rate_p - rate_u) > 3.5 * np.sqrt((rate_p + rate_u + 1e-9) * (1 / len(positive) + 1 / len(unlabelled)) / 2))
     kept = np.flatnonzero(told)
     place = np.full(size, -1)
     place[kept] = np.arange(len(kept))
