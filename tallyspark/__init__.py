@@ -1,0 +1 @@
+"""Reconciliation of tables and change reports over definition catalogs, as Spark jobs."""

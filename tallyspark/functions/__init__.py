@@ -1,0 +1 @@
+"""Column functions and small value helpers."""

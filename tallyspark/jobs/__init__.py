@@ -1,0 +1 @@
+"""Registered queries and whole jobs."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import data_queries
+
+QUERIES = {**data_queries.QUERIES}
+ORACLE = {**data_queries.ORACLE}

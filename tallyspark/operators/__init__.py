@@ -1,0 +1 @@
+"""Joins, comparisons and groupings on DataFrames."""

@@ -1,0 +1 @@
+"""Readers of definition files."""

@@ -1,0 +1 @@
+"""Kept empty: nothing that this library does is a stream."""
