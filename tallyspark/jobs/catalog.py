@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import data_queries
+from . import data_queries, definition_queries
 
-QUERIES = {**data_queries.QUERIES}
-ORACLE = {**data_queries.ORACLE}
+QUERIES = {**data_queries.QUERIES, **definition_queries.QUERIES}
+ORACLE = {**data_queries.ORACLE, **definition_queries.ORACLE}
