@@ -9,6 +9,7 @@ from ..operators import changes as G
 from ..operators import findings as N
 from ..operators import pairing as P
 from ..operators import snapshot as S
+from ..sources import definitions as D
 from .data_queries import table
 
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -304,7 +305,53 @@ def json_properties(spark, d):
     return events.select("event_id", k.alias("k"), X.visual_of_path(F.expr("'a/' || event_type || '/x/' || user_id")).alias("visual"), X.visual_path(F.col("event_type"), F.col("user_id").cast("string")).alias("path"))
 
 
-QUERIES = {f.__name__: f for f in (pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, pairable_categories, renames_vetted, findings_explained, findings_markdown, findings_documents, files_changed, units_changed, model_readers, project_runs, literals, json_properties)}
+# ------------------------------------------------------------------ definition files
+
+
+_VISUAL_JSON = """{"name": "v%d", "position": {"x": %d, "y": %d, "width": 100%s},
+"visual": {"visualType": "card", "query": {"queryState": {"Values": {"projections": [
+ {"field": {"Column": {"Expression": {"SourceRef": {"Entity": "Sales"}}, "Property": "%s"}}}, {"field": {"Odd": 1}}]}}},
+ "visualContainerObjects": {"title": [{"properties": {"text": {"expr": {"Literal": {"Value": "'%s'"}}}}}]}},
+"filterConfig": {"filters": [{"name": "f", "type": "Categorical", "field": {"Column": {"Expression": {"SourceRef": {"Entity": "Sales"}}, "Property": "Size"}},
+ "filter": {"From": [{"Name": "s", "Entity": "Sales"}], "Where": [{"Condition": {"In": {"Expressions": [{"Column": {"Expression": {"SourceRef": {"Source": "s"}}, "Property": "Size"}}],
+ "Values": [[{"Literal": {"Value": "%dL"}}], [{"Literal": {"Value": "7L"}}]]}}}]}}]}}"""
+
+
+def raw_definitions(spark, d):
+    """Files of report definitions, made from parts: a project for each brand, a page for each type, a visual for each part."""
+    parts = table(spark, d, "part").withColumns({"project": F.concat("p_brand", F.lit(".Report")), "page": F.lower("p_type")})
+    height = F.when(F.col("p_partkey") % 40 != 5, F.lit(', "height": 50')).otherwise(F.lit(""))
+    visual = F.format_string(_VISUAL_JSON, "p_partkey", F.col("p_size") * 10, F.col("p_partkey") % 100, height, "p_name", "p_name", "p_size")
+    text = F.when(F.col("p_partkey") % 30 == 11, F.lit("{broken")).otherwise(visual)
+    files = parts.select("project", F.concat("project", F.lit("/definition/pages/"), "page", F.lit("/visuals/v"), F.col("p_partkey").cast("string"), F.lit("/visual.json")).alias("path"), text.alias("t"))
+    page = parts.select("project", "page").distinct().select("project", F.concat("project", F.lit("/definition/pages/"), "page", F.lit("/page.json")).alias("path"), F.to_json(F.struct(F.col("page").alias("name"), F.initcap("page").alias("displayName"), F.lit(640).alias("width"))).alias("t"))
+    order = parts.groupBy("project").agg(F.sort_array(F.collect_set("page"), asc=False).alias("pageOrder")).select("project", F.concat("project", F.lit("/definition/pages/pages.json")).alias("path"), F.to_json(F.struct(F.slice("pageOrder", 1, 3).alias("pageOrder"))).alias("t"))
+    return files.unionByName(page).unionByName(order).select("project", "path", F.encode("t", "UTF-8").alias("content"))
+
+
+def definition_pages(spark, d):
+    return D.pages(raw_definitions(spark, d)).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+
+
+def definition_visuals(spark, d):
+    return D.visuals(raw_definitions(spark, d)).select("project", "page", "visual", "visual_type", "title", "x", "y", "width", "height")
+
+
+def definition_issues(spark, d):
+    raw = raw_definitions(spark, d)
+    return D.issues(raw).unionByName(D.broken_visuals(raw)).groupBy("project", "message").agg(F.count("*").alias("n"))
+
+
+def definition_fields(spark, d):
+    found = D.projections(raw_definitions(spark, d))
+    return found.where("field.kind <> 'unknown'").select("project", "visual", "role", X.field_key(F.col("field.table"), F.col("field.name"), F.col("field.aggregation")).alias("field"))
+
+
+def definition_filters(spark, d):
+    return D.filters(raw_definitions(spark, d)).select("visual", "name", "filter_type", "condition", "unread")
+
+
+QUERIES = {f.__name__: f for f in (pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, pairable_categories, renames_vetted, findings_explained, findings_markdown, findings_documents, files_changed, units_changed, model_readers, project_runs, literals, json_properties, definition_pages, definition_visuals, definition_issues, definition_fields, definition_filters)}
 
 # ------------------------------------------------------------------ the same in SQL
 
@@ -427,4 +474,12 @@ UNION ALL SELECT model, 'skipped' FROM md WHERE model NOT IN (SELECT model FROM
 CASE l_linenumber WHEN 1 THEN 'number' WHEN 2 THEN 'number' WHEN 3 THEN 'text' WHEN 4 THEN 'boolean' WHEN 5 THEN 'datetime' WHEN 6 THEN 'null' ELSE 'other' END AS kind,
 CASE l_linenumber WHEN 1 THEN l_orderkey::VARCHAR WHEN 2 THEN l_partkey || '.5' WHEN 3 THEN l_returnflag || '''s' WHEN 4 THEN 'true' WHEN 5 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 6 THEN NULL ELSE 'Field' || l_suppkey END AS value FROM lineitem""",
     "json_properties": "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, 'a/' || event_type AS visual, event_type || '/' || user_id AS path FROM events",
+    "definition_pages": """WITH p AS (SELECT DISTINCT p_brand || '.Report' AS project, lower(p_type) AS page FROM part),
+o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY page DESC) AS k FROM p),
+q AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY CASE WHEN k <= 3 THEN k END NULLS LAST, page) - 1 AS ordinal FROM o)
+SELECT project, page, upper(page[1]) || page[2:] AS display_name, 640.0::DOUBLE AS width, 720.0::DOUBLE AS height, ordinal FROM q""",
+    "definition_visuals": "SELECT p_brand || '.Report' AS project, lower(p_type) AS page, 'v' || p_partkey AS visual, 'card' AS visual_type, p_name AS title, (p_size * 10)::DOUBLE AS x, (p_partkey % 100)::DOUBLE AS y, 100.0::DOUBLE AS width, 50.0::DOUBLE AS height FROM part WHERE p_partkey % 30 <> 11 AND p_partkey % 40 <> 5",
+    "definition_issues": "SELECT p_brand || '.Report' AS project, CASE WHEN p_partkey % 30 = 11 THEN 'not a JSON object' ELSE 'the position is not complete' END AS message, count(*) AS n FROM part WHERE p_partkey % 30 = 11 OR p_partkey % 40 = 5 GROUP BY ALL",
+    "definition_fields": "SELECT p_brand || '.Report' AS project, 'v' || p_partkey AS visual, 'Values' AS role, 'Sales[' || p_name || ']' AS field FROM part WHERE p_partkey % 30 <> 11",
+    "definition_filters": "SELECT 'v' || p_partkey AS visual, 'f' AS name, 'Categorical' AS filter_type, 'Sales[Size] in (' || CASE WHEN p_size = 7 THEN '7' ELSE least(p_size, 7) || ', ' || greatest(p_size, 7) END || ')' AS condition, NULL::VARCHAR AS unread FROM part WHERE p_partkey % 30 <> 11",
 }
