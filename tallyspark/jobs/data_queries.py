@@ -241,6 +241,12 @@ FROM (SELECT {group + ',' if group else ''} count(*) FILTER (WHERE o) AS rows_ol
         max({delta}) FILTER (WHERE o AND n) AS max_abs_delta FROM {source} {'GROUP BY ' + group if group else ''})"""
 
 
+def _unless_repeated(keys: str, ctes: str, summary: str) -> str:
+    """The summary, or the refusal where keys of lineitem repeat."""
+    counts = ", ".join(f"CASE WHEN NOT d THEN {c} END AS {c}" for c in ("rows_old", "rows_new", "rows_matched", "rows_differing", "rows_only_old", "rows_only_new", "max_abs_delta"))
+    return f"WITH {ctes}, s AS ({summary}), r AS (SELECT count(*) > 0 AS d FROM (SELECT 1 FROM lineitem GROUP BY {keys} HAVING count(*) > 1)) SELECT path, CASE WHEN d THEN 'not_validated' ELSE status END AS status, {counts}, CASE WHEN d THEN 'old result has several rows for the same key' END AS reason FROM s, r"
+
+
 _CUSTOMERS = """
 base AS (SELECT nullif(o_custkey, 3) AS cust, o_orderkey FROM orders),
 old AS (SELECT cust, count(*) AS v FROM base GROUP BY cust),
@@ -273,8 +279,8 @@ SELECT 'sales/customers/data/row ' || pos || CASE WHEN o AND n THEN '/n' ELSE ''
        CASE WHEN o AND n THEN '(masked)' END AS old, CASE WHEN o AND n THEN '(masked)' END AS new
 FROM p WHERE NOT (o AND n) OR {_differ('a', 'b')} ORDER BY k NULLS FIRST LIMIT 15""",
     "compare_null_keys": f"WITH {_CUSTOMERS}" + _summary("sales/customers", "j", "a <> b", "abs(a - b)::DOUBLE"),
-    "compare_lineitem_rows": f"WITH {_LINES}" + _summary("lines/rows", "j", f"{_differ('q0', 'q1')} OR {_differ('p0', 'p1')}", "greatest(abs(q0 - q1), abs(p0 - p1))"),
-    "compare_tolerance": f"WITH {_LINES}" + _summary("lines/tolerant", "j", _differ("q0", "q1", 0.5, 0.0), "abs(q0 - q1)"),
+    "compare_lineitem_rows": _unless_repeated(", ".join(LINE_KEYS), _LINES, _summary("lines/rows", "j", f"{_differ('q0', 'q1')} OR {_differ('p0', 'p1')}", "greatest(abs(q0 - q1), abs(p0 - p1))")),
+    "compare_tolerance": _unless_repeated(", ".join(LINE_KEYS), _LINES, _summary("lines/tolerant", "j", _differ("q0", "q1", 0.5, 0.0), "abs(q0 - q1)")),
     "compare_card": f"WITH j AS (SELECT sum({CENTS})::BIGINT AS a, sum({CENTS}) FILTER (WHERE l_discount > 0)::BIGINT AS b, true AS o, true AS n FROM lineitem)" + _summary("sales/total", "j", _differ("a", "b"), "abs(a - b)::DOUBLE"),
     "compare_repeated_keys": "SELECT 'lines/repeated' AS path, 'not_validated' AS status, NULL::BIGINT AS rows_old, NULL::BIGINT AS rows_new, NULL::BIGINT AS rows_matched, NULL::BIGINT AS rows_differing, NULL::BIGINT AS rows_only_old, NULL::BIGINT AS rows_only_new, NULL::DOUBLE AS max_abs_delta, 'old result has several rows for the same key' AS reason FROM (SELECT max(c) AS m FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)) WHERE m > 1",
     "compare_other_kinds": "WITH j AS (SELECT o_custkey IS NOT NULL AS d, true AS o, true AS n FROM orders WHERE o_orderkey % 5 = 0)" + _summary("orders/kinds", "j", "d", "NULL::DOUBLE"),

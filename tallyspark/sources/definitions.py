@@ -32,8 +32,10 @@ FUNCTIONS = {0: "Sum", 1: "Avg", 2: "DistinctCount", 3: "Min", 4: "Max", 5: "Cou
 def read_raw(spark: SparkSession, root: str, glob: str = "*.{json,tmdl,bim,pbit}") -> DataFrame:
     """(project, path, content) of all definition files under root, read by the executors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    at = F.regexp_replace("path", "^" + re.escape(root.rstrip("/")).replace("\\:", ":") + "/?", "")
-    at = F.regexp_replace(at, "^file:/+", "/")
+    scheme = r"^[A-Za-z0-9+.-]+:(?://[^/]*)?"
+    top = "/" + re.sub(scheme, "", root).strip("/") + "/"
+    bare = F.regexp_replace("path", scheme, "")
+    at = F.when(F.startswith(bare, F.lit(top)), F.substring(bare, F.lit(len(top) + 1), F.length(bare))).otherwise(bare)
     return files.select(F.coalesce(unit_of_file(at), F.lit("")).alias("project"), at.alias("path"), "content")
 
 
