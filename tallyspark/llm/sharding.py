@@ -31,12 +31,12 @@ def _split(sums: DataFrame, limit: int, depth: int, bits: int) -> DataFrame:
     """Buckets (prefix, bytes, rows) that stand after splitting on up to `bits` more bits. sums: (h, bytes, rows) with h of depth + bits bits."""
     levels = F.explode(F.sequence(F.lit(depth), F.lit(depth + bits))).alias("d")
     nodes = sums.select("h", "bytes", "rows", levels).groupBy(F.substring("h", F.lit(1), F.col("d")).alias("prefix"), "d").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
-    parent = nodes.select(F.col("prefix").alias("up"), (F.col("d") + 1).alias("d"), F.col("bytes").alias("up_bytes"))
+    parent = nodes.select(F.col("prefix").alias("up"), (F.col("d") + 1).alias("d"), F.col("bytes").alias("up_bytes"), F.col("rows").alias("up_rows"))
     # A node stands if its parent had to be split and it fits itself (or bits ran out). Sizes only shrink downwards, so the parent decides for all above it.
     n = nodes.withColumn("up", F.when(F.col("d") > depth, F.substring("prefix", F.lit(1), F.col("d") - 1)))
     n = n.join(parent, ["up", "d"], "left")
     fits = (F.col("bytes") <= limit) | (F.col("d") == depth + bits) | (F.col("rows") == 1)
-    stands = (F.col("d") == depth) | (F.col("up_bytes") > limit)
+    stands = (F.col("d") == depth) | ((F.col("up_bytes") > limit) & (F.col("up_rows") > 1))
     return n.where(stands & fits).select("prefix", "bytes", "rows")
 
 
@@ -88,9 +88,9 @@ def sharded_documents(docs: DataFrame, limit: int = LIMIT_BYTES, **options) -> D
     keyed = docs.withColumn("_h", row_hash(F.col("doc_id"), F.col("text")))
     sizes = materialize(docs.select(row_hash(F.col("doc_id"), F.col("text")).alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "sizes")
     shards = materialize(shard_directory(sizes, limit, **options), "shards")
-    at = _located(sizes.select("h").distinct(), shards).select(F.col("h").alias("_h"), F.col("prefix").alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_docs"))
+    at = _located(sizes.select("h").distinct(), shards).select(F.col("h").alias("_h"), F.col("prefix").alias("_shard"), F.col("bytes").alias("_bytes"), F.col("rows").alias("_rows"))
     kept = [c for c in docs.columns if c not in ("shard", "shard_bytes", "shard_docs")]
-    return keyed.join(at, "_h").select(*[F.col(f"`{c}`") for c in kept], "shard", "shard_bytes", "shard_docs")
+    return keyed.join(at, "_h").select(*[F.col(f"`{c}`") for c in kept], F.col("_shard").alias("shard"), F.col("_bytes").alias("shard_bytes"), F.col("_rows").alias("shard_docs"))
 
 
 def write_shards(docs: DataFrame, path: str | None = None, limit: int = LIMIT_BYTES) -> str:
