@@ -160,6 +160,27 @@ def issues_by_name(spark, d):
     return G.issue_findings(G.renamed_paths(issues, names).withColumn("path", F.col("page")))
 
 
+def visuals_comparable(spark, d):
+    parts = table(spark, d, "part")
+    pairs = parts.select("p_partkey", F.col("p_brand").alias("page"), F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("visual"), (F.col("p_size") % 5 == 0).alias("old_slicer"), (F.col("p_size") % 10 == 0).alias("new_slicer"), (F.col("p_size") % 4).alias("old_fields"), (F.col("p_size") % 8).alias("new_fields"))
+    issues = pairs.where("p_partkey % 17 = 3").select("page", "visual")
+    lost = table(spark, d, "supplier").where("s_suppkey % 6 = 1").select(F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 25).cast("string")).alias("page"))
+    return G.comparable_visuals(pairs, issues, lost).select("visual", "compare", "reason")
+
+
+def models_missing(spark, d):
+    models = table(spark, d, "orders").where("o_orderkey % 3 <> 1").select((F.col("o_custkey") % 400).alias("report"), F.expr("CASE WHEN o_orderkey % 5 < 3 THEN 'old' ELSE 'new' END").alias("side"))
+    return G.missing_models(models.where("report % 3 = 0 OR side = 'old'"), ["report"]).select("report", "path", "change", "new")
+
+
+def columns_paired(spark, d):
+    lines = table(spark, d, "lineitem")
+    side = lambda odd: lines.where(f"l_orderkey % 2 = {odd}").select((F.col("l_partkey") % 300).alias("result"), F.concat(F.lit("c"), (F.col("l_suppkey") % 12).cast("string")).alias("name")).distinct()
+    renames = table(spark, d, "nation").select(F.concat(F.lit("c"), (F.col("n_nationkey") % 4).cast("string")).alias("old_name"), F.concat(F.lit("c"), (F.col("n_nationkey") % 4 + 12).cast("string")).alias("new_name"), F.col("n_nationkey").alias("position"))
+    new = side(1).withColumn("name", F.expr("CASE WHEN name IN ('c1', 'c2') THEN 'c' || CAST(CAST(substring(name, 2) AS INT) + 12 AS STRING) ELSE name END"))
+    return G.paired_columns(side(0), new.distinct(), renames, ["result"])
+
+
 # ------------------------------------------------------------------ findings
 
 _CATEGORY = "CASE event_id % 8 WHEN 0 THEN 'page' WHEN 1 THEN 'visual' WHEN 2 THEN 'field' WHEN 3 THEN 'filter' WHEN 4 THEN 'slicer' WHEN 5 THEN 'measure' WHEN 6 THEN 'data' ELSE 'ai' END"
@@ -351,7 +372,7 @@ def definition_filters(spark, d):
     return D.filters(raw_definitions(spark, d)).select("visual", "name", "filter_type", "condition", "unread")
 
 
-QUERIES = {f.__name__: f for f in (pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, pairable_categories, renames_vetted, findings_explained, findings_markdown, findings_documents, files_changed, units_changed, model_readers, project_runs, literals, json_properties, definition_pages, definition_visuals, definition_issues, definition_fields, definition_filters)}
+QUERIES = {f.__name__: f for f in (pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, visuals_comparable, models_missing, columns_paired, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, pairable_categories, renames_vetted, findings_explained, findings_markdown, findings_documents, files_changed, units_changed, model_readers, project_runs, literals, json_properties, definition_pages, definition_visuals, definition_issues, definition_fields, definition_filters)}
 
 # ------------------------------------------------------------------ the same in SQL
 
@@ -443,6 +464,17 @@ SELECT path, 'page' AS category, change, coalesce(visuals, 0)::BIGINT AS visuals
     "fields_renamed": """WITH r AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 25)
 SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Sum(' || k || ')' ELSE k END AS key FROM (SELECT p_partkey, part.p_brand || '[' || CASE WHEN r.p_type IS NOT NULL THEN 'new ' ELSE '' END || part.p_type || ']' AS k FROM part LEFT JOIN r USING (p_brand, p_type))""",
     "issues_by_name": "SELECT DISTINCT coalesce(n_name, p) AS path, 'parse_issue' AS category, 'error' AS change, NULL::VARCHAR AS old, 'broken' AS new FROM (SELECT (user_id % 40)::VARCHAR AS p FROM events WHERE event_type = 'error') LEFT JOIN nation ON n_nationkey::VARCHAR = p",
+    "visuals_comparable": """WITH l AS (SELECT DISTINCT 'Brand#' || (s_suppkey % 25) AS page FROM supplier WHERE s_suppkey % 6 = 1),
+r AS (SELECT 'v' || p_partkey AS visual, CASE WHEN (p_size % 5 = 0) <> (p_size % 10 = 0) THEN 'a slicer on one side only' WHEN p_partkey % 17 = 3 THEN 'the visual could not be read completely' WHEN p_brand IN (SELECT page FROM l) THEN 'a visual of its page could not be read' END AS reason
+  FROM part WHERE NOT (p_size % 5 = 0 AND p_size % 10 = 0) AND NOT (p_size % 4 = 0 AND p_size % 8 = 0))
+SELECT visual, reason IS NULL AS compare, reason FROM r""",
+    "models_missing": """WITH m AS (SELECT o_custkey % 400 AS report, CASE WHEN o_orderkey % 5 < 3 THEN 'old' ELSE 'new' END AS side FROM orders WHERE o_orderkey % 3 <> 1),
+g AS (SELECT report, bool_or(side = 'old') AS o, bool_or(side = 'new') AS n FROM m WHERE report % 3 = 0 OR side = 'old' GROUP BY report)
+SELECT report, 'model' AS path, 'error' AS change, 'measures not compared: no model on the ' || CASE WHEN o THEN 'new' ELSE 'old' END || ' side' AS new FROM g WHERE o <> n""",
+    "columns_paired": """WITH b AS (SELECT DISTINCT l_orderkey % 2 AS side, l_partkey % 300 AS result, l_suppkey % 12 AS k FROM lineitem),
+o AS (SELECT result, 'c' || k AS old_name, 'c' || CASE WHEN k < 4 THEN k + 12 ELSE k END AS name FROM b WHERE side = 0),
+n AS (SELECT DISTINCT result, 'c' || CASE WHEN k IN (1, 2) THEN k + 12 ELSE k END AS name FROM b WHERE side = 1)
+SELECT result, old_name, n.name AS new_name, CASE WHEN old_name IS NULL THEN 'only_new' WHEN n.name IS NULL THEN 'only_old' ELSE 'both' END AS state FROM o FULL JOIN n USING (result, name)""",
     "findings_numbered": f"WITH {_FINDINGS} SELECT run, key, severity, message FROM f",
     "findings_by_severity": f"WITH {_FINDINGS} SELECT run, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'info') AS info FROM f GROUP BY ROLLUP (run)",
     "findings_by_category": f"WITH {_FINDINGS} SELECT run, category, count(*) AS n FROM f WHERE rank >= 1 GROUP BY ALL",

@@ -157,3 +157,37 @@ def renamed_fields(fields: DataFrame, renames: DataFrame, by: list[str] = ()) ->
 def issue_findings(issues: DataFrame, by: list[str] = ()) -> DataFrame:
     """Parse issues of either side, each once."""
     return issues.select(*by, *finding("parse_issue", "error", F.col("path"), None, F.col("message"))).distinct()
+
+
+# ------------------------------------------------------------------ what of two reports can be compared
+
+
+def comparable_visuals(pairs: DataFrame, issues: DataFrame, lost: DataFrame, by: list[str] = ()) -> DataFrame:
+    """pairs(by.., page, visual, old_slicer, new_slicer, old_fields, new_fields) with (compare, reason).
+
+    Pairs of slicers and pairs without fields have no data and are left out. A pair is not
+    compared where one side is a slicer, where either side has an issue of its own (issues:
+    by.., page, visual), or where its page lost a visual that could not be read (lost: by..,
+    page), whose selection might have counted; the first reason holds.
+    """
+    by = list(by)
+    kept = pairs.where(~(F.col("old_slicer") & F.col("new_slicer")) & ~((F.col("old_fields") == 0) & (F.col("new_fields") == 0)))
+    kept = kept.join(issues.select(*by, "page", "visual", F.lit(True).alias("_issue")).distinct(), [*by, "page", "visual"], "left").join(lost.select(*by, "page", F.lit(True).alias("_lost")).distinct(), [*by, "page"], "left")
+    reason = F.when(F.col("old_slicer") != F.col("new_slicer"), F.lit("a slicer on one side only")).when(F.col("_issue"), F.lit("the visual could not be read completely")).when(F.col("_lost"), F.lit("a visual of its page could not be read"))
+    return kept.withColumns({"reason": reason, "compare": reason.isNull()}).drop("_issue", "_lost")
+
+
+def missing_models(models: DataFrame, by: list[str]) -> DataFrame:
+    """A warning for each report of which only one side has a model: its measures are not compared. models: by.., side (old or new)."""
+    sides = models.groupBy(*by).agg(F.bool_or(F.col("side") == "old").alias("_o"), F.bool_or(F.col("side") == "new").alias("_n")).where("_o <> _n")
+    side = F.when(F.col("_o"), F.lit("new")).otherwise(F.lit("old"))
+    return sides.select(*by, *finding("parse_issue", "error", F.lit("model"), None, F.concat(F.lit("measures not compared: no model on the "), side, F.lit(" side"))))
+
+
+def paired_columns(old: DataFrame, new: DataFrame, renames: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., old_name, new_name, state) of the value columns(by.., name) of many results: both, only_old or only_new. Old names are looked up once in renames(old_name, new_name); the last rename of a name counts."""
+    to = renames.groupBy("old_name").agg(F.max_by("new_name", "position").alias("_to"))
+    looked = old.join(to, old["name"] == to["old_name"], "left").select(*[old[b] for b in by], F.coalesce("_to", "name").alias("_name"), old["name"].alias("_old"), F.lit(None).cast("string").alias("_new"))
+    both = looked.unionByName(new.select(*by, F.col("name").alias("_name"), F.lit(None).cast("string").alias("_old"), F.col("name").alias("_new"))).groupBy(*by, "_name").agg(F.max("_old").alias("old_name"), F.max("_new").alias("new_name"))
+    state = F.when(F.col("old_name").isNull(), "only_new").when(F.col("new_name").isNull(), "only_old").otherwise("both")
+    return both.select(*by, "old_name", "new_name", state.alias("state"))
