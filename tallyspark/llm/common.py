@@ -48,6 +48,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows up to which the written table of keys is sent to all executors; one row has some tens of bytes.
+MAX_BROADCAST_ROWS = 500_000
+
+
+def small_side(written: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A table of keys from materialize() for a join: broadcast if its counted rows are few, so that texts stay where they are; else joined by shuffle."""
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Drops a folder that materialize() wrote, on whichever store it lies."""
     jvm = spark.sparkContext._jvm

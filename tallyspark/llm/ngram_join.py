@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, U64, extended, materialize, mix, signed, slices, stream, word_hashes, word_spans
+from .common import LOWER, NOT_SPACE, U64, extended, materialize, mix, signed, slices, small_side, stream, word_hashes, word_spans
 from .graph import components
 
 #: Distinct sets that one task compares at most.
 BLOCK = 1000
+#: Rows of one class from which only one row's signatures are used.
+MANY_COPIES = 100
 #: Fragments in which a task counts partial overlaps.
 COUNT_FRAGMENTS = 4
 _MULTIPLIERS = stream(64, 4001)
@@ -209,13 +211,14 @@ def ngram_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, te
             flat = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sigs)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes), flat], names=schema.names)
 
-    # Signatures of one class are equal: the row of one of its texts tells them all.
     sketches = materialize(keyed.select("doc_id", "text", "tkey").mapInArrow(sketch, schema), "sketches")
     members = sketches.select("doc_id", "tkey", "n_shingles", "key", "node")
-    with_words = sketches.where("n_shingles > 0")
-    first = with_words.groupBy("node").agg(F.min(F.struct("tkey", "doc_id")).alias("f"))
-    parts = with_words.join(first.select("node", F.col("f.tkey").alias("tkey"), F.col("f.doc_id").alias("fid")), ["node", "tkey"]).where(F.col("doc_id").eqNullSafe(F.col("fid")))
-    parts = parts.select("node", F.explode("sigs").alias("sig"))
+    # Rows of one class have equal signatures. A few of them do no harm where signatures meet; classes with many rows send those of one row only.
+    with_words = sketches.where("n_shingles > 0").select("node", "sigs")
+    many = materialize(members.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > MANY_COPIES).select("node"), "many")
+    many = small_side(many)
+    once = with_words.join(many, "node", "left_semi").dropDuplicates(["node"])
+    parts = with_words.join(many, "node", "left_anti").unionByName(once).select("node", F.explode("sigs").alias("sig"))
     met = parts.withColumn("least", F.min("node").over(Window.partitionBy("sig"))).where("least <> node")
     groups = components(met.select(F.col("node").alias("u"), F.col("least").alias("v")))
     groups = materialize(groups.select("node", F.col("root").alias("grp")), "groups")
@@ -236,7 +239,8 @@ def _links(rows: DataFrame, members: DataFrame, groups: DataFrame, n: int, num:
     sizes = one.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
     placed = one.join(sizes, "grp").withColumn("blocks", F.when(F.col("size") <= 2 * block, 1).otherwise(F.ceil(F.col("size") / block)).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    texts = rows.withColumn("tkey", F.xxhash64("text")).join(placed.withColumnRenamed("tkey", "k2"), F.col("tkey") == F.col("k2")).where(F.col("doc_id").eqNullSafe(F.col("fid")))
+    placed = small_side(materialize(placed.withColumnRenamed("tkey", "k2"), "placed"))
+    texts = rows.withColumn("tkey", F.xxhash64("text")).join(placed, F.col("tkey") == F.col("k2")).where(F.col("doc_id").eqNullSafe(F.col("fid")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = texts.select("grp", "block", "text", "size", other.alias("other")).select("grp", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "text")
     dealt = dealt.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b")
