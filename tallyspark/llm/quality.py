@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import extended
 
 #: (bytes from, least ratio, most ratio) of original to compressed size; the last row that applies counts.
-DOCUMENT_BANDS = ((0, 0.0, 4.0), (256, 1.05, 5.0), (1024, 1.15, 7.0), (4096, 1.25, 9.0), (16384, 1.3, 12.0), (65536, 1.35, 15.0))
+DOCUMENT_BANDS = ((0, 0.0, 3.5), (256, 1.05, 4.0), (1024, 1.15, 4.5), (4096, 1.25, 5.0), (16384, 1.3, 6.0), (65536, 1.35, 8.0))
 #: Chunks are this long; only full ones count. At most this share of them may lie outside the chunk band.
-CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE = 2048, (1.1, 9.0), 0.5
+CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE = 2048, (1.1, 5.0), 0.5
 LEVEL = 3
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
