@@ -38,7 +38,10 @@ from .common import extended, new_path, slices
 
 END_ID = 1
 #: Words whose ids a worker remembers; beyond that it starts anew.
-MAX_CACHED_WORDS = 1_000_000
+MAX_CACHED_WORDS = 1_300_000
+
+#: Bytes of text that are encoded at once: the more, the fewer distinct words among them.
+PASS_BYTES = 8 << 20
 
 # Fixed values of CRC-32C (reflected polynomial) and of the mask that framed records use.
 CRC32C_POLYNOMIAL, MASK_DELTA, MASK_SHIFT = 0x82F63B78, 0xA282EAD8, 15
@@ -190,25 +193,26 @@ class Encoder:
             rows = self._add(np.fromiter(chain.from_iterable(got), np.uint32), np.array([len(x) for x in got], np.int64))
             self.row.update(zip(words, rows.tolist(), strict=True))
 
-    def learn(self, words: set[bytes]) -> None:
-        """Adds the words to what is remembered."""
-        odd, bases, same, marked = [], [], [], []
-        known = self.row
-        fresh: set[bytes] = set()
+    def learn(self, words: list[bytes]) -> None:
+        """Adds the words, which are new, to what is remembered."""
+        odd, same, marked = [], [], []
+        known, marks = self.row, self.marks
+        fresh: dict[bytes, None] = {}
         for w in words:
-            low = w.lower() if w.isascii() else w
+            base = low = w.lower()  # A-Z only, which the tokenizer lowers as well
             mark = low[-1:]
-            base = low[:-1] if mark in self.marks else low
-            if not (base.isalpha() if base.isascii() else base.decode("utf-8", "replace").isalpha()):
+            if mark in marks:
+                base = low[:-1]
+            if not (base.isalpha() or (not base.isascii() and base.decode("utf-8", "replace").isalpha())):
                 odd.append(w)
                 continue
-            if base not in known and base not in fresh:
-                fresh.add(base)
-                bases.append(base)
+            if base not in known:
+                fresh[base] = None
             if base is not low:
                 marked.append((w, base, mark))
             elif w != base:
                 same.append((w, base))
+        bases = list(fresh)
         parts = [bases[at : at + 1000] for at in range(0, len(bases), 1000)]
         encoded = self.tokenizer.encode_batch_fast([b" ".join(part).decode("utf-8", "replace") for part in parts], add_special_tokens=False)
         for part, one in zip(parts, encoded, strict=True):
@@ -230,17 +234,22 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, with END_ID after them."""
-        split = [t.split() for t in texts]  # bytes.split() parts at ASCII white space only
+        words: list[bytes] = []
+        sizes = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            words += t.split()  # bytes.split() parts at ASCII white space only
+            words.append(_END)
+            sizes[i] = len(words)
+        sizes = np.diff(sizes, prepend=0)
         if len(self.row) > MAX_CACHED_WORDS:
             self.clear()
-        unknown: set[bytes] = set()
-        for words in split:
-            unknown.update(words)
-            words.append(_END)
-        unknown.difference_update(self.row)
-        self.learn(unknown)
-        sizes = np.array([len(words) for words in split], np.int64)
-        ids, counts = self._gather(np.fromiter(map(self.row.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum())))
+        # A word's place is that of its first mention; only the distinct words are looked up among all that are remembered.
+        first: dict[bytes, int] = {}
+        place = np.fromiter(map(first.setdefault, words, range(len(words))), np.int64, len(words))
+        self.learn([w for w in first if w not in self.row])
+        rows = np.zeros(len(words), np.int64)
+        rows[np.fromiter(first.values(), np.int64, len(first))] = np.fromiter(map(self.row.__getitem__, first), np.int64, len(first))
+        ids, counts = self._gather(rows[place])
         ends = np.cumsum(counts)[np.cumsum(sizes) - 1]
         return [ids[a:b] for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)]
 
@@ -299,7 +308,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
         offset = tokens = record = 0
         out = None
         try:
-            for batch, data, ends in slices(batches, "text"):
+            for batch, data, ends in slices(batches, "text", PASS_BYTES):
                 out = out or store.open_output_stream(attempt)
                 whole = data.tobytes()
                 ids = encoder.encode([whole[ends[i] : ends[i + 1]] for i in range(len(ends) - 1)])
