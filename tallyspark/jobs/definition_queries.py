@@ -71,16 +71,25 @@ def measures_renamed(spark, d):
     return G.measure_changes(as_measures(old), as_measures(new))[1]
 
 
-def measures_changed(spark, d):
+def _measures_changed(docs, text):
     """Both sides keep most measures; some expressions, names and tables change, some come or go."""
-    docs = table(spark, d, "documents").where("doc_id % 3 = 0")
-    old = docs.where("doc_id % 13 <> 0").select(F.col("source").alias("table"), F.col("doc_id").cast("string").alias("name"), F.substring("text", 1, 60).alias("expression"))
-    new = docs.where("doc_id % 17 <> 0").select(F.expr("CASE WHEN doc_id % 5 = 0 THEN lang ELSE source END").alias("table"), F.expr("CASE WHEN doc_id % 7 = 0 THEN 'new ' || doc_id ELSE CAST(doc_id AS STRING) END").alias("name"), F.expr("CASE WHEN doc_id % 11 = 0 THEN substring(text, 1, 60) || '!' ELSE substring(text, 1, 60) END").alias("expression"))
+    old = docs.where("doc_id % 13 <> 0").select(F.col("source").alias("table"), F.col("doc_id").cast("string").alias("name"), F.expr(text).alias("expression"))
+    new = docs.where("doc_id % 17 <> 0").select(F.expr("CASE WHEN doc_id % 5 = 0 THEN lang ELSE source END").alias("table"), F.expr("CASE WHEN doc_id % 7 = 0 THEN 'new ' || doc_id ELSE CAST(doc_id AS STRING) END").alias("name"), F.expr(f"CASE WHEN doc_id % 11 = 0 THEN {text} || '!' ELSE {text} END").alias("expression"))
     unparsed = docs.where("doc_id % 19 = 0").select(F.col("source").alias("table"), F.col("doc_id").cast("string").alias("name"))
     found = G.measure_changes(old, new, unparsed)[0]
     return found.select("path", "change", F.md5(F.coalesce("old", F.lit(""))).alias("old"), F.md5(F.coalesce("new", F.lit(""))).alias("new"))
 
 
+def measures_changed(spark, d):
+    """A third of the documents by their openings, as its SQL says; measures_changed_whole does all of them."""
+    return _measures_changed(table(spark, d, "documents").where("doc_id % 3 = 0"), "substring(text, 1, 60)")
+
+
+def measures_changed_whole(spark, d):
+    """Every document by its whole text."""
+    return _measures_changed(table(spark, d, "documents"), "text")
+
+
 def _roles(spark, d, odd):
     lines = table(spark, d, "lineitem").where(f"l_orderkey % 2 = {odd}")
     rows = lines.select((F.col("l_partkey") % 500).alias("visual"), (F.col("l_suppkey") % 10).cast("string").alias("field"), F.expr("CASE l_linenumber % 3 WHEN 0 THEN 'Values' WHEN 1 THEN 'Category' ELSE 'Series' END").alias("role"))
@@ -236,6 +245,11 @@ def findings_masked(spark, d):
     return N.masked_findings(findings(spark, d).where("run < 5"))
 
 
+def findings_masked_whole(spark, d):
+    """Findings of all runs."""
+    return N.masked_findings(findings(spark, d))
+
+
 def pairable_categories(spark, d):
     return N.pairable_categories(findings(spark, d))
 
@@ -253,9 +267,18 @@ def renames_vetted(spark, d):
     return N.vetted(p, removed, added, ["run"]).select("run", "position", "old", "new")
 
 
-def findings_explained(spark, d):
+def _explained(spark, d, found):
     texts = table(spark, d, "conversations").select((F.col("conv_id") % 50).alias("id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"), F.expr("CASE WHEN turn = 0 THEN '  ' ELSE text END").alias("text"))
-    return N.with_explanations(findings(spark, d).where("run < 3").withColumn("id", F.col("run") * 10), texts, 600).select("run", "message", F.md5("explanation").alias("explanation_md5"))
+    return N.with_explanations(found.withColumn("id", F.col("run") * 10), texts, 600).select("run", "message", F.md5("explanation").alias("explanation_md5"))
+
+
+def findings_explained(spark, d):
+    return _explained(spark, d, findings(spark, d).where("run < 3"))
+
+
+def findings_explained_whole(spark, d):
+    """Findings of all runs."""
+    return _explained(spark, d, findings(spark, d))
 
 
 def findings_markdown(spark, d):
@@ -372,7 +395,7 @@ def definition_filters(spark, d):
     return D.filters(raw_definitions(spark, d)).select("visual", "name", "filter_type", "condition", "unread")
 
 
-QUERIES = {f.__name__: f for f in (pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, visuals_comparable, models_missing, columns_paired, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, pairable_categories, renames_vetted, findings_explained, findings_markdown, findings_documents, files_changed, units_changed, model_readers, project_runs, literals, json_properties, definition_pages, definition_visuals, definition_issues, definition_fields, definition_filters)}
+QUERIES = {f.__name__: f for f in (pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, measures_changed_whole, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, visuals_comparable, models_missing, columns_paired, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, findings_masked_whole, pairable_categories, renames_vetted, findings_explained, findings_explained_whole, findings_markdown, findings_documents, files_changed, units_changed, model_readers, project_runs, literals, json_properties, definition_pages, definition_visuals, definition_issues, definition_fields, definition_filters)}
 
 # ------------------------------------------------------------------ the same in SQL
 
