@@ -1,11 +1,11 @@
 """Personal data by patterns, and information-theoretic sanitisation of what stands around it; built-in functions only.
 
 Patterns find the protected entities (addresses, numbers). Around each of them the words of its
-context are counted over the corpus: with c(e, t) different contexts of entity e that show
-term t, c(e) contexts of e, d(t) texts with t and N texts in all, t reveals log2(c(e,t) N / (c(e) d(t)))
+context are counted over the corpus: with c(e, t) different texts that show term t beside
+entity e, c(e) texts with e, d(t) texts with t and N texts in all, t reveals log2(c(e,t) N / (c(e) d(t)))
 bits of the log2(N / c(e)) bits that e holds. Terms that reveal more than a threshold share are
 spans of their own: above the upper threshold they are removed, between both generalised.
-Equal contexts and equal texts count once, so that copies and near copies do not pass for evidence.
+Equal texts count once, so that copies do not pass for evidence.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", c
     A span is (start, kind, end, value) with code points from 0, the end exclusive, and kind an
     index of KINDS. Null texts count as empty and have no spans. Repeated rows get the same
     spans; null ids stay; columns other than doc_id and text are ignored; an empty table gives
-    an empty result. An entity that stands in fewer than min_texts different contexts reveals nothing
+    an empty result. An entity that stands in fewer than min_texts different texts reveals nothing
     about its context, however rare the words there are.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -95,12 +95,12 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", c
     seen = texts.select("key", F.explode(F.arrays_zip(F.col("t.base").alias("s"), F.col("t.around").alias("c"))).alias("x"))
     entity = F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.s.kind") + 1), F.when(F.col("x.s.kind") >= 2, _digits(F.col("x.s.value"))).otherwise(F.lower("x.s.value")))
     left = F.greatest(F.col("x.s.start") - context, F.lit(0))
-    seen = seen.select("key", entity.alias("entity"), F.xxhash64("x.c.before", "x.c.after").alias("ctx"), F.concat(_located(F.col("x.c.before"), TERM, 4, left), _located(F.col("x.c.after"), TERM, 4, F.col("x.s.end"))).alias("terms"), left.alias("from"), (F.col("x.s.end") + context).alias("to"), (F.col("x.s.start") <= context).alias("whole_left"))
+    seen = seen.select("key", entity.alias("entity"), F.concat(_located(F.col("x.c.before"), TERM, 4, left), _located(F.col("x.c.after"), TERM, 4, F.col("x.s.end"))).alias("terms"), left.alias("from"), (F.col("x.s.end") + context).alias("to"), (F.col("x.s.start") <= context).alias("whole_left"))
     # Words cut by the border of the context are left out.
-    near = seen.select("key", "entity", "ctx", "from", "to", "whole_left", F.explode("terms").alias("t")).where((F.col("whole_left") | (F.col("t.start") > F.col("from"))) & (F.col("t.end") < F.col("to")))
-    near = materialize(near.select("key", "entity", "ctx", F.lower("t.value").alias("term"), "t.start", "t.end", "t.value"), "near")
-    entities = seen.groupBy("entity").agg(F.count_distinct("ctx").alias("ce")).where(F.col("ce") >= min_texts)
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("ctx").alias("cet")).where(F.col("cet") >= min_texts).join(entities, "entity")
+    near = seen.select("key", "entity", "from", "to", "whole_left", F.explode("terms").alias("t")).where((F.col("whole_left") | (F.col("t.start") > F.col("from"))) & (F.col("t.end") < F.col("to")))
+    near = materialize(near.select("key", "entity", F.lower("t.value").alias("term"), "t.start", "t.end", "t.value"), "near")
+    entities = seen.groupBy("entity").agg(F.count_distinct("key").alias("ce")).where(F.col("ce") >= min_texts)
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("key").alias("cet")).where(F.col("cet") >= min_texts).join(entities, "entity")
     pairs = materialize(pairs, "pairs")
     terms = materialize(pairs.select("term").distinct(), "terms")
     n_terms = terms.count()

@@ -275,6 +275,15 @@ def test_personal_data_edges(docs, texts):
     assert pii.personal_data(docs.limit(0)).collect() == []
 
 
+def test_a_block_in_many_texts_is_evidence(spark):
+    """A footer that covers an entity's surroundings in different texts discloses as much as different ones."""
+    footer = "kind regards from all of us here at the company office: Contact Maria Zwickel, maria@x.org or write to us at any time of the day and of the night"
+    texts = [f"an account of matter number {i} {footer}" for i in range(5)] + [f"another account of matter number {i} with kind regards" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {s.value for s in r.spans if s.kind >= 4} for r in pii.personal_data(df).collect()}
+    assert all({"Maria", "Zwickel"} <= got[i] for i in range(5)) and not any(got[i] for i in range(5, 45))
+
+
 # ------------------------------------------------------------------ 6
 
 
