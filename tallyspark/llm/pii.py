@@ -1,7 +1,7 @@
 """Personal data by patterns, and information-theoretic sanitisation of what stands around it; built-in functions only.
 
-Patterns find the protected entities (addresses, numbers). Around each of them the words of its
-context are counted over the corpus: with c(e, t) different texts that show term t beside
+Patterns find the protected entities (addresses, numbers). The words of the texts that hold them
+are counted over the corpus: with c(e, t) different texts that show term t and
 entity e, c(e) texts with e, d(t) texts with t and N texts in all, t reveals log2(c(e,t) N / (c(e) d(t)))
 bits of the log2(N / c(e)) bits that e holds. Terms that reveal more than a threshold share are
 spans of their own: above the upper threshold they are removed, between both generalised.
@@ -26,17 +26,18 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 IP_VALID = rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"
-TERM = r"\p{L}{4,}"
+_LETTER = r"[\p{L}\p{M}\p{N}]"
+TERM = _LETTER + "+"
 
-#: Code points of context on either side, texts that must show an entity and a term together, and shares of an entity's bits.
-CONTEXT, MIN_TEXTS, GENERALISE, REMOVE = 48, 3, 0.7, 0.9
-#: Terms whose texts are counted inside the rows of the corpus; beyond that all words are counted.
+#: Texts that must show an entity and a term together, and shares of an entity's bits.
+MIN_TEXTS, GENERALISE, REMOVE = 3, 0.7, 0.9
+#: Revealing terms that are looked up inside the rows of the corpus; more are joined with its words.
 MAX_TERMS = 50_000
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def _located(text: Column, pattern: str, kind: int, base=0) -> Column:
+def _located(text: Column, pattern: str | Column, kind: int, base=0) -> Column:
     """All matches as (start, kind, end, value), in code points."""
     parts = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
@@ -77,53 +78,73 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
-def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", context: int = CONTEXT, min_texts: int = MIN_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE, max_terms: int = MAX_TERMS) -> DataFrame:
+def _bare(text: Column, base: Column) -> Column:
+    """The text without its entities."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda acc, x: F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.lit(" "), F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))).alias("out"))
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, start, step, lambda acc: F.concat(acc["out"], F.lit(" "), F.substring(text, acc["at"] + 1, F.length(text)))))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_texts: int = MIN_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE, max_terms: int = MAX_TERMS, everywhere: bool = False) -> DataFrame:
     """doc_id, key (of the text), base (spans of the patterns) and spans (with those of revealing terms) of every row of docs.
 
     A span is (start, kind, end, value) with code points from 0, the end exclusive, and kind an
     index of KINDS. Null texts count as empty and have no spans. Repeated rows get the same
     spans; null ids stay; columns other than doc_id and text are ignored; an empty table gives
     an empty result. An entity that stands in fewer than min_texts different texts reveals nothing
-    about its context, however rare the words there are.
+    about its words, however rare they are. A revealing term is a span wherever it stands in
+    the texts with its entity; everywhere: in all texts.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), content_key(F.col(text)).alias("key"), whole.alias("text")).withColumn("base", base_spans(F.col("text")))
-    around = F.transform("base", lambda s: F.struct(F.substring("text", F.greatest(s["start"] - context, F.lit(0)) + 1, F.least(s["start"], F.lit(context))).alias("before"), F.substring("text", s["end"] + 1, F.lit(context)).alias("after")))
-    found = materialize(rows.select("doc_id", "key", "base", around.alias("around")), "entities")
+    found = materialize(rows.select("doc_id", "key", "base", F.when(F.size("base") > 0, _words(_bare(F.col("text"), F.col("base")))).alias("words")), "entities")
+    spans = found.select("doc_id", "key", "base")
     # Copies share a key; one of each is a text.
-    texts = found.where(F.size("base") > 0).groupBy("key").agg(F.first(F.struct("base", "around")).alias("t"))
-    seen = texts.select("key", F.explode(F.arrays_zip(F.col("t.base").alias("s"), F.col("t.around").alias("c"))).alias("x"))
-    entity = F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.s.kind") + 1), F.when(F.col("x.s.kind") >= 2, _digits(F.col("x.s.value"))).otherwise(F.lower("x.s.value")))
-    left = F.greatest(F.col("x.s.start") - context, F.lit(0))
-    seen = seen.select("key", entity.alias("entity"), F.concat(_located(F.col("x.c.before"), TERM, 4, left), _located(F.col("x.c.after"), TERM, 4, F.col("x.s.end"))).alias("terms"), left.alias("from"), (F.col("x.s.end") + context).alias("to"), (F.col("x.s.start") <= context).alias("whole_left"))
-    # Words cut by the border of the context are left out.
-    near = seen.select("key", "entity", "from", "to", "whole_left", F.explode("terms").alias("t")).where((F.col("whole_left") | (F.col("t.start") > F.col("from"))) & (F.col("t.end") < F.col("to")))
-    near = materialize(near.select("key", "entity", F.lower("t.value").alias("term"), "t.start", "t.end", "t.value"), "near")
-    entities = seen.groupBy("entity").agg(F.count_distinct("key").alias("ce")).where(F.col("ce") >= min_texts)
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("key").alias("cet")).where(F.col("cet") >= min_texts).join(entities, "entity")
+    texts = found.where(F.size("base") > 0).groupBy("key").agg(F.first(F.struct("base", "words")).alias("t"))
+    entity = lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), F.when(x["kind"] >= 2, _digits(x["value"])).otherwise(F.lower(x["value"])))
+    texts = materialize(texts.select("key", F.array_distinct(F.transform("t.base", entity)).alias("entities"), F.col("t.words").alias("words"), F.array_distinct(F.transform("t.words", F.lower)).alias("terms")), "texts")
+    entities = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ce")).where(F.col("ce") >= min_texts)
+    entities = small_side(materialize(entities, "known"))
+    held = texts.select("key", "words", "terms", F.explode("entities").alias("entity")).join(entities, "entity")
+    pairs = held.select("entity", "ce", F.explode("terms").alias("term")).groupBy("entity", "ce", "term").agg(F.count("*").alias("cet")).where(F.col("cet") >= min_texts)
     pairs = materialize(pairs, "pairs")
-    terms = materialize(pairs.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    if not n_terms:
-        return found.select("doc_id", "key", "base", F.col("base").alias("spans"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(TERM), F.lit(0)))
-    if n_terms <= max_terms:
-        wanted = [r.term for r in terms.collect()]  # bounded by max_terms
-        words = F.filter(words, lambda w: w.isin(wanted))
-    # A text with c copies shows its terms c times: rows are counted by c before they meet, and c rows make one text.
-    copied = small_side(materialize(found.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"), "copies"))
-    has = docs.select(content_key(F.col(text)).alias("key"), words.alias("terms")).where(F.size("terms") > 0).join(copied, "key", "left")
-    counts = has.select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode("terms").alias("term")).groupBy("term", "copies").agg(F.count("*").alias("n"))
-    counts = counts.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("dt"))
+    if pairs.isEmpty():
+        return spans.withColumn("spans", F.col("base"))
+    # A text with c copies shows its terms c times: rows are counted by c before they meet, and c rows make one text. Texts with entities are counted apart, without them.
+    marks = found.groupBy("key").agg(F.count("*").alias("copies"), F.max(F.size("base") > 0).alias("holds")).where("copies > 1 OR holds")
+    marks = small_side(materialize(marks, "copies"))
+    others = docs.select(content_key(F.col(text)).alias("key"), _words(F.lower(whole)).alias("terms")).join(marks, "key", "left").where(~F.coalesce("holds", F.lit(False)))
+    counts = others.select(F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), F.explode("terms").alias("term")).unionByName(texts.select(F.lit(1).cast("long").alias("copies"), F.explode("terms").alias("term")))
+    counts = counts.groupBy("term", "copies").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum(F.expr("n div copies")).alias("dt"))
     n = found.select("key").distinct().agg(F.count("*").alias("n"))
     rated = pairs.join(counts, "term").crossJoin(F.broadcast(n))  # n is one row
     bits = F.log2(F.col("cet") * F.col("n") / (F.col("ce") * F.col("dt")))
     rated = rated.withColumn("share", F.when(F.col("n") > F.col("ce"), bits / F.log2(F.col("n") / F.col("ce"))).otherwise(F.lit(0.0)))
-    risky = rated.where(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, 4).otherwise(5).alias("kind"))
-    more = near.join(risky, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct("start", "kind", "end", "value")).alias("more"))
-    out = found.join(more, "key", "left")
-    # A term near two entities may have both verdicts: the stricter one counts.
-    extra = F.filter("more", lambda s: (s["kind"] == 4) | ~F.exists("more", lambda o: (o["start"] == s["start"]) & (o["kind"] == 4)))
+    risky = materialize(rated.where(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, 4).otherwise(5).alias("kind")), "risky")
+    # A term of two entities may have both verdicts: the stricter one counts.
+    verdicts = materialize(risky.groupBy("term").agg(F.min("kind").alias("kind")), "verdicts")
+    word = F.struct(F.col("word"), F.col("kind"))
+    if not everywhere:
+        near = held.select("key", "entity", F.explode("words").alias("word")).withColumn("term", F.lower("word")).join(risky, ["entity", "term"])
+        hits = near.groupBy("key", "word").agg(F.min("kind").alias("kind")).groupBy("key").agg(F.collect_list(word).alias("hits"))
+    elif verdicts.count() <= max_terms:
+        kinds = {r.term: r.kind for r in verdicts.collect()}  # bounded by max_terms
+        removed = [t for t, k in kinds.items() if k == 4]
+        mine = F.transform(F.filter(_words(whole), lambda w: F.lower(w).isin(list(kinds))), lambda w: F.struct(w.alias("word"), F.when(F.lower(w).isin(removed), 4).otherwise(5).alias("kind")))
+        hits = docs.select(content_key(F.col(text)).alias("key"), mine.alias("hits")).where(F.size("hits") > 0).dropDuplicates(["key"])
+    else:
+        shown = docs.select(content_key(F.col(text)).alias("key"), F.explode(_words(whole)).alias("word")).withColumn("term", F.lower("word"))
+        hits = shown.join(small_side(verdicts), "term").groupBy("key").agg(F.collect_set(word).alias("hits"))
+    hits = small_side(materialize(hits, "hits"))
+    shown = docs.select(content_key(F.col(text)).alias("key"), whole.alias("text")).join(hits, "key")
+    pattern = F.concat(F.lit(f"(?<!{_LETTER})(?:"), F.array_join(F.transform("hits", lambda h: h["word"]), "|"), F.lit(f")(?!{_LETTER})"))
+    more = F.transform(_located(F.col("text"), pattern, 4), lambda x: F.struct(x["start"].alias("start"), F.element_at(F.map_from_entries("hits"), x["value"]).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
+    out = spans.join(shown.select("key", more.alias("more")).dropDuplicates(["key"]), "key", "left")
+    extra = F.filter("more", lambda s: ~F.exists("base", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
     return out.select("doc_id", "key", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", extra))).alias("spans"))
 
 

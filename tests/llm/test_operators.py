@@ -284,6 +284,20 @@ def test_a_block_in_many_texts_is_evidence(spark):
     assert all({"Maria", "Zwickel"} <= got[i] for i in range(5)) and not any(got[i] for i in range(5, 45))
 
 
+def test_revealing_terms_in_whole_texts(spark):
+    """Far from the entity, in short, numbered and other scripts' words, at every occurrence, and everywhere if asked for."""
+    far = "common words of all these reports " * 4
+    texts = [f"Li 山田 X7 {far} n{i} li@x.org {far} Li again" for i in range(5)] + [f"{far} m{i}" for i in range(40)] + ["Li was here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end, s.value) for s in r.spans if s.kind >= 4] for r in pii.personal_data(df).collect()}
+    for i in range(5):
+        assert [v for _, _, v in got[i]] == ["Li", "山田", "X7", "Li", "again"] and all(texts[i][a:b] == v for a, b, v in got[i])
+    assert not any(got[i] for i in range(5, 46))
+    for most in (0, 50):
+        wide = {r.doc_id: [s.value for s in r.spans if s.kind >= 4] for r in pii.personal_data(df, everywhere=True, max_terms=most).collect()}
+        assert wide[45] == ["Li"] and wide[0] == [v for _, _, v in got[0]] and not wide[10]
+
+
 # ------------------------------------------------------------------ 6
 
 
