@@ -197,6 +197,13 @@ def ngram_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, te
     are null. Columns other than doc_id and text are ignored; an empty table gives an empty
     result. Sets are compared as 64-bit hashes of n-grams.
     """
+    found = _classes(docs, n, num, den, text, doc_id, block)
+    per_root = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(per_root, "root").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """doc_id, tkey (of the text), n_shingles, root (a key) of every row of docs."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     keyed = rows.withColumn("tkey", F.xxhash64("text"))
     schema = extended(keyed.select("doc_id", "tkey"), "n_shingles bigint, key binary, node bigint, sigs array<bigint>")
@@ -225,11 +232,8 @@ def ngram_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, te
     found = _links(rows, members, groups, n, num, den, block)
     classes = components(found)
     # Classes without links are their own component.
-    per_class = members.groupBy("key").agg(F.min("doc_id").alias("least_id"))
-    per_class = materialize(per_class.join(classes.withColumnRenamed("node", "key"), "key", "left").select("key", "least_id", F.coalesce("root", "key").alias("root")), "classes")
-    per_root = per_class.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = per_class.join(per_root, "root").select("key", "component_id")
-    return members.join(named, "key").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    per_class = members.select("key").distinct().join(classes.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    return materialize(members.join(materialize(per_class, "classes"), "key").select("doc_id", "tkey", "n_shingles", "root"), "members")
 
 
 def _links(rows: DataFrame, members: DataFrame, groups: DataFrame, n: int, num: int, den: int, block: int) -> DataFrame:
@@ -280,6 +284,17 @@ def _links(rows: DataFrame, members: DataFrame, groups: DataFrame, n: int, num:
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs, all columns, with one of each component: that with the smallest doc_id (all rows that share it). Rows with a null doc_id and rows without words stay."""
-    classes = ngram_classes(docs, n, num, den).where(F.col("doc_id").isNotNull() & (F.col("component_id") < F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, all columns, with one of each component: one row with the smallest doc_id (null last), then text key. Rows without words stay."""
+    rows = _classes(docs, n, num, den).where("n_shingles > 0").select("doc_id", "tkey", "root")
+    # Losing (doc_id, text) pairs, and winning ones that stand in several rows; the other rows are not touched.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
+    best = rows.groupBy("root").agg(F.min(place).alias("best"))
+    pairs = rows.groupBy("root", "doc_id", "tkey").agg(F.count("*").alias("n")).join(best, "root")
+    wins = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.tkey") == F.col("tkey"))
+    marked = materialize(pairs.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), wins.alias("_wins"), "n").where("NOT _wins OR n > 1").drop("n"), "marked")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_tkey"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    lone = docs.join(small_side(marked), on, "left_anti").select(*columns)
+    repeated = docs.join(small_side(marked.where("_wins")), on).withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_tkey").orderBy("_tkey"))).where("_n = 1")
+    return lone.unionByName(repeated.select(*columns))

@@ -151,6 +151,15 @@ def test_one_of_each_stays(docs, texts):
     assert sorted(r.doc_id for r in got.collect()) == [i for i, (_, c) in enumerate(want) if i == c]
 
 
+def test_one_row_of_repeated_and_null_ids_stays(spark, texts):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b + " more"), (2, c), (7, ""), (7, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, ngram_join.keep_one_of_each(df).collect()), key=str)
+    assert [r for r in got if r[1] in (a, c)] == [(1, a), (2, c)] and len([r for r in got if (r[1] or "").startswith("b")]) == 1
+    assert len([r for r in got if not r[1]]) == 3
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 1)], "u int, v int")
     got = {r.node: r.root for r in graph.components(edges).collect()}
