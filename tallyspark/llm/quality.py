@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import extended
 
 #: (bytes from, least ratio, most ratio) of original to compressed size; the last row that applies counts.
-DOCUMENT_BANDS = ((0, 0.0, 3.5), (256, 1.05, 4.0), (1024, 1.15, 4.5), (4096, 1.25, 5.0), (16384, 1.3, 6.0), (65536, 1.35, 8.0))
-#: Chunks are this long; only full ones count. At most this share of them may lie outside the chunk band.
-CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE = 2048, (1.1, 5.0), 0.5
+DOCUMENT_BANDS = ((0, 0.0, 3.5), (256, 1.2, 4.0), (512, 1.35, 4.0), (1024, 1.5, 4.5), (4096, 1.8, 5.0), (16384, 2.0, 6.0), (65536, 2.2, 8.0))
+#: Chunks are this long; the last one ends with the text and may overlap the one before. At most this share of them may lie outside the chunk band.
+CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE = 2048, (1.75, 5.0), 0.25
 LEVEL = 3
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
@@ -33,6 +33,11 @@ def band(n_bytes: int, bands=DOCUMENT_BANDS) -> tuple[float, float]:
     return [b[1:] for b in bands if b[0] <= n_bytes][-1]
 
 
+def chunk_starts(n_bytes: int) -> list[int]:
+    starts = list(range(0, n_bytes - CHUNK_BYTES + 1, CHUNK_BYTES))
+    return starts + [n_bytes - CHUNK_BYTES] if starts and n_bytes % CHUNK_BYTES else starts
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words in 3-word windows that stand in the text twice or more, the first one included."""
     n = len(words)
@@ -70,7 +75,7 @@ def judge(text: bytes, packer: zstandard.ZstdCompressor) -> tuple:
     repeats = repeated_words(words)
     base_failed = n < LEAST_WORDS or 100 * repeats > MOST_REPEATED_PERCENT * n
     ratio = len(text) / len(packer.compress(text)) if text else 0.0
-    sizes = [len(packer.compress(text[i : i + CHUNK_BYTES])) for i in range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES)]
+    sizes = [len(packer.compress(text[i : i + CHUNK_BYTES])) for i in chunk_starts(len(text))]
     bad = sum(not CHUNK_BAND[0] <= CHUNK_BYTES / s <= CHUNK_BAND[1] for s in sizes)
     low, high = band(len(text))
     reason = "base" if base_failed else "repetitive" if ratio > high else "incompressible" if ratio < low else "chunks" if bad > CHUNK_SHARE * len(sizes) else None
@@ -78,7 +83,7 @@ def judge(text: bytes, packer: zstandard.ZstdCompressor) -> tuple:
 
 
 def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and, for its whole text (null: empty): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, the compression ratio, its full chunks and those outside the band, the reason of a rejection (null: kept) and kept.
+    """doc_id and, for its whole text (null: empty): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, the compression ratio, its chunks and those outside the band, the reason of a rejection (null: kept) and kept.
 
     Empty texts have no words and fail the base rules. Every row is judged on its own; repeated
     rows get the same verdict, null ids stay null, other columns are ignored, and an empty

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate, graph, mixing, ngram_join, pii, quality, sharding, suffix_dedup, token_files, toxicity, url_filters
@@ -489,6 +490,18 @@ def test_compression_bands(spark):
     assert got[1] == (True, None) and not got[3][0]
 
 
+def test_noise_is_incompressible():
+    rng, packer = random.Random(2), zstandard.ZstdCompressor(level=quality.LEVEL)
+    noise = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(8)) for _ in range(n // 9)).encode()
+    base64, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz"
+    verdict = lambda x: quality.judge(x, packer)[-2]
+    assert [verdict(noise(base64, n)) for n in (600, 1500, 5000, 20000, 80000)] == ["incompressible"] * 5
+    assert [verdict(noise(small, n)) for n in (5000, 20000, 80000)] == ["incompressible"] * 3
+    assert verdict(noise("etaoinshrdlu", 6000) + b" " + noise(base64, 6000)) in ("incompressible", "chunks")
+    tail = lambda end: quality.judge(noise("etaoinshrdlu", 2500) + end, packer)[7:9]
+    assert tail(b"") == (2, 0) and tail(noise(base64, 1500)) == (2, 1)
+
+
 # ------------------------------------------------------------------ slices
 
 
