@@ -12,8 +12,9 @@ ids, little-endian unsigned 16 or 32 bits wide, packed with zstandard if so aske
 is a table with a row for each record: which shard, at what offset, how many ids, and how many
 ids stand before it in the shard; with it records are read in any order.
 
-Files are written under a name of the task attempt and renamed when complete, so a lost
-executor or a repeated attempt leaves no half file behind.
+Every attempt of a task writes a file of its own name, and the index says which one holds a
+record. The index is committed by Spark, so an attempt that is lost or repeated leaves at most
+a file that no row of the index names; nothing is ever renamed or replaced.
 """
 
 from __future__ import annotations
@@ -142,12 +143,22 @@ def unframe(records: list[bytes]) -> list[bytes]:
 # ------------------------------------------------------------------ encoding
 
 
+# How the public file of words with word ends normalises and parts texts.
+SPLIT_BY_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    None,
+    "</w>",
+)
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizers file that drops white space: words are encoded once and remembered.
+    """Ids of whole texts by a tokenizers file; where it drops white space, words are encoded once and remembered.
 
     Exact, because white space parts a text before anything else: the ids of a text are those of
     its words, one after another. Only words are joined into longer strings for the library, and
-    only such whose number of end-of-word tokens is known, which is checked.
+    only such whose number of end-of-word tokens is known, which is checked. Files that
+    normalise or part texts in another way than SPLIT_BY_WORDS encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -157,6 +168,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_words = (spec["normalizer"], spec["pre_tokenizer"], spec["post_processor"], spec["model"].get("end_of_word_suffix")) == SPLIT_BY_WORDS
+        self.letters: dict[str, bool] = {}
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
@@ -193,6 +208,18 @@ class Encoder:
             rows = self._add(np.fromiter(chain.from_iterable(got), np.uint32), np.array([len(x) for x in got], np.int64))
             self.row.update(zip(words, rows.tolist(), strict=True))
 
+    def _letters(self, word: bytes) -> bool:
+        """Whether the tokenizer sees nothing but letters in the word, as it normalises it: then a mark behind it is a word of its own. Asked once for each character."""
+        if word.isascii():
+            return word.isalpha()
+        for c in (seen := self.tokenizer.normalizer.normalize_str(word.decode("utf-8", "replace"))):
+            if c not in self.letters:
+                parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(c + ".")
+                self.letters[c] = len(parts) == 2 and c.isalpha()
+            if not self.letters[c]:
+                return False
+        return bool(seen)
+
     def learn(self, words: list[bytes]) -> None:
         """Adds the words, which are new, to what is remembered."""
         odd, same, marked = [], [], []
@@ -203,7 +230,7 @@ class Encoder:
             mark = low[-1:]
             if mark in marks:
                 base = low[:-1]
-            if not (base.isalpha() or (not base.isascii() and base.decode("utf-8", "replace").isalpha())):
+            if not self._letters(base):
                 odd.append(w)
                 continue
             if base not in known:
@@ -234,6 +261,9 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, with END_ID after them."""
+        if not self.by_words:
+            got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.array([*e.ids, END_ID], np.uint32) for e in got]
         words: list[bytes] = []
         sizes = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -293,7 +323,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     width = Encoder(tokenizer).width
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    schema = extended(rows.select("doc_id"), "shard int, record bigint, offset bigint, length bigint, n_tokens bigint, first_token bigint")
+    schema = extended(rows.select("doc_id"), "file string, shard int, record bigint, offset bigint, length bigint, n_tokens bigint, first_token bigint")
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,15 +331,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
         shard = task.partitionId()
         store, at = _store(path)
         store.create_dir(at, recursive=True)
-        final = f"{at}/shard-{shard:06d}.rec"
-        attempt = f"{at}/.{shard:06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
+        file = f"shard-{shard:06d}-{uuid.uuid4().hex}.rec"
         packer = zstandard.ZstdCompressor(level=1) if compress else None
         encoder = _encoder(tokenizer)
         offset = tokens = record = 0
         out = None
         try:
             for batch, data, ends in slices(batches, "text", PASS_BYTES):
-                out = out or store.open_output_stream(attempt)
+                out = out or store.open_output_stream(f"{at}/{file}")
                 whole = data.tobytes()
                 ids = encoder.encode([whole[ends[i] : ends[i + 1]] for i in range(len(ends) - 1)])
                 records = frame([pack(x, width, packer) for x in ids])
@@ -317,14 +346,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
                 lengths = np.array([len(r) for r in records], np.int64)
                 counts = np.array([len(x) for x in ids], np.int64)
                 n = len(records)
-                columns = [batch.column(0), pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(record, record + n)), pa.array(offset + np.cumsum(lengths) - lengths), pa.array(lengths), pa.array(counts), pa.array(tokens + np.cumsum(counts) - counts)]
+                columns = [batch.column(0), pa.array([file] * n), pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(record, record + n)), pa.array(offset + np.cumsum(lengths) - lengths), pa.array(lengths), pa.array(counts), pa.array(tokens + np.cumsum(counts) - counts)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 offset, tokens, record = offset + int(lengths.sum()), tokens + int(counts.sum()), record + n
         finally:
             if out:
                 out.close()
-        if out:
-            store.move(attempt, final)
 
     rows.mapInArrow(run, schema).write.parquet(f"{path}/index")
     store_meta = spark.createDataFrame([(json.dumps({"width": width, "compressed": compress, "end_id": END_ID}),)], "value string")
@@ -333,7 +360,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record: doc_id, shard, record, offset, length, n_tokens, first_token (of the shard), start (ids of all records before it, in all shards)."""
+    """One row for each record: doc_id, file, shard, record, offset, length, n_tokens, first_token (of the shard), start (ids of all records before it, in all shards)."""
     index = spark.read.parquet(f"{path}/index")
     shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row for each file
     before = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -348,21 +375,21 @@ def read_records(index: DataFrame, path: str, added: str, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = _store(path)
-        files: dict[int, pa.NativeFile] = {}
+        files: dict[str, pa.NativeFile] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                shard, offset, length = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("shard", "offset", "length"))
+                file, offset, length = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("file", "offset", "length"))
                 records, i = [], 0
-                while i < len(shard):
+                while i < len(file):
                     j = i + 1
-                    while j < len(shard) and shard[j] == shard[i] and offset[j] == offset[j - 1] + length[j - 1]:
+                    while j < len(file) and file[j] == file[i] and offset[j] == offset[j - 1] + length[j - 1]:
                         j += 1
-                    if shard[i] not in files:
+                    if file[i] not in files:
                         for f in files.values():
                             f.close()
-                        files = {shard[i]: store.open_input_file(f"{at}/shard-{shard[i]:06d}.rec")}
-                    raw = files[shard[i]].read_at(offset[j - 1] + length[j - 1] - offset[i], offset[i])
+                        files = {file[i]: store.open_input_file(f"{at}/{file[i]}")}
+                    raw = files[file[i]].read_at(offset[j - 1] + length[j - 1] - offset[i], offset[i])
                     records += [raw[offset[k] - offset[i] : offset[k] - offset[i] + length[k]] for k in range(i, j)]
                     i = j
                 values = [make(unpack(p, meta["width"], meta["compressed"])) for p in unframe(records)]

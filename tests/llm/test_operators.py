@@ -238,6 +238,27 @@ def test_token_files_round_trip(spark, docs, texts):
         assert all(r.crc == zlib.crc32(np.array(want[r.doc_id], "<u4").tobytes()) for r in got)
 
 
+def test_ids_are_those_of_the_library():
+    """Letters that change under lower-casing, marks, digits and scripts of all kinds, with marks behind them."""
+    tokenizers = pytest.importorskip("tokenizers")
+    rng = random.Random(11)
+    pools = ["İıĞğŞşBLGRZES.,", "abcABC.,'-", "éàÅǅǆΣσςΩ.,", "\u0327\u0300\u0301\u0345.,ae", "一二三한글ツ.,", "٣٤४५12.,", "Ⅷⅷ²½.,", "\U00012345\U0002ebf5ꟻ.,", "\u200d\u200b\u00a0\u2028\u0085\x1c\x1f.,x", "🙂!?#<|endoftext|>", "'s't're'm'll.,"]
+
+    def word():
+        pool = "".join(rng.sample(pools, rng.randint(1, 2)))
+        return "".join(rng.choice(pool) if rng.random() < 0.97 else chr(rng.choice([rng.randrange(0x20, 0xD800), rng.randrange(0xE000, 0x20000)])) for _ in range(rng.randint(1, 7)))
+
+    texts = ["BİLGİ, RİZESİ. İ,"] + [" ".join(word() + rng.choice(["", ".", ","]) for _ in range(rng.randint(1, 6))) for _ in range(6000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = tokenizer_path().replace("word_bpe_49k.json", name)
+        encoder, plain = token_files.Encoder(path), tokenizers.Tokenizer.from_file(path)
+        assert encoder.by_words == name.startswith("word")
+        for at in range(0, len(texts), 500):
+            part = texts[at : at + 500]
+            for text, ids in zip(part, encoder.encode([t.encode() for t in part]), strict=True):
+                assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def test_no_documents_no_tokens(spark, docs):
     path = token_files.write_token_files(docs.limit(0), tokenizer_path())
     assert token_files.read_index(spark, path).count() == 0
