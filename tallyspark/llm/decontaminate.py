@@ -1,9 +1,10 @@
 """Benchmark decontamination on built-in functions only.
 
-The benchmark's word windows form a hash set that travels to every task inside the plan; its
-size is checked, and beyond the bound the windows are joined by shuffle instead. Every window
-of a training text is looked up in that set inside the row it stands in, so texts are never
-exploded or shuffled; only hits leave the row, and they are verified on the words themselves.
+The benchmark's word windows form a hash set whose size is checked. A small one travels to every
+task inside the plan and is looked up inside the row a text stands in; a larger one is a table
+of 64-bit hashes, broadcast or joined by shuffle as its counted rows allow, that the hashes of a
+text's windows meet. Either way texts are never shuffled and nothing but hits is written; those
+are verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, materialize
+from .common import content_key, materialize, small_side
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Distinct benchmark windows that may travel with the plan as a hash set.
 MAX_BROADCAST_WINDOWS = 100_000
+#: Texts with hits, each with the places of its hits, that may be broadcast to fetch their words.
+MAX_BROADCAST_TEXTS = 10_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,18 +57,34 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     def hit(length: int):
         return lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), F.array_join(F.slice("w", i, F.lit(length)), " ").alias("gram"))
 
+    def hash_of(length: int):
+        return lambda i: gram_hash(i, length)
+
+    def places(length: int) -> Column:
+        return F.when(F.size("w") >= length, F.sequence(F.lit(1), F.size("w") - (length - 1))).otherwise(F.array().cast("array<int>"))
+
     small = sum(by_length.values()) <= max_broadcast
-    found = []
-    for length in sorted(by_length):
-        places = F.when(F.size("w") >= length, F.sequence(F.lit(1), F.size("w") - (length - 1))).otherwise(F.array().cast("array<int>"))
-        if small:
+    n_words = F.size("w").cast("long").alias("n_words")
+    if small:
+        found = []
+        for length in sorted(by_length):
             wanted = [r.h for r in grams.where(F.col("length") == length).select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct().collect()]  # bounded by max_broadcast
-            places = F.filter(places, in_set(length, wanted))
-        found.append(F.transform(places, hit(length)))
-    none = F.array().cast("array<struct<at:int,length:int,gram:string>>")
-    scanned = materialize(base.select("key", F.size("w").cast("long").alias("n_words"), (F.concat(*found) if found else none).alias("found")), "scan")
-    # Copies share a key: one row of each is enough from here on.
-    spans = scanned.where(F.size("found") > 0).groupBy("key").agg(F.first("found").alias("found"))
+            found.append(F.transform(F.filter(places(length), in_set(length, wanted)), hit(length)))
+        none = F.array().cast("array<struct<at:int,length:int,gram:string>>")
+        scanned = materialize(base.select("key", n_words, (F.concat(*found) if found else none).alias("found")), "scan")
+        # Copies share a key: one row of each is enough from here on.
+        spans = scanned.where(F.size("found") > 0).groupBy("key").agg(F.first("found").alias("found"))
+    else:
+        scanned = base.select("key", n_words)
+        hashes = small_side(materialize(grams.select("length", F.xxhash64(F.split("gram", " ")).alias("h")).distinct(), "hashes"))
+        windows = None
+        for length in sorted(by_length):
+            own = base.select("key", F.posexplode(F.transform(places(length), hash_of(length))).alias("at", "h"), F.lit(length).alias("length"))
+            windows = own if windows is None else windows.unionByName(own)
+        met = windows.join(hashes, ["length", "h"], "left_semi").groupBy("key").agg(F.collect_set(F.struct((F.col("at") + 1).alias("at"), "length")).alias("met"))
+        met = small_side(materialize(met, "met"), MAX_BROADCAST_TEXTS)
+        gram = lambda x: F.struct(x["at"].alias("at"), x["length"].alias("length"), F.array_join(F.slice("w", x["at"], x["length"]), " ").alias("gram"))
+        spans = base.join(met, "key").groupBy("key").agg(F.first(F.transform("met", gram)).alias("found"))
     spans = spans.select("key", F.explode("found").alias("f")).select("key", "f.at", "f.length", "f.gram")
     listed = grams.groupBy("gram").agg(F.collect_set("item").alias("items"))
     verified = spans.join(F.broadcast(listed) if small else listed, "gram")
@@ -74,8 +93,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
     per_key = materialize(per_key, "hits")
-    n_words = scanned.select("key", "n_words").distinct()
-    return n_words.join(per_key.select("key", "hit_words"), "key", "left"), per_key.select("key", F.explode("items").alias("item"))
+    return scanned.select("key", "n_words").distinct().join(per_key.select("key", "hit_words"), "key", "left"), per_key.select("key", F.explode("items").alias("item"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
