@@ -5,16 +5,18 @@ set falls into a part for each fragment; partial overlaps are counted fragment b
 summed for a pair.
 
 Which pairs are counted follows from the same fragments. Two sets that are similar enough
-differ in at most H n-grams, hence in at most H fragments. So among the H + 1 fragments of a
-set that hold the most n-grams, ordered alike for all sets, at least one must be exactly equal
-in both: hashes of those parts meet, and nothing else has to. A part of several n-grams is far
-more selective than any single n-gram: a passage that a third of all texts share fills a whole
-part only by chance. Nothing is capped; no link is lost.
+differ in at most H n-grams, hence in at most H fragments. So among the first H + 1 fragments of
+a set, in an order of contents that is the same for all sets, at least one must be exactly equal
+in both: hashes of those parts meet, and nothing else has to. Any such order loses nothing; a
+good one makes rare parts come first. Parts that a count over the corpus shows to be frequent
+(a footer of a third of all texts) come last, among the others those of most n-grams come first.
+Nothing is capped; no link is lost.
 
 Equal sets are one class from the start and are never paired. Texts whose parts meet form
-candidate groups; the overlaps inside a group are counted in one task, or, where a group is
-large, in blocks: every pair of blocks is a task of bounded size. A task returns the links that
-join what it has not joined yet, never all pairs.
+candidate groups: connected ones, or, where many small meetings chain up to a large group, each
+meeting by itself, whichever makes less work. The overlaps inside a group are counted in one
+task, or, where a group is large, in blocks: every pair of blocks is a task of bounded size. A
+task returns the links that join what it has not joined yet, never all pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ BLOCK = 1000
 MANY_COPIES = 100
 #: Fragments in which a task counts partial overlaps.
 COUNT_FRAGMENTS = 4
+#: Counters of fragments, by the first bits of their hashes, and how many times the mean makes a counter's fragments frequent ones. Any choice is exact.
+COUNTER_BITS, FREQUENT = 16, 8
 _MULTIPLIERS = stream(64, 4001)
 
 
@@ -94,24 +98,48 @@ def levels(size: int, num: int, den: int) -> tuple[int, ...]:
     return tuple(np.unique(level(np.arange(-(-size * num // den), size * den // num + 1), num, den)).tolist())
 
 
-def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the H + 1 fullest fragments at each level."""
+def fragments(tokens: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, counts of n-grams) of the fragments that are not empty, at each level."""
+    with np.errstate(over="ignore"):
+        mixed = mix(tokens + U64(77))
+        for j in levels(len(tokens), num, den):
+            part = tokens >> U64(64 - j)
+            heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            counts = np.diff(np.append(heads, len(tokens)))
+            yield mix(np.add.reduceat(mixed, heads) + _MULTIPLIERS[j] * counts.astype(np.uint64)), counts
+
+
+def signatures(tokens: np.ndarray, num: int, den: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the first H + 1 fragments at each level: rare ones, then the fullest."""
     size = len(tokens)
     if not size:
         return tokens
     most = size * (den - num) // num + 1
     found = []
-    with np.errstate(over="ignore"):
-        mixed = mix(tokens + U64(77))
-        for j in levels(size, num, den):
-            part = tokens >> U64(64 - j)
-            heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            counts = np.diff(np.append(heads, size))
-            sums = mix(np.add.reduceat(mixed, heads) + _MULTIPLIERS[j] * counts.astype(np.uint64))
-            found.append(sums[np.lexsort((sums, -counts))[:most]])
+    for sums, counts in fragments(tokens, num, den):
+        keys = (sums, -counts) if frequent is None else (sums, -counts, frequent[sums >> U64(64 - COUNTER_BITS)])
+        found.append(sums[np.lexsort(keys)[:most]])
     return np.concatenate(found)
 
 
+def frequent_fragments(texts: DataFrame, n: int, num: int, den: int) -> np.ndarray:
+    """A flag for each counter: whether its fragments are frequent. texts(text: binary); at most 2**COUNTER_BITS counts reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(1 << COUNTER_BITS, np.int64)
+        for _, data, ends in slices(batches):
+            sums = [x for s in shingle_sets(data, ends, n) if len(s) for x, _ in fragments(s, num, den)]
+            if sums:
+                counters += np.bincount((np.concatenate(sums) >> U64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS)
+        at = np.flatnonzero(counters)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counters[at])], names=["slot", "n"])
+
+    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    for r in texts.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.slot] = r.n
+    return counts > FREQUENT * max(counts.mean(), 1)
+
+
 # ------------------------------------------------------------------ overlaps inside a group
 
 
@@ -205,35 +233,65 @@ def ngram_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, te
 def _classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """doc_id, tkey (of the text), n_shingles, root (a key) of every row of docs."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    sketches = _sketches(rows, n, num, den)
+    members = sketches.select("doc_id", "tkey", "n_shingles", "key", "node")
+    groups = candidate_groups(sketches, block)
+    found = _links(rows, members, groups, n, num, den, block)
+    classes = components(found)
+    # Classes without links are their own component.
+    per_class = members.select("key").distinct().join(classes.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    return materialize(members.join(materialize(per_class, "classes"), "key").select("doc_id", "tkey", "n_shingles", "root"), "members")
+
+
+def _sketches(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """rows(doc_id, text) → doc_id, tkey (of the text), n_shingles, key and node (of the set) and sigs, written."""
     keyed = rows.withColumn("tkey", F.xxhash64("text"))
     schema = extended(keyed.select("doc_id", "tkey"), "n_shingles bigint, key binary, node bigint, sigs array<bigint>")
+    frequent = rows.sparkSession.sparkContext.broadcast(frequent_fragments(rows, n, num, den))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in slices(batches):
             sets = shingle_sets(data, ends, n)
             keys = [set_key(s) for s in sets]
             nodes = np.frombuffer(b"".join(k[:8] for k in keys), np.int64)
-            sigs = [signed(signatures(s, num, den)) for s in sets]
+            sigs = [signed(signatures(s, num, den, frequent.value)) for s in sets]
             bounds = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sigs)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes), flat], names=schema.names)
 
-    sketches = materialize(keyed.select("doc_id", "text", "tkey").mapInArrow(sketch, schema), "sketches")
-    members = sketches.select("doc_id", "tkey", "n_shingles", "key", "node")
+    return materialize(keyed.select("doc_id", "text", "tkey").mapInArrow(sketch, schema), "sketches")
+
+
+def candidate_groups(sketches: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, grp): nodes whose links lie inside their groups. A node may be in several."""
     # Rows of one class have equal signatures. A few of them do no harm where signatures meet; classes with many rows send those of one row only.
     with_words = sketches.where("n_shingles > 0").select("node", "sigs")
-    many = materialize(members.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > MANY_COPIES).select("node"), "many")
+    many = materialize(sketches.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > MANY_COPIES).select("node"), "many")
     many = small_side(many)
     once = with_words.join(many, "node", "left_semi").dropDuplicates(["node"])
     parts = with_words.join(many, "node", "left_anti").unionByName(once).select("node", F.explode("sigs").alias("sig"))
-    met = parts.withColumn("least", F.min("node").over(Window.partitionBy("sig"))).where("least <> node")
-    groups = components(met.select(F.col("node").alias("u"), F.col("least").alias("v")))
-    groups = materialize(groups.select("node", F.col("root").alias("grp")), "groups")
-    found = _links(rows, members, groups, n, num, den, block)
-    classes = components(found)
-    # Classes without links are their own component.
-    per_class = members.select("key").distinct().join(classes.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
-    return materialize(members.join(materialize(per_class, "classes"), "key").select("doc_id", "tkey", "n_shingles", "root"), "members")
+    # Hashes that one node has alone are most; the rest are few and bring their nodes together.
+    shared = parts.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("sig", "least")
+    met = materialize(parts.join(small_side(materialize(shared, "shared")), "sig").distinct(), "met")
+    groups = components(met.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    return _split_groups(materialize(groups.select("node", F.col("root").alias("grp")), "groups"), met, 2 * block)
+
+
+def _split_groups(groups: DataFrame, met: DataFrame, most: int) -> DataFrame:
+    """(node, grp) with each connected group of more than `most` nodes dealt into its meetings, met(node, sig), where comparing inside these is less work."""
+    large = groups.groupBy("grp").agg(F.count("*").alias("size")).where(F.col("size") > most)
+    large = materialize(large, "large")
+    if large.isEmpty():
+        return groups
+    inside = materialize(met.join(groups.join(small_side(large), "grp"), "node").select("grp", "size", "sig", "node"), "inside")
+    # Meetings of the same nodes are one.
+    meetings = inside.groupBy("grp", "size", "sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"))
+    meetings = meetings.groupBy("grp", "size", "n", "nodes").agg(F.min("sig").alias("sig"))
+    split = meetings.groupBy("grp", "size").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work")).where(F.col("work") < F.col("size").cast("double") * F.col("size"))
+    split = small_side(materialize(split.select("grp"), "split"))
+    chosen = small_side(materialize(meetings.join(split, "grp").select("grp", "sig"), "meetings"))
+    own = inside.join(chosen, ["grp", "sig"]).select("node", F.xxhash64("grp", "sig").alias("grp"))
+    return materialize(groups.join(split, "grp", "left_anti").select("node", "grp").unionByName(own), "groups")
 
 
 def _links(rows: DataFrame, members: DataFrame, groups: DataFrame, n: int, num: int, den: int, block: int) -> DataFrame:

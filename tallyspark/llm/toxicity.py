@@ -3,10 +3,13 @@
 Confirmed toxic texts are the positives; texts about which nothing is assumed are the
 unlabelled ones. The risk of a classifier g is pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)), with
 the class prior pi: the unlabelled risk is corrected for the positives it hides, and the
-correction is kept from going below zero. The classifier is linear over hashed words.
+correction is kept from going below zero. The classifier is linear over hashed words. Labelled
+negatives take part in nothing but the class prior.
 
-Fitting takes a bounded sample (`MAX_POSITIVES`, `MAX_UNLABELLED` rows, drawn by a hash of the
-text, so that the draw does not depend on the order of rows); scoring reads every whole text.
+Fitting takes a bounded sample (`MAX_POSITIVES`, `MAX_UNLABELLED` rows, drawn by a hash of
+doc_id, so that the draw does not depend on the order of rows). Spark reads its features and
+counts them; what reaches the driver are the features that tell the classes apart, and of each
+sampled text those it has. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -19,13 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_class, content_key, extended, slices, word_hashes, word_spans
+from .common import LOWER, byte_class, content_key, extended, materialize, slices, word_hashes, word_spans
 
 #: Most rows that a model is fitted on.
-MAX_POSITIVES, MAX_UNLABELLED = 2_000, 8_000
+MAX_POSITIVES, MAX_UNLABELLED = 4_000, 16_000
 FEATURE_BITS = 20
 #: Beginnings of words, in bytes, that are features beside the whole words: inflected languages vary the ends.
 PREFIXES = (4, 5, 6, 7, 8)
+#: A feature is used if so many positives or more have it, and its likelihood ratio against the rate in the unlabelled texts is higher (chi-squared of one degree: one in 1 900 by chance).
+LEAST_POSITIVES, LEAST_RATIO = 3, 12.0
+#: Tasks among which the sample is dealt.
+SAMPLE_PARTS = 16
 #: Steps of the fit, their size, and weight decay.
 STEPS, RATE, DECAY = 400, 0.05, 1e-5
 #: Letters, digits and everything beyond ASCII.
@@ -66,41 +73,23 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = FEATURE_BITS) -> Model:
-    """Minimises the non-negative risk with the logistic loss by Adam, on word presence. Without positives, the model says the prior of 0."""
-    size = 1 << bits
-    weights = np.zeros(size)
-    if not positive or not unlabelled:
-        return Model(weights.astype(np.float32), -6.0, 0.0)
-    prior = min(max(prior, 1e-4), 0.9)
-    # Words that are no more frequent in the positives than elsewhere tell nothing and would only be learnt by heart.
-    share_p, share_u = (np.bincount(np.concatenate(x), minlength=size) for x in (positive, unlabelled))
-    rate_p, rate_u = share_p / len(positive), share_u / len(unlabelled)
-    told = (share_p >= max(3, 0.01 * len(positive))) & (np.abs(rate_p - rate_u) > 3.5 * np.sqrt((rate_p + rate_u + 1e-9) * (1 / len(positive) + 1 / len(unlabelled)) / 2))
-    kept = np.flatnonzero(told)
-    place = np.full(size, -1)
-    place[kept] = np.arange(len(kept))
-
-    def packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        own = [place[x[told[x]]] for x in rows]
-        return np.concatenate(own), np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64)
-
-    pos, unl = packed(positive), packed(unlabelled)
-    w, bias = np.zeros(len(kept)), float(np.log(prior / (1 - prior)))
+def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], size: int, prior: float) -> tuple[np.ndarray, float]:
+    """(weights, bias) that minimise the non-negative risk with the logistic loss, by Adam. Both sides are (ids, bounds) with ids below size, one text after another."""
+    w, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
 
     def part(rows: tuple[np.ndarray, np.ndarray], sign: int, scale: float) -> tuple[np.ndarray, float, float]:
         """Gradient of scale * mean logistic loss of sign * g, by weights and bias; and the mean loss."""
         ids, bounds = rows
         z = sign * _logit(w, bias, ids, bounds)
         slope = -sign * sigmoid(-z) * scale / len(z)
-        return np.bincount(ids, np.repeat(slope, np.diff(bounds)), len(kept)), float(slope.sum()), float(np.mean(np.logaddexp(0, -z)))
+        return np.bincount(ids, np.repeat(slope, np.diff(bounds)), size), float(slope.sum()), float(np.mean(np.logaddexp(0, -z)))
 
     # All rows in each step: in small batches the difference of the two negative risks is mostly noise, and below zero half the time.
-    m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        gp, bp, _ = part(pos, 1, prior)
-        gn, bn, hidden = part(pos, -1, prior)
-        gu, bu, loss = part(unl, -1, 1.0)
+        gp, bp, _ = part(positive, 1, prior)
+        gn, bn, hidden = part(positive, -1, prior)
+        gu, bu, loss = part(unlabelled, -1, 1.0)
         if loss - prior * hidden >= 0:
             grad, grad_b = gp + gu - gn, bp + bu - bn
         else:  # the corrected risk fell below zero: climb back instead of fitting it further
@@ -111,46 +100,69 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         w = w - rate * m / (np.sqrt(v) + 1e-8)
         bias = bias - rate * mb / (np.sqrt(vb) + 1e-8)
-    weights[kept] = w
-    return Model(weights.astype(np.float32), bias, prior)
-
-
-def calibrated(model: Model, positive: list[np.ndarray], negative: list[np.ndarray], share: float) -> Model:
-    """The model with its logit stretched and shifted so that sigmoid() is the rate of toxic texts among labelled ones; share is that rate over all of them."""
-    if not positive or not negative or not 0 < share < 1:
-        return model
-    weights = model.weights.astype(np.float64)
-
-    def logits(rows: list[np.ndarray]) -> np.ndarray:
-        return np.clip([weights[x].sum() + model.bias for x in rows], -30, 30)
-
-    z = np.concatenate([logits(positive), logits(negative)])
-    y = np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
-    c = np.concatenate([np.full(len(positive), share / len(positive)), np.full(len(negative), (1 - share) / len(negative))])
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton's steps on two parameters
-        p = sigmoid(a * z + b)
-        g = np.array([np.sum(c * (p - y) * z) + 1e-4 * (a - 1), np.sum(c * (p - y))])
-        h = c * p * (1 - p)
-        hessian = np.array([[np.sum(h * z * z) + 1e-4, np.sum(h * z)], [np.sum(h * z), np.sum(h)]]) + 1e-9 * np.eye(2)
-        step = np.linalg.solve(hessian, g)
-        step *= min(1.0, 1.0 / max(np.abs(step).max(), 1e-12))
-        a, b = max(a - step[0], 0.05), b - step[1]
-    return Model((weights * a).astype(np.float32), model.bias * a + b, model.prior)
-
-
-def _sampled(rows: DataFrame, most: int) -> list[np.ndarray]:
-    """Features of at most `most` distinct texts, those with the smallest content keys; only the features reach the driver."""
-    picked = rows.select(content_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"]).orderBy("key").limit(most)
+    return w, bias
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """The share of positives among the unlabelled texts, from the logits of both: the ratio of the parts above a threshold, at that threshold where its upper confidence bound is least."""
+    cuts = np.unique(positive)
+    p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    slack = np.sqrt(np.log(4 / confidence) / 2) * (len(positive) ** -0.5 + len(unlabelled) ** -0.5)
+    best = np.argmin((u + slack) / p)
+    return float(u[best] / p[best])
+
+
+def _sample(texts: DataFrame, sides: list[DataFrame]) -> DataFrame:
+    """(side, f): the features, as packed integers, of the distinct texts of each side's doc_ids. A doc_id of several texts gives its least one."""
+    rows = None
+    for side, ids in enumerate(sides):  # ids are bounded by limit()
+        own = texts.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.lit(side).alias("side"), "text")
+        rows = own if rows is None else rows.unionByName(own)
+    rows = rows.groupBy("side", content_key(F.col("text")).alias("key")).agg(F.first("text").alias("text")).repartition(SAMPLE_PARTS, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in slices(batches):
             ids, bounds = features(data, ends)
-            ids = ids.astype("<i4")
-            yield pa.RecordBatch.from_arrays([pa.array([ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[a:b].astype("<i4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["side", "f"])
 
-    # Four bytes a feature, as they come: lists of numbers would take ten times the driver's memory.
-    return [np.frombuffer(r.f, "<i4") for r in picked.select("text").mapInArrow(run, "f binary").toLocalIterator()]
+    return materialize(rows.select("side", "text").mapInArrow(run, "side int, f binary"), "sample")
+
+
+def _telling(sample: DataFrame, n_positive: int, n_unlabelled: int) -> list[int]:
+    """Features that are more frequent in the positives than in the unlabelled texts; others would only be learnt by heart. Counted over the cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << FEATURE_BITS), np.int32)
+        for batch in batches:
+            for side, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts[side][np.frombuffer(f, "<i4")] += 1  # a text's features are distinct
+        for at in np.array_split(np.flatnonzero(counts.any(axis=0)), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["id", "p", "u"])
+
+    counts = sample.mapInArrow(run, "id bigint, p int, u int").groupBy("id").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    expected = (F.col("u") + 1) * F.lit(n_positive / n_unlabelled)
+    ratio = 2 * (F.col("p") * F.log(F.col("p") / expected) - F.col("p") + expected)
+    return sorted(r.id for r in counts.where((F.col("p") >= LEAST_POSITIVES) & (F.col("p") > expected)).where(ratio > LEAST_RATIO).select("id").collect())
+
+
+def _packed(sample: DataFrame, kept: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, bounds) of both sides, with ids that count in kept."""
+    place = np.full(1 << FEATURE_BITS, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    sent = sample.sparkSession.sparkContext.broadcast(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sent.value[np.frombuffer(f, "<i4")] for f in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[x >= 0].astype("<i4").tobytes() for x in own], pa.binary())], names=["side", "f"])
+
+    found: list[list[bytes]] = [[], []]
+    for r in sample.mapInArrow(run, "side int, f binary").toLocalIterator():
+        found[r.side].append(bytes(r.f))
+    # In an order of their own: sums of floats must not depend on the order of tasks.
+    found = [sorted(rows) for rows in found]
+    return [(np.frombuffer(b"".join(rows), "<i4"), np.concatenate(([0], np.cumsum([len(f) // 4 for f in rows]))).astype(np.int64)) for rows in found]
 
 
 def held_out(doc_id) -> "F.Column":
@@ -160,20 +172,27 @@ def held_out(doc_id) -> "F.Column":
 def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, toxic). The rows that held_out() picks are used neither as positives nor as unlabelled texts.
 
-    The class prior is the share of toxic rows among the labelled ones that may be used. After the
-    fit, two numbers (stretch and shift of the logit) are set on labelled rows, up to max_positives of either label.
+    A first fit takes the share of toxic rows among the usable labelled ones as the class prior;
+    the second one the share that the first one's scores show in the unlabelled texts. Without
+    positives or texts, the model says that nothing is toxic.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    prior = usable.agg(F.avg("toxic")).first()[0] or 0.0
-    texts = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
+    prior = min(max(usable.agg(F.avg("toxic")).first()[0] or 0.0, 1e-4), 0.9)
+    texts = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Which rows are drawn is settled on ids alone; only their texts are read for features.
-    order = F.md5(F.col("doc_id").cast("string"))
-
-    def drawn(ids: DataFrame, most: int) -> list[np.ndarray]:
-        return _sampled(texts.join(F.broadcast(ids.select("doc_id").distinct().orderBy(order).limit(most)), "doc_id", "left_semi"), most)
-
-    positive, unlabelled = drawn(usable.where("toxic = 1"), max_positives), drawn(texts, max_unlabelled)
-    return calibrated(fit(positive, unlabelled, prior), positive, drawn(usable.where("toxic = 0"), max_positives), prior)
+    drawn = lambda ids, most: ids.select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most)
+    sample = _sample(texts, [drawn(usable.where("toxic = 1"), max_positives), drawn(texts, max_unlabelled)])
+    n = {r.side: r.n for r in sample.groupBy("side").agg(F.count("*").alias("n")).collect()}
+    weights = np.zeros(1 << FEATURE_BITS, np.float32)
+    if len(n) < 2:
+        return Model(weights, -6.0, 0.0)
+    kept = _telling(sample, n[0], n[1])
+    sides = _packed(sample, kept)
+    w, bias = fit(*sides, len(kept), prior)
+    # Labelled rows may be chosen for what they say: the prior of all texts is that which the first fit's scores show.
+    prior = min(max(class_prior(*(_logit(w, bias, *side) for side in sides)), 1e-4), 0.9)
+    weights[kept], bias = fit(*sides, len(kept), prior)
+    return Model(weights, bias, prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

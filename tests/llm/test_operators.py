@@ -142,7 +142,32 @@ def test_similar_sets_share_a_signature():
                     a, b = np.unique(base), np.unique(other)
                     both = len(np.intersect1d(a, b))
                     if den * both >= num * (len(a) + len(b) - both):
-                        assert len(np.intersect1d(ngram_join.signatures(a, num, den), ngram_join.signatures(b, num, den)))
+                        for frequent in (None, rng.random(1 << ngram_join.COUNTER_BITS) < 0.5):
+                            assert len(np.intersect1d(ngram_join.signatures(a, num, den, frequent), ngram_join.signatures(b, num, den, frequent)))
+
+
+def test_a_common_ending_makes_no_group(spark):
+    """Short texts that share eight words, but do not link, are not compared with one another: work grows with their number."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    work = []
+    for many in (1000, 2000):
+        texts = [" ".join(word() for _ in range(rng.randint(8, 14))) + " kind regards from all of us here today" for _ in range(many)]
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text", F.col("text").cast("binary"))
+        groups = ngram_join.candidate_groups(ngram_join._sketches(rows, 4, 85, 100)).groupBy("grp").count().collect()
+        assert all(r["count"] <= 20 for r in groups)
+        work.append(sum(r["count"] ** 2 for r in groups))
+    assert work[1] <= 4 * work[0] + 100
+
+
+def test_chained_groups_are_split(spark):
+    """A group chained by small meetings is compared meeting by meeting, one that meets as a whole stays one."""
+    chain = [(i, 10 + i // 3) for i in range(300)] + [(i + 1, 10 + i // 3) for i in range(300)]
+    dense = [(1000 + i, 9000 + j) for i in range(50) for j in range(40) if (i + j) % 9]
+    met = spark.createDataFrame(chain + dense, "node long, sig long").distinct()
+    groups = spark.createDataFrame([(i, 0) for i in range(301)] + [(1000 + i, 1000) for i in range(50)], "node long, grp long")
+    sizes = [r["count"] for r in ngram_join._split_groups(groups, met, 20).groupBy("grp").count().collect()]
+    assert sorted(sizes) == [4] * 100 + [50]
 
 
 def test_one_of_each_stays(docs, texts):
