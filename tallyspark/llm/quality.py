@@ -1,8 +1,10 @@
 """Quality rules by compression bands: zstandard ratios of the whole text and of fixed chunks.
 
 Repetitive text compresses far better than prose, noise hardly at all. Short texts compress
-worse whatever they say, so the bounds depend on the length. Each text is judged alone, in
-Arrow batches, without a shuffle.
+worse whatever they say, so the limits depend on the length: each quarter of an octave of
+lengths has limits of its own, drawn around the corpus's median ratio there. Texts are packed in
+Arrow batches without a shuffle; what is shuffled for the limits are counts of rounded ratios.
+Lengths of which the corpus has too few texts to say what is usual have wide fixed limits.
 """
 
 from __future__ import annotations
@@ -15,10 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import extended, materialize
 
-#: (bytes from, least ratio, most ratio) of original to compressed size; the last row that applies counts.
+#: Where the corpus says too little: (bytes from, least ratio, most ratio) of original to compressed size; the last row that applies counts.
 DOCUMENT_BANDS = ((0, 0.0, 3.5), (256, 1.2, 4.0), (512, 1.35, 4.0), (1024, 1.5, 4.5), (4096, 1.8, 5.0), (16384, 2.0, 6.0), (65536, 2.2, 8.0))
+#: Limits lie so many spreads (median less the 16th percentile) from the median, and this share of the median at least.
+SPREADS, LEAST_SHARE = 4.0, 0.08
+#: Texts, or chunks, that pass the base rules and tell what is usual; fewer leave the fixed limits.
+LEAST_TEXTS = 50
+#: Ratios are counted in steps of 1 / RATIO_STEPS up to MOST_RATIO.
+RATIO_STEPS, MOST_RATIO = 500, 50
 #: Chunks are this long; the last one ends with the text and may overlap the one before. At most this share of them may lie outside the chunk band.
 CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE = 2048, (1.75, 5.0), 0.25
 LEVEL = 3
@@ -26,11 +34,7 @@ LEVEL = 3
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 
-_ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, n_chunks long, n_bad_chunks long, reason string, kept boolean"
-
-
-def band(n_bytes: int, bands=DOCUMENT_BANDS) -> tuple[float, float]:
-    return [b[1:] for b in bands if b[0] <= n_bytes][-1]
+_ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_bytes long, ratio double, chunks array<float>"
 
 
 def chunk_starts(n_bytes: int) -> list[int]:
@@ -76,18 +80,25 @@ def judge(text: bytes, packer: zstandard.ZstdCompressor) -> tuple:
     base_failed = n < LEAST_WORDS or 100 * repeats > MOST_REPEATED_PERCENT * n
     ratio = len(text) / len(packer.compress(text)) if text else 0.0
     sizes = [len(packer.compress(text[i : i + CHUNK_BYTES])) for i in chunk_starts(len(text))]
-    bad = sum(not CHUNK_BAND[0] <= CHUNK_BYTES / s <= CHUNK_BAND[1] for s in sizes)
-    low, high = band(len(text))
-    reason = "base" if base_failed else "repetitive" if ratio > high else "incompressible" if ratio < low else "chunks" if bad > CHUNK_SHARE * len(sizes) else None
-    return n, word_chars, symbols, duplicates, repeats, base_failed, ratio, len(sizes), bad, reason, reason is None
+    return n, word_chars, symbols, duplicates, repeats, base_failed, len(text), ratio, [CHUNK_BYTES / s for s in sizes]
+
+
+def _limits(ratios: DataFrame, *by: str) -> DataFrame:
+    """ratios(*by, r) → (*by, low, high) where there are enough of them. Counted by rounded ratio first, so that the order of rows doesn't matter and few rows are shuffled."""
+    steps = F.round(F.least(F.col("r").cast("double"), F.lit(float(MOST_RATIO))) * RATIO_STEPS) / RATIO_STEPS
+    counts = ratios.select(*by, steps.alias("r")).groupBy(*by, "r").agg(F.count("*").alias("n"))
+    usual = counts.groupBy(*by).agg(F.expr("percentile(r, array(0.16, 0.5), n)").alias("p"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    away = F.greatest(SPREADS * (F.col("p")[1] - F.col("p")[0]), LEAST_SHARE * F.col("p")[1])
+    return usual.select(*by, (F.col("p")[1] - away).alias("low"), (F.col("p")[1] + away).alias("high"))
 
 
 def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and, for its whole text (null: empty): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, the compression ratio, its chunks and those outside the band, the reason of a rejection (null: kept) and kept.
+    """doc_id and, for its whole text (null: empty): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, the compression ratio, low and high (its limits), n_chunks and n_bad_chunks (outside the chunks' limits), the reason of a rejection (null: kept) and kept.
 
-    Empty texts have no words and fail the base rules. Every row is judged on its own; repeated
-    rows get the same verdict, null ids stay null, other columns are ignored, and an empty
-    table gives an empty result.
+    Empty texts have no words and fail the base rules. Limits come from all rows of docs that
+    pass the base rules; repeated rows count as often as they stand there and get the same
+    verdict, null ids stay null, other columns are ignored, and an empty table gives an empty
+    result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     schema = extended(rows.select("doc_id"), _ADDED)
@@ -96,8 +107,18 @@ def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         packer = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             found = [judge(t, packer) for t in batch.column(1).to_pylist()]
-            columns = list(zip(*found, strict=True)) if found else [()] * 11
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+            columns = list(zip(*found, strict=True)) if found else [()] * 9
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.float64(), pa.list_(pa.float32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    length = F.when(F.col("n_bytes") > 0, F.floor(4 * F.log2("n_bytes"))).otherwise(F.lit(0)).cast("int")
+    judged = materialize(rows.mapInArrow(run, schema).withColumn("length", length), "ratios")
+    usual = judged.where(~F.col("base_failed"))
+    by_length = _limits(usual.select("length", F.col("ratio").alias("r")), "length")  # a few hundred rows
+    of_chunks = _limits(usual.select(F.explode("chunks").alias("r"))).select(F.col("low").alias("chunk_low"), F.col("high").alias("chunk_high"))  # one row or none
+    found = judged.join(F.broadcast(by_length), "length", "left").join(F.broadcast(of_chunks), F.lit(True), "left")
+    fixed = lambda k: F.coalesce(*[F.when(F.col("n_bytes") >= b[0], b[k]) for b in reversed(DOCUMENT_BANDS)])
+    found = found.withColumns({"low": F.coalesce("low", fixed(1)), "high": F.coalesce("high", fixed(2)), "chunk_low": F.coalesce("chunk_low", F.lit(CHUNK_BAND[0])), "chunk_high": F.coalesce("chunk_high", F.lit(CHUNK_BAND[1]))})
+    found = found.withColumns({"n_chunks": F.size("chunks").cast("long"), "n_bad_chunks": F.size(F.filter("chunks", lambda c: (c < F.col("chunk_low")) | (c > F.col("chunk_high")))).cast("long")})
+    reason = F.when(F.col("base_failed"), "base").when(F.col("ratio") > F.col("high"), "repetitive").when(F.col("ratio") < F.col("low"), "incompressible").when(F.col("n_bad_chunks") > CHUNK_SHARE * F.col("n_chunks"), "chunks")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "low", "high", "n_chunks", "n_bad_chunks", reason.alias("reason"), reason.isNull().alias("kept"))

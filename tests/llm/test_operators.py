@@ -536,16 +536,48 @@ def test_compression_bands(spark):
     assert got[1] == (True, None) and not got[3][0]
 
 
-def test_noise_is_incompressible():
-    rng, packer = random.Random(2), zstandard.ZstdCompressor(level=quality.LEVEL)
-    noise = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(8)) for _ in range(n // 9)).encode()
+def test_noise_is_incompressible(spark):
+    rng = random.Random(2)
+    noise = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(8)) for _ in range(n // 9))
     base64, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz"
-    verdict = lambda x: quality.judge(x, packer)[-2]
-    assert [verdict(noise(base64, n)) for n in (600, 1500, 5000, 20000, 80000)] == ["incompressible"] * 5
-    assert [verdict(noise(small, n)) for n in (5000, 20000, 80000)] == ["incompressible"] * 3
-    assert verdict(noise("etaoinshrdlu", 6000) + b" " + noise(base64, 6000)) in ("incompressible", "chunks")
-    tail = lambda end: quality.judge(noise("etaoinshrdlu", 2500) + end, packer)[7:9]
-    assert tail(b"") == (2, 0) and tail(noise(base64, 1500)) == (2, 1)
+    texts = [noise(base64, n) for n in (600, 1500, 5000, 20000, 80000)] + [noise(small, n) for n in (5000, 20000, 80000)]
+    texts += [noise("etaoinshrdlu", 6000) + " " + noise(base64, 6000), noise("etaoinshrdlu", 2500)]
+    tail = noise(base64, 1500)
+    texts.append(noise("etaoinshrdlu", 2500) + tail)
+    # In two tables: where most chunks are noise, noise would be what is usual.
+    judged = lambda part: sorted(quality.quality(spark.createDataFrame(list(enumerate(part)), "doc_id long, text string")).collect())
+    got = judged(texts[:9])
+    assert [r.reason for r in got[:8]] == ["incompressible"] * 8
+    assert got[8].reason in ("incompressible", "chunks")
+    assert [(r.n_chunks, r.n_bad_chunks) for r in judged(texts[9:])] == [(2, 0), (2, 1)]
+
+
+def test_limits_follow_the_corpus(spark):
+    """Limits by length are those of a plain computation; texts of few signs between their words go, prose stays."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts = [prose(rng.randint(60, 600)) for _ in range(900)] + [" | > * ".join(prose(200).split(" ")) for _ in range(12)] + ["", None] + [prose(70)] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality(df.repartition(5)).collect()}
+    packer = zstandard.ZstdCompressor(level=quality.LEVEL)
+    ratio = {i: len(t.encode()) / len(packer.compress(t.encode())) for i, t in enumerate(texts) if t}
+    classes: dict = {}
+    for i, t in enumerate(texts):
+        if t and not got[i].base_failed:
+            classes.setdefault(int(np.floor(4 * np.log2(len(t.encode())))), []).append(i)
+    told = 0
+    for members in classes.values():
+        r = np.round(np.array([ratio[i] for i in members]) * 500) / 500
+        low, high = np.percentile(r, [16, 50])
+        away = max(4 * (high - low), 0.08 * high)
+        for i in members:
+            if len(members) >= 50:
+                told += 1
+                assert (got[i].low, got[i].high) == pytest.approx((high - away, high + away), abs=1e-6)
+            assert (got[i].reason == "repetitive") == (ratio[i] > got[i].high) and (got[i].reason == "incompressible") == (ratio[i] < got[i].low)
+    assert told > 600 and all(got[i].kept for i in range(900)) and not any(got[i].kept for i in range(900, 914))
+    assert len({got[i].kept for i in range(914, 917)}) == 1
 
 
 # ------------------------------------------------------------------ slices
