@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, delete_path, mix, new_path, materialize, signed, slices, stream
+from .common import U64, delete_path, materialize, mix, new_path, signed, slices, small_side, stream
 
 LENGTH, REACH = 400, 300
 GRAM = 16
-#: Batches that a whole corpus is dealt into; contexts of one prefix that one task matches at once.
-BATCHES, MOST_CONTEXTS = 4, 20_000
+#: A whole corpus enters the index in so many batches, more where they hold more than BATCH_CONTEXTS contexts.
+LEAST_BATCHES, MOST_BATCHES, BATCH_CONTEXTS = 2, 16, 200_000
+#: Contexts of one prefix that one task matches at once.
+MOST_CONTEXTS = 20_000
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 _BYTES = stream(256, 15013)
@@ -162,7 +164,8 @@ class SuffixIndex:
     def _scan(self, both: DataFrame) -> DataFrame:
         length, prefix = self.length, self.prefix
         sizes = materialize(both.groupBy("prefix").agg(F.count("*").alias("n"), F.max("new").alias("any_new")).where("n > 1 AND any_new"), "prefixes")
-        rows = both.join(sizes.where(F.col("n") <= self.most), "prefix").select("prefix", "suffix", "left", "context")
+        # Of the levels only what stands beside the batch is moved.
+        rows = both.join(small_side(sizes).where(F.col("n") <= self.most), "prefix").select("prefix", "suffix", "left", "context")
         rows = rows.repartition("prefix").sortWithinPartitions("prefix", "suffix")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +216,9 @@ class SuffixIndex:
                     n = len(inner)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p)), pa.array(np.full(n, context)), pa.array(inner), pa.array(signed(windows))], names=["prefix", "context", "from", "window"])
 
-        all_windows = both.join(large, "prefix").select("prefix", "suffix", "left", "context").mapInArrow(spread, "prefix bigint, context bigint, from bigint, window bigint")
-        twice = all_windows.groupBy("prefix", "window").agg(F.count("*").alias("n")).where("n > 1")
+        all_windows = both.join(F.broadcast(large), "prefix").select("prefix", "suffix", "left", "context")  # rows / most prefixes, no more
+        all_windows = materialize(all_windows.mapInArrow(spread, "prefix bigint, context bigint, from bigint, window bigint"), "windows")
+        twice = materialize(all_windows.groupBy("prefix", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
         single = all_windows.join(twice, ["prefix", "window"], "left_semi").select("context", "from", F.col("from").alias("to"))
         return found.unionByName(single)
 
@@ -286,15 +290,18 @@ def _removed(length: int, reach: int, with_text: bool):
                 text = data[ends[i] : ends[i + 1]]
                 kept = text[~gone].tobytes()
                 n_runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if n else 0
-                rows.append((int(gone.sum()), n_runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["key", "n_removed", "n_spans", "kept_sha256", "kept"])
+                chars = int(((text[~gone] & 0xC0) != 0x80).sum())
+                rows.append((int(gone.sum()), n_runs, hashlib.sha256(kept).hexdigest(), chars, kept if with_text else None))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["key", "n_removed", "n_spans", "kept_sha256", "kept_chars", "kept"])
 
     return run
 
 
-def dedup_long_strings(docs: DataFrame, length: int = LENGTH, reach: int = REACH, batches: int = BATCHES, text: str = "text", doc_id: str = "doc_id", with_text: bool = False, most: int = MOST_CONTEXTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (and kept, the bytes that stay, if asked for).
+def dedup_long_strings(docs: DataFrame, length: int = LENGTH, reach: int = REACH, batches: int | None = None, text: str = "text", doc_id: str = "doc_id", with_text: bool = False, most: int = MOST_CONTEXTS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_chars of every row of docs (and kept, the bytes that stay, if asked for).
+
+    kept_chars counts the code points that begin among the bytes that stay.
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a string of `length` bytes covering it
     starts at another place too, in the same text or another; judged on the input. Texts shorter
@@ -305,25 +312,24 @@ def dedup_long_strings(docs: DataFrame, length: int = LENGTH, reach: int = REACH
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(whole)).alias("key"), whole.alias("text"))
-    sizes = materialize(rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "sizes")
+    sizes = materialize(rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.length(F.col("text").cast("string")).cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha")), "sizes")
     long_rows = rows.where(F.octet_length("text") >= length).select("key", "text")
     sketch = long_rows.mapInArrow(_sketch(length, reach), "prefix bigint, context bigint, key binary, n bigint")
     # A text's copies count once here: they are settled by the number of rows.
-    sketch = sketch.groupBy("prefix", "context", "key").agg(F.max("n").alias("n")).repartition("prefix")
-    sketch.createOrReplaceTempView("_suffix_sketch")
-    status = spark.sql("""
-        SELECT key, prefix, context, n_context > 1 AS settled, low <> high AS mixed FROM (
-          SELECT *, sum(n) OVER (PARTITION BY prefix) AS total, min(context) OVER (PARTITION BY prefix) AS low, max(context) OVER (PARTITION BY prefix) AS high,
-                 sum(n) OVER (PARTITION BY prefix, context) AS n_context
-          FROM _suffix_sketch)
-        WHERE total > 1""")
-    status = materialize(status, "status")
-    spark.catalog.dropTempView("_suffix_sketch")
+    sketch = materialize(sketch.groupBy("prefix", "context", "key").agg(F.max("n").alias("n")), "sketch")
+    # Sums of a prefix and of a context are aggregated before they are dealt out and come back by joins, so a frequent one is no task's burden.
+    prefixes = sketch.groupBy("prefix").agg(F.sum("n").alias("total"), (F.min("context") < F.max("context")).alias("mixed")).where("total > 1").drop("total")
+    shared = materialize(sketch.join(small_side(materialize(prefixes, "prefixes")), "prefix"), "shared")
+    twice = shared.groupBy("context").agg(F.sum("n").alias("n")).where("n > 1").select("context", F.lit(True).alias("settled"))
+    status = shared.join(small_side(materialize(twice, "twice")), "context", "left")
+    status = materialize(status.select("key", "prefix", "context", F.coalesce("settled", F.lit(False)).alias("settled"), "mixed"), "status")
     lists = status.groupBy("key").agg(F.collect_list(F.when(F.col("mixed"), F.col("context"))).alias("mixed"), F.collect_list(F.when(F.col("settled"), F.col("context"))).alias("settled"))
     texts = long_rows.groupBy("key").agg(F.first("text").alias("text")).join(lists, "key")
     texts = materialize(texts.select("key", "text", "mixed", "settled"), "texts")
     entries = texts.where(F.size("mixed") > 0).select("key", "text", "mixed").mapInArrow(_entries(length, reach), "prefix bigint, suffix binary, left binary, context bigint")
-    entries = materialize(entries.dropDuplicates(["context"]).withColumn("batch", F.pmod(F.xxhash64("context"), F.lit(batches))), "entries")
+    entries = materialize(entries.dropDuplicates(["context"]), "entries")
+    batches = batches or min(max(LEAST_BATCHES, -(-entries.count() // BATCH_CONTEXTS)), MOST_BATCHES)
+    entries = entries.withColumn("batch", F.pmod(F.xxhash64("context"), F.lit(batches)))
     index, found = SuffixIndex(spark, length, reach, most), None
     for b in range(batches):
         part = index.add(entries.where(F.col("batch") == b).drop("batch"))
@@ -331,7 +337,7 @@ def dedup_long_strings(docs: DataFrame, length: int = LENGTH, reach: int = REACH
     found = found.distinct()
     runs = status.where("mixed AND NOT settled").select("key", "context").distinct().join(found, "context").groupBy("key").agg(F.collect_list(F.struct("context", "from", "to")).alias("runs"))
     judged = texts.select("key", "text", "settled").join(runs, "key", "left").select("key", "text", "settled", "runs")
-    judged = judged.mapInArrow(_removed(length, reach, with_text), "key binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    judged = judged.mapInArrow(_removed(length, reach, with_text), "key binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept_chars bigint, kept binary")
     copies = sizes.groupBy("key").agg(F.count("*").alias("copies"))
     per_key = copies.join(judged, "key", "left")
     out = sizes.join(per_key, "key")
@@ -342,6 +348,7 @@ def dedup_long_strings(docs: DataFrame, length: int = LENGTH, reach: int = REACH
         F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(all_gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(all_gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(all_gone, F.lit(0)).otherwise(F.coalesce("kept_chars", "n_chars")).cast("long").alias("kept_chars"),
     ]
     if with_text:
         columns.append(F.when(all_gone, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept"))

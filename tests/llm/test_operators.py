@@ -85,6 +85,7 @@ def test_long_strings(docs, texts, length, reach, most):
         n, removed, runs, sha, kept = want[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, runs, sha), texts[r.doc_id]
         assert r.kept is None or bytes(r.kept) == kept
+        assert r.kept_chars == sum(b & 0xC0 != 0x80 for b in kept)
 
 
 def test_levels_merge_geometrically(spark):
