@@ -6,6 +6,10 @@ entity e, c(e) texts with e, d(t) texts with t and N texts in all, t reveals log
 bits of the log2(N / c(e)) bits that e holds. Terms that reveal more than a threshold share are
 spans of their own: above the upper threshold they are removed, between both generalised.
 Equal texts count once, so that copies do not pass for evidence.
+
+An entity that stands in a few texts only can't be told by what its texts have in common. Asked
+for (`alone`), such an entity is judged by the words of its own sentences: those that hardly any
+other text shows, by the same formula and the upper threshold, are removed in its texts.
 """
 
 from __future__ import annotations
@@ -31,26 +35,75 @@ TERM = _LETTER + "+"
 
 #: Texts that must show an entity and a term together, and shares of an entity's bits.
 MIN_TEXTS, GENERALISE, REMOVE = 3, 0.7, 0.9
+#: Texts with entities whose terms one task spreads out.
+TEXTS_PER_TASK = 256
 #: Revealing terms that are looked up inside the rows of the corpus; more are joined with its words.
 MAX_TERMS = 50_000
 
+#: Code points of a sentence that are looked at on either side of an entity, and what ends a sentence.
+REACH, _ENDS = 200, r".!?\n\u3002"
+#: Steps of a fold over a text's matches that copy what they gather; so many of them are folded apart and then put together, so that the time grows with the matches and not with their square.
+BLOCK = 256
+
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def _located(text: Column, pattern: str | Column, kind: int, base=0) -> Column:
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once, and not at every mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """An array cut into arrays of BLOCK items; the array must not be empty."""
+    last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _running(lengths: Column) -> Column:
+    """The running sums of an array of int that is not empty."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    own = lambda block: F.aggregate(block, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out")), lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    shift = lambda acc, block: F.struct((acc["at"] + F.element_at(block, -1)).alias("at"), F.concat(acc["out"], F.array(F.transform(block, lambda n: n + acc["at"]))).alias("out"))
+    return F.aggregate(F.transform(_blocks(lengths), own), start, shift, lambda acc: F.flatten(acc["out"]))
+
+
+def _located(text: Column, pattern: str | Column, kind: int) -> Column:
     """All matches as (start, kind, end, value), in code points."""
-    parts = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+
+    def spans(x: Column) -> Column:
+        return F.transform(x["m"], lambda v, i: F.struct((x["ends"][i] - F.length(v)).alias("start"), F.lit(kind).alias("kind"), x["ends"][i].alias("end"), v.alias("value")))
 
     def walk(x: Column) -> Column:
-        step = lambda acc, i: F.struct(
-            (acc["at"] + F.length(x["p"][i]) + F.length(x["m"][i])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["p"][i])).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.length(x["p"][i]) + F.length(x["m"][i])).alias("end"), x["m"][i].alias("value")))).alias("out"),
-        )
-        start = F.struct((F.lit(0) + base).cast("int").alias("at"), F.array().cast(_SPAN).alias("out"))
-        return F.when(F.size(x["m"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+        lengths = F.transform(x["m"], lambda v, i: F.length(x["p"][i]) + F.length(v))
+        ends = _once(lengths, _running)
+        return F.when(F.size(x["m"]) > 0, _once(F.struct(x["m"].alias("m"), ends.alias("ends")), spans)).otherwise(F.array().cast(_SPAN))
 
-    # An array of one, so that both lists are made once and not at every mention.
-    return F.element_at(F.transform(F.array(parts), walk), 1)
+    return _once(F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("m")), walk)
+
+
+def _replaced(text: Column, spans: Column, label) -> Column:
+    """The text with label(span) for each of its spans, which stand by start; one that begins inside another goes with it."""
+
+    def fill(b: Column) -> Column:
+        """One block of spans over its own piece of the text: places are looked up by counting from the piece's start."""
+        start = F.struct(b["from"].alias("at"), F.lit("").alias("out"))
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(b["piece"], acc["at"] - b["from"] + 1, s["start"] - acc["at"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, label(s))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(b["spans"], start, step)
+
+    def block(acc: Column, part: Column) -> Column:
+        to = F.array_max(F.transform(part, lambda s: s["end"]))
+        b = F.struct(acc["at"].alias("from"), F.substring(text, acc["at"] + 1, F.greatest(to - acc["at"], F.lit(0))).alias("piece"), part.alias("spans"))
+        return _once(_once(b, fill), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], d["out"]).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.aggregate(_blocks(spans), start, block, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def _luhn(digits: Column) -> Column:
@@ -80,37 +133,55 @@ def base_spans(text: Column) -> Column:
 
 def _bare(text: Column, base: Column) -> Column:
     """The text without its entities."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, x: F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.lit(" "), F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))).alias("out"))
-    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, start, step, lambda acc: F.concat(acc["out"], F.lit(" "), F.substring(text, acc["at"] + 1, F.length(text)))))
+    return _replaced(text, base, lambda x: F.lit(" "))
+
+
+def _sentence(text: Column, x: Column) -> Column:
+    """What stands around a span in its sentence, without words that REACH cuts."""
+    before = F.substring(text, F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH)))
+    after = F.substring(text, x["end"] + 1, F.lit(REACH))
+    cut = lambda part, at, long: F.when(long, F.regexp_replace(part, at, "")).otherwise(part)
+    before = F.regexp_extract(cut(before, f"^{_LETTER}+", x["start"] > REACH), f"([^{_ENDS}]*)$", 1)
+    after = F.regexp_extract(cut(after, f"{_LETTER}+$", F.length(text) - x["end"] > REACH), f"^([^{_ENDS}]*)", 1)
+    return F.concat_ws(" ", before, after)
 
 
 def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
-def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_texts: int = MIN_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE, max_terms: int = MAX_TERMS, everywhere: bool = False) -> DataFrame:
+def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_texts: int = MIN_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE, max_terms: int = MAX_TERMS, everywhere: bool = False, alone: bool = False) -> DataFrame:
     """doc_id, key (of the text), base (spans of the patterns) and spans (with those of revealing terms) of every row of docs.
 
     A span is (start, kind, end, value) with code points from 0, the end exclusive, and kind an
     index of KINDS. Null texts count as empty and have no spans. Repeated rows get the same
     spans; null ids stay; columns other than doc_id and text are ignored; an empty table gives
-    an empty result. An entity that stands in fewer than min_texts different texts reveals nothing
-    about its words, however rare they are. A revealing term is a span wherever it stands in
-    the texts with its entity; everywhere: in all texts.
+    an empty result. A revealing term is a span wherever it stands in the texts with its entity;
+    everywhere: in all texts. An entity that stands in fewer than min_texts different texts
+    reveals nothing about its words, however rare they are, but with alone: then those of its
+    sentences whose share reaches `remove` are spans, wherever they stand in the texts with it.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), content_key(F.col(text)).alias("key"), whole.alias("text")).withColumn("base", base_spans(F.col("text")))
-    found = materialize(rows.select("doc_id", "key", "base", F.when(F.size("base") > 0, _words(_bare(F.col("text"), F.col("base")))).alias("words")), "entities")
+    kept = [F.when(F.size("base") > 0, _words(_bare(F.col("text"), F.col("base")))).alias("words")]
+    if alone:
+        kept.append(F.transform("base", lambda x: F.array_distinct(F.regexp_extract_all(F.lower(_sentence(F.col("text"), x)), F.lit(TERM), F.lit(0)))).alias("beside"))
+    found = materialize(rows.select("doc_id", "key", "base", *kept), "entities")
     spans = found.select("doc_id", "key", "base")
     # Copies share a key; one of each is a text.
-    texts = found.where(F.size("base") > 0).groupBy("key").agg(F.first(F.struct("base", "words")).alias("t"))
+    texts = found.where(F.size("base") > 0).groupBy("key").agg(F.first(F.struct("base", "words", *["beside"] * alone)).alias("t"))
     entity = lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), F.when(x["kind"] >= 2, _digits(x["value"])).otherwise(F.lower(x["value"])))
-    texts = materialize(texts.select("key", F.array_distinct(F.transform("t.base", entity)).alias("entities"), F.col("t.words").alias("words"), F.array_distinct(F.transform("t.words", F.lower)).alias("terms")), "texts")
-    entities = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ce")).where(F.col("ce") >= min_texts)
-    entities = small_side(materialize(entities, "known"))
-    held = texts.select("key", "words", "terms", F.explode("entities").alias("entity")).join(entities, "entity")
-    pairs = held.select("entity", "ce", F.explode("terms").alias("term")).groupBy("entity", "ce", "term").agg(F.count("*").alias("cet")).where(F.col("cet") >= min_texts)
+    texts = materialize(texts.select("key", F.transform("t.base", entity).alias("each"), F.col("t.words").alias("words"), F.array_distinct(F.transform("t.words", F.lower)).alias("terms"), *[F.col("t.beside").alias("beside")] * alone), "texts")
+    entities = materialize(texts.select(F.explode(F.array_distinct("each")).alias("entity")).groupBy("entity").agg(F.count("*").alias("ce")), "known")
+    known = small_side(entities).where(F.col("ce") >= min_texts)
+    held = materialize(texts.select("key", "words", "terms", F.explode(F.array_distinct("each")).alias("entity")).join(known, "entity"), "held")
+    # A text is one short row with some hundred terms: tasks are dealt by the number of texts, so that each makes about as many rows at any size.
+    dealt = held.repartition(-(-held.count() // TEXTS_PER_TASK) or 1, "key", "entity")
+    pairs = dealt.select("entity", "ce", F.explode("terms").alias("term")).groupBy("entity", "ce", "term").agg(F.count("*").alias("cet")).where(F.col("cet") >= min_texts).withColumn("alone", F.lit(False))
+    if alone:
+        beside = texts.select("key", "terms", F.explode(F.arrays_zip("each", "beside")).alias("x")).select("key", F.col("x.each").alias("entity"), F.array_intersect("x.beside", "terms").alias("terms"))
+        beside = materialize(beside.join(small_side(entities).where(F.col("ce") < min_texts), "entity").select("key", "entity", "ce", F.explode("terms").alias("term")).distinct(), "beside")
+        pairs = pairs.unionByName(beside.groupBy("entity", "ce", "term").agg(F.count("*").alias("cet")).withColumn("alone", F.lit(True)))
     pairs = materialize(pairs, "pairs")
     if pairs.isEmpty():
         return spans.withColumn("spans", F.col("base"))
@@ -124,21 +195,14 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     rated = pairs.join(counts, "term").crossJoin(F.broadcast(n))  # n is one row
     bits = F.log2(F.col("cet") * F.col("n") / (F.col("ce") * F.col("dt")))
     rated = rated.withColumn("share", F.when(F.col("n") > F.col("ce"), bits / F.log2(F.col("n") / F.col("ce"))).otherwise(F.lit(0.0)))
-    risky = materialize(rated.where(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, 4).otherwise(5).alias("kind")), "risky")
+    risky = materialize(rated.where(F.col("share") >= F.when(F.col("alone"), remove).otherwise(generalise)).select("entity", "term", "alone", F.when(F.col("share") >= remove, 4).otherwise(5).alias("kind")), "risky")
+    hits = _shown(docs.select(content_key(F.col(text)).alias("key"), whole.alias("text")), held, risky.where(~F.col("alone")), max_terms, everywhere)
+    if alone:
+        own = beside.join(risky.where("alone").select("entity", "term"), ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("own"))
+        own = texts.join(small_side(materialize(own, "own")), "key").select("key", F.explode(F.filter("words", lambda w: F.array_contains("own", F.lower(w)))).alias("word"))
+        hits = hits.unionByName(own.withColumn("kind", F.lit(4)))
     # A term of two entities may have both verdicts: the stricter one counts.
-    verdicts = materialize(risky.groupBy("term").agg(F.min("kind").alias("kind")), "verdicts")
-    word = F.struct(F.col("word"), F.col("kind"))
-    if not everywhere:
-        near = held.select("key", "entity", F.explode("words").alias("word")).withColumn("term", F.lower("word")).join(risky, ["entity", "term"])
-        hits = near.groupBy("key", "word").agg(F.min("kind").alias("kind")).groupBy("key").agg(F.collect_list(word).alias("hits"))
-    elif verdicts.count() <= max_terms:
-        kinds = {r.term: r.kind for r in verdicts.collect()}  # bounded by max_terms
-        removed = [t for t, k in kinds.items() if k == 4]
-        mine = F.transform(F.filter(_words(whole), lambda w: F.lower(w).isin(list(kinds))), lambda w: F.struct(w.alias("word"), F.when(F.lower(w).isin(removed), 4).otherwise(5).alias("kind")))
-        hits = docs.select(content_key(F.col(text)).alias("key"), mine.alias("hits")).where(F.size("hits") > 0).dropDuplicates(["key"])
-    else:
-        shown = docs.select(content_key(F.col(text)).alias("key"), F.explode(_words(whole)).alias("word")).withColumn("term", F.lower("word"))
-        hits = shown.join(small_side(verdicts), "term").groupBy("key").agg(F.collect_set(word).alias("hits"))
+    hits = hits.groupBy("key", "word").agg(F.min("kind").alias("kind")).groupBy("key").agg(F.collect_list(F.struct("word", "kind")).alias("hits"))
     hits = small_side(materialize(hits, "hits"))
     shown = docs.select(content_key(F.col(text)).alias("key"), whole.alias("text")).join(hits, "key")
     pattern = F.concat(F.lit(f"(?<!{_LETTER})(?:"), F.array_join(F.transform("hits", lambda h: h["word"]), "|"), F.lit(f")(?!{_LETTER})"))
@@ -148,6 +212,23 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     return out.select("doc_id", "key", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", extra))).alias("spans"))
 
 
+def _shown(texts: DataFrame, held: DataFrame, risky: DataFrame, max_terms: int, everywhere: bool) -> DataFrame:
+    """(key, word, kind): the words of texts(key, text) that are revealing terms, of all texts or of those that hold the entity."""
+    if not everywhere:
+        near = held.select("key", "entity", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
+        return near.join(small_side(risky), ["entity", "term"]).select("key", "word", "kind")
+    verdicts = materialize(risky.groupBy("term").agg(F.min("kind").alias("kind")), "verdicts")
+    if verdicts.count() <= max_terms:
+        kinds = {r.term: r.kind for r in verdicts.collect()}  # bounded by max_terms
+        if not kinds:
+            return texts.where(F.lit(False)).select("key", F.lit("").alias("word"), F.lit(4).alias("kind"))
+        removed = [t for t, k in kinds.items() if k == 4]
+        mine = F.transform(F.filter(_words(F.col("text")), lambda w: F.lower(w).isin(list(kinds))), lambda w: F.struct(w.alias("word"), F.when(F.lower(w).isin(removed), 4).otherwise(5).alias("kind")))
+        return texts.select("key", F.explode(mine).alias("h")).select("key", "h.word", "h.kind")
+    shown = texts.select("key", F.explode(_words(F.col("text"))).alias("word")).withColumn("term", F.lower("word"))
+    return shown.join(small_side(verdicts), "term").select("key", "word", "kind")
+
+
 def named(spans: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"], s["end"])), ",")
@@ -161,12 +242,6 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, with every span of the text masked: entities by their kind, terms removed, traits generalised. Of overlapping spans the first, then the longest, is masked and the rest of the others with it."""
     spans = personal_data(docs, text, **options).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans"))
     rows = docs.withColumn("_key", content_key(F.col(text))).join(spans.withColumnRenamed("key", "_key"), "_key", "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        label = F.element_at(F.array(*[F.lit(MASKS[k]) for k in KINDS]), s["kind"] + 1)
-        gap = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, label).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    label = lambda x: F.element_at(F.array(*[F.lit(MASKS[k]) for k in KINDS]), x["kind"] + 1)
+    masked = _replaced(F.col(text), F.col("_spans"), label)
     return rows.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(masked)).select(*[F.col(f"`{c}`") for c in docs.columns])

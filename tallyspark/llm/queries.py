@@ -31,9 +31,9 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.personal_data(read_table(spark, sf_dir, "documents"), everywhere=True)
+    found = pii.personal_data(read_table(spark, sf_dir, "documents"), everywhere=True, alone=True)
     counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(pii.named(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.named(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.named(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.named(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
