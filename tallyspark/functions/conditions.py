@@ -152,6 +152,17 @@ def rendered(condition) -> str:
     return f"{names} in (" + ", ".join(literal(r[0]) if one else "(" + ", ".join(map(literal, r)) + ")" for r in rows) + ")"
 
 
+def fields_of(condition) -> list[Field]:
+    """Every field that a condition asks about."""
+    if isinstance(condition, Not):
+        return fields_of(condition.of)
+    if isinstance(condition, Both):
+        return [f for p in condition.parts for f in fields_of(p)]
+    if isinstance(condition, In):
+        return list(condition.fields)
+    return [] if isinstance(condition, All) else [condition.field]
+
+
 def renamed(condition, renames: dict[tuple[str, str], tuple[str, str]]):
     """The condition with its fields looked up once; chains are not followed."""
 

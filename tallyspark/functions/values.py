@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,11 +69,22 @@ def display(value: object) -> str:
     return str(value)
 
 
+def _float_text(c: Column) -> Column:
+    """A fraction as Python writes it: plain from 1e-4 up to 1e16, else with an exponent of two digits at least."""
+    said = c.cast("string")
+    head, power = F.regexp_extract(said, r"^([^E]*)", 1), F.regexp_extract(said, r"E(-?[0-9]+)$", 1).try_cast("int")
+    short = F.concat(F.regexp_replace(head, r"\.0$", ""), F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), "0"))
+    return F.when(power.isNull(), said).when(power.between(-4, 15), _written_out(said)).otherwise(short)
+
+
 def display_column(c: Column, t: T.DataType) -> Column:
-    """display() for columns whose text Spark writes alike: all but fractions of floats."""
+    """display() for columns."""
     if isinstance(t, (T.DoubleType, T.FloatType)):
-        whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-        return F.when(c.isNull() | F.isnan(c), F.lit(BLANK)).when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+        # Whole numbers in two parts of 63 bits at most, all exact.
+        high = F.rint(c / 2.0**40)
+        parts = high.cast("bigint").cast("decimal(38,0)") * F.lit(2**40).cast("decimal(13,0)") + (c - high * 2.0**40).cast("bigint")
+        whole = (c == F.rint(c)) & (F.abs(c) < 2.0**100)
+        return F.when(c.isNull() | F.isnan(c), F.lit(BLANK)).when(whole, parts.cast("decimal(38,0)").cast("string")).otherwise(_float_text(c))
     if isinstance(t, T.BooleanType):
         return F.when(c.isNull(), F.lit(BLANK)).otherwise(F.initcap(c.cast("string")))
     return F.coalesce(c.cast("string"), F.lit(BLANK))
@@ -135,28 +148,64 @@ def unit_of_file(path: Column) -> Column:
     return F.when(folder != "", folder).when(F.lower(path).endswith(".pbit"), path)
 
 
+# What a number looks like in a definition, and the largest exponent that is written out.
+NUMBER, MAX_EXPONENT = r"^-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[LDM]?$", 100
+
+
+def _shifted(text: Column) -> tuple[Column, Column]:
+    """(significant digits, power of ten of the last one) of a number without suffix."""
+    whole, fraction = F.regexp_extract(text, r"^-?([0-9]*)", 1), F.regexp_extract(text, r"\.([0-9]*)", 1)
+    power = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?[0-9]{1,6})$", 1).try_cast("int"), F.lit(0))
+    return F.ltrim(F.concat(whole, fraction), F.lit("0")), power - F.length(fraction)
+
+
+def _written_out(text: Column) -> Column:
+    """A number without exponent, leading and trailing zeros; -0 is 0."""
+    digits, power = _shifted(text)
+    padded = F.lpad(digits, F.greatest(F.length(digits), 1 - power), "0")
+    point = F.length(padded) + power
+    broken = F.regexp_replace(F.regexp_replace(F.concat(F.substring(padded, F.lit(1), point), F.lit("."), F.substring(padded, point + 1, F.length(padded))), "0+$", ""), r"\.$", "")
+    size = F.when(power >= 0, F.concat(digits, F.repeat(F.lit("0"), F.greatest(power, F.lit(0))))).otherwise(broken)
+    return F.when(digits == "", F.lit("0")).otherwise(F.concat(F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit("")), size))
+
+
 def literal_kind(raw: Column) -> Column:
     """number, text, boolean, datetime, null or other."""
+    digits, power = _shifted(F.regexp_replace(raw, "[LDM]$", ""))
+    writable = (F.abs(F.greatest(F.length(digits) - 1, F.lit(0)) + power) <= MAX_EXPONENT) & ~raw.rlike(r"[eE][+-]?[0-9]{7,}")
     return (
         F.when(raw == "null", F.lit("null"))
         .when(F.lower(raw).isin("true", "false"), F.lit("boolean"))
-        .when(raw.rlike(r"^datetime'.*'$"), F.lit("datetime"))
+        .when(raw.rlike(r"^datetime'[^']*'$"), F.lit("datetime"))
         .when(raw.rlike(r"^'(?:[^']|'')*'$"), F.lit("text"))
-        .when(raw.rlike(r"^-?[0-9]+(?:\.[0-9]+)?[LDM]?$"), F.lit("number"))
+        .when(raw.rlike(NUMBER) & writable, F.lit("number"))
         .otherwise(F.lit("other"))
     )
 
 
 def literal_value(raw: Column) -> Column:
-    """The literal without its marks: numbers without suffix and trailing zeros, texts without quotes."""
+    """The literal without its marks: numbers written out without suffix and trailing zeros, texts without quotes."""
     kind = literal_kind(raw)
-    digits = F.regexp_replace(raw, "[LDM]$", "")
-    short = F.when(digits.contains("."), F.regexp_replace(F.regexp_replace(digits, "0+$", ""), r"\.$", "")).otherwise(digits)
-    whole = F.regexp_replace(F.regexp_replace(short, "^(-?)0+(?=[0-9])", "$1"), "^-0$", "0")
     return (
-        F.when(kind == "number", whole)
+        F.when(kind == "number", _written_out(F.regexp_replace(raw, "[LDM]$", "")))
         .when(kind == "text", F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit("''"), F.lit("'")))
         .when(kind == "datetime", F.regexp_extract(raw, "^datetime'(.*)'$", 1))
         .when(kind == "boolean", F.lower(raw))
         .when(kind == "other", raw)
     )
+
+
+def read_literal(raw: str) -> object:
+    """The value of one literal, by the same rules as literal_kind and literal_value: None, bool, int, float or text."""
+    if raw == "null":
+        return None
+    if raw.lower() in ("true", "false"):
+        return raw.lower() == "true"
+    for pattern in ("datetime'([^']*)'", "'((?:[^']|'')*)'"):
+        if m := re.fullmatch(pattern, raw):
+            return m[1].replace("''", "'")
+    if re.match(NUMBER, raw):
+        number = Decimal(raw.rstrip("LDM"))
+        if abs(number.adjusted()) <= MAX_EXPONENT:
+            return int(number) if number == number.to_integral_value() else float(number)
+    return raw

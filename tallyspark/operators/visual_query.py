@@ -9,10 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.conditions import All, Both, Comparison, Field, In, Not, TopN, compiled, filtered, top_n
+from ..functions.conditions import All, Both, Comparison, Field, In, Not, TopN, compiled, fields_of, filtered, top_n
 
 #: Visual types whose data can be asked for (fixed values), and aggregations that are read but not run.
-VISUAL_TYPES = ("card", "multiRowCard", "tableEx", "pivotTable", "barChart", "columnChart", "clusteredBarChart", "clusteredColumnChart", "hundredPercentStackedBarChart", "hundredPercentStackedColumnChart", "lineChart", "areaChart", "stackedAreaChart", "lineClusteredColumnComboChart", "lineStackedColumnComboChart", "pieChart", "donutChart", "treemap", "funnel", "scatterChart")
+VISUAL_TYPES = ("card", "cardVisual", "multiRowCard", "tableEx", "pivotTable", "barChart", "columnChart", "clusteredBarChart", "clusteredColumnChart", "hundredPercentStackedBarChart", "hundredPercentStackedColumnChart", "lineChart", "areaChart", "stackedAreaChart", "lineClusteredColumnComboChart", "lineStackedColumnComboChart", "pieChart", "donutChart", "treemap", "funnel")
 NOT_RUN = ("StandardDeviation", "Variance")
 
 
@@ -71,14 +71,20 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def refusal(visual: Visual, is_slicer: bool = False, aggregations: tuple[str, ...] = ()) -> str | None:
-    """Why a visual's data can't be asked for, or None."""
+def refusal(visual: Visual, is_slicer: bool = False, aggregations: tuple[str, ...] = (), field_kinds: tuple[str, ...] = (), measures: frozenset[tuple[str, str]] = frozenset()) -> str | None:
+    """Why a visual's data can't be asked for, or None. measures are (table, name): a condition on one of them is no condition on rows."""
     if is_slicer:
         return "slicers have no data of their own"
     if visual.visual_type not in VISUAL_TYPES:
         return f"visual type {visual.visual_type} is not supported"
     if not visual.group_by and not visual.values:
         return "the visual has no fields"
+    for kind in field_kinds:
+        if kind not in ("column", "measure", "aggregation"):
+            return f"a field of kind {kind} can't be asked for"
+    for c in visual.filters:
+        if any((f.table, f.name) in measures for f in fields_of(c)):
+            return "a filter on a measure"
     for a in aggregations:
         if a not in AGGREGATIONS:
             return f"aggregation {a} is not supported"
@@ -124,11 +130,13 @@ def visual_query(star: Star | DataFrame, visual: Visual, order: dict[str, Column
 
 
 def supported_visuals(visuals: DataFrame) -> DataFrame:
-    """(…, supported, reason) over a catalog of visuals(is_slicer, visual_type, n_fields, n_unread)."""
+    """(…, supported, reason) over a catalog of visuals(is_slicer, visual_type, n_fields, n_unread, and where known n_levels, n_measure_filters)."""
     reason = (
         F.when(F.col("is_slicer"), F.lit("slicers have no data of their own"))
         .when(~F.col("visual_type").isin(*VISUAL_TYPES), F.concat(F.lit("visual type "), F.col("visual_type"), F.lit(" is not supported")))
         .when(F.col("n_fields") == 0, F.lit("the visual has no fields"))
+        .when(F.col("n_levels") > 0 if "n_levels" in visuals.columns else F.lit(False), F.lit("a field of kind hierarchy level can't be asked for"))
+        .when(F.col("n_measure_filters") > 0 if "n_measure_filters" in visuals.columns else F.lit(False), F.lit("a filter on a measure"))
         .when(F.col("n_unread") > 0, F.lit("a filter could not be read"))
     )
     return visuals.withColumns({"reason": reason, "supported": reason.isNull()})

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import json
 import re
 import zipfile
@@ -17,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.conditions import Both, Comparison, Field, In, Not, rendered
-from ..functions.values import unit_of_file
+from ..functions.conditions import Both, Comparison, Field, In, Not, TopN, rendered
+from ..functions.values import read_literal, unit_of_file
 
 # ------------------------------------------------------------------ fixed values
 DEFAULT_WIDTH, DEFAULT_HEIGHT = 1280.0, 720.0
@@ -26,6 +27,8 @@ DEFAULT_WIDTH, DEFAULT_HEIGHT = 1280.0, 720.0
 MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL = 10_000, 256 << 20, 512 << 20
 TEMPLATE_ENTRIES = ("Report/Layout", "DataModelSchema")
 COMPARISONS = {0: "=", 1: ">", 2: ">=", 3: "<", 4: "<="}
+DIRECTIONS = {1: "bottom", 2: "top"}
+SLICERS = ("slicer", "listSlicer", "advancedSlicerVisual", "textSlicer")
 FUNCTIONS = {0: "Sum", 1: "Avg", 2: "DistinctCount", 3: "Min", 4: "Max", 5: "Count", 6: "Median", 7: "StandardDeviation", 8: "Variance"}
 
 
@@ -108,9 +111,22 @@ def _plain_field(field: dict, aliases: dict[str, str]) -> tuple | None:
     if isinstance(part := field.get("Aggregation"), dict):
         inner = _plain_field(part.get("Expression") or {}, aliases)
         return inner and (inner[0], inner[1], "aggregation", FUNCTIONS.get(part.get("Function"), str(part.get("Function"))))
+    if isinstance(part := field.get("HierarchyLevel"), dict):
+        return _level_field(part, aliases)
     return None
 
 
+def _level_field(part: dict, aliases: dict[str, str]) -> tuple | None:
+    """`Hierarchy.Level`; with the column before it where the hierarchy is that of a date column."""
+    hierarchy = (part.get("Expression") or {}).get("Hierarchy") or {}
+    at, steps = hierarchy.get("Expression") or {}, [hierarchy.get("Hierarchy"), part.get("Level")]
+    if isinstance(variation := at.get("PropertyVariationSource"), dict):
+        at, steps = variation.get("Expression") or {}, [variation.get("Property"), *steps]
+    source = at.get("SourceRef") or {}
+    table = source.get("Entity") or aliases.get(source.get("Source", ""))
+    return (table, ".".join(steps), "hierarchy level", None) if table and all(isinstance(x, str) for x in steps) else None
+
+
 def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
@@ -142,27 +158,39 @@ class Unread(ValueError):
     pass
 
 
-def _literal(raw: str):
-    if raw == "null":
-        return None
-    if raw in ("true", "false"):
-        return raw == "true"
-    if m := re.fullmatch(r"'((?:[^']|'')*)'", raw):
-        return m[1].replace("''", "'")
-    if m := re.fullmatch(r"(-?\d+(?:\.\d+)?)[LDM]?", raw):
-        return float(m[1]) if "." in m[1] else int(m[1])
-    return raw
-
-
-def condition_of(node: dict, aliases: dict[str, str]):
-    """The structured condition of one node, or Unread."""
+def _aliases(sources) -> tuple[dict[str, str], dict[str, dict]]:
+    """Tables and subqueries of a From list by their short names."""
+    tables, queries = {}, {}
+    for s in sources or ():
+        if s.get("Entity"):
+            tables[s["Name"]] = s["Entity"]
+        elif query := ((s.get("Expression") or {}).get("Subquery") or {}).get("Query"):
+            queries[s["Name"]] = query
+    return tables, queries
+
+
+def _top(body: dict, field, queries: dict[str, dict]) -> TopN:
+    """A field among the values of a subquery: of these only the one that ranks is known."""
+    query = queries.get(body["Table"]["SourceRef"]["Source"])
+    count, order = (query or {}).get("Top"), (query or {}).get("OrderBy") or ()
+    if type(count) is not int or count < 1 or len(order) != 1 or len(body["Expressions"]) != 1 or order[0].get("Direction") not in DIRECTIONS:
+        raise Unread("a subquery that does not rank")
+    by = _plain_field(order[0]["Expression"], _aliases(query.get("From"))[0])
+    if not by:
+        raise Unread("a field that can't be read")
+    key = f"{by[0]}[{by[1]}]"
+    return TopN(field(body["Expressions"][0]), count, f"{by[3]}({key})" if by[3] else key, DIRECTIONS[order[0]["Direction"]] == "top")
+
+
+def condition_of(node: dict, aliases: dict[str, str], queries: dict[str, dict] | None = None):
+    """The structured condition of one node, or Unread. queries: the subqueries that it may refer to."""
     if not isinstance(node, dict) or len(node) != 1:
         raise Unread("not one condition")
     kind, body = next(iter(node.items()))
     if kind == "Not":
-        return Not(condition_of(body["Expression"], aliases))
+        return Not(condition_of(body["Expression"], aliases, queries))
     if kind in ("And", "Or"):
-        return Both((condition_of(body["Left"], aliases), condition_of(body["Right"], aliases)), kind.lower())
+        return Both((condition_of(body["Left"], aliases, queries), condition_of(body["Right"], aliases, queries)), kind.lower())
 
     def field(x) -> Field:
         f = _plain_field(x, aliases)
@@ -170,11 +198,13 @@ def condition_of(node: dict, aliases: dict[str, str]):
             raise Unread("a field that can't be read")
         return Field(f[0], f[1])
 
+    if kind == "In" and "Table" in body:
+        return _top(body, field, queries or {})
     if kind == "In":
-        values = tuple(tuple(_literal(v["Literal"]["Value"]) for v in row) for row in body["Values"])
+        values = tuple(tuple(read_literal(v["Literal"]["Value"]) for v in row) for row in body["Values"])
         return In(tuple(map(field, body["Expressions"])), values)
     if kind == "Comparison":
-        return Comparison(field(body["Left"]), COMPARISONS[body["ComparisonKind"]], _literal(body["Right"]["Literal"]["Value"]))
+        return Comparison(field(body["Left"]), COMPARISONS[body["ComparisonKind"]], read_literal(body["Right"]["Literal"]["Value"]))
     raise Unread(f"a condition {kind}")
 
 
@@ -184,8 +214,8 @@ def _read_conditions(texts: pd.Series) -> pd.DataFrame:
     for t in texts.dropna().unique():
         try:
             query = json.loads(t)
-            aliases = {f["Name"]: f["Entity"] for f in query.get("From", ())}
-            parts = tuple(condition_of(w["Condition"], aliases) for w in query["Where"])
+            aliases = _aliases(query.get("From"))
+            parts = tuple(condition_of(w["Condition"], *aliases) for w in query["Where"])
             seen[t] = (rendered(parts[0] if len(parts) == 1 else Both(parts)), None)
         except (ValueError, KeyError, TypeError, IndexError, AttributeError) as e:
             try:
@@ -210,9 +240,9 @@ def filters(raw: DataFrame) -> DataFrame:
 
 
 def slicers(raw: DataFrame) -> DataFrame:
-    """(project, page, visual, condition, unread) of slicers: the built-in type, or any visual with a stored selection."""
+    """(project, page, visual, condition, unread) of slicers: the built-in types, or any visual with a stored selection."""
     rows = _visual_rows(raw).select("project", "page", F.coalesce("v.name", "folder").alias("visual"), F.col("v.visual.visualType").alias("type"), F.get("v.visual.objects.general", F.lit(0))["properties"]["filter"]["filter"].alias("f"))
-    rows = rows.where("type = 'slicer' OR f IS NOT NULL").select("project", "page", "visual", read_condition(F.col("f")).alias("c"))
+    rows = rows.where(F.col("type").isin(*SLICERS) | F.col("f").isNotNull()).select("project", "page", "visual", read_condition(F.col("f")).alias("c"))
     return rows.select("project", "page", "visual", "c.condition", "c.unread")
 
 
@@ -299,56 +329,43 @@ def model_text(raw: DataFrame) -> DataFrame:
 
 
 _HEAD = re.compile(r"(table|column|measure)\s+('(?:[^']|'')*'|[^\s=']+)\s*(=\s*(.*))?$")
+# Spaces that count as one level, the level from which /// is part of an expression, and what may enclose one.
+LEVEL, EXPRESSION_LEVEL, FENCE = 4, 3, "```"
+_STEP = re.compile(rf"\t| {{{LEVEL}}}")
+
+
+def _levels(line: str) -> int:
+    """Tabs first, then each LEVEL spaces."""
+    rest = line.lstrip("\t")
+    return len(line) - len(rest) + (len(rest) - len(rest.lstrip(" "))) // LEVEL
+
+
+def _outdented(line: str, levels: int) -> str:
+    for _ in range(levels):
+        line = _STEP.sub("", line, count=1) if _STEP.match(line) else line
+    return line
 
 
 def read_model_text(text: str) -> list[tuple[str, str | None, str | None, str]]:
-    """Depth is counted in tabs. A measure's expression stands after `=`, in deeper lines below it, or between fences of three backticks."""
-    lines = [(len(x) - len(x.lstrip("\t")), x.strip()) for x in text.splitlines()]
-    rows, table, i = [], None, 0
+    """Objects stand below their tables by one level, what describes them by two, and expressions after `=` or in the lines below by three, with or without a fence around them. Blank lines, and notes (///) above the level of expressions, are skipped."""
+    lines = [(_levels(x), x.rstrip()) for x in text.splitlines()]
+    lines = [(d, x) for d, x in lines if x.strip() and not (d < EXPRESSION_LEVEL and x.lstrip().startswith("///"))]
     unquoted = lambda n: n[1:-1].replace("''", "'") if n.startswith("'") else n
-    while i < len(lines):
-        depth, line = lines[i]
-        i += 1
-        if not line or line.startswith("///"):
-            continue
-        head = _HEAD.match(line)
-        if not head:
-            if depth == 1 and line.startswith(("measure ", "column ")):
-                rows.append(("issue", table, None, f"can't be read: {line[:80]}"))
+    rows, table = [], None
+    for i, (depth, line) in enumerate(lines):
+        if depth > 1:
             continue
-        kind, name = head[1], unquoted(head[2])
-        if kind == "table" and depth == 0:
-            table = name
-        elif kind == "column" and table is not None:
-            data_type = ""
-            for d, x in lines[i:]:
-                if x and d <= depth:
-                    break
-                if x.startswith("dataType:"):
-                    data_type = x.partition(":")[2].strip()
-                    break
-            rows.append(("column", table, name, data_type))
-        elif kind == "measure" and table is not None:
-            body = [head[4].strip()] if head[4] and head[4].strip() else []
-            if body == ["```"]:
-                body = []
-                while i < len(lines) and lines[i][1] != "```":
-                    body.append((lines[i][0], lines[i][1]))
-                    i += 1
-                if i == len(lines):
-                    rows.append(("issue", table, name, "a fence is not closed"))
-                    continue
-                i += 1
-                low = min((d for d, x in body if x), default=0)
-                body = ["\t" * (d - low) + x if x else "" for d, x in body]
-            else:
-                low = None
-                while i < len(lines) and (not lines[i][1] or lines[i][0] >= depth + 2):
-                    d, x = lines[i]
-                    i += 1
-                    if x and not x.startswith("///"):
-                        low = d if low is None else low
-                        body.append("\t" * max(0, d - low) + x)
-            expression = "\n".join(body).strip()
-            rows.append(("measure", table, name, expression) if expression else ("issue", table, name, "a measure without an expression"))
+        head = _HEAD.match(line.strip())
+        if depth == 0:
+            table = unquoted(head[2]) if head and head[1] == "table" else None
+        elif table is not None and head and head[1] == "column":
+            below = itertools.takewhile(lambda x: x[0] > 1, lines[i + 1 :])
+            types = [x.split(":", 1)[1].strip() for d, x in below if d == 2 and x.strip().startswith("dataType:")]
+            rows.append(("column", table, unquoted(head[2]), types[-1] if types else ""))
+        elif table is not None and head and head[1] == "measure":
+            below = itertools.takewhile(lambda x: x[0] >= EXPRESSION_LEVEL, lines[i + 1 :]) if head[3] else ()
+            body = "\n".join([(head[4] or "").strip(), *(_outdented(x, EXPRESSION_LEVEL) for _, x in below)]).strip()
+            if body.startswith(FENCE) and body.endswith(FENCE) and len(body) > 2 * len(FENCE):
+                body = body.removeprefix(FENCE).removesuffix(FENCE).strip()
+            rows.append(("measure", table, unquoted(head[2]), body) if body else ("issue", table, unquoted(head[2]), "a measure without an expression"))
     return rows

@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,9 +105,17 @@ def test_units_and_runs(spark):
     assert {(r.model, r.report) for r in S.readers(reports, models).collect()} == {("m1", "r1"), ("m1", "r2"), ("m2", "r2")}
 
 
-@pytest.mark.parametrize("raw, kind, value", [("2025L", "number", "2025"), ("1.50", "number", "1.5"), ("-0", "number", "0"), ("'it''s'", "text", "it's"), ("TRUE", "boolean", "true"), ("null", "null", None), ("datetime'2025-01-01'", "datetime", "2025-01-01"), ("x y", "other", "x y")])
+@pytest.mark.parametrize("raw, kind, value", [("2025L", "number", "2025"), ("1.50", "number", "1.5"), ("-0", "number", "0"), ("'it''s'", "text", "it's"), ("TRUE", "boolean", "true"), ("null", "null", None), ("datetime'2025-01-01'", "datetime", "2025-01-01"), ("x y", "other", "x y"), ("1E+3", "number", "1000"), ("2.50e-3D", "number", "0.0025"), (".5", "number", "0.5"), ("12.M", "number", "12"), ("-1.25E1", "number", "-12.5"), ("0E9", "number", "0"), ("1E101", "other", "1E101"), ("1E99999999", "other", "1E99999999")])
 def test_literals(spark, raw, kind, value):
     assert tuple(spark.range(1).select(X.literal_kind(F.lit(raw)), X.literal_value(F.lit(raw))).first()) == (kind, value)
+    one = X.read_literal(raw)
+    assert one == (None if kind == "null" else value == "true" if kind == "boolean" else float(value) if kind == "number" else value)
+
+
+def test_floats_as_text(spark):
+    numbers = [0.1, -2.5, 1e-4, 1.5e-5, 123456789.25, 1e-10, 2.5e-101, 1234567.125, 3.0, -0.0, 1e15, 12345678901234567890.0, 1e22, 9007199254740993.0, 0.30000000000000004, None, float("nan")]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    assert [r[0] for r in df.select(X.display_column(F.col("x"), df.schema["x"].dataType)).collect()] == [X.display(x) for x in numbers]
 
 
 # ------------------------------------------------------------------ definition files
@@ -171,3 +180,34 @@ def test_files_are_read_by_executors(spark, tmp_path):
     (f / "page.json").write_text('{"name": "p"}')
     got = D.read_raw(spark, str(tmp_path)).collect()
     assert [(r.project, r.path) for r in got] == [("A.Report", "A.Report/definition/pages/p/page.json")]
+
+
+def test_model_text_by_spaces(spark):
+    """Four spaces are a level; notes count inside expressions only; lines of other objects belong to no table."""
+    text = "table T\n    measure A =\n            SUM(x)\n            /// a note\n                + 1\n\n            + 2\n        formatString: 0\n    /// about\n    column C\n        dataType: string\n        /// more\n        summarizeBy: none\n    measure B = ```\n            x\n            ```\n    measure E = ```\n            open\n    partition p = m\n        mode: import\nrelationship r\n    column Stray\n"
+    got = [(r.kind, r.name, r.value) for r in D.model_text(raw(spark, {"x.tmdl": text})).collect()]
+    assert got == [("measure", "A", "SUM(x)\n/// a note\n    + 1\n+ 2"), ("column", "C", "string"), ("measure", "B", "x"), ("measure", "E", "```\nopen")]
+
+
+def test_levels_of_hierarchies(spark):
+    entity = {"SourceRef": {"Entity": "Date"}}
+    plain = {"HierarchyLevel": {"Expression": {"Hierarchy": {"Expression": entity, "Hierarchy": "Calendar"}}, "Level": "Month"}}
+    dated = {"HierarchyLevel": {"Expression": {"Hierarchy": {"Expression": {"PropertyVariationSource": {"Expression": entity, "Name": "Variation", "Property": "Day"}}, "Hierarchy": "Date Hierarchy"}}, "Level": "Year"}}
+    broken = {"HierarchyLevel": {"Expression": {}, "Level": "Year"}}
+    got = D._read_fields(pd.Series([json.dumps(x) for x in (plain, dated, broken)]))
+    assert got.values.tolist()[:2] == [["Date", "Calendar.Month", "hierarchy level", None], ["Date", "Day.Date Hierarchy.Year", "hierarchy level", None]]
+    assert got.kind[2] == "unknown" and got.name[2].startswith("HierarchyLevel ")
+
+
+def test_ranked_filters(spark):
+    column = lambda source, name: {"Column": {"Expression": {"SourceRef": {"Source": source}}, "Property": name}}
+    order = {"Aggregation": {"Expression": column("s", "Amount"), "Function": 0}}
+
+    def text(top, direction):
+        query = {"From": [{"Name": "s", "Entity": "Sales"}, {"Name": "p", "Entity": "Product"}], "Select": [column("p", "Name")], "Top": top, "OrderBy": [{"Direction": direction, "Expression": order}]}
+        where = {"In": {"Expressions": [column("p", "Name")], "Table": {"SourceRef": {"Source": "q"}}}}
+        return json.dumps({"From": [{"Name": "q", "Expression": {"Subquery": {"Query": query}}, "Type": 2}, {"Name": "p", "Entity": "Product"}], "Where": [{"Condition": where}]})
+
+    rows = spark.createDataFrame([(text(3, 2),), (text(5, 1),), (text(0, 2),), (text(3, 7),)], "t string").select(D.read_condition(F.col("t")).alias("c")).collect()
+    assert [r.c.condition for r in rows] == ["top 3 Product[Name] by Sum(Sales[Amount])", "bottom 5 Product[Name] by Sum(Sales[Amount])", None, None]
+    assert all(r.c.unread for r in rows[2:])

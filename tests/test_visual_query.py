@@ -104,4 +104,7 @@ def test_refusals():
     assert refusal(Visual(("a",), filters=(In((Field("a", "x"), Field("b", "y")), ((1, 2),)),)))
     assert refusal(Visual(("a",), filters=(Not(In((Field("a", "x"),), ())),)))
     assert refusal(Visual(("a",), filters=(YEARS,))) is None
+    assert refusal(Visual(("a",), visual_type="cardVisual")) is None and refusal(Visual(("a",), visual_type="scatterChart"))
+    assert refusal(Visual(("a",)), field_kinds=("column", "hierarchy level"))
+    assert refusal(Visual(("a",), filters=(Not(In((Field("m", "Total"),), ((1,),))),)), measures=frozenset({("m", "Total")})) == "a filter on a measure"
     assert unique_names(["Amount", "Amount", "Cost"]) == ["Amount", "Amount (2)", "Cost"]
