@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, checkpointed into spark.checkpoint.dir; only where that is unset (tests), a temporary folder is set."""
+    """df, checkpointed into the folder of spark.checkpoint.dir, which must be one that all executors share."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        at = sc.getConf().get("spark.checkpoint.dir")
+        if not at and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))  # one machine: any folder is shared
     return df.checkpoint()

@@ -82,22 +82,14 @@ def compare_repeated_keys(spark, d):
     return C.compare_tables("lines/repeated", lines, lines, ["l_orderkey", "l_linenumber"], ["l_quantity"])[0]
 
 
-def _other_kinds(orders):
+def compare_other_kinds(spark, d):
     """Keys and values of different kinds never meet: one side's numbers are text."""
+    orders = table(spark, d, "orders")
     old = orders.select("o_orderkey", F.col("o_custkey").alias("v"))
     new = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("v"))
     return C.compare_tables("orders/kinds", old, new, ["o_orderkey"], ["v"])[0]
 
 
-def compare_other_kinds(spark, d):
-    return _other_kinds(table(spark, d, "orders").where("o_orderkey % 5 = 0"))
-
-
-def compare_other_kinds_whole(spark, d):
-    """All orders."""
-    return _other_kinds(table(spark, d, "orders"))
-
-
 def _by_brand(spark, d):
     lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     keys = ["p_brand", "p_type", "l_returnflag"]
@@ -149,6 +141,12 @@ def completeness(spark, d):
     return C.completeness(counts, "n", "columns", max_rows=40, max_values=150)
 
 
+def completeness_by_size(spark, d):
+    """The same with the bytes of what is returned."""
+    counts = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("props")).alias("bytes")).withColumn("columns", F.lit(2))
+    return C.completeness(counts, "n", "columns", size="bytes", near_bytes=300)
+
+
 def status_overview(spark, d):
     from ..operators.findings import status_overview as overview
 
@@ -223,7 +221,7 @@ def supported_visuals(spark, d):
     return V.supported_visuals(catalog.withColumn("n_unread", F.when(F.col("n_unread") == 6, 1).otherwise(0))).select("p_partkey", "supported", "reason")
 
 
-QUERIES = {f.__name__: f for f in (compare_revenue_summary, compare_revenue_findings, compare_masked_findings, compare_null_keys, compare_lineitem_rows, compare_tolerance, compare_card, compare_repeated_keys, compare_other_kinds, compare_other_kinds_whole, compare_by_brand, positions_by_brand, attribution_by_segment, partly_compared, completeness, status_overview, visual_by_region, visual_aggregations, visual_two_valued, visual_top_brands, visual_card, visual_keys_only, visual_blank_groups, visual_long_list, supported_visuals)}
+QUERIES = {f.__name__: f for f in (compare_revenue_summary, compare_revenue_findings, compare_masked_findings, compare_null_keys, compare_lineitem_rows, compare_tolerance, compare_card, compare_repeated_keys, compare_other_kinds, compare_by_brand, positions_by_brand, attribution_by_segment, partly_compared, completeness, completeness_by_size, status_overview, visual_by_region, visual_aggregations, visual_two_valued, visual_top_brands, visual_card, visual_keys_only, visual_blank_groups, visual_long_list, supported_visuals)}
 
 # ------------------------------------------------------------------ the same in SQL
 
@@ -252,7 +250,7 @@ FROM (SELECT {group + ',' if group else ''} count(*) FILTER (WHERE o) AS rows_ol
 def _unless_repeated(keys: str, ctes: str, summary: str) -> str:
     """The summary, or the refusal where keys of lineitem repeat."""
     counts = ", ".join(f"CASE WHEN NOT d THEN {c} END AS {c}" for c in ("rows_old", "rows_new", "rows_matched", "rows_differing", "rows_only_old", "rows_only_new", "max_abs_delta"))
-    return f"WITH {ctes}, s AS ({summary}), r AS (SELECT count(*) > 0 AS d FROM (SELECT 1 FROM lineitem GROUP BY {keys} HAVING count(*) > 1)) SELECT path, CASE WHEN d THEN 'not_validated' ELSE status END AS status, {counts}, CASE WHEN d THEN 'old result has several rows for the same key' END AS reason FROM s, r"
+    return f"WITH {ctes}, s AS ({summary}), r AS (SELECT count(*) > 0 AS d FROM (SELECT 1 FROM lineitem GROUP BY {keys} HAVING count(*) > 1)) SELECT path, CASE WHEN d THEN 'not_validated' ELSE status END AS status, {counts}, CASE WHEN d THEN 'old result repeats a key' END AS reason FROM s, r"
 
 
 _CUSTOMERS = """
@@ -280,7 +278,7 @@ f AS (SELECT k0, k1, 0 AS i, 'revenue' AS name, r0::VARCHAR AS old, r1::VARCHAR
       UNION ALL SELECT k0, k1, -1, CASE WHEN o THEN 'removed' ELSE 'added' END, NULL, NULL FROM j WHERE NOT (o AND n))
 SELECT 'sales/by_flag/data/l_returnflag=' || k0 || ', l_linestatus=' || k1 || CASE WHEN i >= 0 THEN '/' || name ELSE '' END AS path,
        CASE WHEN i >= 0 THEN 'modified' ELSE name END AS change,
-       CASE WHEN i >= 0 THEN name || ' differs for l_returnflag=' || k0 || ', l_linestatus=' || k1 ELSE 'Row l_returnflag=' || k0 || ', l_linestatus=' || k1 || ' only in the ' || CASE name WHEN 'added' THEN 'new' ELSE 'old' END || ' version' END AS message, old, new
+       CASE WHEN i >= 0 THEN name || ' changed at l_returnflag=' || k0 || ', l_linestatus=' || k1 ELSE 'Row l_returnflag=' || k0 || ', l_linestatus=' || k1 || ' only in the ' || CASE name WHEN 'added' THEN 'new' ELSE 'old' END || ' version' END AS message, old, new
 FROM f ORDER BY k0, k1, i LIMIT 20""",
     "compare_masked_findings": f"""WITH {_CUSTOMERS}, p AS (SELECT *, row_number() OVER (ORDER BY k NULLS FIRST) AS pos FROM j)
 SELECT 'sales/customers/data/row ' || pos || CASE WHEN o AND n THEN '/n' ELSE '' END AS path, CASE WHEN o AND n THEN 'modified' WHEN o THEN 'removed' ELSE 'added' END AS change,
@@ -290,8 +288,8 @@ FROM p WHERE NOT (o AND n) OR {_differ('a', 'b')} ORDER BY k NULLS FIRST LIMIT 1
     "compare_lineitem_rows": _unless_repeated(", ".join(LINE_KEYS), _LINES, _summary("lines/rows", "j", f"{_differ('q0', 'q1')} OR {_differ('p0', 'p1')}", "greatest(abs(q0 - q1), abs(p0 - p1))")),
     "compare_tolerance": _unless_repeated(", ".join(LINE_KEYS), _LINES, _summary("lines/tolerant", "j", _differ("q0", "q1", 0.5, 0.0), "abs(q0 - q1)")),
     "compare_card": f"WITH j AS (SELECT sum({CENTS})::BIGINT AS a, sum({CENTS}) FILTER (WHERE l_discount > 0)::BIGINT AS b, true AS o, true AS n FROM lineitem)" + _summary("sales/total", "j", _differ("a", "b"), "abs(a - b)::DOUBLE"),
-    "compare_repeated_keys": "SELECT 'lines/repeated' AS path, 'not_validated' AS status, NULL::BIGINT AS rows_old, NULL::BIGINT AS rows_new, NULL::BIGINT AS rows_matched, NULL::BIGINT AS rows_differing, NULL::BIGINT AS rows_only_old, NULL::BIGINT AS rows_only_new, NULL::DOUBLE AS max_abs_delta, 'old result has several rows for the same key' AS reason FROM (SELECT max(c) AS m FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)) WHERE m > 1",
-    "compare_other_kinds": "WITH j AS (SELECT o_custkey IS NOT NULL AS d, true AS o, true AS n FROM orders WHERE o_orderkey % 5 = 0)" + _summary("orders/kinds", "j", "d", "NULL::DOUBLE"),
+    "compare_repeated_keys": "SELECT 'lines/repeated' AS path, 'not_validated' AS status, NULL::BIGINT AS rows_old, NULL::BIGINT AS rows_new, NULL::BIGINT AS rows_matched, NULL::BIGINT AS rows_differing, NULL::BIGINT AS rows_only_old, NULL::BIGINT AS rows_only_new, NULL::DOUBLE AS max_abs_delta, 'old result repeats a key' AS reason FROM (SELECT max(c) AS m FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)) WHERE m > 1",
+    "compare_other_kinds": "WITH j AS (SELECT o_custkey IS NOT NULL AS d, true AS o, true AS n FROM orders)" + _summary("orders/kinds", "j", "d", "NULL::DOUBLE"),
     "compare_by_brand": f"WITH {_BRANDS}" + _summary(None, "j", _differ("a", "b", 0.0, 0.0), "abs(a - b)::DOUBLE", "p_brand"),
     "positions_by_brand": f"WITH {_BRANDS} SELECT p_brand, k0, k1, position FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY k0 NULLS FIRST, k1 NULLS FIRST) AS position FROM j) WHERE NOT (o AND n) OR a <> b",
     "attribution_by_segment": f"""WITH r AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
@@ -303,6 +301,7 @@ SELECT c_mktsegment, CASE WHEN report AND model THEN 'both' WHEN report THEN 're
     "partly_compared": f"""WITH {_SIDES}, s AS ({_summary('sales/partly_new', 'j', f"{_differ('r0', 'r1')} OR {_differ('n0', 'n1')}", 'greatest(abs(r0 - r1), abs(n0 - n1))::DOUBLE')}
 UNION ALL SELECT 'sales/partly', 'same', count(*), count(*), count(*), 0, 0, 0, 0.0, NULL FROM old)
 SELECT path, CASE status WHEN 'same' THEN 'not_validated' ELSE status END AS status, rows_old, rows_new, rows_matched, rows_differing, rows_only_old, rows_only_new, max_abs_delta, 'not compared: gone, come' AS reason FROM s""",
+    "completeness_by_size": "SELECT user_id, n, bytes, 2::INTEGER AS columns, n >= 100000 OR (n + 1) * 2 > 1000000 OR bytes >= 300 AS truncated FROM (SELECT user_id, count(*) AS n, sum(strlen(props))::BIGINT AS bytes FROM events GROUP BY user_id)",
     "completeness": "SELECT user_id, n, columns, n >= 40 OR (n + 1) * columns > 150 AS truncated FROM (SELECT user_id, count(*) AS n, (user_id % 5 + 1)::INTEGER AS columns FROM events GROUP BY user_id)",
     "status_overview": f"WITH {_BRANDS}, s AS (SELECT p_brand, bool_or(NOT (o AND n) OR a <> b) AS d FROM j GROUP BY p_brand) SELECT count(*) FILTER (WHERE NOT d) AS same, count(*) FILTER (WHERE d) AS different, 0::BIGINT AS not_validated FROM s",
     "visual_by_region": f"WITH {_STAR} SELECT r_name, p_type, sum({CENTS})::BIGINT AS \"Revenue\", count(*) AS \"Lines\" FROM s WHERE (p_type IS NULL OR p_type NOT IN ('ECONOMY', 'SMALL')) AND l_quantity >= 5 AND (r_name, o_orderstatus) IN (('ASIA', 'O'), ('EUROPE', 'F'), ('AMERICA', 'O')) GROUP BY ALL",

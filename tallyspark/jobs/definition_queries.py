@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import values as X
@@ -71,25 +75,16 @@ def measures_renamed(spark, d):
     return G.measure_changes(as_measures(old), as_measures(new))[1]
 
 
-def _measures_changed(docs, text):
-    """Both sides keep most measures; some expressions, names and tables change, some come or go."""
-    old = docs.where("doc_id % 13 <> 0").select(F.col("source").alias("table"), F.col("doc_id").cast("string").alias("name"), F.expr(text).alias("expression"))
-    new = docs.where("doc_id % 17 <> 0").select(F.expr("CASE WHEN doc_id % 5 = 0 THEN lang ELSE source END").alias("table"), F.expr("CASE WHEN doc_id % 7 = 0 THEN 'new ' || doc_id ELSE CAST(doc_id AS STRING) END").alias("name"), F.expr(f"CASE WHEN doc_id % 11 = 0 THEN {text} || '!' ELSE {text} END").alias("expression"))
+def measures_changed(spark, d):
+    """Every document by its whole text. Both sides keep most measures; some expressions, names and tables change, some come or go."""
+    docs = table(spark, d, "documents")
+    old = docs.where("doc_id % 13 <> 0").select(F.col("source").alias("table"), F.col("doc_id").cast("string").alias("name"), F.col("text").alias("expression"))
+    new = docs.where("doc_id % 17 <> 0").select(F.expr("CASE WHEN doc_id % 5 = 0 THEN lang ELSE source END").alias("table"), F.expr("CASE WHEN doc_id % 7 = 0 THEN 'new ' || doc_id ELSE CAST(doc_id AS STRING) END").alias("name"), F.expr("CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END").alias("expression"))
     unparsed = docs.where("doc_id % 19 = 0").select(F.col("source").alias("table"), F.col("doc_id").cast("string").alias("name"))
     found = G.measure_changes(old, new, unparsed)[0]
     return found.select("path", "change", F.md5(F.coalesce("old", F.lit(""))).alias("old"), F.md5(F.coalesce("new", F.lit(""))).alias("new"))
 
 
-def measures_changed(spark, d):
-    """A third of the documents by their openings, as its SQL says; measures_changed_whole does all of them."""
-    return _measures_changed(table(spark, d, "documents").where("doc_id % 3 = 0"), "substring(text, 1, 60)")
-
-
-def measures_changed_whole(spark, d):
-    """Every document by its whole text."""
-    return _measures_changed(table(spark, d, "documents"), "text")
-
-
 def _roles(spark, d, odd):
     lines = table(spark, d, "lineitem").where(f"l_orderkey % 2 = {odd}")
     rows = lines.select((F.col("l_partkey") % 500).alias("visual"), (F.col("l_suppkey") % 10).cast("string").alias("field"), F.expr("CASE l_linenumber % 3 WHEN 0 THEN 'Values' WHEN 1 THEN 'Category' ELSE 'Series' END").alias("role"))
@@ -242,11 +237,6 @@ def findings_by_visual(spark, d):
 
 
 def findings_masked(spark, d):
-    return N.masked_findings(findings(spark, d).where("run < 5"))
-
-
-def findings_masked_whole(spark, d):
-    """Findings of all runs."""
     return N.masked_findings(findings(spark, d))
 
 
@@ -267,18 +257,9 @@ def renames_vetted(spark, d):
     return N.vetted(p, removed, added, ["run"]).select("run", "position", "old", "new")
 
 
-def _explained(spark, d, found):
-    texts = table(spark, d, "conversations").select((F.col("conv_id") % 50).alias("id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"), F.expr("CASE WHEN turn = 0 THEN '  ' ELSE text END").alias("text"))
-    return N.with_explanations(found.withColumn("id", F.col("run") * 10), texts, 600).select("run", "message", F.md5("explanation").alias("explanation_md5"))
-
-
 def findings_explained(spark, d):
-    return _explained(spark, d, findings(spark, d).where("run < 3"))
-
-
-def findings_explained_whole(spark, d):
-    """Findings of all runs."""
-    return _explained(spark, d, findings(spark, d))
+    texts = table(spark, d, "conversations").select((F.col("conv_id") % 50).alias("id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"), F.expr("CASE WHEN turn = 0 THEN '  ' ELSE text END").alias("text"))
+    return N.with_explanations(findings(spark, d).withColumn("id", F.col("run") * 10), texts, 600).select("run", "message", F.md5("explanation").alias("explanation_md5"))
 
 
 def findings_markdown(spark, d):
@@ -395,7 +376,108 @@ def definition_filters(spark, d):
     return D.filters(raw_definitions(spark, d)).select("visual", "name", "filter_type", "condition", "unread")
 
 
-QUERIES = {f.__name__: f for f in (pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, measures_changed_whole, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, visuals_comparable, models_missing, columns_paired, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, findings_masked_whole, pairable_categories, renames_vetted, findings_explained, findings_explained_whole, findings_markdown, findings_documents, files_changed, units_changed, model_readers, project_runs, literals, json_properties, definition_pages, definition_visuals, definition_issues, definition_fields, definition_filters)}
+def _model_texts(spark, d):
+    """A model file for each part, indented by tabs or by spaces."""
+    text = F.format_string("table 'T %d'\n~measure M =\n~~~SUM(x)\n~~~/// kept\n~~~~+ %d\n\n~~formatString: 0\n~/// left out\n~column C\n~~dataType: int64\n~measure E =\n", "p_partkey", "p_size")
+    step = F.when(F.col("p_partkey") % 2 == 1, F.lit("    ")).otherwise(F.lit("\t"))
+    return table(spark, d, "part").select(F.concat("p_brand", F.lit(".SemanticModel")).alias("project"), F.format_string("definition/tables/T%d.tmdl", "p_partkey").alias("path"), F.encode(F.replace(text, F.lit("~"), step), "UTF-8").alias("content"))
+
+
+def definition_models(spark, d):
+    return D.model_text(_model_texts(spark, d)).select(F.col("table").alias("owner"), "kind", "name", "value")
+
+
+def _model_json(spark, d):
+    text = F.format_string('{"model": {"tables": [{"name": "T %d", "columns": [{"name": "c", "dataType": "%s"}], "measures": [{"name": "m", "expression": ["a", "+ %d"]}, {"name": "n", "expression": "SUM(x)"}]}]}}', "p_partkey", "p_type", "p_size")
+    return table(spark, d, "part").select(F.concat("p_brand", F.lit("/P"), F.col("p_partkey").cast("string"), F.lit(".SemanticModel")).alias("project"), text.alias("text"))
+
+
+def _model_rows(columns, measures):
+    own = columns.select(F.col("table").alias("owner"), F.lit("column").alias("kind"), "name", F.col("data_type").alias("value"))
+    return own.unionByName(measures.select(F.col("table").alias("owner"), F.lit("measure").alias("kind"), "name", F.col("expression").alias("value")))
+
+
+def definition_models_json(spark, d):
+    raw = _model_json(spark, d).select("project", F.lit("model.bim").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return _model_rows(*D.model_json(raw))
+
+
+def _packed(frames):
+    for frame in frames:
+        out = []
+        for project, part, text in frame.itertuples(index=False):
+            at = io.BytesIO()
+            with zipfile.ZipFile(at, "w") as z:
+                z.writestr("../DataModelSchema" if part % 10 == 3 else "DataModelSchema", text.encode("utf-16-le"))
+            out.append((project, f"P{part}.pbit", at.getvalue() if part % 10 != 4 else b"no archive"))
+        yield pd.DataFrame(out, columns=["project", "path", "content"])
+
+
+def archived_models(spark, d):
+    """Models inside archives, some of which are unsafe or none at all."""
+    rows = _model_json(spark, d).withColumn("part", F.regexp_extract("text", "T ([0-9]+)", 1).cast("long")).select("project", "part", "text")
+    found = D.unpacked(rows.mapInPandas(_packed, "project string, path string, content binary"))
+    return _model_rows(*D.model_json(found.where("error IS NULL").drop("error"))).unionByName(found.where("error IS NOT NULL").select(F.lit(None).cast("string").alias("owner"), F.lit("issue").alias("kind"), F.col("path").alias("name"), F.lit("unread").alias("value")))
+
+
+def _single_documents(spark, d):
+    """A report in one document for each part, with two pages and one visual, whose configuration is JSON inside a string."""
+    config = F.to_json(F.struct(F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("name"), F.struct(F.lit("card").alias("visualType"), F.create_map(F.lit("Values"), F.array(F.struct(F.concat(F.lit("Sales."), "p_name").alias("queryRef")), F.struct(F.lit("Sales.Amount").alias("queryRef")))).alias("projections")).alias("singleVisual")))
+    box = F.struct(F.col("p_size").cast("double").alias("x"), F.lit(2.0).alias("y"), F.lit(1.0).alias("z"), F.lit(30.0).alias("width"), F.lit(40.0).alias("height"), config.alias("config"))
+    section = lambda name, label, at, width, boxes: F.struct(F.lit(name).alias("name"), label.alias("displayName"), F.lit(at).alias("ordinal"), width.alias("width"), boxes.alias("visualContainers"))
+    none, wide = F.lit(None).cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.lit(800.0))
+    doc = F.to_json(F.struct(F.array(section("later", F.initcap("p_type"), 7, F.lit(None).cast("double"), F.slice(F.array(box), 1, 0)), section("first", none, 3, wide, F.array(box))).alias("sections")))
+    return table(spark, d, "part").select(F.format_string("P%d.Report", "p_partkey").alias("project"), F.format_string("P%d.Report/report.json", "p_partkey").alias("path"), F.encode(doc, "UTF-8").alias("content"))
+
+
+def single_document_pages(spark, d):
+    return D.legacy_pages(_single_documents(spark, d)).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+
+
+def single_document_visuals(spark, d):
+    return D.legacy_visuals(_single_documents(spark, d)).select("project", "page", "visual", "visual_type", "x", "width", F.array_join("fields", ",").alias("fields"))
+
+
+_SLICER_JSON = """{"name": "v%d", "position": {"x": 1, "y": 2, "width": 3, "height": 4}, "visual": {"visualType": "%s"%s},
+"filterConfig": {"filters": [{"name": "ranked", "type": "TopN", "field": {"HierarchyLevel": {"Expression": {"Hierarchy": {"Expression": {"SourceRef": {"Entity": "Nation"}}, "Hierarchy": "Place"}}, "Level": "Name"}},
+ "filter": {"From": [{"Name": "q", "Expression": {"Subquery": {"Query": {"From": [{"Name": "s", "Entity": "Sales"}], "Top": %d, "OrderBy": [{"Direction": %d, "Expression": {"Measure": {"Expression": {"SourceRef": {"Source": "s"}}, "Property": "Total"}}}]}}}, "Type": 2}, {"Name": "n", "Entity": "Nation"}],
+ "Where": [{"Condition": {"In": {"Expressions": [{"Column": {"Expression": {"SourceRef": {"Source": "n"}}, "Property": "Name"}}], "Table": {"SourceRef": {"Source": "q"}}}}}]}}]}}"""
+_SELECTION_JSON = """, "objects": {"general": [{"properties": {"filter": {"filter": {"From": [{"Name": "n", "Entity": "Nation"}], "Where": [{"Condition": {"In": {"Expressions": [{"Column": {"Expression": {"SourceRef": {"Source": "n"}}, "Property": "Key"}}], "Values": [[{"Literal": {"Value": "%dL"}}]]}}}]}}}}]}"""
+
+
+def _slicer_files(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("card", "slicer", "listSlicer", "textSlicer"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    chosen = F.when(F.col("s_suppkey") % 3 == 0, F.format_string(_SELECTION_JSON, "s_nationkey")).otherwise(F.lit(""))
+    text = F.format_string(_SLICER_JSON, "s_suppkey", kind, chosen, F.col("s_suppkey") % 5, F.col("s_suppkey") % 2 + 1)
+    return table(spark, d, "supplier").select(F.format_string("N%d.Report", "s_nationkey").alias("project"), F.format_string("N%d.Report/definition/pages/p/visuals/v%d/visual.json", "s_nationkey", "s_suppkey").alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+def definition_slicers(spark, d):
+    return D.slicers(_slicer_files(spark, d)).select("project", "visual", "condition", F.col("unread").isNotNull().alias("unread"))
+
+
+def ranked_filters(spark, d):
+    return D.filters(_slicer_files(spark, d)).select("visual", "filter_type", X.field_key(F.col("field.table"), F.col("field.name")).alias("field"), "condition", F.col("unread").isNotNull().alias("unread"))
+
+
+def one_sided_visuals(spark, d):
+    """Visuals added and removed, by their names on their pages; those of a file that could not be read on the other side are left out."""
+    parts = table(spark, d, "part").select(F.concat_ws("/", "p_brand", F.format_string("v%d", "p_partkey")).alias("path"), "p_partkey", F.col("p_type").alias("visual_type"))
+    _, gone, come = P.pair_by_key(parts.where("p_partkey % 5 <> 1"), parts.where("p_partkey % 7 <> 2"), ["path"], ["p_partkey"])
+    kinds = ("visual_type",)
+    found = N.union([G.one_sided(gone, "visual", "removed", F.col("path"), kinds), G.one_sided(come, "visual", "added", F.col("path"), kinds)])
+    broken = lambda x, m: x.where(f"p_partkey % 11 = {m}").select("path")
+    return G.without_broken(found, broken(parts, 3), broken(parts, 4)).select("path", "category", "change", "visual_type")
+
+
+def issues_on_old_pages(spark, d):
+    """Issues of the new version on the pages as the old version names them."""
+    pages = pages_paired(spark, d).select(F.concat(F.lit("o"), F.col("old_page_id").cast("string")).alias("old_page"), F.concat(F.lit("n"), F.col("new_page_id").cast("string")).alias("new_page"))
+    issues = table(spark, d, "events").where("event_type = 'error'").select("event_id", F.expr("CASE WHEN event_id % 9 = 0 THEN NULL ELSE 'n' || (event_id % 700) || '/v' || (user_id % 5) END").alias("visual_path"))
+    return G.on_old_pages(issues, pages)
+
+
+QUERIES = {f.__name__: f for f in (pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, visuals_comparable, models_missing, columns_paired, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, pairable_categories, renames_vetted, findings_explained, findings_markdown, findings_documents, files_changed, units_changed, model_readers, project_runs, literals, json_properties, definition_pages, definition_visuals, definition_issues, definition_fields, definition_filters, definition_models, definition_models_json, archived_models, single_document_pages, single_document_visuals, definition_slicers, ranked_filters, one_sided_visuals, issues_on_old_pages)}
 
 # ------------------------------------------------------------------ the same in SQL
 
@@ -447,9 +529,9 @@ SELECT p_brand, old, new, round(score, 6) AS score FROM s WHERE round(score, 6)
     "measures_renamed": f"""WITH old AS (SELECT lang AS tbl, doc_id::VARCHAR AS name, text AS ex FROM documents WHERE doc_id % 2 = 0), new AS (SELECT lang AS tbl, doc_id::VARCHAR AS name, text AS ex FROM documents WHERE doc_id % 2 = 1),
 un AS (SELECT '' AS tbl, '' AS name WHERE false), {_MEASURES_TAIL}
 SELECT tbl AS old_table, old_name, tbl AS new_table, new_name FROM rn UNION ALL SELECT old_tbl, name, new_tbl, name FROM mv""",
-    "measures_changed": f"""WITH dd AS (SELECT * FROM documents WHERE doc_id % 3 = 0),
-old AS (SELECT source AS tbl, doc_id::VARCHAR AS name, substring(text, 1, 60) AS ex FROM dd WHERE doc_id % 13 <> 0),
-new AS (SELECT CASE WHEN doc_id % 5 = 0 THEN lang ELSE source END AS tbl, CASE WHEN doc_id % 7 = 0 THEN 'new ' || doc_id ELSE doc_id::VARCHAR END AS name, CASE WHEN doc_id % 11 = 0 THEN substring(text, 1, 60) || '!' ELSE substring(text, 1, 60) END AS ex FROM dd WHERE doc_id % 17 <> 0),
+    "measures_changed": f"""WITH dd AS (SELECT * FROM documents),
+old AS (SELECT source AS tbl, doc_id::VARCHAR AS name, text AS ex FROM dd WHERE doc_id % 13 <> 0),
+new AS (SELECT CASE WHEN doc_id % 5 = 0 THEN lang ELSE source END AS tbl, CASE WHEN doc_id % 7 = 0 THEN 'new ' || doc_id ELSE doc_id::VARCHAR END AS name, CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END AS ex FROM dd WHERE doc_id % 17 <> 0),
 un AS (SELECT source AS tbl, doc_id::VARCHAR AS name FROM dd WHERE doc_id % 19 = 0), {_MEASURES_TAIL},
 x AS (SELECT tbl || '[' || name || ']' AS path, 'modified' AS change, old.ex AS old, new.ex AS new FROM old JOIN new USING (tbl, name) WHERE old.ex <> new.ex
  UNION ALL SELECT tbl || '[' || new_name || ']', 'renamed', old_name, new_name FROM rn
@@ -511,10 +593,10 @@ SELECT run, path, side, CASE WHEN said > 0 THEN CASE side WHEN 'new' THEN 'added
     "findings_by_visual": f"""WITH {_FINDINGS}, v AS (SELECT DISTINCT user_id % 30 AS run, 'p' || (user_id % 7) || '/v' || (user_id % 21) AS visual FROM events WHERE user_id % 2 = 0),
 x AS (SELECT run, key, coalesce(visual_path, CASE WHEN scope = 'page' THEN array_to_string(string_split(path, '/')[1:2], '/') END) AS visual FROM f)
 SELECT run, visual, count(*) AS n, md5(string_agg(key, ',' ORDER BY key)) AS keys_md5 FROM x JOIN v USING (run, visual) GROUP BY ALL""",
-    "findings_masked": f"WITH {_FINDINGS} SELECT category, change, severity, CASE WHEN category = 'data' THEN array_to_string(string_split(path, '/')[1:2], '/') || '/data' ELSE path END AS path, CASE WHEN category <> 'data' THEN message END AS message, CASE WHEN category <> 'data' THEN old END AS old, CASE WHEN category <> 'data' THEN new END AS new FROM f WHERE run < 5",
+    "findings_masked": f"WITH {_FINDINGS} SELECT category, change, severity, CASE WHEN category = 'data' THEN array_to_string(string_split(path, '/')[1:2], '/') || '/data' ELSE path END AS path, CASE WHEN category <> 'data' THEN message END AS message, CASE WHEN category <> 'data' THEN old END AS old, CASE WHEN category <> 'data' THEN new END AS new FROM f",
     "pairable_categories": f"WITH {_FINDINGS} SELECT DISTINCT category FROM f WHERE change = 'removed' AND category IN ('page', 'visual', 'measure') INTERSECT SELECT category FROM f WHERE change = 'added'",
     "findings_explained": f"""WITH {_FINDINGS}, t AS (SELECT conv_id % 50 AS id, arg_min(trim(text), conv_id * 1000 + turn) AS t FROM conversations WHERE turn <> 0 AND trim(text) <> '' GROUP BY 1)
-SELECT run, message, md5(substring(t, 1, 600)) AS explanation_md5 FROM f LEFT JOIN t ON id = run * 10 WHERE run < 3""",
+SELECT run, message, md5(substring(t, 1, 600)) AS explanation_md5 FROM f LEFT JOIN t ON id = run * 10""",
     "findings_markdown": f"""WITH {_FINDINGS}, o AS (SELECT run, category, row_number() OVER w AS k, CASE WHEN lag(category) OVER w IS NOT DISTINCT FROM category THEN '' ELSE chr(10) || '## ' || category || chr(10) || chr(10) END || '- ' || severity || ': ' || path || ' ' || change || chr(10) AS b FROM f WINDOW w AS (PARTITION BY run ORDER BY category, path, change, message)),
 s AS (SELECT *, sum(length(b)) OVER (PARTITION BY run ORDER BY k) AS total FROM o)
 SELECT run, md5(coalesce(string_agg(b, '' ORDER BY k) FILTER (WHERE total <= 2000), '')) AS text_md5, count(*) FILTER (WHERE total <= 2000) AS shown, count(*) FILTER (WHERE total > 2000) AS more FROM s GROUP BY run""",
@@ -536,5 +618,17 @@ SELECT project, page, upper(page[1]) || page[2:] AS display_name, 640.0::DOUBLE
     "definition_visuals": "SELECT p_brand || '.Report' AS project, lower(p_type) AS page, 'v' || p_partkey AS visual, 'card' AS visual_type, p_name AS title, (p_size * 10)::DOUBLE AS x, (p_partkey % 100)::DOUBLE AS y, 100.0::DOUBLE AS width, 50.0::DOUBLE AS height FROM part WHERE p_partkey % 30 <> 11 AND p_partkey % 40 <> 5",
     "definition_issues": "SELECT p_brand || '.Report' AS project, CASE WHEN p_partkey % 30 = 11 THEN 'not a JSON object' ELSE 'the position is not complete' END AS message, count(*) AS n FROM part WHERE p_partkey % 30 = 11 OR p_partkey % 40 = 5 GROUP BY ALL",
     "definition_fields": "SELECT p_brand || '.Report' AS project, 'v' || p_partkey AS visual, 'Values' AS role, 'Sales[' || p_name || ']' AS field FROM part WHERE p_partkey % 30 <> 11",
+    "definition_models": """SELECT 'T ' || p_partkey AS owner, 'measure' AS kind, 'M' AS name, 'SUM(x)' || chr(10) || '/// kept' || chr(10) || CASE WHEN p_partkey % 2 = 1 THEN '    ' ELSE chr(9) END || '+ ' || p_size AS value FROM part
+UNION ALL SELECT 'T ' || p_partkey, 'column', 'C', 'int64' FROM part UNION ALL SELECT 'T ' || p_partkey, 'issue', 'E', 'a measure without an expression' FROM part""",
+    "definition_models_json": "SELECT 'T ' || p_partkey AS owner, 'column' AS kind, 'c' AS name, p_type AS value FROM part UNION ALL SELECT 'T ' || p_partkey, 'measure', 'm', 'a' || chr(10) || '+ ' || p_size FROM part UNION ALL SELECT 'T ' || p_partkey, 'measure', 'n', 'SUM(x)' FROM part",
+    "archived_models": """WITH g AS (SELECT * FROM part WHERE p_partkey % 10 NOT IN (3, 4))
+SELECT 'T ' || p_partkey AS owner, 'column' AS kind, 'c' AS name, p_type AS value FROM g UNION ALL SELECT 'T ' || p_partkey, 'measure', 'm', 'a' || chr(10) || '+ ' || p_size FROM g UNION ALL SELECT 'T ' || p_partkey, 'measure', 'n', 'SUM(x)' FROM g
+UNION ALL SELECT NULL, 'issue', 'P' || p_partkey || '.pbit', 'unread' FROM part WHERE p_partkey % 10 IN (3, 4)""",
+    "single_document_pages": "SELECT 'P' || p_partkey || '.Report' AS project, 'first' AS page, 'first' AS display_name, CASE WHEN p_partkey % 2 = 0 THEN 800.0 ELSE 1280.0 END::DOUBLE AS width, 720.0::DOUBLE AS height, 0::BIGINT AS ordinal FROM part UNION ALL SELECT 'P' || p_partkey || '.Report', 'later', upper(p_type[1]) || lower(p_type[2:]), 1280.0, 720.0, 1 FROM part",
+    "single_document_visuals": "SELECT 'P' || p_partkey || '.Report' AS project, 'first' AS page, 'v' || p_partkey AS visual, 'card' AS visual_type, p_size::DOUBLE AS x, 30.0::DOUBLE AS width, array_to_string(list_sort(['Sales.' || p_name, 'Sales.Amount']), ',') AS fields FROM part",
+    "definition_slicers": "SELECT 'N' || s_nationkey || '.Report' AS project, 'v' || s_suppkey AS visual, CASE WHEN s_suppkey % 3 = 0 THEN 'Nation[Key] in (' || s_nationkey || ')' END AS condition, false AS unread FROM supplier WHERE s_suppkey % 4 <> 0 OR s_suppkey % 3 = 0",
+    "ranked_filters": "SELECT 'v' || s_suppkey AS visual, 'TopN' AS filter_type, 'Nation[Place.Name]' AS field, CASE WHEN s_suppkey % 5 > 0 THEN CASE s_suppkey % 2 WHEN 1 THEN 'top ' ELSE 'bottom ' END || s_suppkey % 5 || ' Nation[Name] by Sales[Total]' END AS condition, s_suppkey % 5 = 0 AS unread FROM supplier",
+    "one_sided_visuals": "SELECT p_brand || '/v' || p_partkey AS path, 'visual' AS category, CASE WHEN p_partkey % 5 = 1 THEN 'added' ELSE 'removed' END AS change, p_type AS visual_type FROM part WHERE (p_partkey % 5 = 1 AND p_partkey % 7 <> 2 AND p_partkey % 11 <> 3) OR (p_partkey % 5 <> 1 AND p_partkey % 7 = 2 AND p_partkey % 11 <> 4)",
+    "issues_on_old_pages": f"WITH {_PAGES}, m AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2), i AS (SELECT event_id, event_id % 700 AS page, user_id % 5 AS v FROM events WHERE event_type = 'error') SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN coalesce('o' || old_page_id, 'n' || page) || '/v' || v END AS visual_path FROM i LEFT JOIN m ON new_page_id = page",
     "definition_filters": "SELECT 'v' || p_partkey AS visual, 'f' AS name, 'Categorical' AS filter_type, 'Sales[Size] in (' || CASE WHEN p_size = 7 THEN '7' ELSE least(p_size, 7) || ', ' || greatest(p_size, 7) END || ')' AS condition, NULL::VARCHAR AS unread FROM part WHERE p_partkey % 30 <> 11",
 }

@@ -72,6 +72,14 @@ def renamed_paths(issues: DataFrame, names: DataFrame, side: str = "page") -> Da
     return issues.join(names.select(F.col("folder").alias(side), F.col("name").alias("_name")).dropDuplicates([side]), side, "left").withColumn(side, F.coalesce("_name", side)).drop("_name")
 
 
+def on_old_pages(issues: DataFrame, pages: DataFrame) -> DataFrame:
+    """New-version issues(visual_path, ..) with the page of a matched pair named as the old version names it. pages: old_page, new_page; a new page has one old one."""
+    page = F.substring_index("visual_path", "/", 1)
+    found = issues.join(pages.select(F.col("new_page").alias("_new"), F.col("old_page").alias("_old")), page == F.col("_new"), "left")
+    moved = F.concat(F.col("_old"), F.substring(F.col("visual_path"), F.length("_new") + 1, F.length("visual_path")))
+    return found.withColumn("visual_path", F.coalesce(moved, "visual_path")).select(*issues.columns)
+
+
 # ------------------------------------------------------------------ fields and filters
 
 

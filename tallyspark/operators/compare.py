@@ -30,6 +30,8 @@ class Tolerance:
                 raise ValueError(f"a tolerance must be finite and not negative: {x}")
 
 
+#: Bytes of a result from which it may be cut off (a fixed value).
+NEAR_BYTES = 13_500_000
 Pairs = list[tuple[str, str]]
 
 
@@ -40,7 +42,7 @@ def pairs(names) -> Pairs:
 
 def missing_columns(side: DataFrame, names: list[str], label: str) -> str | None:
     missing = [n for n in names if n not in side.columns]
-    return f"{label} result has no column {', '.join(missing)}" if missing and side.columns else None
+    return f"{label} result lacks {', '.join(missing)}" if missing and side.columns else None
 
 
 def _key(c: Column, t: T.DataType, other: T.DataType) -> Column:
@@ -104,7 +106,7 @@ def compared(aligned: DataFrame, n_values: int, tolerance: Tolerance, old: str =
 
 
 def _several(label: str, keyed: bool) -> str:
-    return f"{label} result has several rows for the same key" if keyed else f"{label} result has several rows but no key columns"
+    return f"{label} result repeats a key" if keyed else f"{label} result has more than one row and no keys"
 
 
 def summarise(rows: DataFrame, keyed: bool, by: list[str] = (), old: str = "old", new: str = "new") -> DataFrame:
@@ -148,7 +150,7 @@ def compare_tables(path: str, old: DataFrame, new: DataFrame, keys, values, tole
 
 def _refused(spark, path: str, reason: str) -> tuple[DataFrame, DataFrame]:
     summary = spark.range(1).select(F.lit(path).alias("path"), F.lit("not_validated").alias("status"), *[F.lit(None).cast("bigint").alias(c) for c in ("rows_old", "rows_new", "rows_matched", "rows_differing", "rows_only_old", "rows_only_new")], F.lit(None).cast("double").alias("max_abs_delta"), F.lit(reason).alias("reason"))
-    finding = spark.range(1).select(F.lit(f"{path}/data").alias("path"), F.lit("error").alias("change"), F.lit(f"Data not validated: {reason}").alias("message"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"))
+    finding = spark.range(1).select(F.lit(f"{path}/data").alias("path"), F.lit("error").alias("change"), F.lit(f"The data could not be compared: {reason}").alias("message"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"))
     return summary, finding
 
 
@@ -183,7 +185,7 @@ def findings_of(rows: DataFrame, path: str, names: list[str], value_names: list[
     subject = F.concat(F.lit("Row "), F.col("label")) if show else F.concat(F.upper(F.substring("label", 1, 1)), F.substring("label", 2, 1000))
     one = F.array(F.struct(F.lit(-1).alias("j"), F.when(F.col("only_new"), "added").otherwise("removed").alias("change"), F.concat(F.lit(f"{path}/data/"), F.col("label")).alias("path"), F.concat(subject, F.when(F.col("only_new"), " only in the new version").otherwise(" only in the old version")).alias("message"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new")))
     shown = lambda c: display_column(F.col(c), rows.schema[c].dataType) if show else F.lit(MASKED)
-    each = [F.when(F.col(f"d{j}"), F.struct(F.lit(j).alias("j"), F.lit("modified").alias("change"), F.concat(F.lit(f"{path}/data/"), F.col("label"), F.lit(f"/{v}")).alias("path"), F.concat(F.lit(f"{v} differs for "), F.col("label")).alias("message"), shown(f"old_v{j}").alias("old"), shown(f"new_v{j}").alias("new"))) for j, v in enumerate(value_names)]
+    each = [F.when(F.col(f"d{j}"), F.struct(F.lit(j).alias("j"), F.lit("modified").alias("change"), F.concat(F.lit(f"{path}/data/"), F.col("label"), F.lit(f"/{v}")).alias("path"), F.concat(F.lit(f"{v} changed at "), F.col("label")).alias("message"), shown(f"old_v{j}").alias("old"), shown(f"new_v{j}").alias("new"))) for j, v in enumerate(value_names)]
     every = F.when(~F.col("both"), one).otherwise(F.filter(F.array(*each), lambda x: x.isNotNull())) if each else one
     out = first.select(*[f"k{j}" for j in range(n_keys)], F.explode(every).alias("f"))
     return out.orderBy(*order, F.col("f.j")).limit(most).select("f.path", "f.change", "f.message", "f.old", "f.new")
@@ -237,7 +239,9 @@ def partly_compared(summary: DataFrame, unpaired: Column) -> DataFrame:
     return summary.withColumns({"status": F.when(some & (F.col("status") == "same"), F.lit("not_validated")).otherwise(F.col("status")), "reason": F.when(some, F.concat(F.lit("not compared: "), unpaired)).otherwise(F.col("reason"))})
 
 
-def completeness(counts: DataFrame, rows: str, columns: str, max_rows: int = 100_000, max_values: int = 1_000_000) -> DataFrame:
-    """Adds `truncated`: a result as large as its source may return can be cut off."""
+def completeness(counts: DataFrame, rows: str, columns: str, max_rows: int = 100_000, max_values: int = 1_000_000, size: str | None = None, near_bytes: int = NEAR_BYTES) -> DataFrame:
+    """Adds `truncated`: a result as large as its source may return can be cut off, by its rows, its values, or (size: a column of bytes) by what it takes."""
     cut = (F.col(rows) >= max_rows) | ((F.col(rows) + 1) * F.col(columns) > max_values)
+    if size:
+        cut = cut | (F.col(size) >= near_bytes)
     return counts.withColumn("truncated", cut)

@@ -131,6 +131,7 @@ def vetted(proposals: DataFrame, removed: DataFrame, added: DataFrame, by: list[
         accepted = accepted.unionByName(winners)
         for end in ("old", "new"):
             left = left.join(winners.select(*by, "category", end), [*by, "category", end], "left_anti")
+        left = cut_lineage(left)
 
 
 def with_explanations(findings: DataFrame, texts: DataFrame, most: int = 600) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
+
 WEIGHTS = {"type": 0.3, "title": 0.2, "fields": 0.3, "position": 0.2}
 THRESHOLD = 0.6
 
@@ -45,15 +46,16 @@ def pair_in_turn(old: DataFrame, new: DataFrame, keys: list[tuple[str, list[str]
     return found, old, new
 
 
-def similarity(old: dict[str, Column], new: dict[str, Column]) -> Column:
+def similarity(old: dict[str, Column], new: dict[str, Column], fields: Column | None = None) -> Column:
     """Of two visuals, rounded to 6 places. Each side: type, title, fields (array), x, y, width, height, page_width, page_height.
 
-    Two missing titles agree, two empty sets of fields are equal; closeness is 1 for equal
+    fields: how far the fields agree, where that is known. Two missing titles agree, two empty sets of fields are equal; closeness is 1 for equal
     centres, relative to the page, and 0 a page's diagonal apart.
     """
     same = lambda c: F.when(old[c].eqNullSafe(new[c]), F.lit(1.0)).otherwise(F.lit(0.0))
-    union = F.size(F.array_union(old["fields"], new["fields"]))
-    fields = F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(old["fields"], new["fields"])) / union)
+    if fields is None:
+        union = F.size(F.array_union(old["fields"], new["fields"]))
+        fields = F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(old["fields"], new["fields"])) / union)
     centre = lambda v: ((v["x"] + v["width"] / 2) / v["page_width"], (v["y"] + v["height"] / 2) / v["page_height"])
     (ax, ay), (bx, by) = centre(old), centre(new)
     near = F.greatest(F.lit(0.0), 1 - F.hypot(ax - bx, ay - by) / F.sqrt(F.lit(2.0)))
@@ -64,26 +66,52 @@ COLUMNS = ("type", "title", "fields", "x", "y", "width", "height", "page_width",
 
 
 def candidates(old: DataFrame, new: DataFrame, block: list[str], ident: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(block.., old, new, score) of pairs in a block that reach the threshold. Each side has block, ident and COLUMNS; blocks are pages, whose visuals are few."""
+    """(block.., old, new, score) of pairs in a block that reach the threshold. Each side has block, ident and COLUMNS.
+
+    What a pair may lack follows from the threshold: where it can't do without the weight of an
+    equal type, or of an equal type and an equal title both, those are part of the join. Of the
+    pairs that meet, fields are compared only where place, title and the numbers of fields leave
+    enough.
+    """
     if not 0 <= threshold <= 1:
         raise ValueError(f"a threshold between 0 and 1, not {threshold}")
-    a = old.select(*block, F.col(ident).alias("old"), *[F.col(c).alias(f"o_{c}") for c in COLUMNS])
-    b = new.select(*block, F.col(ident).alias("new"), *[F.col(c).alias(f"n_{c}") for c in COLUMNS])
-    score = similarity({c: F.col(f"o_{c}") for c in COLUMNS}, {c: F.col(f"n_{c}") for c in COLUMNS})
-    return a.join(b, block).withColumn("score", score).where(F.col("score") >= threshold).select(*block, "old", "new", "score")
+    sized = lambda df, s, c: df.select(*[F.col(b).alias(f"{s}_b{i}") for i, b in enumerate(block)], F.col(ident).alias(c), *[F.col(x).alias(f"{s}_{x}") for x in COLUMNS], F.size("fields").alias(f"{s}_n"))
+    a, b = sized(old, "o", "old"), sized(new, "n", "new")
+    sides = [{c: F.col(f"{s}_{c}") for c in COLUMNS} for s in "on"]
+    score = similarity(*sides)
+    # Of the fields no more can agree than the smaller set has.
+    most = F.when(F.greatest("o_n", "n_n") == 0, F.lit(1.0)).otherwise(F.least("o_n", "n_n") / F.greatest("o_n", "n_n"))
+    bound = similarity(*sides, fields=most)
+    same_block = [F.col(f"o_b{i}") == F.col(f"n_b{i}") for i in range(len(block))]
+    same_type, same_title = F.col("o_type").eqNullSafe(F.col("n_type")), F.col("o_title").eqNullSafe(F.col("n_title"))
+    if threshold > 1 - WEIGHTS["type"] + 1e-6:
+        ways = [[same_type]]
+    elif threshold > 1 - WEIGHTS["type"] - WEIGHTS["title"] + 1e-6:
+        ways = [[same_type], [same_title, ~same_type]]
+    else:
+        ways = [[]]
+    met = None
+    for way in ways:
+        found = a.join(b, reduce(lambda x, y: x & y, [*same_block, *way, bound >= threshold]))
+        met = found if met is None else met.unionByName(found)
+    return met.withColumn("score", score).where(F.col("score") >= threshold).select(*[F.col(f"o_b{i}").alias(b) for i, b in enumerate(block)], "old", "new", "score")
 
 
 def greedy(pairs: DataFrame, block: list[str]) -> DataFrame:
-    """One-to-one pairs, best score first, then old and new name; a block's candidates above the threshold are one pandas group."""
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "old", "new"], ascending=[False, True, True], kind="stable")
-        old, new, keep = set(), set(), []
-        for i, (o, n) in enumerate(zip(rows["old"], rows["new"], strict=True)):
-            if o not in old and n not in new:
-                old.add(o)
-                new.add(n)
-                keep.append(i)
-        return rows.iloc[keep]
-
-    return pairs.groupBy(*block).applyInPandas(choose, pairs.schema)
+    """One-to-one pairs of pairs(block.., old, new, score), best score first, then old and new name.
+
+    Round by round those are chosen that come first among the pairs of both their ends, which is
+    what taking them one after another would choose. First places are aggregated before the
+    shuffle, so a large block is no task's burden; a round settles at least the first pair of each block.
+    """
+    left, chosen = cut_lineage(pairs), None
+    place = F.struct((-F.col("score")).alias("s"), "old", "new")
+    while True:
+        first = lambda end: left.groupBy(*block, end).agg(F.min(place).alias("p")).select(*block, F.col("p.old").alias("old"), F.col("p.new").alias("new"), (-F.col("p.s")).alias("score"))  # noqa: B023, E731
+        winners = cut_lineage(first("old").intersect(first("new")).select(*pairs.columns))
+        if winners.isEmpty():
+            return winners if chosen is None else chosen
+        chosen = winners if chosen is None else chosen.unionByName(winners)
+        for end in ("old", "new"):
+            left = left.join(winners.select(*block, end), [*block, end], "left_anti")
+        left = cut_lineage(left)

@@ -26,7 +26,9 @@ def readers(reports: DataFrame, models: DataFrame) -> DataFrame:
     """(model, report): reports(report, model) that read one of models(model). A report whose model is unknown (null) reads every changed model."""
     known = reports.where("model IS NOT NULL").join(models, "model").select("model", "report")
     unknown = reports.where("model IS NULL").select("report")
-    return known.unionByName(models.crossJoin(F.broadcast(unknown)).select("model", "report")) if not unknown.isEmpty() else known
+    # Every changed model meets every such report: that many rows are the result. Spark broadcasts the side that its size allows, or deals both out.
+    every = models.withColumn("_k", F.lit(1)).join(unknown.withColumn("_k", F.lit(1)), "_k").select("model", "report")
+    return known.unionByName(every)
 
 
 def project_runs(changed: DataFrame, models: DataFrame, read: DataFrame, old_units: DataFrame, new_units: DataFrame) -> DataFrame:

@@ -71,11 +71,11 @@ def test_empty_sides(spark):
 
 def test_refused(spark):
     s, f = summary(spark, [("a", 1.0), ("a", 2.0)], [("a", 1.0)])
-    assert (s.status, s.reason) == ("not_validated", "old result has several rows for the same key")
+    assert (s.status, s.reason) == ("not_validated", "old result repeats a key")
     s, f = summary(spark, [("a", 1.0)], [("a", 1.0)], values=("gone",))
     assert (s.status, f[0].change) == ("not_validated", "error")
     s, _ = summary(spark, [("a", 1.0)], [("b", 1.0), ("c", 1.0)], keys=(), values=("total",))
-    assert s.reason == "new result has several rows but no key columns"
+    assert s.reason == "new result has more than one row and no keys"
 
 
 def test_cap(spark):

@@ -39,14 +39,14 @@ def brute_changes(docs):
 def test_all_measures_by_their_whole_text(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     md5 = lambda x: hashlib.md5((x or "").encode()).hexdigest()
-    got = sorted(map(tuple, catalog.QUERIES["measures_changed_whole"](spark, SMALL).collect()))
+    got = sorted(map(tuple, catalog.QUERIES["measures_changed"](spark, SMALL).collect()))
     assert got == sorted((p, c, md5(a), md5(b)) for p, c, a, b in brute_changes(docs))
 
 
 def test_all_rows_and_runs(spark):
     orders, found = spark.read.parquet(f"{SMALL}/orders.parquet").count(), findings(spark, SMALL).count()
-    r = catalog.QUERIES["compare_other_kinds_whole"](spark, SMALL).first()
+    r = catalog.QUERIES["compare_other_kinds"](spark, SMALL).first()
     assert (r.rows_old, r.rows_new) == (orders, orders)
-    assert catalog.QUERIES["findings_masked_whole"](spark, SMALL).count() == found
-    rows = catalog.QUERIES["findings_explained_whole"](spark, SMALL)
+    assert catalog.QUERIES["findings_masked"](spark, SMALL).count() == found
+    rows = catalog.QUERIES["findings_explained"](spark, SMALL)
     assert rows.count() == found and rows.select("run").distinct().count() == findings(spark, SMALL).select("run").distinct().count()
