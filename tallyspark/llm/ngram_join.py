@@ -272,7 +272,8 @@ def candidate_groups(sketches: DataFrame, block: int = BLOCK) -> DataFrame:
     parts = with_words.join(many, "node", "left_anti").unionByName(once).select("node", F.explode("sigs").alias("sig"))
     # Hashes that one node has alone are most; the rest are few and bring their nodes together.
     shared = parts.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("sig", "least")
-    met = materialize(parts.join(small_side(materialize(shared, "shared")), "sig").distinct(), "met")
+    # Joined by shuffle at any size: how many hashes are shared follows the corpus, and a frequent one is split.
+    met = materialize(parts.join(materialize(shared, "shared"), "sig").distinct(), "met")
     groups = components(met.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
     return _split_groups(materialize(groups.select("node", F.col("root").alias("grp")), "groups"), met, 2 * block)
 
