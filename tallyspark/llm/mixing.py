@@ -71,9 +71,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them; the last, partial one is cut after its first words. Rows and columns are those of docs.
 
-    Rows are matched by doc_id and size, so rows that share both are taken alike.
+    Rows are matched by doc_id and size, so rows that share both are taken alike, as often as the one that is taken most.
     """
-    taken = mix_sources(docs, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), "taken").dropDuplicates(["_id", "_size", "_source"])
+    taken = mix_sources(docs, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), "taken").groupBy("_id", "_size", "_source").agg(F.max("taken").alias("taken"))
     own = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.withColumn("_n", own)
     rows = rows.join(taken, rows.doc_id.eqNullSafe(taken._id) & (rows._n == taken._size) & rows.source.eqNullSafe(taken._source))
