@@ -233,7 +233,7 @@ def item_statuses(spark, d):
 def findings_by_visual(spark, d):
     visuals = table(spark, d, "events").where("user_id % 2 = 0").select((F.col("user_id") % 30).alias("run"), F.expr("'p' || (user_id % 7) || '/v' || (user_id % 21)").alias("visual"))
     found = N.by_visual(N.numbered(findings(spark, d), ["run"]), visuals, ["run"])
-    return found.select("run", "visual", "n", F.md5(F.array_join("keys", ",")).alias("keys_md5"))
+    return found.select("run", "visual", "part", "n", F.md5(F.array_join("keys", ",")).alias("keys_md5"))
 
 
 def findings_masked(spark, d):
@@ -267,9 +267,31 @@ def findings_markdown(spark, d):
 
 
 def findings_documents(spark, d):
-    """One JSON document for each run."""
+    """JSON documents of each run, 10 000 findings to a part."""
     docs = N.documents(findings(spark, d).select("run", "path", "category", "change", "message"), ["run"])
-    return docs.select("run", F.md5("document").alias("document_md5"))
+    return docs.select("run", "part", F.md5("document").alias("document_md5"))
+
+
+def projects_result(spark, d):
+    """One result over all projects: a project for each user of the events, its findings by severity, and the totals."""
+    events = table(spark, d, "events")
+    project = F.expr("'team' || (user_id % 7) || '/r' || user_id || '.Report'")
+    status = F.expr("CASE user_id % 8 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'skipped' WHEN 3 THEN 'error' ELSE 'changed' END")
+    runs = events.select(project.alias("path"), status.alias("status")).distinct()
+    found = N.completed(events.select(project.alias("project"), F.expr(_PATH).alias("path"), F.expr(_CATEGORY).alias("category"), F.expr(_CHANGE).alias("change")))
+    return N.over_projects(runs, found)
+
+
+def view_pages(spark, d):
+    """Pages of both versions as a view shows them, 20 pages to a report."""
+    pages = table(spark, d, "pages").select(F.expr("page_id div 20").alias("report"), F.expr("'p' || page_id").alias("name"), F.expr("page_id * 7 % 5").alias("ordinal"), F.expr("CASE page_id % 3 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'unchanged' END").alias("status"))
+    return N.in_view_order(pages, ["report"], "ordinal")
+
+
+def view_visuals(spark, d):
+    """Visuals by name, 12 to a page."""
+    visuals = table(spark, d, "part").select(F.expr("p_partkey div 12").alias("page"), F.expr("'v' || p_partkey").alias("name"), F.expr("CASE WHEN p_size % 4 = 0 THEN 'modified' ELSE 'unchanged' END").alias("status"))
+    return N.in_view_order(visuals, ["page"])
 
 
 # ------------------------------------------------------------------ snapshots
@@ -477,7 +499,7 @@ def issues_on_old_pages(spark, d):
     return G.on_old_pages(issues, pages)
 
 
-QUERIES = {f.__name__: f for f in (pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, visuals_comparable, models_missing, columns_paired, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, pairable_categories, renames_vetted, findings_explained, findings_markdown, findings_documents, files_changed, units_changed, model_readers, project_runs, literals, json_properties, definition_pages, definition_visuals, definition_issues, definition_fields, definition_filters, definition_models, definition_models_json, archived_models, single_document_pages, single_document_visuals, definition_slicers, ranked_filters, one_sided_visuals, issues_on_old_pages)}
+QUERIES = {f.__name__: f for f in (pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, visuals_comparable, models_missing, columns_paired, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, pairable_categories, renames_vetted, findings_explained, findings_markdown, findings_documents, projects_result, view_pages, view_visuals, files_changed, units_changed, model_readers, project_runs, literals, json_properties, definition_pages, definition_visuals, definition_issues, definition_fields, definition_filters, definition_models, definition_models_json, archived_models, single_document_pages, single_document_visuals, definition_slicers, ranked_filters, one_sided_visuals, issues_on_old_pages)}
 
 # ------------------------------------------------------------------ the same in SQL
 
@@ -591,8 +613,9 @@ h AS (SELECT * FROM f WHERE run % 4 <> 1 AND change IN ('added', 'retyped') AND
 c AS (SELECT v.run, v.path, v.side, count(h.path) AS n, count(h.path) FILTER (WHERE h.path = v.path AND h.change = CASE v.side WHEN 'new' THEN 'added' WHEN 'old' THEN 'removed' END) AS said FROM v LEFT JOIN h ON v.run = h.run AND (h.path = v.path OR starts_with(h.path, v.path || '/')) GROUP BY ALL)
 SELECT run, path, side, CASE WHEN said > 0 THEN CASE side WHEN 'new' THEN 'added' ELSE 'removed' END WHEN n > 0 OR side <> 'both' THEN 'modified' ELSE 'unchanged' END AS status FROM c""",
     "findings_by_visual": f"""WITH {_FINDINGS}, v AS (SELECT DISTINCT user_id % 30 AS run, 'p' || (user_id % 7) || '/v' || (user_id % 21) AS visual FROM events WHERE user_id % 2 = 0),
-x AS (SELECT run, key, coalesce(visual_path, CASE WHEN scope = 'page' THEN array_to_string(string_split(path, '/')[1:2], '/') END) AS visual FROM f)
-SELECT run, visual, count(*) AS n, md5(string_agg(key, ',' ORDER BY key)) AS keys_md5 FROM x JOIN v USING (run, visual) GROUP BY ALL""",
+x AS (SELECT run, key, coalesce(visual_path, CASE WHEN scope = 'page' THEN array_to_string(string_split(path, '/')[1:2], '/') END) AS visual FROM f),
+y AS (SELECT run, visual, key, (row_number() OVER (PARTITION BY run, visual ORDER BY key) - 1) // 10000 AS part FROM x JOIN v USING (run, visual))
+SELECT run, visual, part, count(*) AS n, md5(string_agg(key, ',' ORDER BY key)) AS keys_md5 FROM y GROUP BY ALL""",
     "findings_masked": f"WITH {_FINDINGS} SELECT category, change, severity, CASE WHEN category = 'data' THEN array_to_string(string_split(path, '/')[1:2], '/') || '/data' ELSE path END AS path, CASE WHEN category <> 'data' THEN message END AS message, CASE WHEN category <> 'data' THEN old END AS old, CASE WHEN category <> 'data' THEN new END AS new FROM f",
     "pairable_categories": f"WITH {_FINDINGS} SELECT DISTINCT category FROM f WHERE change = 'removed' AND category IN ('page', 'visual', 'measure') INTERSECT SELECT category FROM f WHERE change = 'added'",
     "findings_explained": f"""WITH {_FINDINGS}, t AS (SELECT conv_id % 50 AS id, arg_min(trim(text), conv_id * 1000 + turn) AS t FROM conversations WHERE turn <> 0 AND trim(text) <> '' GROUP BY 1)
@@ -600,7 +623,14 @@ SELECT run, message, md5(substring(t, 1, 600)) AS explanation_md5 FROM f LEFT JO
     "findings_markdown": f"""WITH {_FINDINGS}, o AS (SELECT run, category, row_number() OVER w AS k, CASE WHEN lag(category) OVER w IS NOT DISTINCT FROM category THEN '' ELSE chr(10) || '## ' || category || chr(10) || chr(10) END || '- ' || severity || ': ' || path || ' ' || change || chr(10) AS b FROM f WINDOW w AS (PARTITION BY run ORDER BY category, path, change, message)),
 s AS (SELECT *, sum(length(b)) OVER (PARTITION BY run ORDER BY k) AS total FROM o)
 SELECT run, md5(coalesce(string_agg(b, '' ORDER BY k) FILTER (WHERE total <= 2000), '')) AS text_md5, count(*) FILTER (WHERE total <= 2000) AS shown, count(*) FILTER (WHERE total > 2000) AS more FROM s GROUP BY run""",
-    "findings_documents": f"""WITH {_FINDINGS} SELECT run, md5('{{"version":"1","findings":[' || string_agg('{{"path":"' || path || '","category":"' || category || '","change":"' || change || '","message":"' || message || '"}}', ',' ORDER BY path, category, change, message) || ']}}') AS document_md5 FROM f GROUP BY run""",
+    "findings_documents": f"""WITH {_FINDINGS}, o AS (SELECT *, (row_number() OVER (PARTITION BY run ORDER BY path, category, change, message) - 1) // 10000 AS part FROM f)
+SELECT run, part, md5('{{"version":"1","findings":[' || string_agg('{{"path":"' || path || '","category":"' || category || '","change":"' || change || '","message":"' || message || '"}}', ',' ORDER BY path, category, change, message) || ']}}') AS document_md5 FROM o GROUP BY run, part""",
+    "projects_result": f"""WITH p AS (SELECT 'team' || (user_id % 7) || '/r' || user_id || '.Report' AS path, CASE user_id % 8 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'skipped' WHEN 3 THEN 'error' ELSE 'changed' END AS status, {_SEVERITY} AS severity FROM (SELECT user_id, {_CATEGORY} AS category, {_CHANGE} AS change FROM events)),
+g AS (SELECT path, status, count(*) FILTER (WHERE status = 'changed' AND severity = 'critical') AS critical, count(*) FILTER (WHERE status = 'changed' AND severity = 'warning') AS warning, count(*) FILTER (WHERE status = 'changed' AND severity = 'info') AS info FROM p GROUP BY ALL),
+r AS (SELECT row_number() OVER (ORDER BY path) AS position, * FROM g UNION ALL SELECT 0, NULL, NULL, sum(critical)::BIGINT, sum(warning)::BIGINT, sum(info)::BIGINT FROM g)
+SELECT *, '{{' || coalesce('"path":"' || path || '","status":"' || status || '",', '') || '"severity_counts":{{"critical":' || critical || ',"warning":' || warning || ',"info":' || info || '}}}}' AS document FROM r""",
+    "view_pages": "WITH p AS (SELECT page_id // 20 AS report, 'p' || page_id AS name, page_id * 7 % 5 AS ordinal, CASE page_id % 3 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'unchanged' END AS status FROM pages) SELECT *, row_number() OVER (PARTITION BY report ORDER BY ordinal, status = 'removed', name) AS position FROM p",
+    "view_visuals": "WITH v AS (SELECT p_partkey // 12 AS page, 'v' || p_partkey AS name, CASE WHEN p_size % 4 = 0 THEN 'modified' ELSE 'unchanged' END AS status FROM part) SELECT *, row_number() OVER (PARTITION BY page ORDER BY name) AS position FROM v",
     "files_changed": f"WITH {_LISTINGS} SELECT path, change FROM ch",
     "units_changed": f"WITH {_LISTINGS} SELECT unit FROM cu WHERE starts_with(unit, 'team1/')",
     "model_readers": f"WITH {_LISTINGS} SELECT model, report FROM rd",

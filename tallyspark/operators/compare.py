@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordering import positions_within
 from ..functions.values import MASKED, TOTAL, differs, display_column, kind_of, without_nan
 
 MAX_FINDINGS = 20
@@ -200,7 +201,7 @@ def _comparable(c: Column, t: T.DataType) -> list[Column]:
 
 def row_positions(rows: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
     """Adds position among the rows of one result, nulls first; results are told apart by `by`."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.col(k).asc_nulls_first() for k in keys])))
+    return positions_within(rows, by, [F.col(k) for k in keys])
 
 
 def attribute(old: DataFrame, cross: DataFrame, new: DataFrame, keys, values, tolerance: Tolerance = Tolerance(), by: list[str] = ()) -> DataFrame:

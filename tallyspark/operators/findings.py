@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
+from ..functions.ordering import positions_within
 from ..functions.values import ancestors, finding_key, scope, severity, severity_rank, visual_of_path
 
 #: The total order of findings; nulls count as empty.
 ORDER = ("path", "category", "change", "message", "old", "new")
 
+#: Findings or keys that one row of a list holds; longer lists go on in further parts.
+PART = 10_000
+
 
 def order_columns(columns=ORDER) -> list[Column]:
     return [F.coalesce(F.col(c), F.lit("")) for c in columns]
@@ -82,11 +86,17 @@ def item_status(items: DataFrame, findings: DataFrame, by: list[str]) -> DataFra
     return out.withColumn("status", status).drop("_n", "_said")
 
 
-def by_visual(findings: DataFrame, visuals: DataFrame, by: list[str]) -> DataFrame:
-    """(by.., visual, n, keys): findings on known visuals, by their own visual_path or the first two segments of a page-scoped path."""
+def in_parts(rows: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
+    """Adds `part`, from 0: the group's rows in order, `most` to a part."""
+    return positions_within(rows, by, order, "_position").withColumn("part", F.expr(f"(_position - 1) div {int(most)}")).drop("_position")
+
+
+def by_visual(findings: DataFrame, visuals: DataFrame, by: list[str], most: int = PART) -> DataFrame:
+    """(by.., visual, part, n, keys): findings on known visuals, by their own visual_path or the first two segments of a page-scoped path; keys in order, at most `most` in a part."""
     key = F.coalesce(F.col("visual_path"), F.when(F.col("scope") == "page", visual_of_path(F.col("path"))))
     placed = findings.withColumn("visual", key).join(visuals.select(*by, "visual").distinct(), [*by, "visual"], "left_semi")
-    return placed.groupBy(*by, "visual").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("key")).alias("keys"))
+    dealt = in_parts(placed.select(*by, "visual", "key"), [*by, "visual"], [F.col("key")], most)
+    return dealt.groupBy(*by, "visual", "part").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("key")).alias("keys"))
 
 
 def masked_findings(findings: DataFrame, allow_data: bool = False) -> DataFrame:
@@ -142,21 +152,54 @@ def with_explanations(findings: DataFrame, texts: DataFrame, most: int = 600) ->
 
 
 def markdown(findings: DataFrame, by: list[str], limit: int = 65_536 - 1_000) -> DataFrame:
-    """(by.., text, shown, more): findings by category and order, under category headings, up to the size limit; the first block that would exceed it ends the text."""
-    w = Window.partitionBy(*by).orderBy("category", *order_columns([c for c in ORDER if c in findings.columns]))
+    """(by.., text, shown, more): findings by category and order, under category headings, up to the size limit; the first block that would exceed it ends the text. Nulls count as empty.
+
+    No block is shorter than its marks, so only so many first findings can fit. The first of each
+    task's findings hold the first of all: no task sorts more of a run than that.
+    """
+    by_order = ["category", *[c for c in ORDER if c in findings.columns]]
+    most = limit // len("- :  \n") + 1
+    filled = findings.select(*by, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in dict.fromkeys([*by_order, "severity"])])
+    first = lambda rows, within: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*within).orderBy(*by_order))).where(F.col("_n") <= most)
+    near = first(first(filled.withColumn("_task", F.spark_partition_id()), [*by, "_task"]), by)
+    w = Window.partitionBy(*by).orderBy("_n")
     head = F.when(F.lag("category").over(w).eqNullSafe(F.col("category")), F.lit("")).otherwise(F.concat(F.lit("\n## "), F.col("category"), F.lit("\n\n")))
     block = F.concat(head, F.lit("- "), F.col("severity"), F.lit(": "), F.col("path"), F.lit(" "), F.col("change"), F.lit("\n"))
-    sized = findings.withColumn("_b", block).withColumn("_n", F.row_number().over(w)).withColumn("_sum", F.sum(F.length("_b")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = sized.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(F.col("_sum") <= limit, F.struct("_n", "_b")))).alias("_l"), F.count("*").alias("_all"))
-    shown = F.size("_l")
-    return kept.select(*by, F.array_join(F.transform("_l", lambda x: x["_b"]), "").alias("text"), shown.cast("bigint").alias("shown"), (F.col("_all") - shown).alias("more"))
+    sized = near.withColumn("_b", block).withColumn("_sum", F.sum(F.length("_b")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = sized.where(F.col("_sum") <= limit).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_n", "_b"))).alias("_l"))
+    texts = kept.select(*by, F.array_join(F.transform("_l", lambda x: x["_b"]), "").alias("text"), F.size("_l").cast("bigint").alias("shown"), F.lit(0).cast("bigint").alias("_all"))
+    counts = filled.groupBy(*by).agg(F.count("*").alias("_all")).select(*by, F.lit("").alias("text"), F.lit(0).cast("bigint").alias("shown"), "_all")
+    each = texts.unionByName(counts).groupBy(*by).agg(F.max("text").alias("text"), F.sum("shown").alias("shown"), F.sum("_all").alias("_all"))
+    return each.select(*by, "text", "shown", (F.col("_all") - F.col("shown")).alias("more"))
 
 
-def documents(findings: DataFrame, by: list[str]) -> DataFrame:
-    """(by.., document): one JSON document for each run, findings in their order."""
-    cols = [c for c in findings.columns if c not in by]
-    ordered = F.array_sort(F.collect_list(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (*ORDER, *[c for c in cols if c not in ORDER]) if c in cols])))
-    return findings.groupBy(*by).agg(F.to_json(F.struct(F.lit("1").alias("version"), ordered.alias("findings"))).alias("document"))
+def documents(findings: DataFrame, by: list[str], most: int = PART) -> DataFrame:
+    """(by.., part, document): a JSON document for each run, findings in their order; a run of more than `most` findings goes on in further documents. Nulls count as empty."""
+    cols = [c for c in (*ORDER, *[c for c in findings.columns if c not in ORDER]) if c in findings.columns and c not in by]
+    texts = findings.select(*by, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols])
+    ordered = F.array_sort(F.collect_list(F.struct(*cols)))
+    return in_parts(texts, by, [F.col(c) for c in cols], most).groupBy(*by, "part").agg(F.to_json(F.struct(F.lit("1").alias("version"), ordered.alias("findings"))).alias("document"))
+
+
+def over_projects(runs: DataFrame, findings: DataFrame) -> DataFrame:
+    """(position, path, status, critical, warning, info, document): the result over many projects, runs(path, status) in the order of paths; the row at 0, without a path, holds the totals.
+
+    Findings(path of the project as `project`, severity) count for changed projects only: added,
+    removed, skipped and failed ones were not compared. Each row has its JSON form.
+    """
+    counts = [F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "warning", "info")]
+    found = findings.groupBy(F.col("project").alias("path")).agg(*counts)
+    shown = [F.when(F.col("status") == "changed", F.coalesce(s, F.lit(0))).otherwise(0).cast("bigint").alias(s) for s in ("critical", "warning", "info")]
+    each = positions_within(runs.select("path", "status").join(found, "path", "left").select("path", "status", *shown), [], [F.col("path")]).withColumn("position", F.col("position").cast("bigint"))
+    total = each.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in ("critical", "warning", "info")]).select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("status"), "critical", "warning", "info", F.lit(0).cast("bigint").alias("position"))
+    document = F.to_json(F.struct("path", "status", F.struct("critical", "warning", "info").alias("severity_counts")))
+    return each.unionByName(total).select("position", "path", "status", "critical", "warning", "info", document.alias("document"))
+
+
+def in_view_order(items: DataFrame, by: list[str], ordinal: str | None = None) -> DataFrame:
+    """Adds the place of items(by.., name, status) in a view: pages by their ordinal, removed ones after others of the same, then by name; without an ordinal, as visuals are, by name."""
+    order = [F.col("name")] if ordinal is None else [F.col(ordinal), F.col("status") == "removed", F.col("name")]
+    return positions_within(items, by, order).withColumn("position", F.col("position").cast("bigint"))
 
 
 def write_findings(findings: DataFrame, path: str, by: list[str]) -> None:
