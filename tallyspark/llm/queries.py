@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, pii, quality, sharding, suffix_dedup, token_files, toxicity, url_filters
+from . import decontaminate, mixing, more_queries, ngram_join, pii, quality, sharding, suffix_dedup, token_files, toxicity, url_filters
 from .common import read_table
 
 
@@ -70,6 +70,7 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    **more_queries.QUERIES,
 }
 
 _OP3 = r"""
@@ -170,4 +171,4 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
 
-ORACLE = {"op2_ngram_join": _OP2, "op3_url_filters": _OP3, "op6_mix_sources": _OP6, "op7_decontaminate": _OP7, "op8_shards": _OP8}
+ORACLE = {"op2_ngram_join": _OP2, "op3_url_filters": _OP3, "op6_mix_sources": _OP6, "op7_decontaminate": _OP7, "op8_shards": _OP8, **more_queries.ORACLE}
