@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import content_key, materialize, small_side
+from .spans import SPAN, count_in, located, names_of, replaced
 
 #: Kinds in the order in which spans with one start stand.
 KINDS = ("email", "ip", "card", "phone", "term", "trait")
@@ -42,70 +43,6 @@ MAX_TERMS = 50_000
 
 #: Code points of a sentence that are looked at on either side of an entity, and what ends a sentence.
 REACH, _ENDS = 200, r".!?\n\u3002"
-#: Steps of a fold over a text's matches that copy what they gather; so many of them are folded apart and then put together, so that the time grows with the matches and not with their square.
-BLOCK = 256
-
-_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
-
-
-def _once(value: Column, use) -> Column:
-    """use(value) with the value computed once, and not at every mention."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _blocks(items: Column) -> Column:
-    """An array cut into arrays of BLOCK items; the array must not be empty."""
-    last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
-
-
-def _running(lengths: Column) -> Column:
-    """The running sums of an array of int that is not empty."""
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    own = lambda block: F.aggregate(block, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out")), lambda acc: acc["out"])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
-    shift = lambda acc, block: F.struct((acc["at"] + F.element_at(block, -1)).alias("at"), F.concat(acc["out"], F.array(F.transform(block, lambda n: n + acc["at"]))).alias("out"))
-    return F.aggregate(F.transform(_blocks(lengths), own), start, shift, lambda acc: F.flatten(acc["out"]))
-
-
-def _located(text: Column, pattern: str | Column, kind: int) -> Column:
-    """All matches as (start, kind, end, value), in code points."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-
-    def spans(x: Column) -> Column:
-        return F.transform(x["m"], lambda v, i: F.struct((x["ends"][i] - F.length(v)).alias("start"), F.lit(kind).alias("kind"), x["ends"][i].alias("end"), v.alias("value")))
-
-    def walk(x: Column) -> Column:
-        lengths = F.transform(x["m"], lambda v, i: F.length(x["p"][i]) + F.length(v))
-        ends = _once(lengths, _running)
-        return F.when(F.size(x["m"]) > 0, _once(F.struct(x["m"].alias("m"), ends.alias("ends")), spans)).otherwise(F.array().cast(_SPAN))
-
-    return _once(F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("m")), walk)
-
-
-def _replaced(text: Column, spans: Column, label) -> Column:
-    """The text with label(span) for each of its spans, which stand by start; one that begins inside another goes with it."""
-
-    def fill(b: Column) -> Column:
-        """One block of spans over its own piece of the text: places are looked up by counting from the piece's start."""
-        start = F.struct(b["from"].alias("at"), F.lit("").alias("out"))
-
-        def step(acc: Column, s: Column) -> Column:
-            gap = F.substring(b["piece"], acc["at"] - b["from"] + 1, s["start"] - acc["at"])
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, label(s))).otherwise(acc["out"]).alias("out"))
-
-        return F.aggregate(b["spans"], start, step)
-
-    def block(acc: Column, part: Column) -> Column:
-        to = F.array_max(F.transform(part, lambda s: s["end"]))
-        b = F.struct(acc["at"].alias("from"), F.substring(text, acc["at"] + 1, F.greatest(to - acc["at"], F.lit(0))).alias("piece"), part.alias("spans"))
-        return _once(_once(b, fill), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], d["out"]).alias("out")))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(_blocks(spans), start, block, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
-
-
 def _luhn(digits: Column) -> Column:
     doubled = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
 
@@ -122,18 +59,18 @@ def _digits(value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """The base entities of a text, by start and kind. Matches that fail their test are dropped, not tried again."""
-    none = F.array().cast(_SPAN)
-    email = F.when(F.contains(text, F.lit("@")), _located(text, EMAIL, 0)).otherwise(none)
-    ip = F.filter(_located(text, IP, 1), lambda s: s["value"].rlike(IP_VALID))
+    none = F.array().cast(SPAN)
+    email = F.when(F.contains(text, F.lit("@")), located(text, EMAIL, 0)).otherwise(none)
+    ip = F.filter(located(text, IP, 1), lambda s: s["value"].rlike(IP_VALID))
     length = lambda s: F.length(_digits(s["value"]))
-    card = F.filter(F.filter(_located(text, CARD, 2), lambda s: length(s).between(12, 19)), lambda s: _luhn(_digits(s["value"])))
-    phone = F.when(F.contains(text, F.lit("+")), F.filter(_located(text, PHONE, 3), lambda s: length(s).between(9, 15))).otherwise(none)
+    card = F.filter(F.filter(located(text, CARD, 2), lambda s: length(s).between(12, 19)), lambda s: _luhn(_digits(s["value"])))
+    phone = F.when(F.contains(text, F.lit("+")), F.filter(located(text, PHONE, 3), lambda s: length(s).between(9, 15))).otherwise(none)
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
 def _bare(text: Column, base: Column) -> Column:
     """The text without its entities."""
-    return _replaced(text, base, lambda x: F.lit(" "))
+    return replaced(text, base, lambda x: F.lit(" "))
 
 
 def _sentence(text: Column, x: Column) -> Column:
@@ -206,7 +143,7 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     hits = small_side(materialize(hits, "hits"))
     shown = docs.select(content_key(F.col(text)).alias("key"), whole.alias("text")).join(hits, "key")
     pattern = F.concat(F.lit(f"(?<!{_LETTER})(?:"), F.array_join(F.transform("hits", lambda h: h["word"]), "|"), F.lit(f")(?!{_LETTER})"))
-    more = F.transform(_located(F.col("text"), pattern, 4), lambda x: F.struct(x["start"].alias("start"), F.element_at(F.map_from_entries("hits"), x["value"]).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
+    more = F.transform(located(F.col("text"), pattern, 4), lambda x: F.struct(x["start"].alias("start"), F.element_at(F.map_from_entries("hits"), x["value"]).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
     out = spans.join(shown.select("key", more.alias("more")).dropDuplicates(["key"]), "key", "left")
     extra = F.filter("more", lambda s: ~F.exists("base", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
     return out.select("doc_id", "key", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", extra))).alias("spans"))
@@ -231,11 +168,11 @@ def _shown(texts: DataFrame, held: DataFrame, risky: DataFrame, max_terms: int,
 
 def named(spans: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"], s["end"])), ",")
+    return names_of(spans, KINDS)
 
 
 def count_of(spans: Column, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+    return count_in(spans, KINDS.index(kind))
 
 
 def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -243,5 +180,5 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     spans = personal_data(docs, text, **options).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans"))
     rows = docs.withColumn("_key", content_key(F.col(text))).join(spans.withColumnRenamed("key", "_key"), "_key", "left")
     label = lambda x: F.element_at(F.array(*[F.lit(MASKS[k]) for k in KINDS]), x["kind"] + 1)
-    masked = _replaced(F.col(text), F.col("_spans"), label)
+    masked = replaced(F.col(text), F.col("_spans"), label)
     return rows.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(masked)).select(*[F.col(f"`{c}`") for c in docs.columns])
