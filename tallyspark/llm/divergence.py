@@ -118,7 +118,7 @@ def probabilities(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return q + 1
 
 
-def _block(counts: pa.Table, groups: pa.Table, tile: int) -> tuple[list, list]:
+def _block(counts: pa.Table, groups: pa.Table, tile: range) -> tuple[list, list]:
     """One block of a language: counts(source, term, n) and groups(source, total, lang_total) of all its sources.
 
     Returns (source, other, value) sums for the tile's sources against those after them, and the
@@ -146,7 +146,7 @@ def _block(counts: pa.Table, groups: pa.Table, tile: int) -> tuple[list, list]:
     p = probabilities(n, totals[row])
     zero = probabilities(np.zeros(len(names), np.int64), totals)
     pairs, above = [], []
-    for a in range(tile * TILE, min(len(names), (tile + 1) * TILE)):
+    for a in tile[: max(0, len(names) - tile.start)]:
         mine = slice(begin[a], begin[a + 1])
         over = p[mine] - lang_p[column[mine]]
         if len(over):
@@ -189,7 +189,7 @@ def _largest(values: np.ndarray, vocabulary: pa.Array, column: np.ndarray) -> li
     return list(zip(vocabulary.take(pa.array(column[keep])).to_pylist(), values[keep].tolist(), strict=True))
 
 
-def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP, block: int = LEAST_BLOCK, tile: int = TILE) -> DataFrame:
     """(lang, source, part, item, value, rank): for every (lang, source) of docs its divergence from each other source of the language (part `pair`), and the terms by which it lies above the language most (part `term`, the first `top`).
 
     A language keeps the terms that min_docs of its documents show. p of a kept term is 1 + floor(SCALE *
@@ -214,21 +214,22 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     by_lang = full.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.sum("entries").alias("entries"), F.count("*").alias("sources"))
     full = full.drop("entries").join(by_lang, "lang").select("lang", "source", (F.col("n") + ADDED * F.col("v")).alias("total"), (F.col("lang_n") + ADDED * F.col("v")).alias("lang_total"), "v", "entries", "sources")
     full = materialize(full, "totals")
-    dealt = _dealt(full)
+    size = F.greatest(F.lit(block), F.least(F.lit(MOST_BLOCK), F.col("sources") * F.col("sources")))
+    dealt = full.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("entries") / size)).cast("int")).withColumn("tiles", F.ceil(F.col("sources") / F.lit(tile)).cast("int"))
     shape = dealt.select("lang", "blocks", "tiles").distinct()
-    tiles = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")
-    entries = used.join(small_side(materialize(shape, "shape")), "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), tiles, "source", "term", "n")
-    totals = dealt.where("v > 0").select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", "total", "lang_total", "tiles").select("lang", "block", tiles, "source", "total", "lang_total")
+    each_tile = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")
+    entries = used.join(small_side(materialize(shape, "shape")), "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), each_tile, "source", "term", "n")
+    totals = dealt.where("v > 0").select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", "total", "lang_total", "tiles").select("lang", "block", each_tile, "source", "total", "lang_total")
 
-    def block(key: tuple, own: pa.Table, of: pa.Table) -> pa.Table:
-        name, tile = key[0].as_py(), key[2].as_py()
-        pairs, above = _block(own, of, tile) if own.num_rows else ([], [])
+    def summed(key: tuple, own: pa.Table, of: pa.Table) -> pa.Table:
+        name, at = key[0].as_py(), key[2].as_py() * tile
+        pairs, above = _block(own, of, range(at, at + tile)) if own.num_rows else ([], [])
         found = [("pair", *x) for x in pairs] + [("term", *x) for x in above]
         part, first, second, value = zip(*found, strict=True) if found else ((), (), (), ())
         return pa.table([pa.array([name] * len(found), pa.string()), pa.array(part, pa.string()), pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(value, pa.int64())], names=["lang", "part", "source", "item", "value"])
 
     keys = ["lang", "block", "tile"]
-    found = materialize(entries.groupBy(*keys).cogroup(totals.groupBy(*keys)).applyInArrow(block, "lang string, part string, source string, item string, value long"), "blocks")
+    found = materialize(entries.groupBy(*keys).cogroup(totals.groupBy(*keys)).applyInArrow(summed, "lang string, part string, source string, item string, value long"), "blocks")
     sums = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     # A language without kept terms has pairs all the same.
     bare = groups.join(full.where("v = 0").select("lang").distinct(), "lang", "left_semi")
@@ -240,8 +241,3 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     terms = found.where("part = 'term'").select(*columns).withColumn("rank", place).where(F.col("rank") <= top)
     return pairs.select(*columns).withColumn("rank", place).unionByName(terms).select(*columns, F.col("rank").cast("int").alias("rank"))
 
-
-def _dealt(full: DataFrame) -> DataFrame:
-    """full with the numbers of blocks and tiles of its language."""
-    size = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.col("sources") * F.col("sources")))
-    return full.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("entries") / size)).cast("int")).withColumn("tiles", F.ceil(F.col("sources") / F.lit(TILE)).cast("int"))
