@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, materialize
+from .common import extended, materialize, slices
 
 #: Where the corpus says too little: (bytes from, least ratio, most ratio) of original to compressed size; the last row that applies counts.
 DOCUMENT_BANDS = ((0, 0.0, 3.5), (256, 1.2, 4.0), (512, 1.35, 4.0), (1024, 1.5, 4.5), (4096, 1.8, 5.0), (16384, 2.0, 6.0), (65536, 2.2, 8.0))
@@ -33,6 +33,8 @@ LEVEL = 3
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
+#: Bytes that begin no code point; counting the others needs no valid UTF-8.
+CONTINUATION = bytes(range(0x80, 0xC0))
 
 _ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_bytes long, ratio double, chunks array<float>"
 
@@ -71,8 +73,7 @@ def repeated_words(words: list[bytes]) -> int:
 def judge(text: bytes, packer: zstandard.ZstdCompressor) -> tuple:
     words = text.split()  # bytes.split() parts at ASCII white space only
     n = len(words)
-    continuation = len(text) - len(text.decode("utf-8", "surrogatepass")) if not text.isascii() else 0
-    word_chars = sum(map(len, words)) - continuation
+    word_chars = sum(map(len, words)) - (0 if text.isascii() else len(text) - len(text.translate(None, CONTINUATION)))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     lines = [x for x in text.split(b"\n") if x.strip()]
     duplicates = len(lines) - len(set(lines))
@@ -96,7 +97,8 @@ def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     """doc_id and, for its whole text (null: empty): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, the compression ratio, low and high (its limits), n_chunks and n_bad_chunks (outside the chunks' limits), the reason of a rejection (null: kept) and kept.
 
     Empty texts have no words and fail the base rules. Limits come from all rows of docs that
-    pass the base rules; repeated rows count as often as they stand there and get the same
+    pass the base rules. Bytes that are not UTF-8 belong to words, and count as code points unless
+    they look like the rest of one. Repeated rows count as often as they stand there and get the same
     verdict, null ids stay null, other columns are ignored, and an empty table gives an empty
     result.
     """
@@ -105,9 +107,9 @@ def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL)
-        for batch in batches:
+        for batch, _, _ in slices(batches):
             found = [judge(t, packer) for t in batch.column(1).to_pylist()]
-            columns = list(zip(*found, strict=True)) if found else [()] * 9
+            columns = list(zip(*found, strict=True))
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.float64(), pa.list_(pa.float32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=schema.names)
 
