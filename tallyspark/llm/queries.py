@@ -85,7 +85,10 @@ j AS (
          row_number() OVER (PARTITION BY page_id ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST, length(r.rhost) DESC) AS k
   FROM u LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN regexp_matches(host, '^(.*\.)?(cheap-pills|spam-farm)\.') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(verdict, CASE
+         WHEN len(list_intersect(regexp_split_to_array(host, '[.-]'), string_split('ads adserver adservice adclick banner popunder doubleclick track tracker clicktrack bet bets betting bingo casino casinos jackpot lottery poker roulette slots pill pills viagra cialis tramadol xanax porn porno xxx sex escort escorts camgirls spam spammer phishing malware warez cracks keygen torrent torrents', ' '))) > 0 THEN 'block'
+         WHEN len(list_intersect(list_transform(string_split(path, '/'), lambda x: string_split(x, '.')[1]), string_split('cart checkout login logout signin signup register wp-admin wp-login xmlrpc cgi-bin basket unsubscribe', ' '))) > 0 THEN 'block'
+         WHEN contains(path, '.') AND list_contains(string_split('exe msi apk dmg iso zip rar gz jpg jpeg png gif webp svg ico mp3 mp4 avi mov css js woff', ' '), string_split(path, '.')[-1]) THEN 'block' ELSE 'allow' END) AS verdict
 FROM j WHERE k = 1
 """
 

@@ -212,14 +212,44 @@ def test_urls(spark):
         None: ("", "", None, "allow"),
         "x://h#y://net/": ("h", "", None, "allow"),
         "x://net/a\nb": ("net", "/a\nb", "net/", "block"),
+        "http://a\nb.net/x": ("a\nb.net", "/x", "net/", "block"),
+        "http://a.b\n.org/fr/\n": ("a.b\n.org", "/fr/\n", "org/fr/", "allow"),
+        "http://m.casino-win.x.com/en/1": ("m.casino-win.x.com", "/en/1", None, "block"),
+        "http://casinos": ("casinos", "", None, "block"),
+        "http://mycasinos.com/casino": ("mycasinos.com", "/casino", None, "allow"),
+        "http://x.com/a/wp-login.php": ("x.com", "/a/wp-login.php", None, "block"),
+        "http://x.com/a/wp-logins/b": ("x.com", "/a/wp-logins/b", None, "allow"),
+        "http://x.com/a/login": ("x.com", "/a/login", None, "block"),
+        "http://x.com/a.zip?q": ("x.com", "/a.zip", None, "block"),
+        "http://x.com/a.zip/b": ("x.com", "/a.zip/b", None, "allow"),
+        "http://x.com/a.ZIP": ("x.com", "/a.ZIP", None, "allow"),
     }
     df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(cases)], "page_id long, url string, rule string")
     got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge_urls(df).collect()}
     assert got == cases
-    assert url_filters.judge_urls(df.limit(0)).count() == 0
+    assert {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge_urls(df, max_inline=0).collect()} == cases
+    assert url_filters.judge_urls(df.limit(0)).count() == url_filters.judge_urls(df.limit(0), max_inline=0).count() == 0
     assert {r.verdict for r in url_filters.judge_urls(df, host_rules=(), patterns=()).collect()} == {"allow"}
 
 
+def test_many_url_rules_beside_brute_force(spark):
+    """More rules than travel with a plan, with and without paths, equal lengths and both verdicts."""
+    rng = random.Random(5)
+    host = lambda: ".".join(rng.choice(["a", "bb", "c-d", "x1", "com", "net"]) for _ in range(rng.randint(1, 3)))
+    rules = [url_filters.HostRule(rng.choice(["block", "allow"]), host(), rng.choice(["", "/", "/p", "/p/", "/q/p/"])) for _ in range(1500)]
+    urls = [f"http://{host()}{rng.choice(['', '/', '/p', '/px', '/p/q', '/q/p/', '/q/p'])}" for _ in range(400)]
+
+    def judged(url):
+        h, slash, p = url[7:].partition("/")
+        fits = [(len(r.name), len(r.host), r.verdict == "block", r) for r in rules if (h == r.host or h.endswith("." + r.host)) and (slash + p).startswith(r.path)]
+        return max(fits, key=lambda x: x[:3], default=(0, 0, 0, url_filters.HostRule("allow", None, "")))[3]
+
+    got = url_filters.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), host_rules=rules, patterns=()).collect()
+    for r in got:
+        best = judged(r.url)
+        assert (r.rule, r.verdict) == (best.name if best.host else None, best.verdict), r.url
+
+
 # ------------------------------------------------------------------ 4
 
 
@@ -469,6 +499,22 @@ def test_mixed_documents(docs, texts):
     assert count == {i: n for i, n in taken.items() if n}
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "few", "own"])
+def test_mixed_documents_meet_their_targets(spark, ids):
+    """Whatever ids repeat: equal texts, equal rows, different texts of one id."""
+    of = {"null": lambda i: None, "one": lambda i: 7, "few": lambda i: i % 3, "own": lambda i: i}[ids]
+    rows = [(of(i), " ".join(["w"] * 9 + [f"x{i % 40}"]), "en", f"s{i % 2}", i) for i in range(250)]
+    rows += [(of(i), "only this here", "en", "s2", i) for i in range(30)]
+    docs = spark.createDataFrame(rows, DDL).withColumn("most", F.lit("mine")).repartition(3)
+    targets = {r.source: r.target for r in mixing.mix_sources(docs).select("source", "target").distinct().collect()}
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    found: dict = {}
+    for r in out.collect():
+        found[r.source] = found.get(r.source, 0) + len(words_of(r.text))
+    assert found == {s: round(t) for s, t in targets.items()}
+
+
 # ------------------------------------------------------------------ 7
 
 
@@ -661,3 +707,10 @@ def test_slices_cover_all_rows():
     batch = pa.RecordBatch.from_arrays([column], names=["text"])
     parts = [(b.num_rows, e.tolist()) for b, _, e in slices(iter([batch]), most=10)]
     assert sum(n for n, _ in parts) == 5
+
+
+def test_quality_of_bytes_that_are_no_text(spark):
+    raw = [b"\xff\xfe caf\xc3\xa9 \x80\x80 ab#", "é ü".encode(), b"\xf0\x9f\x98\x80", b"ok \xc3"]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)], "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols) for r in quality.quality(df).collect()}
+    assert got == {0: (4, 9, 1), 1: (2, 2, 0), 2: (1, 1, 0), 3: (2, 3, 0)}
