@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it. Unset, it is an error on a cluster; on one machine (tests) a temporary one is set."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, checkpointed into the folder of spark.checkpoint.dir, which must be one that all executors share."""
+    """df, checkpointed into the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        at = sc.getConf().get("spark.checkpoint.dir")
-        if not at and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))  # one machine: any folder is shared
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

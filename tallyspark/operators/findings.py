@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut_lineage
-from ..functions.ordering import positions_within
+from ..functions.assignment import TASK_PAIRS, first_come
+from ..functions.ordering import GROUP_ROWS, positions_within
 from ..functions.values import ancestors, finding_key, scope, severity, severity_rank, visual_of_path
 
 #: The total order of findings; nulls count as empty.
@@ -26,10 +26,13 @@ def completed(findings: DataFrame) -> DataFrame:
     return out.withColumn("base_key", finding_key(F.col("scope"), F.col("category"), F.col("change"), F.col("path")))
 
 
-def numbered(findings: DataFrame, by: list[str]) -> DataFrame:
-    """Stable keys: repeats of a key in a run get #2, #3, ... in sort order, so that other findings never change a key."""
-    n = F.row_number().over(Window.partitionBy(*by, "base_key").orderBy(*order_columns([c for c in ORDER if c in findings.columns])))
-    return findings.withColumn("key", F.when(n > 1, F.concat(F.col("base_key"), F.lit("#"), n)).otherwise(F.col("base_key")))
+def numbered(findings: DataFrame, by: list[str], most: int = GROUP_ROWS) -> DataFrame:
+    """Stable keys: repeats of a key in a run get #2, #3, ... in sort order, findings that are equal in it by their other columns, so that other findings never change a key. A key of more than `most` findings is numbered in many tasks."""
+    own = [c for c in ORDER if c in findings.columns]
+    rest = [c for c in findings.columns if c not in own]
+    n = F.col("_number")
+    placed = positions_within(findings, [*by, "base_key"], order_columns([*own]) + [F.col(c).cast("string") for c in rest], "_number", most)
+    return placed.withColumn("key", F.when(n > 1, F.concat(F.col("base_key"), F.lit("#"), n)).otherwise(F.col("base_key"))).drop("_number")
 
 
 def at_least(findings: DataFrame, threshold: str) -> DataFrame:
@@ -123,25 +126,11 @@ def pairable_categories(findings: DataFrame) -> DataFrame:
     return one("removed").intersect(one("added"))
 
 
-def vetted(proposals: DataFrame, removed: DataFrame, added: DataFrame, by: list[str]) -> DataFrame:
-    """Proposed renames(by.., position, category, old, new, confidence) whose ends are known, of one category, each path used once in the order of proposals; confidence within 0 and 1.
-
-    A proposal is out only if an accepted one before it has an end of its own. Accepted are, round
-    by round, those that come first at both ends; each round settles at least the first of what is left.
-    """
+def vetted(proposals: DataFrame, removed: DataFrame, added: DataFrame, by: list[str], task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """Proposed renames(by.., position, category, old, new, confidence) whose ends are known, of one category, each path used once in the order of proposals (by their ends where positions repeat); confidence within 0 and 1."""
     known = proposals.join(removed.select(*by, "category", F.col("path").alias("old")).distinct(), [*by, "category", "old"]).join(added.select(*by, "category", F.col("path").alias("new")).distinct(), [*by, "category", "new"])
-    left = known.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))))
-    accepted = left.limit(0)
-    while True:
-        first = lambda end: F.min("position").over(Window.partitionBy(*by, "category", end))
-        winners = left.withColumns({"_o": first("old"), "_n": first("new")}).where("position = _o AND position = _n").drop("_o", "_n")
-        winners = cut_lineage(winners)
-        if winners.isEmpty():
-            return accepted
-        accepted = accepted.unionByName(winners)
-        for end in ("old", "new"):
-            left = left.join(winners.select(*by, "category", end), [*by, "category", end], "left_anti")
-        left = cut_lineage(left)
+    known = known.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))))
+    return first_come(known, [*by, "category"], [F.col("position"), F.col("old"), F.col("new")], task_pairs)
 
 
 def with_explanations(findings: DataFrame, texts: DataFrame, most: int = 600) -> DataFrame:

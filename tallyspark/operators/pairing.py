@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut_lineage
+from ..functions.assignment import TASK_PAIRS, first_come
 
 WEIGHTS = {"type": 0.3, "title": 0.2, "fields": 0.3, "position": 0.2}
 THRESHOLD = 0.6
@@ -65,53 +65,98 @@ def similarity(old: dict[str, Column], new: dict[str, Column], fields: Column |
 COLUMNS = ("type", "title", "fields", "x", "y", "width", "height", "page_width", "page_height")
 
 
+#: What the rounding of a score may add to it.
+ROUNDING = 1e-6
+#: Positions tell pairs apart where they may lie no further from each other than this share of a page; cells are so many times as wide.
+NEAR, CELL = 0.1, 8
+#: Fields that at least one of so many visuals has are frequent.
+FREQUENT = 100
+
+
+def _sized(df: DataFrame, side: str, block: list[str], ident: str, name: str) -> DataFrame:
+    centre = lambda v, size, page: (F.col(v) + F.col(size) / 2) / F.col(page)
+    tokens = F.array_distinct(F.transform("fields", lambda f: F.xxhash64(f)))
+    return df.select(
+        *[F.col(b).alias(f"{side}_b{i}") for i, b in enumerate(block)],
+        F.col(ident).alias(name),
+        *[F.col(x).alias(f"{side}_{x}") for x in COLUMNS],
+        F.size("fields").alias(f"{side}_n"),
+        tokens.alias(f"{side}_tokens"),
+        centre("x", "width", "page_width").alias(f"{side}_cx"),
+        centre("y", "height", "page_height").alias(f"{side}_cy"),
+    )
+
+
+def _with_prefixes(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their fields' hashes in one order, frequent ones last by their counts. At most FREQUENT times as many are frequent as a visual has fields."""
+    each = a.select(F.col("o_tokens").alias("t")).unionByName(b.select(F.col("n_tokens").alias("t")))
+    visuals = each.agg(F.count("*").alias("_visuals"))
+    counts = each.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("n")).crossJoin(F.broadcast(visuals)).where(F.col("n") * FREQUENT >= F.col("_visuals"))
+    ranks = F.broadcast(counts.agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("_ranks")))
+    rank = lambda t: F.struct(F.coalesce(F.col("_ranks")[t], F.lit(0)).alias("n"), t.alias("t"))
+    placed = lambda df, s: df.crossJoin(ranks).withColumn(f"{s}_tokens", F.transform(F.array_sort(F.transform(f"{s}_tokens", rank)), lambda x: x["t"])).drop("_ranks")
+    return placed(a, "o"), placed(b, "n")
+
+
+def _by_fields(a: DataFrame, b: DataFrame, on: list[Column], share: float) -> DataFrame:
+    """Pairs whose sets of fields agree by at least `share`: the first fields of both, in one order, have one in common; the first such one makes the pair."""
+
+    def prefixed(df: DataFrame, s: str) -> DataFrame:
+        n = F.size(f"{s}_tokens")
+        prefix = F.when(n == 0, F.array(F.lit(0).cast("long"))).otherwise(F.slice(f"{s}_tokens", F.lit(1), (n - F.ceil(F.lit(share) * n) + 1).cast("int")))
+        return df.withColumn(f"{s}_prefix", prefix).withColumn(f"{s}_token", F.explode(f"{s}_prefix"))
+
+    once = F.get(F.array_intersect("o_prefix", "n_prefix"), F.lit(0)) == F.col("o_token")
+    sizes = F.least("o_n", "n_n") >= F.lit(share) * F.greatest("o_n", "n_n")
+    return prefixed(a, "o").join(prefixed(b, "n"), reduce(lambda x, y: x & y, [*on, F.col("o_token") == F.col("n_token"), sizes, once]))
+
+
+def _by_place(a: DataFrame, b: DataFrame, on: list[Column], reach: float) -> DataFrame:
+    """Pairs whose centres lie within reach: one side stands in its cell of a grid, the other in every cell that it reaches."""
+    cell = lambda c: F.floor(c / (reach * CELL)).cast("long")
+    cells = lambda c: F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach)))
+    a = a.withColumns({"o_gx": cell(F.col("o_cx")), "o_gy": cell(F.col("o_cy"))})
+    b = b.withColumn("n_gx", cells("n_cx")).withColumn("n_gy", cells("n_cy"))
+    return a.join(b, reduce(lambda x, y: x & y, [*on, F.col("o_gx") == F.col("n_gx"), F.col("o_gy") == F.col("n_gy")]))
+
+
 def candidates(old: DataFrame, new: DataFrame, block: list[str], ident: str, threshold: float = THRESHOLD) -> DataFrame:
     """(block.., old, new, score) of pairs in a block that reach the threshold. Each side has block, ident and COLUMNS.
 
-    What a pair may lack follows from the threshold: where it can't do without the weight of an
-    equal type, or of an equal type and an equal title both, those are part of the join. Of the
-    pairs that meet, fields are compared only where place, title and the numbers of fields leave
-    enough.
+    Whether types and titles agree makes four kinds of pairs, and each kind's weights leave what
+    fields and places must add. What is left over may need fields that agree by a least share (an
+    index of the fields that come first then finds the pairs), or places within a reach (a grid
+    finds them); or neither, where type and title do already: then nearly all such pairs are the
+    result.
     """
     if not 0 <= threshold <= 1:
         raise ValueError(f"a threshold between 0 and 1, not {threshold}")
-    sized = lambda df, s, c: df.select(*[F.col(b).alias(f"{s}_b{i}") for i, b in enumerate(block)], F.col(ident).alias(c), *[F.col(x).alias(f"{s}_{x}") for x in COLUMNS], F.size("fields").alias(f"{s}_n"))
-    a, b = sized(old, "o", "old"), sized(new, "n", "new")
+    a, b = _sized(old, "o", block, ident, "old"), _sized(new, "n", block, ident, "new")
     sides = [{c: F.col(f"{s}_{c}") for c in COLUMNS} for s in "on"]
-    score = similarity(*sides)
     # Of the fields no more can agree than the smaller set has.
     most = F.when(F.greatest("o_n", "n_n") == 0, F.lit(1.0)).otherwise(F.least("o_n", "n_n") / F.greatest("o_n", "n_n"))
-    bound = similarity(*sides, fields=most)
+    bound = similarity(*sides, fields=most) >= threshold
     same_block = [F.col(f"o_b{i}") == F.col(f"n_b{i}") for i in range(len(block))]
-    same_type, same_title = F.col("o_type").eqNullSafe(F.col("n_type")), F.col("o_title").eqNullSafe(F.col("n_title"))
-    if threshold > 1 - WEIGHTS["type"] + 1e-6:
-        ways = [[same_type]]
-    elif threshold > 1 - WEIGHTS["type"] - WEIGHTS["title"] + 1e-6:
-        ways = [[same_type], [same_title, ~same_type]]
-    else:
-        ways = [[]]
-    met = None
-    for way in ways:
-        found = a.join(b, reduce(lambda x, y: x & y, [*same_block, *way, bound >= threshold]))
-        met = found if met is None else met.unionByName(found)
-    return met.withColumn("score", score).where(F.col("score") >= threshold).select(*[F.col(f"o_b{i}").alias(b) for i, b in enumerate(block)], "old", "new", "score")
-
-
-def greedy(pairs: DataFrame, block: list[str]) -> DataFrame:
-    """One-to-one pairs of pairs(block.., old, new, score), best score first, then old and new name.
-
-    Round by round those are chosen that come first among the pairs of both their ends, which is
-    what taking them one after another would choose. First places are aggregated before the
-    shuffle, so a large block is no task's burden; a round settles at least the first pair of each block.
-    """
-    left, chosen = cut_lineage(pairs), None
-    place = F.struct((-F.col("score")).alias("s"), "old", "new")
-    while True:
-        first = lambda end: left.groupBy(*block, end).agg(F.min(place).alias("p")).select(*block, F.col("p.old").alias("old"), F.col("p.new").alias("new"), (-F.col("p.s")).alias("score"))  # noqa: B023, E731
-        winners = cut_lineage(first("old").intersect(first("new")).select(*pairs.columns))
-        if winners.isEmpty():
-            return winners if chosen is None else chosen
-        chosen = winners if chosen is None else chosen.unionByName(winners)
-        for end in ("old", "new"):
-            left = left.join(winners.select(*block, end), [*block, end], "left_anti")
-        left = cut_lineage(left)
+    kinds, indexed = [], False
+    for same_type in (True, False):
+        for same_title in (True, False):
+            rest = threshold - WEIGHTS["type"] * same_type - WEIGHTS["title"] * same_title - ROUNDING
+            if rest > WEIGHTS["fields"] + WEIGHTS["position"]:
+                continue
+            share, nearness = (rest - WEIGHTS["position"]) / WEIGHTS["fields"], (rest - WEIGHTS["fields"]) / WEIGHTS["position"]
+            agree = lambda c, same: F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}")) if same else ~F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}"))
+            on = [*same_block, agree("type", same_type), agree("title", same_title), bound]
+            reach = max((1 - nearness) * 2**0.5, ROUNDING)
+            kinds.append((on, share, reach))
+            indexed |= reach > NEAR and share > 0
+    if indexed:
+        a, b = _with_prefixes(a, b)
+    ways = [_by_place(a, b, on, reach) if reach <= NEAR else _by_fields(a, b, on, share) if share > 0 else a.join(b, reduce(lambda x, y: x & y, on)) for on, share, reach in kinds]
+    names = [*[F.col(f"o_b{i}").alias(c) for i, c in enumerate(block)], "old", "new"]
+    scored = [w.withColumn("score", similarity(*sides)).where(F.col("score") >= threshold).select(*names, "score") for w in ways]
+    return reduce(DataFrame.unionByName, scored)
+
+
+def greedy(pairs: DataFrame, block: list[str], task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """One-to-one pairs of pairs(block.., old, new, score), best score first, then old and new name."""
+    return first_come(pairs, block, [-F.col("score"), F.col("old"), F.col("new")], task_pairs)

@@ -3,32 +3,51 @@
 import json
 from itertools import groupby
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.functions.ordering import positions_within
+from tallyspark.functions.ordering import positions_within, ranges
 from tallyspark.operators import findings as N
 
 
-def test_positions_of_a_hot_group(spark):
+@pytest.mark.parametrize("most", [0, 500, 10**6])
+def test_positions_of_a_hot_group(spark, most):
     rows = spark.range(0, 3000, 1, 12).select(F.expr("CASE WHEN id % 3 > 0 THEN 'hot' WHEN id % 9 = 0 THEN NULL ELSE 'g' || id % 40 END").alias("g"), F.expr("CASE WHEN id % 50 <> 7 THEN (id * 7919) % 3001 END").alias("k"))
-    got = positions_within(rows, ["g"], [F.col("k")]).collect()
+    got = positions_within(rows, ["g"], [F.col("k")], most=most).collect()
     order = lambda r: (r.g is not None, r.g or "", r.k is not None, r.k or 0)
     want = [(r.g, r.k, n) for _, rs in groupby(sorted(rows.collect(), key=order), key=lambda r: r.g) for n, r in enumerate(rs, 1)]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
-def test_a_hot_group_spans_tasks(spark):
-    rows = positions_within(spark.range(0, 20000, 1, 8).withColumn("g", F.lit(1)), ["g"], [F.col("id")])
-    assert rows.where("position = id + 1").count() == 20000
-    dealt = spark.range(0, 20000, 1, 8).withColumn("g", F.lit(1)).repartitionByRange(8, "g", "id").groupBy(F.spark_partition_id()).count().collect()
-    assert len(dealt) == 8 and max(r["count"] for r in dealt) < 5000
+@pytest.mark.parametrize("k", ["id", "1"])
+def test_a_hot_group_spans_tasks(spark, k):
+    """Also where all of its rows are equal in order."""
+    rows = spark.range(0, 20000, 1, 8).select(F.lit(1).alias("g"), F.expr(k).alias("k"))
+    placed = positions_within(rows, ["g"], [F.col("k")], most=1000)
+    assert placed.select("position").distinct().count() == 20000 and placed.agg(F.max("position")).first()[0] == 20000
+    if k == "id":
+        assert placed.where("position = k + 1").count() == 20000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few bytes become one partition again
+    try:
+        dealt = ranges(rows, ["g"], ["k"]).groupBy("_range").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(dealt) >= 4 and max(r["count"] for r in dealt) < 10_000
+
+
+def test_one_key_of_all_findings_is_numbered(spark):
+    rows = spark.range(0, 300, 1, 4).select(F.lit("r").alias("run"), F.lit("p").alias("path"), F.lit("page").alias("category"), F.lit("added").alias("change"), F.expr("'m' || id % 7").alias("message"), F.expr("CAST(id AS STRING)").alias("note"))
+    few = {r.note: r.key for r in N.numbered(N.completed(rows), ["run"]).collect()}
+    many = {r.note: r.key for r in N.numbered(N.completed(rows.repartition(5)), ["run"], most=20).collect()}
+    assert few == many and len(set(many.values())) == 300 and many["0"] == "page:page:added:p"
 
 
 def test_positions_of_nothing_and_of_all(spark):
     empty = spark.createDataFrame([], "k int")
-    assert positions_within(empty, [], [F.col("k")]).collect() == []
     equal = spark.createDataFrame([(1,), (1,), (1,)], "k int")
-    assert sorted(r.position for r in positions_within(equal, [], [F.col("k")]).collect()) == [1, 2, 3]
+    for most in (0, 2, 9):
+        assert positions_within(empty, [], [F.col("k")], most=most).collect() == []
+        assert sorted(r.position for r in positions_within(equal, [], [F.col("k")], most=most).collect()) == [1, 2, 3]
 
 
 def rows_of_findings(spark):
