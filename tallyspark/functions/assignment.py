@@ -56,7 +56,7 @@ def first_come(pairs: DataFrame, block: list[str], order: list[Column], task_pai
     The order must tell all pairs of a block apart but for repeated rows, of which one is taken.
     Nulls are values like others.
     """
-    left = cut_lineage(positions_within(pairs, block, order, "_place"))
+    left = cut_lineage(positions_within(cut_lineage(pairs), block, order, "_place"))
     taken: list[DataFrame] = []
     while True:
         sizes = left.groupBy(*block).agg(F.count("*").alias("_size"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.assignment import TASK_PAIRS, first_come
+from ..functions.lineage import cut_lineage
 
 WEIGHTS = {"type": 0.3, "title": 0.2, "fields": 0.3, "position": 0.2}
 THRESHOLD = 0.6
@@ -80,7 +81,7 @@ def _sized(df: DataFrame, side: str, block: list[str], ident: str, name: str) ->
         *[F.col(b).alias(f"{side}_b{i}") for i, b in enumerate(block)],
         F.col(ident).alias(name),
         *[F.col(x).alias(f"{side}_{x}") for x in COLUMNS],
-        F.size("fields").alias(f"{side}_n"),
+        F.size(tokens).alias(f"{side}_n"),
         tokens.alias(f"{side}_tokens"),
         centre("x", "width", "page_width").alias(f"{side}_cx"),
         centre("y", "height", "page_height").alias(f"{side}_cy"),
@@ -98,14 +99,22 @@ def _with_prefixes(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed(a, "o"), placed(b, "n")
 
 
-def _by_fields(a: DataFrame, b: DataFrame, on: list[Column], share: float) -> DataFrame:
-    """Pairs whose sets of fields agree by at least `share`: the first fields of both, in one order, have one in common; the first such one makes the pair."""
+def _prefix(side: str, share: float) -> Column:
+    """The first fields of a set, of which two sets that agree by `share` have one in common; an empty set has a field of its own."""
+    n = F.size(f"{side}_tokens")
+    return F.when(n == 0, F.array(F.lit(0).cast("long"))).otherwise(F.slice(f"{side}_tokens", F.lit(1), (n - F.ceil(F.lit(share) * n) + 1).cast("int")))
+
 
-    def prefixed(df: DataFrame, s: str) -> DataFrame:
-        n = F.size(f"{s}_tokens")
-        prefix = F.when(n == 0, F.array(F.lit(0).cast("long"))).otherwise(F.slice(f"{s}_tokens", F.lit(1), (n - F.ceil(F.lit(share) * n) + 1).cast("int")))
-        return df.withColumn(f"{s}_prefix", prefix).withColumn(f"{s}_token", F.explode(f"{s}_prefix"))
+def _meetings(a: DataFrame, b: DataFrame, share: float) -> float:
+    """How often two visuals meet in their first fields, on average: from 1 on the index finds no fewer pairs than there are."""
+    of = lambda df, s: df.select(F.explode(_prefix(s, share)).alias("t")).groupBy("t").agg(F.count("*").alias(s))
+    both = of(a, "o").join(of(b, "n"), "t").agg(F.sum(F.col("o").cast("double") * F.col("n"))).first()[0] or 0.0
+    return both / max(1.0, float(a.count()) * b.count())
 
+
+def _by_fields(a: DataFrame, b: DataFrame, on: list[Column], share: float) -> DataFrame:
+    """Pairs whose sets of fields agree by at least `share`: those that meet in their first fields, once each."""
+    prefixed = lambda df, s: df.withColumn(f"{s}_prefix", _prefix(s, share)).withColumn(f"{s}_token", F.explode(f"{s}_prefix"))
     once = F.get(F.array_intersect("o_prefix", "n_prefix"), F.lit(0)) == F.col("o_token")
     sizes = F.least("o_n", "n_n") >= F.lit(share) * F.greatest("o_n", "n_n")
     return prefixed(a, "o").join(prefixed(b, "n"), reduce(lambda x, y: x & y, [*on, F.col("o_token") == F.col("n_token"), sizes, once]))
@@ -125,9 +134,9 @@ def candidates(old: DataFrame, new: DataFrame, block: list[str], ident: str, thr
 
     Whether types and titles agree makes four kinds of pairs, and each kind's weights leave what
     fields and places must add. What is left over may need fields that agree by a least share (an
-    index of the fields that come first then finds the pairs), or places within a reach (a grid
-    finds them); or neither, where type and title do already: then nearly all such pairs are the
-    result.
+    index of the fields that come first then finds the pairs, unless a count of these tells that
+    all visuals share them), or places within a reach (a grid finds them); or neither, where type
+    and title do already: then nearly all such pairs are the result.
     """
     if not 0 <= threshold <= 1:
         raise ValueError(f"a threshold between 0 and 1, not {threshold}")
@@ -150,10 +159,19 @@ def candidates(old: DataFrame, new: DataFrame, block: list[str], ident: str, thr
             kinds.append((on, share, reach))
             indexed |= reach > NEAR and share > 0
     if indexed:
-        a, b = _with_prefixes(a, b)
-    ways = [_by_place(a, b, on, reach) if reach <= NEAR else _by_fields(a, b, on, share) if share > 0 else a.join(b, reduce(lambda x, y: x & y, on)) for on, share, reach in kinds]
+        a, b = _with_prefixes(cut_lineage(a), cut_lineage(b))
+    ways = []
+    for on, share, reach in kinds:
+        if reach <= NEAR:
+            ways.append(_by_place(a, b, on, reach))
+        elif share > 0 and _meetings(a, b, share) < 1:
+            ways.append(_by_fields(a, b, on, share))
+        else:
+            ways.append(a.join(b, reduce(lambda x, y: x & y, on)))
     names = [*[F.col(f"o_b{i}").alias(c) for i, c in enumerate(block)], "old", "new"]
-    scored = [w.withColumn("score", similarity(*sides)).where(F.col("score") >= threshold).select(*names, "score") for w in ways]
+    shared = F.size(F.array_intersect("o_tokens", "n_tokens"))
+    agreed = F.when(F.greatest("o_n", "n_n") == 0, F.lit(1.0)).otherwise(shared / (F.col("o_n") + F.col("n_n") - shared))
+    scored = [w.withColumn("score", similarity(*sides, fields=agreed)).where(F.col("score") >= threshold).select(*names, "score") for w in ways]
     return reduce(DataFrame.unionByName, scored)
 
 
