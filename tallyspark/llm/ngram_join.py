@@ -15,7 +15,10 @@ Nothing is capped; no link is lost.
 Equal sets are one class from the start and are never paired. Texts whose parts meet form
 candidate groups: connected ones, or, where many small meetings chain up to a large group, each
 meeting by itself, whichever makes less work. The overlaps inside a group are counted in one
-task, or, where a group is large, in blocks: every pair of blocks is a task of bounded size. A
+task, or, where a group has many n-grams, in blocks: every pair of blocks is a task of bounded size.
+Near copies of one text have nearly all n-grams in common; what most sets of a task have is its
+core, and a set is then what it lacks of the core and has beside it. Sets close to the core
+link through the closest one without being compared, the others by what little they share. A
 task returns the links that join what it has not joined yet, never all pairs.
 """
 
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, NOT_SPACE, U64, extended, materialize, mix, signed, slices, small_side, stream, word_hashes, word_spans
 from .graph import components
 
-#: Distinct sets that one task compares at most.
-BLOCK = 1000
+#: Distinct sets of usual size, and n-grams of such a set, whose product bounds the n-grams of a block.
+BLOCK, SET_GRAMS = 4000, 500
 #: Rows of one class from which only one row's signatures are used.
 MANY_COPIES = 100
 #: Fragments in which a task counts partial overlaps.
@@ -144,58 +147,87 @@ def frequent_fragments(texts: DataFrame, n: int, num: int, den: int) -> np.ndarr
 
 
 class Joined:
-    """Which members of a group are joined already."""
+    """Which members of a group are joined already: equal labels."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.find(i), self.find(j)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+        self.label, self.links = np.arange(n), []
+
+    def open(self, i: int) -> np.ndarray:
+        return self.label != self.label[i]
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Links i to what its links to the others lead to, with one link for each of these."""
+        others = others[self.open(i)[others]]
+        while len(others):
+            self.links.append((i, int(others[0])))
+            self.label[self.label == self.label[others[0]]] = self.label[i]
+            others = others[self.open(i)[others]]
+
+
+def _around_core(ids: np.ndarray, owner: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The n-grams of n members, with those that most of them have (the core) replaced by those of the core that a member lacks: (ids, owner, lacking, core)."""
+    core = np.flatnonzero(counts > n / 2)
+    if not len(core):
+        return ids, owner, np.zeros(n, np.int64), 0
+    place = np.full(len(counts), -1)
+    place[core] = np.arange(len(core))
+    inside = place[ids] >= 0
+    has = np.zeros((n, len(core)), bool) if n * len(core) <= 1 << 26 else None
+    if has is not None:
+        has[owner[inside], place[ids[inside]]] = True
+        lack_owner, lack = np.nonzero(~has)
+    else:  # the same, member by member
+        own, at = place[ids[inside]], np.searchsorted(owner[inside], np.arange(n + 1))
+        lacks = [np.setdiff1d(np.arange(len(core)), own[at[i] : at[i + 1]], assume_unique=True) for i in range(n)]
+        lack, lack_owner = np.concatenate(lacks), np.repeat(np.arange(n), [len(x) for x in lacks])
+    # What is lacked has ids of its own.
+    ids = np.concatenate((ids[~inside], len(counts) + lack))
+    owner = np.concatenate((owner[~inside], lack_owner))
+    return ids, owner, np.bincount(lack_owner, minlength=n), len(core)
 
 
 def links(sets: list[np.ndarray], sides: np.ndarray, cross: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs (i, j) with den * overlap >= num * union that join all that links join. cross: only pairs of different sides count.
+    """Pairs (i, j) with den * overlap >= num * union that join all that links join. cross: pairs of one side need not be looked for.
 
-    The group's n-grams, rarest first, are cut into fragments; a member's overlaps with all
-    others are summed over them, and it is left as soon as none of its partners can still reach
-    what is needed.
+    An overlap is the core's size less what either member lacks of it, plus what both lack or have
+    beside it. Members whose lacks are few enough for each other need share nothing: of all
+    such pairs both members also link with the closest to the core. For the others, the n-grams
+    that are left, rarest first, are cut into fragments; a member's overlaps with all others are
+    summed over them, and it is left as soon as none of its partners can still reach what is needed.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
-    values, ids, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int64)
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ids, owner, lacking, core = _around_core(ids, owner, counts, n)
+    joined = Joined(n)
+    # overlap >= num * (sizes) / (num + den), in whole numbers; without anything shared it is core - lacking - lacking.
+    far = 2 * (num + den) * lacking + 2 * num * sizes - (num + den) * core
+    closest = int(np.argmin(far))
+    joined.join(closest, np.flatnonzero(far + far[closest] <= 0))
+    _, ids, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
     order = np.argsort(counts, kind="stable")
-    rank[order] = np.arange(len(values))
-    ids = rank[ids]
-    counts = counts[order]
-    by_token = np.argsort(ids, kind="stable")
-    posting, post_at = owner[by_token], np.concatenate(([0], np.cumsum(counts)))
-    single = int(np.searchsorted(counts, 2))  # n-grams of one member overlap with nothing
-    cuts = np.unique(np.linspace(single, len(values), COUNT_FRAGMENTS + 1).astype(np.int64))
+    rank[order] = np.arange(len(counts))
+    ids, counts = rank[ids], counts[order]
+    by_gram = np.argsort(ids, kind="stable")
+    posting, post_at = owner[by_gram], np.concatenate(([0], np.cumsum(counts)))
+    single = int(np.searchsorted(counts, 2))  # what one member has alone overlaps with nothing
+    cuts = np.unique(np.linspace(single, len(counts), COUNT_FRAGMENTS + 1).astype(np.int64))
     by_member = np.lexsort((ids, owner))
-    own_ids, own_at = ids[by_member], np.concatenate(([0], np.cumsum(sizes)))
-    joined, found = Joined(n), []
-    need_of = lambda i: -(-num * (sizes[i] + sizes) // (num + den))  # noqa: E731  least overlap of i with each
+    own_ids, own_at = ids[by_member], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
     for i in range(n):
         mine = own_ids[own_at[i] : own_at[i + 1]]
         at = np.searchsorted(mine, cuts)
-        need = need_of(i)
-        open_to = np.minimum(sizes, sizes[i]) >= need
+        need = -(-num * (sizes[i] + sizes) // (num + den))  # least overlap of i with each
+        needed = need - core + lacking[i] + lacking  # of what is shared beside the core
+        open_to = joined.open(i) & (np.minimum(sizes, sizes[i]) >= need)
         open_to[: i + 1] = False
         if cross:
             open_to &= sides != sides[i]
-        overlap = np.zeros(n, np.int64)
+        shared = np.zeros(n, np.int64)
         for f in range(len(cuts) - 1):
+            open_to &= shared + (len(mine) - at[f]) >= needed
             if not open_to.any():
                 break
             part = mine[at[f] : at[f + 1]]
@@ -203,12 +235,9 @@ def links(sets: list[np.ndarray], sides: np.ndarray, cross: bool, num: int, den:
                 lengths = counts[part]
                 total = int(lengths.sum())
                 places = np.repeat(post_at[part] - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
-                overlap += np.bincount(posting[places], minlength=n)
-            open_to &= overlap + (len(mine) - at[f + 1]) >= need
-        for j in np.flatnonzero(open_to & (overlap >= need)):
-            if joined.join(i, int(j)):
-                found.append((i, int(j)))
-    return found
+                shared += np.bincount(posting[places], minlength=n)
+        joined.join(i, np.flatnonzero(open_to & (shared >= needed)))
+    return joined.links
 
 
 # ------------------------------------------------------------------ the join
@@ -244,9 +273,9 @@ def _classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: s
 
 
 def _sketches(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """rows(doc_id, text) → doc_id, tkey (of the text), n_shingles, key and node (of the set) and sigs, written."""
+    """rows(doc_id, text) → doc_id, tkey (of the text), n_shingles, key and node (of the set), and its signatures: sigs, and frequent, those among frequent fragments; written."""
     keyed = rows.withColumn("tkey", F.xxhash64("text"))
-    schema = extended(keyed.select("doc_id", "tkey"), "n_shingles bigint, key binary, node bigint, sigs array<bigint>")
+    schema = extended(keyed.select("doc_id", "tkey"), "n_shingles bigint, key binary, node bigint, sigs array<bigint>, frequent array<bigint>")
     frequent = rows.sparkSession.sparkContext.broadcast(frequent_fragments(rows, n, num, den))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,26 +283,36 @@ def _sketches(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
             sets = shingle_sets(data, ends, n)
             keys = [set_key(s) for s in sets]
             nodes = np.frombuffer(b"".join(k[:8] for k in keys), np.int64)
-            sigs = [signed(signatures(s, num, den, frequent.value)) for s in sets]
-            bounds = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sigs)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes), flat], names=schema.names)
+            sigs = [signatures(s, num, den, frequent.value) for s in sets]
+            flags = [frequent.value[s >> U64(64 - COUNTER_BITS)] for s in sigs]
+            lists = [_lists([s[f == hot] for s, f in zip(sigs, flags, strict=True)]) for hot in (False, True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes), *lists], names=schema.names)
 
     return materialize(keyed.select("doc_id", "text", "tkey").mapInArrow(sketch, schema), "sketches")
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(signed(np.concatenate(parts))))
+
+
 def candidate_groups(sketches: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, grp): nodes whose links lie inside their groups. A node may be in several."""
     # Rows of one class have equal signatures. A few of them do no harm where signatures meet; classes with many rows send those of one row only.
-    with_words = sketches.where("n_shingles > 0").select("node", "sigs")
+    with_words = sketches.where("n_shingles > 0").select("node", "sigs", "frequent")
     many = materialize(sketches.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > MANY_COPIES).select("node"), "many")
     many = small_side(many)
     once = with_words.join(many, "node", "left_semi").dropDuplicates(["node"])
-    parts = with_words.join(many, "node", "left_anti").unionByName(once).select("node", F.explode("sigs").alias("sig"))
-    # Hashes that one node has alone are most; the rest are few and bring their nodes together.
-    shared = parts.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("sig", "least")
-    # Joined by shuffle at any size: how many hashes are shared follows the corpus, and a frequent one is split.
-    met = materialize(parts.join(materialize(shared, "shared"), "sig").distinct(), "met")
+    parts = with_words.join(many, "node", "left_anti").unionByName(once)
+    # Hashes that one node has alone are most; the rest bring their nodes together. No hash but a frequent one has a large share of all rows: it meets in one shuffle.
+    own = Window.partitionBy("sig")
+    rare = parts.select("node", F.explode("sigs").alias("sig")).select("node", "sig", F.min("node").over(own).alias("least"), F.max("node").over(own).alias("most"))
+    rare = rare.where("least <> most").select("sig", "node", "least")
+    # Frequent ones are counted before they are shuffled, and their nodes found by a join whose hot keys Spark splits.
+    hot = parts.select("node", F.explode("frequent").alias("sig"))
+    shared = hot.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("sig", "least")
+    hot = hot.join(small_side(materialize(shared, "shared")), "sig").select("sig", "node", "least")
+    met = materialize(rare.unionByName(hot).distinct(), "met")
     groups = components(met.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
     return _split_groups(materialize(groups.select("node", F.col("root").alias("grp")), "groups"), met, 2 * block)
 
@@ -297,15 +336,16 @@ def _split_groups(groups: DataFrame, met: DataFrame, most: int) -> DataFrame:
 
 def _links(rows: DataFrame, members: DataFrame, groups: DataFrame, n: int, num: int, den: int, block: int) -> DataFrame:
     """(u, v): keys of linked classes that join all that links join."""
-    one = members.where("n_shingles > 0").join(groups, "node").groupBy("grp", "key").agg(F.min(F.struct("tkey", "doc_id")).alias("f"))
-    one = materialize(one.select("grp", "key", F.col("f.tkey").alias("tkey"), F.col("f.doc_id").alias("fid")), "members")
-    sizes = one.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
-    placed = one.join(sizes, "grp").withColumn("blocks", F.when(F.col("size") <= 2 * block, 1).otherwise(F.ceil(F.col("size") / block)).cast("int"))
+    one = members.where("n_shingles > 0").join(groups, "node").groupBy("grp", "key").agg(F.min(F.struct("tkey", "doc_id", "n_shingles")).alias("f"))
+    one = materialize(one.select("grp", "key", F.col("f.tkey").alias("tkey"), F.col("f.doc_id").alias("fid"), F.col("f.n_shingles").alias("grams")), "members")
+    sizes = one.groupBy("grp").agg(F.count("*").alias("size"), F.sum("grams").alias("grams")).where("size > 1")
+    most = block * SET_GRAMS
+    placed = one.drop("grams").join(sizes, "grp").withColumn("blocks", F.when(F.col("grams") <= 2 * most, 1).otherwise(F.least("size", F.ceil(F.col("grams") / most))).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     placed = small_side(materialize(placed.withColumnRenamed("tkey", "k2"), "placed"))
     texts = rows.withColumn("tkey", F.xxhash64("text")).join(placed, F.col("tkey") == F.col("k2")).where(F.col("doc_id").eqNullSafe(F.col("fid")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = texts.select("grp", "block", "text", "size", other.alias("other")).select("grp", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "text")
+    dealt = texts.select("grp", "block", "text", other.alias("other")).select("grp", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "text")
     dealt = dealt.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

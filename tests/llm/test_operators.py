@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -131,6 +132,60 @@ def test_ngram_classes(docs, texts, n, num, den, block):
     assert got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("seed, n, words, changes", [(1, 60, 120, 3), (2, 60, 120, 6), (3, 40, 12, 1), (4, 50, 300, 20), (5, 5, 40, 0)])
+@pytest.mark.parametrize("cross", [False, True])
+def test_links_of_near_copies(seed, n, words, changes, cross):
+    """What joins in a group of near copies, with and without their original, and of sets with little in common."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**62, words, dtype=np.uint64)
+    sets = []
+    for i in range(n):
+        s = base.copy()
+        s[rng.choice(words, rng.integers(0, changes + 1), replace=False)] = rng.integers(0, 2**62, 1, dtype=np.uint64)[0] + np.uint64(i)
+        sets.append(np.unique(np.concatenate((s, rng.integers(0, 9, rng.integers(0, 3), dtype=np.uint64)))))
+    sets += [rng.integers(0, 2**62, words, dtype=np.uint64) for _ in range(5)]
+    sides = np.arange(len(sets)) % 2
+    up = list(range(len(sets)))
+    linked = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                linked.add((j, i))
+    got = ngram_join.links(sets, sides, cross, 85, 100)
+    assert all((min(p), max(p)) in linked for p in got)
+
+    def classes(pairs):
+        up = list(range(len(sets)))
+        for _ in sets:
+            for i, j in pairs:
+                up[i] = up[j] = min(up[i], up[j])
+        return up
+
+    if cross:  # with the links inside both sides
+        assert classes([*got, *[p for p in linked if sides[p[0]] == sides[p[1]]]]) == classes(linked)
+    else:
+        assert classes(got) == classes(linked) and len(got) == len(sets) - len(set(classes(linked)))
+
+
+def test_groups_of_near_copies_grow_in_proportion():
+    """Twice the near copies take about twice the time, not four times."""
+    took = []
+    for n in (2000, 4000):
+        rng = np.random.default_rng(1)
+        base = rng.integers(0, 2**62, 300, dtype=np.uint64)
+        sets = []
+        for _ in range(n):
+            s = base.copy()
+            for at in rng.integers(0, 297, 4):
+                s[at : at + 4] = rng.integers(0, 2**62, 4, dtype=np.uint64)
+            sets.append(np.unique(s))
+        t = time.process_time()
+        ngram_join.links(sets, np.zeros(n, int), False, 85, 100)
+        took.append(time.process_time() - t)
+    assert took[1] < 3.5 * took[0] + 0.5 and took[1] < 30, took
+
+
 def test_similar_sets_share_a_signature():
     """Whatever the sizes, sets at the threshold meet in a fragment."""
     rng = np.random.default_rng(3)
