@@ -6,6 +6,7 @@ row survives `not in (...)`.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -59,12 +60,20 @@ class All:
 
 @dataclass(frozen=True)
 class TopN:
-    """The n values of a field with the most (or least) of an aggregate."""
+    """The n values of a field with the most (or least) of an aggregate: order_by as it is shown, or the field and aggregation it is made of."""
 
     field: Field
     n: int
     order_by: str
     largest: bool = True
+    by: Field | None = None
+    aggregation: str | None = None
+
+    @property
+    def order(self) -> str:
+        if self.by is None:
+            return self.order_by
+        return f"{self.aggregation}({self.by.key})" if self.aggregation else self.by.key
 
 
 def compiled(condition, column=lambda f: F.col(f.name)) -> Column:
@@ -143,7 +152,7 @@ def rendered(condition) -> str:
     if isinstance(condition, Both):
         return f" {condition.operator} ".join(f"({rendered(p)})" if isinstance(p, Both) else rendered(p) for p in condition.parts)
     if isinstance(condition, TopN):
-        return f"{'top' if condition.largest else 'bottom'} {condition.n} {condition.field.key} by {condition.order_by}"
+        return f"{'top' if condition.largest else 'bottom'} {condition.n} {condition.field.key} by {condition.order}"
     if isinstance(condition, Comparison):
         return f"{condition.field.key} {condition.operator} {literal(condition.value)}"
     rows = sorted(set(condition.rows), key=lambda r: [_sort(v) for v in r])
@@ -160,6 +169,8 @@ def fields_of(condition) -> list[Field]:
         return [f for p in condition.parts for f in fields_of(p)]
     if isinstance(condition, In):
         return list(condition.fields)
+    if isinstance(condition, TopN) and condition.by:
+        return [condition.field, condition.by]
     return [] if isinstance(condition, All) else [condition.field]
 
 
@@ -175,6 +186,51 @@ def renamed(condition, renames: dict[tuple[str, str], tuple[str, str]]):
         return replace(condition, parts=tuple(renamed(p, renames) for p in condition.parts))
     if isinstance(condition, In):
         return replace(condition, fields=tuple(map(move, condition.fields)))
-    if isinstance(condition, (Comparison, TopN)):
+    if isinstance(condition, TopN):
+        return replace(condition, field=move(condition.field), by=condition.by and move(condition.by))
+    if isinstance(condition, Comparison):
         return replace(condition, field=move(condition.field))
     return condition
+
+
+# ------------------------------------------------------------------ as text, for tables
+
+
+def _pair(f: Field | None) -> list[str] | None:
+    return f and [f.table, f.name]
+
+
+def _node(condition) -> dict:
+    if isinstance(condition, Not):
+        return {"not": _node(condition.of)}
+    if isinstance(condition, Both):
+        return {condition.operator: [_node(p) for p in condition.parts]}
+    if isinstance(condition, In):
+        return {"in": [_pair(f) for f in condition.fields], "rows": [list(r) for r in condition.rows]}
+    if isinstance(condition, Comparison):
+        return {"compare": _pair(condition.field), "operator": condition.operator, "value": condition.value}
+    if isinstance(condition, TopN):
+        return {"top": condition.n, "field": _pair(condition.field), "largest": condition.largest, "order_by": condition.order_by, "by": _pair(condition.by), "aggregation": condition.aggregation}
+    return {}
+
+
+def as_tree(condition) -> str:
+    """A condition as JSON, which a column of a catalog can hold."""
+    return json.dumps(_node(condition), ensure_ascii=False, separators=(",", ":"))
+
+
+def of_tree(tree: str | dict):
+    """The condition of as_tree()."""
+    n = json.loads(tree) if isinstance(tree, str) else tree
+    if "not" in n:
+        return Not(of_tree(n["not"]))
+    for operator in ("and", "or"):
+        if operator in n:
+            return Both(tuple(map(of_tree, n[operator])), operator)
+    if "in" in n:
+        return In(tuple(Field(*f) for f in n["in"]), tuple(map(tuple, n["rows"])))
+    if "compare" in n:
+        return Comparison(Field(*n["compare"]), n["operator"], n["value"])
+    if "top" in n:
+        return TopN(Field(*n["field"]), n["top"], n["order_by"], n["largest"], n["by"] and Field(*n["by"]), n["aggregation"])
+    return All()

@@ -278,7 +278,7 @@ f AS (SELECT k0, k1, 0 AS i, 'revenue' AS name, r0::VARCHAR AS old, r1::VARCHAR
       UNION ALL SELECT k0, k1, -1, CASE WHEN o THEN 'removed' ELSE 'added' END, NULL, NULL FROM j WHERE NOT (o AND n))
 SELECT 'sales/by_flag/data/l_returnflag=' || k0 || ', l_linestatus=' || k1 || CASE WHEN i >= 0 THEN '/' || name ELSE '' END AS path,
        CASE WHEN i >= 0 THEN 'modified' ELSE name END AS change,
-       CASE WHEN i >= 0 THEN name || ' changed at l_returnflag=' || k0 || ', l_linestatus=' || k1 ELSE 'Row l_returnflag=' || k0 || ', l_linestatus=' || k1 || ' only in the ' || CASE name WHEN 'added' THEN 'new' ELSE 'old' END || ' version' END AS message, old, new
+       CASE WHEN i >= 0 THEN name || ' changed at l_returnflag=' || k0 || ', l_linestatus=' || k1 ELSE 'Row l_returnflag=' || k0 || ', l_linestatus=' || k1 || ' stands on the ' || CASE name WHEN 'added' THEN 'new' ELSE 'old' END || ' side alone' END AS message, old, new
 FROM f ORDER BY k0, k1, i LIMIT 20""",
     "compare_masked_findings": f"""WITH {_CUSTOMERS}, p AS (SELECT *, row_number() OVER (ORDER BY k NULLS FIRST) AS pos FROM j)
 SELECT 'sales/customers/data/row ' || pos || CASE WHEN o AND n THEN '/n' ELSE '' END AS path, CASE WHEN o AND n THEN 'modified' WHEN o THEN 'removed' ELSE 'added' END AS change,

@@ -13,7 +13,9 @@ from ..operators import changes as G
 from ..operators import findings as N
 from ..operators import pairing as P
 from ..operators import snapshot as S
+from ..operators import contexts as C
 from ..sources import definitions as D
+from ..sources import reports as R
 from .data_queries import table
 
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -377,25 +379,24 @@ def raw_definitions(spark, d):
 
 
 def definition_pages(spark, d):
-    return D.pages(raw_definitions(spark, d)).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    return R.pages(raw_definitions(spark, d)).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 def definition_visuals(spark, d):
-    return D.visuals(raw_definitions(spark, d)).select("project", "page", "visual", "visual_type", "title", "x", "y", "width", "height")
+    return R.visuals(raw_definitions(spark, d)).select("project", "page", "visual", "visual_type", "title", "x", "y", "width", "height")
 
 
 def definition_issues(spark, d):
-    raw = raw_definitions(spark, d)
-    return D.issues(raw).unionByName(D.broken_visuals(raw)).groupBy("project", "message").agg(F.count("*").alias("n"))
+    return R.issues(raw_definitions(spark, d)).groupBy("project", "message").agg(F.count("*").alias("n"))
 
 
 def definition_fields(spark, d):
-    found = D.projections(raw_definitions(spark, d))
+    found = R.fields(raw_definitions(spark, d))
     return found.where("field.kind <> 'unknown'").select("project", "visual", "role", X.field_key(F.col("field.table"), F.col("field.name"), F.col("field.aggregation")).alias("field"))
 
 
 def definition_filters(spark, d):
-    return D.filters(raw_definitions(spark, d)).select("visual", "name", "filter_type", "condition", "unread")
+    return R.filters(raw_definitions(spark, d)).select("visual", "name", "filter_type", "condition", "unread")
 
 
 def _model_texts(spark, d):
@@ -453,11 +454,11 @@ def _single_documents(spark, d):
 
 
 def single_document_pages(spark, d):
-    return D.legacy_pages(_single_documents(spark, d)).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    return R.pages(_single_documents(spark, d)).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 def single_document_visuals(spark, d):
-    return D.legacy_visuals(_single_documents(spark, d)).select("project", "page", "visual", "visual_type", "x", "width", F.array_join("fields", ",").alias("fields"))
+    return R.visuals_with_refs(_single_documents(spark, d)).select("project", "page", "visual", "visual_type", "x", "width", F.array_join("refs", ",").alias("fields"))
 
 
 _SLICER_JSON = """{"name": "v%d", "position": {"x": 1, "y": 2, "width": 3, "height": 4}, "visual": {"visualType": "%s"%s},
@@ -475,11 +476,11 @@ def _slicer_files(spark, d):
 
 
 def definition_slicers(spark, d):
-    return D.slicers(_slicer_files(spark, d)).select("project", "visual", "condition", F.col("unread").isNotNull().alias("unread"))
+    return R.slicers(_slicer_files(spark, d)).select("project", "visual", "condition", F.col("unread").isNotNull().alias("unread"))
 
 
 def ranked_filters(spark, d):
-    return D.filters(_slicer_files(spark, d)).select("visual", "filter_type", X.field_key(F.col("field.table"), F.col("field.name")).alias("field"), "condition", F.col("unread").isNotNull().alias("unread"))
+    return R.filters(_slicer_files(spark, d)).select("visual", "filter_type", X.field_key(F.col("field.table"), F.col("field.name")).alias("field"), "condition", F.col("unread").isNotNull().alias("unread"))
 
 
 def one_sided_visuals(spark, d):
@@ -499,7 +500,157 @@ def issues_on_old_pages(spark, d):
     return G.on_old_pages(issues, pages)
 
 
-QUERIES = {f.__name__: f for f in (pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, visuals_comparable, models_missing, columns_paired, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, pairable_categories, renames_vetted, findings_explained, findings_markdown, findings_documents, projects_result, view_pages, view_visuals, files_changed, units_changed, model_readers, project_runs, literals, json_properties, definition_pages, definition_visuals, definition_issues, definition_fields, definition_filters, definition_models, definition_models_json, archived_models, single_document_pages, single_document_visuals, definition_slicers, ranked_filters, one_sided_visuals, issues_on_old_pages)}
+# ------------------------------------------------------------------ whole reports
+
+_COLUMN = '{"Column": {"Expression": {"SourceRef": {"%s": "%s"}}, "Property": "%s"}}'
+
+
+def _in_filter(name, table, alias, column, value, key="field"):
+    """A filter card `table[column] in (value)`; value is a column of numbers."""
+    field = _COLUMN % ("Entity", table, column)
+    where = '{"In": {"Expressions": [%s], "Values": [[{"Literal": {"Value": "%%dL"}}]]}}' % (_COLUMN % ("Source", alias, column))
+    text = '{"name": "%s", "type": "Categorical", "%s": %s, "filter": {"From": [{"Name": "%s", "Entity": "%s"}], "Where": [{"Condition": %s}]}}' % (name, key, field, alias, table, where)
+    return F.format_string(text, value)
+
+
+_ODD_FILTER = '{"name": "odd", "filter": {"From": [{"Name": "s", "Entity": "Sales"}], "Where": [{"Condition": {"Between": {}}}]}}'
+
+
+def _layered_parts(spark, d):
+    """Visuals of a report for each brand with a page for each type: every third one is a slicer."""
+    parts = table(spark, d, "part").withColumns({"project": F.concat("p_brand", F.lit(".Report")), "page": F.lower("p_type"), "n": F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int"), "k": F.col("p_partkey").cast("int")})
+    return parts.where("p_partkey % 7 < 3")
+
+
+def _bodies(spark, d, key):
+    """The parts with the filters of report, page and visual, each a JSON list, and the selection of slicers."""
+    own = F.when(F.col("k") % 13 == 5, F.lit(_ODD_FILTER)).otherwise(_in_filter("own", "Part", "p", "Size", F.col("p_size").cast("int"), key))
+    page = F.when(F.length("page") % 5 == 1, F.lit(_ODD_FILTER)).otherwise(_in_filter("paged", "Part", "q", "Length", F.length("page"), key))
+    listed = lambda c: F.concat(F.lit("["), c, F.lit("]"))
+    selected = F.get_json_object(_in_filter("x", "Date", "d", "Year", F.col("k")), "$.filter")
+    objects = F.when(F.col("k") % 3 == 0, F.concat(F.lit('{"general": [{"properties": {"outline": 1}}, {"properties": {"filter": {"filter": '), selected, F.lit("}}}]}")))
+    return _layered_parts(spark, d).withColumns({"report_filters": listed(_in_filter("all", "Sales", "s", "Brand", F.col("n"), key)), "page_filters": listed(page), "own_filters": listed(own), "chosen": objects, "kind": F.expr("CASE WHEN k % 3 = 0 THEN 'slicer' ELSE 'card' END")})
+
+
+def layered_reports(spark, d):
+    """The files of reports with filters of all levels, as page folders."""
+    b = _bodies(spark, d, "field")
+    fields = F.concat(F.lit('{"queryState": {"Values": {"projections": [{"field": '), F.format_string(_COLUMN % ("Entity", "Sales", "%s"), "p_name"), F.lit('}, {"field": {"Aggregation": {"Expression": '), F.lit(_COLUMN % ("Entity", "Sales", "Amount")), F.lit(', "Function": 0}}}]}}}'))
+    title = F.format_string('{"title": [{"properties": {"text": {"expr": {"Literal": {"Value": "\'%s\'\'s\'"}}}}}]}', "p_name")
+    visual = F.concat(F.format_string('{"name": "v%d", "position": {"x": %d, "y": 2, "width": 30, "height": 40}, "visual": {"visualType": "%s", "query": ', "k", F.col("p_size").cast("int"), "kind"), fields, F.lit(', "visualContainerObjects": '), title, F.coalesce(F.concat(F.lit(', "objects": '), "chosen"), F.lit("")), F.lit('}, "filterConfig": {"filters": '), "own_filters", F.lit("}}"))
+    at = lambda *path: F.concat("project", F.lit("/definition/"), *[F.lit(p) if p.startswith("/") or p.endswith(("/", ".json")) else F.col(p) for p in path])
+    visuals = b.select("project", F.concat(at("pages/", "page"), F.lit("/visuals/v"), F.col("k").cast("string"), F.lit("/visual.json")).alias("path"), visual.alias("t"))
+    pages = b.groupBy("project", "page").agg(F.first("page_filters").alias("f")).select("project", F.concat(at("pages/", "page"), F.lit("/page.json")).alias("path"), F.concat(F.format_string('{"name": "%s", "filterConfig": {"filters": ', "page"), "f", F.lit("}}")).alias("t"))
+    report = b.groupBy("project").agg(F.first("report_filters").alias("f")).select("project", at("report.json").alias("path"), F.concat(F.lit('{"filterConfig": {"filters": '), "f", F.lit("}}")).alias("t"))
+    return visuals.unionByName(pages).unionByName(report).select("project", "path", F.encode("t", "UTF-8").alias("content"))
+
+
+def layered_documents(spark, d, path="report.json"):
+    """The same reports as single documents: configurations and filters are JSON inside texts, fields go through a query with short names."""
+    b = _bodies(spark, d, "expression")
+    query = F.concat(F.lit('{"From": [{"Name": "t", "Entity": "Sales"}], "Select": [{"Name": "a", "Column": {"Expression": {"SourceRef": {"Source": "t"}}, "Property": '), F.to_json(F.array("p_name")), F.lit('}}, {"Name": "b", "NativeReferenceName": "B", "Aggregation": {"Expression": {"Column": {"Expression": {"SourceRef": {"Source": "t"}}, "Property": "Amount"}}, "Function": 0}}]}'))
+    query = F.regexp_replace(query, r'"Property": \[("(?:[^"\\]|\\.)*")\]', '"Property": $1')
+    title = F.format_string('{"title": [{"properties": {"text": {"expr": {"Literal": {"Value": "\'%s\'\'s\'"}}}}}]}', "p_name")
+    single = F.concat(F.format_string('{"visualType": "%s", "projections": {"Values": [{"queryRef": "a"}, {"queryRef": "b"}]}, "prototypeQuery": ', "kind"), query, F.lit(', "vcObjects": '), title, F.coalesce(F.concat(F.lit(', "objects": '), "chosen"), F.lit("")), F.lit("}"))
+    config = F.concat(F.format_string('{"name": "v%d", "layouts": [{"position": {"x": %d, "y": 2, "width": 30, "height": 40}}], "singleVisual": ', "k", F.col("p_size").cast("int")), single, F.lit("}"))
+    box = F.struct(config.alias("config"), F.col("own_filters").alias("filters"))
+    pages = b.groupBy("project", "page").agg(F.collect_list(box).alias("visualContainers"), F.first("page_filters").alias("filters"), F.first("report_filters").alias("r"))
+    # Pages stand in the order of their names, as page folders without a list do.
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("page").alias("name"), "filters", "visualContainers")))
+    reports = pages.groupBy("project").agg(ordered.alias("sections"), F.first("r").alias("filters"))
+    return reports.select("project", F.concat("project", F.lit(f"/{path}")).alias("path"), F.encode(F.to_json(F.struct("sections", "filters")), "UTF-8").alias("content"))
+
+
+def _as_archives(frames):
+    for frame in frames:
+        out = []
+        for project, content in frame.itertuples(index=False):
+            at = io.BytesIO()
+            with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("Report/Layout", bytes(content).decode().encode("utf-16-le"))
+            out.append((project, f"{project}.pbit", at.getvalue()))
+        yield pd.DataFrame(out, columns=["project", "path", "content"])
+
+
+def layered_archives(spark, d):
+    """The same single documents inside archives."""
+    packed = layered_documents(spark, d).select("project", "content").mapInPandas(_as_archives, "project string, path string, content binary")
+    return D.expanded(packed)
+
+
+def visual_contexts(spark, d):
+    """All conditions that hold for each visual: of its report, its page, its own and of the page's other slicers."""
+    raw = layered_reports(spark, d)
+    found = C.visual_contexts(R.visuals(raw), R.filters(raw), R.slicers(raw))
+    return found.select("project", "visual", F.array_join("conditions", " and ").alias("conditions"), "reason")
+
+
+def visual_contexts_of_documents(spark, d):
+    """The same contexts out of single documents."""
+    raw = layered_documents(spark, d)
+    found = C.visual_contexts(R.visuals(raw), R.filters(raw), R.slicers(raw))
+    return found.select("project", "visual", F.array_join("conditions", " and ").alias("conditions"), "reason")
+
+
+def _field_rows(raw):
+    f = F.col("field")
+    return R.fields(raw).select("project", "page", "visual", "role", F.col("idx").cast("bigint").alias("idx"), X.field_key(f["table"], f["name"], f["aggregation"]).alias("field"), f["kind"].alias("kind"))
+
+
+def single_document_fields(spark, d):
+    """Fields of single documents through their queries: short names of tables, aggregations."""
+    return _field_rows(layered_documents(spark, d))
+
+
+def archived_fields(spark, d):
+    """Fields of the reports inside archives."""
+    return _field_rows(layered_archives(spark, d))
+
+
+def archived_filters(spark, d):
+    """Filter cards of all levels of the reports inside archives."""
+    found = R.filters(layered_archives(spark, d))
+    return found.select("project", "level", "page", "visual", "name", "filter_type", X.field_key(F.col("field.table"), F.col("field.name")).alias("field"), "condition", "unread")
+
+
+_BROKEN_FIELDS = ("5", "[1]", '"x"', "[]", "{}", "null", '{"Column": {"Property": "a", "Expression": 5}}', '{"Odd": {"b": [1, "\u00e9"]}}', '{"Measure": {"Expression": {"SourceRef": {"Entity": "T"}}, "Property": "M"}}')
+
+
+def _broken_files(spark, d):
+    """Reports, one for each part, in which something is not what it should be: a field of any JSON, page orders, lists, filters."""
+    parts = table(spark, d, "part").withColumns({"project": F.format_string("P%d.Report", "p_partkey"), "k": (F.col("p_partkey") % 9).cast("int"), "m": (F.col("p_partkey") % 7).cast("int")})
+    field = F.element_at(F.array(*map(F.lit, _BROKEN_FIELDS)), F.col("k") + 1)
+    places = F.when(F.col("m") == 3, F.lit('"none"')).otherwise(F.concat(F.lit('[{"field": '), field, F.lit("}]")))
+    cards = F.when(F.col("m") == 4, F.lit("7")).when(F.col("m") == 5, F.lit("[%s, 8]" % _ODD_FILTER)).otherwise(F.lit("[]"))
+    visual = F.concat(F.lit('{"name": "v", "position": {"x": 1, "y": 2, "width": 3, "height": 4}, "visual": {"query": {"queryState": {"Values": {"projections": '), places, F.lit('}}}}, "filterConfig": {"filters": '), cards, F.lit("}}"))
+    order = F.element_at(F.array(*map(F.lit, ('["p"]', "[]", '"p"', "[1]", "null", '["p", null]', '{"p": 1}'))), F.col("m") + 1)
+    files = [("pages/p/visuals/v/visual.json", visual), ("pages/p/page.json", F.lit('{"name": "p"}')), ("pages/pages.json", F.concat(F.lit('{"pageOrder": '), order, F.lit("}")))]
+    made = [parts.select("project", F.concat("project", F.lit(f"/definition/{path}")).alias("path"), F.encode(text, "UTF-8").alias("content")) for path, text in files]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+def broken_definitions(spark, d):
+    """What can't be read is told for its file, and the rest is read."""
+    return R.issues(_broken_files(spark, d)).select("project", "file", "page", "visual", "message")
+
+
+def broken_fields(spark, d):
+    """Fields of unknown forms keep their kind and a hash; what is no field is none."""
+    found = R.fields(_broken_files(spark, d))
+    return found.select("project", F.col("field.table").alias("owner"), F.col("field.name").alias("name"), F.col("field.kind").alias("kind"))
+
+
+def conditions_renamed(spark, d):
+    """Conditions of parts on the fields of their brand, with renames out of a table: lists of values as rendered."""
+    parts = table(spark, d, "part")
+    tree = F.format_string('{"in":[["%s","%s"]],"rows":[[%d],["x"]]}', "p_brand", "p_type", F.col("p_size").cast("int"))
+    conditions = parts.select("p_partkey", tree.alias("tree"), F.format_string("%s[%s] in (%d, 'x')", "p_brand", "p_type", F.col("p_size").cast("int")).alias("condition"), F.array(F.struct(F.col("p_brand").alias("table"), F.col("p_type").alias("name"))).alias("fields"))
+    renames = parts.where("p_size > 48").select(F.col("p_brand").alias("old_table"), F.col("p_type").alias("old_name"), F.expr("p_brand || '!'").alias("new_table"), F.expr("'new ' || p_type").alias("new_name")).distinct()
+    found = C.renamed_conditions(conditions, renames)
+    return found.select("p_partkey", "condition", X.field_key(F.col("fields")[0]["table"], F.col("fields")[0]["name"]).alias("field"))
+
+
+QUERIES = {f.__name__: f for f in (visual_contexts, visual_contexts_of_documents, single_document_fields, archived_fields, archived_filters, broken_definitions, broken_fields, conditions_renamed, pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, visuals_comparable, models_missing, columns_paired, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, pairable_categories, renames_vetted, findings_explained, findings_markdown, findings_documents, projects_result, view_pages, view_visuals, files_changed, units_changed, model_readers, project_runs, literals, json_properties, definition_pages, definition_visuals, definition_issues, definition_fields, definition_filters, definition_models, definition_models_json, archived_models, single_document_pages, single_document_visuals, definition_slicers, ranked_filters, one_sided_visuals, issues_on_old_pages)}
 
 # ------------------------------------------------------------------ the same in SQL
 
@@ -536,7 +687,44 @@ ou AS (SELECT DISTINCT CASE WHEN regexp_matches(path, '\\.(Report|SemanticModel)
 rp AS (SELECT unit AS report, CASE WHEN n % 15 <> 0 THEN left(unit, 5) || '/r' || (n + 1) || '.SemanticModel' END AS model FROM (SELECT unit, regexp_extract(unit, '/r([0-9]+)', 1)::INT AS n FROM nu WHERE unit LIKE '%.Report')),
 rd AS (SELECT md.model, report FROM rp JOIN md ON rp.model = md.model OR rp.model IS NULL)"""
 
+_LAYERS = """
+b AS (SELECT p_brand || '.Report' AS project, lower(p_type) AS page, p_partkey AS k, regexp_extract(p_brand, '([0-9]+)$', 1)::INT AS n, p_size, p_name FROM part WHERE p_partkey % 7 < 3)"""
+_CONTEXTS = f"""WITH {_LAYERS},
+s AS (SELECT project, page, k, 'Date[Year] in (' || k || ')' AS c FROM b WHERE k % 3 = 0),
+r AS (SELECT *, CASE WHEN length(page) % 5 = 1 OR k % 13 = 5 THEN 'filter odd could not be read' END AS reason FROM b),
+o AS (SELECT r.project, r.k, string_agg(s.c, ' and ' ORDER BY 'v' || s.k) AS others FROM r JOIN s ON s.project = r.project AND s.page = r.page AND s.k <> r.k GROUP BY ALL)
+SELECT r.project, 'v' || r.k AS visual, CASE WHEN reason IS NULL THEN 'Sales[Brand] in (' || n || ') and Part[Length] in (' || length(page) || ') and Part[Size] in (' || p_size || ')' || coalesce(' and ' || others, '') ELSE '' END AS conditions, reason
+FROM r LEFT JOIN o ON o.project = r.project AND o.k = r.k"""
+_LAYER_FIELDS = f"""WITH {_LAYERS}
+SELECT project, page, 'v' || k AS visual, 'Values' AS role, 0::BIGINT AS idx, 'Sales[' || p_name || ']' AS field, 'column' AS kind FROM b
+UNION ALL SELECT project, page, 'v' || k, 'Values', 1, 'Sum(Sales[Amount])', 'aggregation' FROM b"""
+_LAYER_FILTERS = f"""WITH {_LAYERS},
+f AS (
+  SELECT DISTINCT project, 'report' AS level, NULL AS page, NULL AS visual, 'all' AS name, 'Sales[Brand]' AS field, n AS v, false AS odd FROM b
+  UNION ALL SELECT DISTINCT project, 'page', page, NULL, 'paged', 'Part[Length]', length(page), length(page) % 5 = 1 FROM b
+  UNION ALL SELECT project, 'visual', page, 'v' || k, 'own', 'Part[Size]', p_size, k % 13 = 5 FROM b)
+SELECT project, level, page, visual, CASE WHEN odd THEN 'odd' ELSE name END AS name, CASE WHEN odd THEN 'Unknown' ELSE 'Categorical' END AS filter_type, CASE WHEN NOT odd THEN field END AS field,
+       CASE WHEN NOT odd THEN field || ' in (' || v || ')' END AS condition, CASE WHEN odd THEN '[{{"Condition": {{"Between": {{}}}}}}]' END AS unread FROM f"""
+_BROKEN = """WITH b AS (SELECT 'P' || p_partkey || '.Report' AS project, p_partkey % 9 AS k, p_partkey % 7 AS m FROM part)"""
+
 ORACLE = {
+    "visual_contexts": _CONTEXTS,
+    "visual_contexts_of_documents": _CONTEXTS,
+    "single_document_fields": _LAYER_FIELDS,
+    "archived_fields": _LAYER_FIELDS,
+    "archived_filters": _LAYER_FILTERS,
+    "broken_definitions": f"""{_BROKEN}
+SELECT project, project || '/definition/pages/pages.json' AS file, NULL AS page, NULL AS visual, 'the page order is not a list of names' AS message FROM b WHERE m >= 2
+UNION ALL SELECT project, project || '/definition/pages/p/visuals/v/visual.json', 'p', 'v', 'no list of fields in role Values' FROM b WHERE m = 3
+UNION ALL SELECT project, project || '/definition/pages/p/visuals/v/visual.json', 'p', 'v', 'no field in role Values' FROM b WHERE m <> 3 AND k < 6
+UNION ALL SELECT project, project || '/definition/pages/p/visuals/v/visual.json', 'p', 'v', 'the filters are not a list' FROM b WHERE m = 4
+UNION ALL SELECT project, project || '/definition/pages/p/visuals/v/visual.json', 'p', 'v', 'an unknown condition in filter odd' FROM b WHERE m = 5""",
+    "broken_fields": f"""{_BROKEN}
+SELECT project, CASE k WHEN 8 THEN 'T' ELSE '' END AS owner, CASE k WHEN 6 THEN 'Column ' || substr(sha256('{{"Column":{{"Expression":5,"Property":"a"}}}}'), 1, 8) WHEN 7 THEN 'Odd ' || substr(sha256('{{"Odd":{{"b":[1,"' || chr(92) || 'u00e9"]}}}}'), 1, 8) ELSE 'M' END AS name, CASE k WHEN 8 THEN 'measure' ELSE 'unknown' END AS kind
+FROM b WHERE m <> 3 AND k >= 6""",
+    "conditions_renamed": """WITH r AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 48),
+c AS (SELECT p_partkey, p_size, CASE WHEN r.p_brand IS NULL THEN part.p_brand || '[' || part.p_type || ']' ELSE part.p_brand || '![new ' || part.p_type || ']' END AS field FROM part LEFT JOIN r ON r.p_brand = part.p_brand AND r.p_type = part.p_type)
+SELECT p_partkey, field || ' in (' || p_size || ', ''x'')' AS condition, field FROM c""",
     "pages_paired": f"WITH {_PAGES} SELECT *, 'id' AS method FROM p1 UNION ALL SELECT *, 'display_name' FROM p2",
     "pages_left_over": f"WITH {_PAGES} SELECT page_id, 'old' AS side FROM o2 WHERE page_id NOT IN (SELECT old_page_id FROM p2) UNION ALL SELECT page_id, 'new' FROM n2 WHERE page_id NOT IN (SELECT new_page_id FROM p2)",
     "pages_unique_titles": "SELECT page_id FROM (SELECT page_id, count(*) OVER (PARTITION BY regexp_extract(html, '<title>([^<]*)</title>', 1)) AS c FROM pages) WHERE c = 1",

@@ -184,7 +184,7 @@ def findings_of(rows: DataFrame, path: str, names: list[str], value_names: list[
         label = F.lit(TOTAL)
     first = first.withColumn("label", label)
     subject = F.concat(F.lit("Row "), F.col("label")) if show else F.concat(F.upper(F.substring("label", 1, 1)), F.substring("label", 2, 1000))
-    one = F.array(F.struct(F.lit(-1).alias("j"), F.when(F.col("only_new"), "added").otherwise("removed").alias("change"), F.concat(F.lit(f"{path}/data/"), F.col("label")).alias("path"), F.concat(subject, F.when(F.col("only_new"), " only in the new version").otherwise(" only in the old version")).alias("message"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new")))
+    one = F.array(F.struct(F.lit(-1).alias("j"), F.when(F.col("only_new"), "added").otherwise("removed").alias("change"), F.concat(F.lit(f"{path}/data/"), F.col("label")).alias("path"), F.concat(subject, F.when(F.col("only_new"), " stands on the new side alone").otherwise(" stands on the old side alone")).alias("message"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new")))
     shown = lambda c: display_column(F.col(c), rows.schema[c].dataType) if show else F.lit(MASKED)
     each = [F.when(F.col(f"d{j}"), F.struct(F.lit(j).alias("j"), F.lit("modified").alias("change"), F.concat(F.lit(f"{path}/data/"), F.col("label"), F.lit(f"/{v}")).alias("path"), F.concat(F.lit(f"{v} changed at "), F.col("label")).alias("message"), shown(f"old_v{j}").alias("old"), shown(f"new_v{j}").alias("new"))) for j, v in enumerate(value_names)]
     every = F.when(~F.col("both"), one).otherwise(F.filter(F.array(*each), lambda x: x.isNotNull())) if each else one

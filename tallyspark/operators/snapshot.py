@@ -22,13 +22,29 @@ def units(files: DataFrame, scope: str = ".") -> DataFrame:
     return inside.select(unit_of_file(F.col("path")).alias("unit")).where("unit IS NOT NULL").distinct()
 
 
-def readers(reports: DataFrame, models: DataFrame) -> DataFrame:
+#: Rows of a result that one task makes where every row of one table meets every row of another.
+TASK_ROWS = 1_000_000
+
+
+def every_pair(left: DataFrame, right: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Every row of one with every row of the other, where that is what is asked for.
+
+    The larger side is dealt out into parts by its rows' hashes, the smaller one is copied to each;
+    counts tell how many parts make tasks of about task_rows rows.
+    """
+    n, m = left.count(), right.count()
+    parts = max(1, min(max(n, m), -(-n * m // task_rows)))
+    dealt = lambda df: df.withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(parts)).cast("int"))
+    copied = lambda df: df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    a, b = (copied(left), dealt(right)) if n < m else (dealt(left), copied(right))
+    return a.join(b, "_part").drop("_part")
+
+
+def readers(reports: DataFrame, models: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """(model, report): reports(report, model) that read one of models(model). A report whose model is unknown (null) reads every changed model."""
     known = reports.where("model IS NOT NULL").join(models, "model").select("model", "report")
     unknown = reports.where("model IS NULL").select("report")
-    # Every changed model meets every such report: that many rows are the result. Spark broadcasts the side that its size allows, or deals both out.
-    every = models.withColumn("_k", F.lit(1)).join(unknown.withColumn("_k", F.lit(1)), "_k").select("model", "report")
-    return known.unionByName(every)
+    return known.unionByName(every_pair(models.select("model"), unknown, task_rows).select("model", "report"))
 
 
 def project_runs(changed: DataFrame, models: DataFrame, read: DataFrame, old_units: DataFrame, new_units: DataFrame) -> DataFrame:

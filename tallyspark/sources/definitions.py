@@ -1,4 +1,4 @@
-"""Report and model definition files as tables: one row per page, visual, field, filter, column and measure.
+"""Definition files, archives and models as tables; reports are read from the same files by reports.py.
 
 Everything works on raw(project, path, content): files come from read_raw() or from a table. What
 can't be read becomes an issue row, never a failure.
@@ -6,30 +6,27 @@ can't be read becomes an issue row, never a failure.
 
 from __future__ import annotations
 
-import hashlib
+import codecs
 import io
 import itertools
-import json
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.conditions import Both, Comparison, Field, In, Not, TopN, rendered
-from ..functions.values import read_literal, unit_of_file
+from ..functions.values import unit_of_file
 
 # ------------------------------------------------------------------ fixed values
 DEFAULT_WIDTH, DEFAULT_HEIGHT = 1280.0, 720.0
 # Limits of an archive: entries, bytes of one, bytes of all.
 MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL = 10_000, 256 << 20, 512 << 20
 TEMPLATE_ENTRIES = ("Report/Layout", "DataModelSchema")
-COMPARISONS = {0: "=", 1: ">", 2: ">=", 3: "<", 4: "<="}
-DIRECTIONS = {1: "bottom", 2: "top"}
-SLICERS = ("slicer", "listSlicer", "advancedSlicerVisual", "textSlicer")
-FUNCTIONS = {0: "Sum", 1: "Avg", 2: "DistinctCount", 3: "Min", 4: "Max", 5: "Count", 6: "Median", 7: "StandardDeviation", 8: "Variance"}
+#: Bytes of an archive's entry that are recoded at once.
+CHUNK = 1 << 20
 
 
 def read_raw(spark: SparkSession, root: str, glob: str = "*.{json,tmdl,bim,pbit}") -> DataFrame:
@@ -43,8 +40,8 @@ def read_raw(spark: SparkSession, root: str, glob: str = "*.{json,tmdl,bim,pbit}
 
 
 def text_of(content):
-    """UTF-8 with or without a byte order mark."""
-    return F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
+    """UTF-8 with or without a byte order mark; null where it is none."""
+    return F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^﻿", "")
 
 
 def with_json(raw: DataFrame) -> DataFrame:
@@ -55,247 +52,65 @@ def with_json(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"json": F.when(ok, text), "error": F.when(~F.coalesce(ok, F.lit(False)), F.lit("not a JSON object"))})
 
 
-def issues(raw: DataFrame) -> DataFrame:
-    return with_json(raw).where(F.col("path").endswith(".json") & F.col("error").isNotNull()).select("project", "path", F.col("error").alias("message"))
-
-
-# ------------------------------------------------------------------ pages and visuals
-
-_PAGE = "name STRING, displayName STRING, width DOUBLE, height DOUBLE"
-_VISUAL = """name STRING, position STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE, width: DOUBLE, height: DOUBLE>, visualGroup STRING,
-visual STRUCT<visualType: STRING, query: STRUCT<queryState: MAP<STRING, STRUCT<projections: ARRAY<STRUCT<field: STRING>>>>>,
-visualContainerObjects: STRUCT<title: ARRAY<STRUCT<properties: STRUCT<text: STRUCT<expr: STRUCT<Literal: STRUCT<Value: STRING>>>>>>>,
-objects: STRUCT<general: ARRAY<STRUCT<properties: STRUCT<filter: STRUCT<filter: STRING>>>>>>, filterConfig STRUCT<filters: ARRAY<STRUCT<name: STRING, type: STRING, field: STRING, filter: STRING>>>"""
-
-
-def pages(raw: DataFrame) -> DataFrame:
-    """(project, page, display_name, width, height, ordinal): in the order of pages.json, unlisted ones last by folder."""
-    read = with_json(raw)
-    own = read.where(F.col("path").rlike(r"/pages/[^/]+/page\.json$")).withColumn("folder", F.regexp_extract("path", r"/pages/([^/]+)/page\.json$", 1))
-    p = F.from_json("json", _PAGE)
-    own = own.select("project", "folder", p.alias("p"))
-    order = read.where(F.col("path").endswith("/pages/pages.json")).select("project", F.from_json("json", "pageOrder ARRAY<STRING>").alias("o")).select("project", F.posexplode("o.pageOrder").alias("at", "folder")).groupBy("project", "folder").agg(F.min("at").alias("at"))
-    placed = own.join(order, ["project", "folder"], "left")
-    rank = F.row_number().over(Window.partitionBy("project").orderBy(F.col("at").asc_nulls_last(), "folder")) - 1
-    return placed.withColumn("ordinal", rank).where("p IS NOT NULL AND NOT (p.name IS NULL AND p.displayName IS NULL AND p.width IS NULL)").select("project", F.coalesce("p.name", "folder").alias("page"), F.coalesce("p.displayName", "p.name", "folder").alias("display_name"), F.coalesce("p.width", F.lit(DEFAULT_WIDTH)).alias("width"), F.coalesce("p.height", F.lit(DEFAULT_HEIGHT)).alias("height"), "ordinal")
-
-
-def _visual_rows(raw: DataFrame) -> DataFrame:
-    rows = with_json(raw.where(F.col("path").rlike(r"/visuals/[^/]+/visual\.json$"))).where("json IS NOT NULL")
-    v = F.from_json("json", _VISUAL)
-    return rows.select("project", F.regexp_extract("path", r"/pages/([^/]+)/visuals/", 1).alias("page"), F.regexp_extract("path", r"/visuals/([^/]+)/", 1).alias("folder"), v.alias("v"))
-
-
-def visuals(raw: DataFrame) -> DataFrame:
-    """(project, page, visual, visual_type, title, x, y, z, width, height); a visual without a full position is left out (see broken_visuals)."""
-    rows = _visual_rows(raw).where("v.position.x IS NOT NULL AND v.position.y IS NOT NULL AND v.position.width IS NOT NULL AND v.position.height IS NOT NULL")
-    kind = F.when(F.col("v.visual.visualType").isNotNull(), F.col("v.visual.visualType")).when(F.col("v.visualGroup").isNotNull(), F.lit("group")).otherwise(F.lit("unknown"))
-    title = F.regexp_replace(F.regexp_extract(F.get("v.visual.visualContainerObjects.title", F.lit(0))["properties"]["text"]["expr"]["Literal"]["Value"], "^'(.*)'$", 1), "''", "'")
-    return rows.select("project", "page", F.coalesce("v.name", "folder").alias("visual"), kind.alias("visual_type"), F.nullif(title, F.lit("")).alias("title"), "v.position.x", "v.position.y", F.coalesce("v.position.z", F.lit(0.0)).cast("int").alias("z"), "v.position.width", "v.position.height")
-
-
-def broken_visuals(raw: DataFrame) -> DataFrame:
-    rows = _visual_rows(raw).where("v.position.x IS NULL OR v.position.y IS NULL OR v.position.width IS NULL OR v.position.height IS NULL")
-    return rows.select("project", F.concat_ws("/", "page", "folder").alias("path"), F.lit("the position is not complete").alias("message"))
-
-
-_FIELD = "struct<table:string,name:string,kind:string,aggregation:string>"
-
-
-def _plain_field(field: dict, aliases: dict[str, str]) -> tuple | None:
-    for kind, label in (("Column", "column"), ("Measure", "measure")):
-        if isinstance(part := field.get(kind), dict):
-            source = (part.get("Expression") or {}).get("SourceRef") or {}
-            table = source.get("Entity") or aliases.get(source.get("Source", ""))
-            return (table, part["Property"], label, None) if table and part.get("Property") else None
-    if isinstance(part := field.get("Aggregation"), dict):
-        inner = _plain_field(part.get("Expression") or {}, aliases)
-        return inner and (inner[0], inner[1], "aggregation", FUNCTIONS.get(part.get("Function"), str(part.get("Function"))))
-    if isinstance(part := field.get("HierarchyLevel"), dict):
-        return _level_field(part, aliases)
-    return None
-
-
-def _level_field(part: dict, aliases: dict[str, str]) -> tuple | None:
-    """`Hierarchy.Level`; with the column before it where the hierarchy is that of a date column."""
-    hierarchy = (part.get("Expression") or {}).get("Hierarchy") or {}
-    at, steps = hierarchy.get("Expression") or {}, [hierarchy.get("Hierarchy"), part.get("Level")]
-    if isinstance(variation := at.get("PropertyVariationSource"), dict):
-        at, steps = variation.get("Expression") or {}, [variation.get("Property"), *steps]
-    source = at.get("SourceRef") or {}
-    table = source.get("Entity") or aliases.get(source.get("Source", ""))
-    return (table, ".".join(steps), "hierarchy level", None) if table and all(isinstance(x, str) for x in steps) else None
-
-
-def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
-def _read_fields(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in texts:
-        try:
-            field = json.loads(t) if t else {}
-        except ValueError:
-            field = {}
-        kind = next(iter(field), "field")
-        rows.append(_plain_field(field, {}) or (None, f"{kind} {hashlib.sha256(canonical(field).encode()).hexdigest()[:8]}", "unknown", None))
-    return pd.DataFrame(rows, columns=["table", "name", "kind", "aggregation"])
-
-
-def projections(raw: DataFrame) -> DataFrame:
-    """(project, page, visual, role, idx, field); a field that can't be read keeps its kind and a short hash."""
-    read = F.pandas_udf(_read_fields, _FIELD)
-    rows = _visual_rows(raw).select("project", "page", F.coalesce("v.name", "folder").alias("visual"), F.explode("v.visual.query.queryState").alias("role", "state"))
-    rows = rows.select("project", "page", "visual", "role", F.posexplode("state.projections").alias("idx", "p"))
-    return rows.select("project", "page", "visual", "role", "idx", read(F.col("p.field")).alias("field"))
-
-
-# ------------------------------------------------------------------ filters
-
-
-class Unread(ValueError):
-    pass
-
-
-def _aliases(sources) -> tuple[dict[str, str], dict[str, dict]]:
-    """Tables and subqueries of a From list by their short names."""
-    tables, queries = {}, {}
-    for s in sources or ():
-        if s.get("Entity"):
-            tables[s["Name"]] = s["Entity"]
-        elif query := ((s.get("Expression") or {}).get("Subquery") or {}).get("Query"):
-            queries[s["Name"]] = query
-    return tables, queries
-
-
-def _top(body: dict, field, queries: dict[str, dict]) -> TopN:
-    """A field among the values of a subquery: of these only the one that ranks is known."""
-    query = queries.get(body["Table"]["SourceRef"]["Source"])
-    count, order = (query or {}).get("Top"), (query or {}).get("OrderBy") or ()
-    if type(count) is not int or count < 1 or len(order) != 1 or len(body["Expressions"]) != 1 or order[0].get("Direction") not in DIRECTIONS:
-        raise Unread("a subquery that does not rank")
-    by = _plain_field(order[0]["Expression"], _aliases(query.get("From"))[0])
-    if not by:
-        raise Unread("a field that can't be read")
-    key = f"{by[0]}[{by[1]}]"
-    return TopN(field(body["Expressions"][0]), count, f"{by[3]}({key})" if by[3] else key, DIRECTIONS[order[0]["Direction"]] == "top")
-
-
-def condition_of(node: dict, aliases: dict[str, str], queries: dict[str, dict] | None = None):
-    """The structured condition of one node, or Unread. queries: the subqueries that it may refer to."""
-    if not isinstance(node, dict) or len(node) != 1:
-        raise Unread("not one condition")
-    kind, body = next(iter(node.items()))
-    if kind == "Not":
-        return Not(condition_of(body["Expression"], aliases, queries))
-    if kind in ("And", "Or"):
-        return Both((condition_of(body["Left"], aliases, queries), condition_of(body["Right"], aliases, queries)), kind.lower())
-
-    def field(x) -> Field:
-        f = _plain_field(x, aliases)
-        if not f:
-            raise Unread("a field that can't be read")
-        return Field(f[0], f[1])
-
-    if kind == "In" and "Table" in body:
-        return _top(body, field, queries or {})
-    if kind == "In":
-        values = tuple(tuple(read_literal(v["Literal"]["Value"]) for v in row) for row in body["Values"])
-        return In(tuple(map(field, body["Expressions"])), values)
-    if kind == "Comparison":
-        return Comparison(field(body["Left"]), COMPARISONS[body["ComparisonKind"]], read_literal(body["Right"]["Literal"]["Value"]))
-    raise Unread(f"a condition {kind}")
-
-
-def _read_conditions(texts: pd.Series) -> pd.DataFrame:
-    """Equal texts are read once."""
-    seen: dict[str, tuple] = {}
-    for t in texts.dropna().unique():
-        try:
-            query = json.loads(t)
-            aliases = _aliases(query.get("From"))
-            parts = tuple(condition_of(w["Condition"], *aliases) for w in query["Where"])
-            seen[t] = (rendered(parts[0] if len(parts) == 1 else Both(parts)), None)
-        except (ValueError, KeyError, TypeError, IndexError, AttributeError) as e:
-            try:
-                kept = canonical(json.loads(t))
-            except ValueError:
-                kept = t
-            seen[t] = (None, f"{type(e).__name__}: {kept}"[:2000])
-    rows = [seen[t] if isinstance(t, str) else (None, None) for t in texts]
-    return pd.DataFrame(rows, columns=["condition", "unread"])
-
-
-def read_condition(c):
-    """The rendered condition of a filter's JSON, or its canonical text where it can't be read."""
-    return F.pandas_udf(_read_conditions, "struct<condition:string,unread:string>")(c)
-
-
-def filters(raw: DataFrame) -> DataFrame:
-    """(project, page, visual, idx, name, filter_type, field, condition, unread) of the filter cards of visuals."""
-    rows = _visual_rows(raw).select("project", "page", F.coalesce("v.name", "folder").alias("visual"), F.posexplode("v.filterConfig.filters").alias("idx", "f"))
-    rows = rows.select("project", "page", "visual", "idx", "f.name", F.col("f.type").alias("filter_type"), F.pandas_udf(_read_fields, _FIELD)(F.col("f.field")).alias("field"), read_condition(F.col("f.filter")).alias("c"))
-    return rows.select("*", "c.condition", "c.unread").drop("c")
-
-
-def slicers(raw: DataFrame) -> DataFrame:
-    """(project, page, visual, condition, unread) of slicers: the built-in types, or any visual with a stored selection."""
-    rows = _visual_rows(raw).select("project", "page", F.coalesce("v.name", "folder").alias("visual"), F.col("v.visual.visualType").alias("type"), F.get("v.visual.objects.general", F.lit(0))["properties"]["filter"]["filter"].alias("f"))
-    rows = rows.where(F.col("type").isin(*SLICERS) | F.col("f").isNotNull()).select("project", "page", "visual", read_condition(F.col("f")).alias("c"))
-    return rows.select("project", "page", "visual", "c.condition", "c.unread")
-
-
-# ------------------------------------------------------------------ single-document reports and archives
-
-_LEGACY = "sections ARRAY<STRUCT<name: STRING, displayName: STRING, ordinal: INT, width: DOUBLE, height: DOUBLE, visualContainers: ARRAY<STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE, width: DOUBLE, height: DOUBLE, config: STRING, filters: STRING>>>>"
-_CONFIG = "name STRING, singleVisual STRUCT<visualType: STRING, projections: MAP<STRING, ARRAY<STRUCT<queryRef: STRING>>>>"
-
-
-def _sections(raw: DataFrame) -> DataFrame:
-    doc = with_json(raw.where(F.col("path").endswith("report.json"))).where("json IS NOT NULL").select("project", F.from_json("json", _LEGACY).alias("d"))
-    rows = doc.select("project", F.posexplode("d.sections").alias("i", "s"))
-    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("project").orderBy(F.coalesce("s.ordinal", "i"), "i")) - 1)
-
-
-def legacy_pages(raw: DataFrame) -> DataFrame:
-    return _sections(raw).select("project", F.col("s.name").alias("page"), F.coalesce("s.displayName", "s.name").alias("display_name"), F.coalesce("s.width", F.lit(DEFAULT_WIDTH)).alias("width"), F.coalesce("s.height", F.lit(DEFAULT_HEIGHT)).alias("height"), "ordinal")
-
-
-def legacy_visuals(raw: DataFrame) -> DataFrame:
-    """(project, page, visual, visual_type, x, y, z, width, height, fields): the configuration is JSON inside a string."""
-    rows = _sections(raw).select("project", F.col("s.name").alias("page"), F.explode("s.visualContainers").alias("c")).withColumn("k", F.from_json("c.config", _CONFIG))
-    refs = F.flatten(F.transform(F.map_values("k.singleVisual.projections"), lambda p: F.transform(p, lambda x: x["queryRef"])))
-    return rows.select("project", "page", F.col("k.name").alias("visual"), F.coalesce("k.singleVisual.visualType", F.lit("unknown")).alias("visual_type"), "c.x", "c.y", F.coalesce("c.z", F.lit(0.0)).cast("int").alias("z"), "c.width", "c.height", F.array_sort(F.coalesce(refs, F.array().cast("array<string>"))).alias("fields"))
+# ------------------------------------------------------------------ archives
 
 
 def unpacked(raw: DataFrame) -> DataFrame:
-    """(project, path, content, error) of the two definition entries of template archives, as UTF-8. Unsafe or too large archives give one error row."""
+    """(project, path, content, error) of the two definition entries of template archives, as UTF-8, a row each. Archives that are unsafe, too large or can't be read give an error row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for project, path, content in frame.itertuples(index=False):
                 try:
-                    rows += [(project, f"{path}/{name}", data, None) for name, data in _entries(bytes(content))]
-                except (ValueError, zipfile.BadZipFile) as e:
-                    rows.append((project, path, None, str(e)))
-            yield pd.DataFrame(rows, columns=["project", "path", "content", "error"])
+                    for name, data in _entries(bytes(content or b"")):
+                        yield pd.DataFrame([(project, f"{path}/{name}", data, None)], columns=["project", "path", "content", "error"])
+                except (ValueError, zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError) as e:
+                    yield pd.DataFrame([(project, path, None, str(e) or type(e).__name__)], columns=["project", "path", "content", "error"])
 
     return raw.where(F.lower("path").endswith(".pbit")).select("project", "path", "content").mapInPandas(run, "project string, path string, content binary, error string")
 
 
-def _entries(content: bytes) -> list[tuple[str, bytes]]:
+def expanded(raw: DataFrame) -> DataFrame:
+    """raw with the entries of its archives in their place, in the project of the archive."""
+    own = unpacked(raw).where("error IS NULL").select("project", "path", "content")
+    return raw.where(~F.lower("path").endswith(".pbit")).select("project", "path", "content").unionByName(own)
+
+
+def _leaves(name: str) -> bool:
+    return name.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", name) or ":" in re.split(r"[/\\]", name)[0]
+
+
+def _entries(content: bytes) -> Iterator[tuple[str, bytes]]:
+    """(name, UTF-8 content) of an archive's definition entries, one after the other; only what is read counts for the limits."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         infos = z.infolist()
-        names = [i.filename for i in infos]
-        if len(infos) > MAX_ENTRIES or sum(i.file_size for i in infos) > MAX_TOTAL or any(i.file_size > MAX_ENTRY for i in infos):
-            raise ValueError("the archive is too large")
-        if any(n.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", n) or ":" in n for n in names):
+        if len(infos) > MAX_ENTRIES:
+            raise ValueError("the archive has too many entries")
+        if any(_leaves(i.filename) for i in infos):
             raise ValueError("an entry leaves the archive")
-        if len({n.lower() for n in names}) != len(names):
+        wanted = [i for i in infos if i.filename in TEMPLATE_ENTRIES]
+        if len({i.filename for i in wanted}) != len(wanted):
             raise ValueError("an entry stands twice")
-        return [(n, z.read(n).decode("utf-16-le").lstrip("﻿").encode()) for n in TEMPLATE_ENTRIES if n in names]
+        left = MAX_TOTAL
+        if sum(i.file_size for i in wanted) > MAX_TOTAL or any(i.file_size > MAX_ENTRY for i in wanted):
+            raise ValueError("the archive is too large")
+        for info in sorted(wanted, key=lambda i: i.filename):
+            data, read = _recoded(z, info, min(MAX_ENTRY, left))
+            left -= read
+            yield info.filename, data
+
+
+def _recoded(z: zipfile.ZipFile, info: zipfile.ZipInfo, most: int) -> tuple[bytes, int]:
+    """An entry in UTF-8 without its mark, and its bytes as they were; read and recoded piece by piece."""
+    decoder, out, size = codecs.getincrementaldecoder("utf-16-le")(), bytearray(), 0
+    with z.open(info) as entry:
+        while piece := entry.read(CHUNK):
+            size += len(piece)
+            if size > most:
+                raise ValueError("the archive is too large")
+            out += decoder.decode(piece).encode()
+    out += decoder.decode(b"", True).encode()
+    return bytes(out.removeprefix(codecs.BOM_UTF8)), size
 
 
 # ------------------------------------------------------------------ models
@@ -346,8 +161,10 @@ def _outdented(line: str, levels: int) -> str:
     return line
 
 
-def read_model_text(text: str) -> list[tuple[str, str | None, str | None, str]]:
+def read_model_text(text: str | None) -> list[tuple[str, str | None, str | None, str]]:
     """Objects stand below their tables by one level, what describes them by two, and expressions after `=` or in the lines below by three, with or without a fence around them. Blank lines, and notes (///) above the level of expressions, are skipped."""
+    if text is None:
+        return [("issue", None, None, "not UTF-8")]
     lines = [(_levels(x), x.rstrip()) for x in text.splitlines()]
     lines = [(d, x) for d, x in lines if x.strip() and not (d < EXPRESSION_LEVEL and x.lstrip().startswith("///"))]
     unquoted = lambda n: n[1:-1].replace("''", "'") if n.startswith("'") else n

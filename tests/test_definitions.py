@@ -14,6 +14,8 @@ from tallyspark.operators import findings as N
 from tallyspark.operators import pairing as P
 from tallyspark.operators import snapshot as S
 from tallyspark.sources import definitions as D
+from tallyspark.sources import fields as E
+from tallyspark.sources import reports as R
 
 
 def one(spark, **columns):
@@ -105,6 +107,25 @@ def test_units_and_runs(spark):
     assert {(r.model, r.report) for r in S.readers(reports, models).collect()} == {("m1", "r1"), ("m1", "r2"), ("m2", "r2")}
 
 
+@pytest.mark.parametrize("n, m", [(40, 3000), (3000, 40), (0, 5), (1, 1)])
+def test_unknown_readers_are_dealt_out(spark, n, m):
+    """No task makes more than its share of the pairs."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "30"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        models = spark.range(n).select(F.concat(F.lit("m"), "id").alias("model"))
+        reports = spark.range(m).select(F.concat(F.lit("r"), "id").alias("report"), F.lit(None).cast("string").alias("model"))
+        found = S.readers(reports, models, task_rows=2000)
+        tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == n * m == found.distinct().count()
+        assert n * m < 10_000 or max(tasks) < 4 * n * m / 30
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        for k in list(conf)[:2]:
+            spark.conf.unset(k)
+
+
 @pytest.mark.parametrize("raw, kind, value", [("2025L", "number", "2025"), ("1.50", "number", "1.5"), ("-0", "number", "0"), ("'it''s'", "text", "it's"), ("TRUE", "boolean", "true"), ("null", "null", None), ("datetime'2025-01-01'", "datetime", "2025-01-01"), ("x y", "other", "x y"), ("1E+3", "number", "1000"), ("2.50e-3D", "number", "0.0025"), (".5", "number", "0.5"), ("12.M", "number", "12"), ("-1.25E1", "number", "-12.5"), ("0E9", "number", "0"), ("1E101", "other", "1E101"), ("1E99999999", "other", "1E99999999")])
 def test_literals(spark, raw, kind, value):
     assert tuple(spark.range(1).select(X.literal_kind(F.lit(raw)), X.literal_value(F.lit(raw))).first()) == (kind, value)
@@ -129,17 +150,17 @@ def test_pages_in_order(spark):
     base = "R.Report/definition/pages/"
     files = {base + "pages.json": json.dumps({"pageOrder": ["b"]}), base + "a/page.json": "﻿" + json.dumps({"name": "a", "displayName": "A"}), base + "b/page.json": json.dumps({"name": "b", "width": 10}), base + "c/page.json": "[]"}
     r = raw(spark, files)
-    assert [tuple(x) for x in D.pages(r).orderBy("ordinal").collect()] == [("R.Report", "b", "b", 10.0, 720.0, 0), ("R.Report", "a", "A", 1280.0, 720.0, 1)]
-    assert [x.path for x in D.issues(r).collect()] == [base + "c/page.json"]
+    assert [tuple(x) for x in R.pages(r).orderBy("ordinal").collect()] == [("R.Report", "b", "b", 10.0, 720.0, 0), ("R.Report", "a", "A", 1280.0, 720.0, 1)]
+    assert [x.file for x in R.issues(r).collect()] == [base + "c/page.json"]
 
 
 def test_legacy_report(spark):
     config = {"name": "v", "singleVisual": {"visualType": "card", "projections": {"Values": [{"queryRef": "Sales.Amount"}]}}}
     doc = {"sections": [{"name": "s2", "ordinal": 1, "visualContainers": []}, {"name": "s1", "displayName": "First", "ordinal": 0, "visualContainers": [{"x": 1, "y": 2, "width": 3, "height": 4, "config": json.dumps(config)}]}]}
     r = raw(spark, {"R.Report/report.json": json.dumps(doc)})
-    assert [(p.page, p.ordinal) for p in D.legacy_pages(r).orderBy("ordinal").collect()] == [("s1", 0), ("s2", 1)]
-    v = D.legacy_visuals(r).first()
-    assert (v.page, v.visual, v.visual_type, v.fields) == ("s1", "v", "card", ["Sales.Amount"])
+    assert [(p.page, p.ordinal) for p in R.pages(r).orderBy("ordinal").collect()] == [("s1", 0), ("s2", 1)]
+    v = R.visuals_with_refs(r).first()
+    assert (v.page, v.visual, v.visual_type, v.refs) == ("s1", "v", "card", ["Sales.Amount"])
 
 
 def test_archives(spark):
@@ -169,7 +190,7 @@ def test_model_text(spark):
 
 def test_conditions_read(spark):
     query = {"From": [{"Name": "p", "Entity": "Product"}], "Where": [{"Condition": {"Not": {"Expression": {"In": {"Expressions": [{"Column": {"Expression": {"SourceRef": {"Source": "p"}}, "Property": "Category"}}], "Values": [[{"Literal": {"Value": "'Bikes'"}}]]}}}}}]}
-    rows = spark.createDataFrame([(json.dumps(query),), ('{"Where": [{"Condition": {"Odd": 1}}]}',), ("{",), (None,)], "t string").select(D.read_condition(F.col("t")).alias("c")).collect()
+    rows = spark.createDataFrame([(json.dumps(query),), ('{"Where": [{"Condition": {"Odd": 1}}]}',), ("{",), (None,)], "t string").select(E.read_condition(F.col("t")).alias("c")).collect()
     assert rows[0].c.condition == "not Product[Category] in ('Bikes')"
     assert [r.c.unread is not None for r in rows] == [False, True, True, False]
 
@@ -194,7 +215,7 @@ def test_levels_of_hierarchies(spark):
     plain = {"HierarchyLevel": {"Expression": {"Hierarchy": {"Expression": entity, "Hierarchy": "Calendar"}}, "Level": "Month"}}
     dated = {"HierarchyLevel": {"Expression": {"Hierarchy": {"Expression": {"PropertyVariationSource": {"Expression": entity, "Name": "Variation", "Property": "Day"}}, "Hierarchy": "Date Hierarchy"}}, "Level": "Year"}}
     broken = {"HierarchyLevel": {"Expression": {}, "Level": "Year"}}
-    got = D._read_fields(pd.Series([json.dumps(x) for x in (plain, dated, broken)]))
+    got = E._read_fields(*[pd.Series(x) for x in ([json.dumps(x) for x in (plain, dated, broken)], [None] * 3)])
     assert got.values.tolist()[:2] == [["Date", "Calendar.Month", "hierarchy level", None], ["Date", "Day.Date Hierarchy.Year", "hierarchy level", None]]
     assert got.kind[2] == "unknown" and got.name[2].startswith("HierarchyLevel ")
 
@@ -208,6 +229,6 @@ def test_ranked_filters(spark):
         where = {"In": {"Expressions": [column("p", "Name")], "Table": {"SourceRef": {"Source": "q"}}}}
         return json.dumps({"From": [{"Name": "q", "Expression": {"Subquery": {"Query": query}}, "Type": 2}, {"Name": "p", "Entity": "Product"}], "Where": [{"Condition": where}]})
 
-    rows = spark.createDataFrame([(text(3, 2),), (text(5, 1),), (text(0, 2),), (text(3, 7),)], "t string").select(D.read_condition(F.col("t")).alias("c")).collect()
+    rows = spark.createDataFrame([(text(3, 2),), (text(5, 1),), (text(0, 2),), (text(3, 7),)], "t string").select(E.read_condition(F.col("t")).alias("c")).collect()
     assert [r.c.condition for r in rows] == ["top 3 Product[Name] by Sum(Sales[Amount])", "bottom 5 Product[Name] by Sum(Sales[Amount])", None, None]
     assert all(r.c.unread for r in rows[2:])
