@@ -1,10 +1,9 @@
 """Benchmark decontamination on built-in functions only.
 
 The benchmark's word windows form a hash set whose size is checked. A small one travels to every
-task inside the plan and is looked up inside the row a text stands in; a larger one is a table
-of 64-bit hashes, broadcast or joined by shuffle as its counted rows allow, that the hashes of a
-text's windows meet. Either way texts are never shuffled and nothing but hits is written; those
-are verified on the words themselves.
+task inside the plan; of a larger one a Bloom filter of bounded size does, as one row. Either is
+looked up inside the row a text stands in, so texts are never shuffled and nothing but windows
+that may be hits is written; those are verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -12,14 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, materialize, small_side
+from .common import content_key, materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Distinct benchmark windows that may travel with the plan as a hash set.
 MAX_BROADCAST_WINDOWS = 100_000
-#: Texts with hits, each with the places of its hits, that may be broadcast to fetch their words.
-MAX_BROADCAST_TEXTS = 10_000
+#: Bits of the filter for each window, and the most words of 64 bits it has (8 MB): beyond, more windows pass that are then found to be none.
+FILTER_BITS, MAX_FILTER_WORDS = 16, 1 << 20
+#: Rows (window, item) that may be broadcast where hits are verified.
+MAX_BROADCAST_ROWS = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,6 +37,30 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_id: str =
     return w.select("item", "w", F.explode(starts).alias("i")).select(F.array_join(F.slice("w", F.col("i"), F.lit(window)), " ").alias("gram"), F.least(F.size("w"), F.lit(window)).alias("length"), "item").distinct()
 
 
+def _bit(x: Column, words: int) -> tuple[Column, Column]:
+    """The word of the filter that a hash falls into, and its bit there."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 40).bitwiseAND(F.lit(63)).cast("int"))
+    return x.bitwiseAND(F.lit(words - 1)).cast("int"), bit
+
+
+def _filter_of(hashes: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """One row with the bits of n hashes(h) in words of 64, written; and the number of words."""
+    words = 1 << min(MAX_FILTER_WORDS.bit_length() - 1, max(4, (FILTER_BITS * n // 64).bit_length()))
+    word, bit = _bit(F.col("x"), words)
+    some = hashes.select(F.explode(F.array("h", F.xxhash64("h"))).alias("x")).groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b"))
+    all_words = hashes.sparkSession.range(words).select(F.col("id").cast("int").alias("w")).join(some, "w", "left")
+    bits = F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))))
+    return materialize(all_words.agg(F.transform(bits, lambda s: s["b"]).alias("_bits")), "filter"), words
+
+
+def _may_hold(bits: Column, h: Column, words: int) -> Column:
+    found = F.lit(True)
+    for x in (h, F.xxhash64(h)):
+        word, bit = _bit(x, words)
+        found = found & (F.get(bits, word).bitwiseAND(bit) != 0)
+    return found
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", max_broadcast: int = MAX_BROADCAST_WINDOWS) -> tuple[DataFrame, DataFrame]:
     """(per_text, of_items).
 
@@ -45,55 +70,40 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     texts count as empty.
     """
     grams = materialize(benchmark_windows(benchmark, window, item_id), "grams")
-    by_length = {r.length: r.n for r in grams.groupBy("length").agg(F.count_distinct("gram").alias("n")).collect()}  # at most `window` rows
+    by_length = {r.length: (r.n, r.rows) for r in grams.groupBy("length").agg(F.count_distinct("gram").alias("n"), F.count("*").alias("rows")).collect()}  # at most `window` rows
     base = docs.select(content_key(F.col(text)).alias("key"), words(F.col(text)).alias("w"))
-
-    def gram_hash(i: Column, length: int) -> Column:
-        return F.xxhash64(F.slice("w", i, F.lit(length)))
-
-    def in_set(length: int, hashes: list[int]):
-        return lambda i: gram_hash(i, length).isin(hashes)
-
-    def hit(length: int):
-        return lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), F.array_join(F.slice("w", i, F.lit(length)), " ").alias("gram"))
-
-    def hash_of(length: int):
-        return lambda i: gram_hash(i, length)
-
-    def places(length: int) -> Column:
-        return F.when(F.size("w") >= length, F.sequence(F.lit(1), F.size("w") - (length - 1))).otherwise(F.array().cast("array<int>"))
-
-    small = sum(by_length.values()) <= max_broadcast
-    n_words = F.size("w").cast("long").alias("n_words")
-    if small:
-        found = []
-        for length in sorted(by_length):
-            wanted = [r.h for r in grams.where(F.col("length") == length).select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct().collect()]  # bounded by max_broadcast
-            found.append(F.transform(F.filter(places(length), in_set(length, wanted)), hit(length)))
-        none = F.array().cast("array<struct<at:int,length:int,gram:string>>")
-        scanned = materialize(base.select("key", n_words, (F.concat(*found) if found else none).alias("found")), "scan")
-        # Copies share a key: one row of each is enough from here on.
-        spans = scanned.where(F.size("found") > 0).groupBy("key").agg(F.first("found").alias("found"))
+    hashed = grams.select("length", F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
+    n = sum(x for x, _ in by_length.values())
+    if n > max_broadcast:
+        bits, size = _filter_of(hashed.select("h"), n)
+        base = base.crossJoin(F.broadcast(bits))  # one row
+        passes = {length: lambda h: _may_hold(F.col("_bits"), h, size) for length in by_length}
     else:
-        scanned = base.select("key", n_words)
-        hashes = small_side(materialize(grams.select("length", F.xxhash64(F.split("gram", " ")).alias("h")).distinct(), "hashes"))
-        windows = None
-        for length in sorted(by_length):
-            own = base.select("key", F.posexplode(F.transform(places(length), hash_of(length))).alias("at", "h"), F.lit(length).alias("length"))
-            windows = own if windows is None else windows.unionByName(own)
-        met = windows.join(hashes, ["length", "h"], "left_semi").groupBy("key").agg(F.collect_set(F.struct((F.col("at") + 1).alias("at"), "length")).alias("met"))
-        met = small_side(materialize(met, "met"), MAX_BROADCAST_TEXTS)
-        gram = lambda x: F.struct(x["at"].alias("at"), x["length"].alias("length"), F.array_join(F.slice("w", x["at"], x["length"]), " ").alias("gram"))
-        spans = base.join(met, "key").groupBy("key").agg(F.first(F.transform("met", gram)).alias("found"))
+        sets: dict[int, list[int]] = {}
+        for r in hashed.collect():  # bounded by max_broadcast
+            sets.setdefault(r.length, []).append(r.h)
+        passes = {length: lambda h, own=own: h.isin(own) for length, own in sets.items()}
+
+    def found(length: int) -> Column:
+        """The windows of that many words that may be hits: (at, length, gram)."""
+        places = F.when(F.size("w") >= length, F.sequence(F.lit(1), F.size("w") - (length - 1))).otherwise(F.array().cast("array<int>"))
+        hashes = F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i, F.lit(length))).alias("h")))
+        gram = lambda x: F.struct(x["at"].alias("at"), F.lit(length).alias("length"), F.array_join(F.slice("w", x["at"], F.lit(length)), " ").alias("gram"))
+        return F.transform(F.filter(hashes, lambda x: passes[length](x["h"])), gram)
+
+    none = F.array().cast("array<struct<at:int,length:int,gram:string>>")
+    scanned = materialize(base.select("key", F.size("w").cast("long").alias("n_words"), F.concat(none, *map(found, sorted(by_length))).alias("found")), "scan")
+    # Copies share a key: one row of each is enough from here on.
+    spans = scanned.where(F.size("found") > 0).groupBy("key").agg(F.first("found").alias("found"))
     spans = spans.select("key", F.explode("found").alias("f")).select("key", "f.at", "f.length", "f.gram")
-    listed = grams.groupBy("gram").agg(F.collect_set("item").alias("items"))
-    verified = spans.join(F.broadcast(listed) if small else listed, "gram")
-    per_key = verified.groupBy("key").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1))))).alias("hit_words"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-    )
-    per_key = materialize(per_key, "hits")
-    return scanned.select("key", "n_words").distinct().join(per_key.select("key", "hit_words"), "key", "left"), per_key.select("key", F.explode("items").alias("item"))
+    few = sum(rows for _, rows in by_length.values()) <= MAX_BROADCAST_ROWS
+    known = grams.select("gram").distinct()
+    verified = materialize(spans.join(F.broadcast(known) if few else known, "gram", "left_semi"), "hits")
+    places = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)))))
+    per_key = verified.groupBy("key").agg(places.alias("hit_words"))
+    listed = grams.select("gram", "item")
+    of_items = verified.select("key", "gram").distinct().join(F.broadcast(listed) if few else listed, "gram").select("key", "item").distinct()
+    return scanned.select("key", "n_words").distinct().join(per_key, "key", "left"), of_items
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:

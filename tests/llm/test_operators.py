@@ -609,6 +609,31 @@ def test_contamination(spark, docs, texts, most):
     assert {r.n_items for r in decontaminate.contamination(docs, bench.limit(0)).collect()} == {0}
 
 
+def shuffled_bytes(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    none = jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_a_large_benchmark_shuffles_less_than_the_texts(spark, monkeypatch):
+    """Beyond the bounds of both broadcasts, with texts that hold windows and windows that no text holds."""
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_ROWS", 0)
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(5000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts = [prose(900) for _ in range(300)]
+    items = [(i, prose(40)) for i in range(40)] + [(1000 + i, " ".join(texts[i].split()[50:90])) for i in range(5)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = decontaminate.materialize(docs, "docs")
+    before = shuffled_bytes(spark)
+    got = {r.doc_id: r.items for r in decontaminate.contamination(docs, bench, max_broadcast=0).collect()}
+    assert {i: x for i, x in got.items() if x} == {i: [str(1000 + i)] for i in range(5)} and len(got) == 300
+    assert shuffled_bytes(spark) - before < sum(map(len, texts)) / 3
+
+
 # ------------------------------------------------------------------ 8
 
 
