@@ -5,11 +5,9 @@ are counted over the corpus: with c(e, t) different texts that show term t and
 entity e, c(e) texts with e, d(t) texts with t and N texts in all, t reveals log2(c(e,t) N / (c(e) d(t)))
 bits of the log2(N / c(e)) bits that e holds. Terms that reveal more than a threshold share are
 spans of their own: above the upper threshold they are removed, between both generalised.
-Equal texts count once, so that copies do not pass for evidence.
-
-An entity that stands in a few texts only can't be told by what its texts have in common. Asked
-for (`alone`), such an entity is judged by the words of its own sentences: those that hardly any
-other text shows, by the same formula and the upper threshold, are removed in its texts.
+Equal texts count once, so that copies do not pass for evidence. An entity that stands in fewer
+different texts than are asked for says nothing about its words: that a word is rare there is no sign
+that it reveals anything.
 """
 
 from __future__ import annotations
@@ -41,8 +39,7 @@ TEXTS_PER_TASK = 256
 #: Revealing terms that are looked up inside the rows of the corpus; more are joined with its words.
 MAX_TERMS = 50_000
 
-#: Code points of a sentence that are looked at on either side of an entity, and what ends a sentence.
-REACH, _ENDS = 200, r".!?\n\u3002"
+
 def _luhn(digits: Column) -> Column:
     doubled = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
 
@@ -73,21 +70,11 @@ def _bare(text: Column, base: Column) -> Column:
     return replaced(text, base, lambda x: F.lit(" "))
 
 
-def _sentence(text: Column, x: Column) -> Column:
-    """What stands around a span in its sentence, without words that REACH cuts."""
-    before = F.substring(text, F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH)))
-    after = F.substring(text, x["end"] + 1, F.lit(REACH))
-    cut = lambda part, at, long: F.when(long, F.regexp_replace(part, at, "")).otherwise(part)
-    before = F.regexp_extract(cut(before, f"^{_LETTER}+", x["start"] > REACH), f"([^{_ENDS}]*)$", 1)
-    after = F.regexp_extract(cut(after, f"{_LETTER}+$", F.length(text) - x["end"] > REACH), f"^([^{_ENDS}]*)", 1)
-    return F.concat_ws(" ", before, after)
-
-
 def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
-def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_texts: int = MIN_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE, max_terms: int = MAX_TERMS, everywhere: bool = False, alone: bool = False) -> DataFrame:
+def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_texts: int = MIN_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE, max_terms: int = MAX_TERMS, everywhere: bool = False) -> DataFrame:
     """doc_id, key (of the text), base (spans of the patterns) and spans (with those of revealing terms) of every row of docs.
 
     A span is (start, kind, end, value) with code points from 0, the end exclusive, and kind an
@@ -95,30 +82,23 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     spans; null ids stay; columns other than doc_id and text are ignored; an empty table gives
     an empty result. A revealing term is a span wherever it stands in the texts with its entity;
     everywhere: in all texts. An entity that stands in fewer than min_texts different texts
-    reveals nothing about its words, however rare they are, but with alone: then those of its
-    sentences whose share reaches `remove` are spans, wherever they stand in the texts with it.
+    reveals nothing about its words, however rare they are.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), content_key(F.col(text)).alias("key"), whole.alias("text")).withColumn("base", base_spans(F.col("text")))
-    kept = [F.when(F.size("base") > 0, _words(_bare(F.col("text"), F.col("base")))).alias("words")]
-    if alone:
-        kept.append(F.transform("base", lambda x: F.array_distinct(F.regexp_extract_all(F.lower(_sentence(F.col("text"), x)), F.lit(TERM), F.lit(0)))).alias("beside"))
-    found = materialize(rows.select("doc_id", "key", "base", *kept), "entities")
+    terms = F.when(F.size("base") > 0, _words(_bare(F.col("text"), F.col("base"))))
+    found = materialize(rows.select("doc_id", "key", "base", terms.alias("words")), "entities")
     spans = found.select("doc_id", "key", "base")
     # Copies share a key; one of each is a text.
-    texts = found.where(F.size("base") > 0).groupBy("key").agg(F.first(F.struct("base", "words", *["beside"] * alone)).alias("t"))
+    texts = found.where(F.size("base") > 0).groupBy("key").agg(F.first(F.struct("base", "words")).alias("t"))
     entity = lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), F.when(x["kind"] >= 2, _digits(x["value"])).otherwise(F.lower(x["value"])))
-    texts = materialize(texts.select("key", F.transform("t.base", entity).alias("each"), F.col("t.words").alias("words"), F.array_distinct(F.transform("t.words", F.lower)).alias("terms"), *[F.col("t.beside").alias("beside")] * alone), "texts")
+    texts = materialize(texts.select("key", F.transform("t.base", entity).alias("each"), F.col("t.words").alias("words"), F.array_distinct(F.transform("t.words", F.lower)).alias("terms")), "texts")
     entities = materialize(texts.select(F.explode(F.array_distinct("each")).alias("entity")).groupBy("entity").agg(F.count("*").alias("ce")), "known")
     known = small_side(entities).where(F.col("ce") >= min_texts)
     held = materialize(texts.select("key", "words", "terms", F.explode(F.array_distinct("each")).alias("entity")).join(known, "entity"), "held")
     # A text is one short row with some hundred terms: tasks are dealt by the number of texts, so that each makes about as many rows at any size.
     dealt = held.repartition(-(-held.count() // TEXTS_PER_TASK) or 1, "key", "entity")
-    pairs = dealt.select("entity", "ce", F.explode("terms").alias("term")).groupBy("entity", "ce", "term").agg(F.count("*").alias("cet")).where(F.col("cet") >= min_texts).withColumn("alone", F.lit(False))
-    if alone:
-        beside = texts.select("key", "terms", F.explode(F.arrays_zip("each", "beside")).alias("x")).select("key", F.col("x.each").alias("entity"), F.array_intersect("x.beside", "terms").alias("terms"))
-        beside = materialize(beside.join(small_side(entities).where(F.col("ce") < min_texts), "entity").select("key", "entity", "ce", F.explode("terms").alias("term")).distinct(), "beside")
-        pairs = pairs.unionByName(beside.groupBy("entity", "ce", "term").agg(F.count("*").alias("cet")).withColumn("alone", F.lit(True)))
+    pairs = dealt.select("entity", "ce", F.explode("terms").alias("term")).groupBy("entity", "ce", "term").agg(F.count("*").alias("cet")).where(F.col("cet") >= min_texts)
     pairs = materialize(pairs, "pairs")
     if pairs.isEmpty():
         return spans.withColumn("spans", F.col("base"))
@@ -132,12 +112,8 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     rated = pairs.join(counts, "term").crossJoin(F.broadcast(n))  # n is one row
     bits = F.log2(F.col("cet") * F.col("n") / (F.col("ce") * F.col("dt")))
     rated = rated.withColumn("share", F.when(F.col("n") > F.col("ce"), bits / F.log2(F.col("n") / F.col("ce"))).otherwise(F.lit(0.0)))
-    risky = materialize(rated.where(F.col("share") >= F.when(F.col("alone"), remove).otherwise(generalise)).select("entity", "term", "alone", F.when(F.col("share") >= remove, 4).otherwise(5).alias("kind")), "risky")
-    hits = _shown(docs.select(content_key(F.col(text)).alias("key"), whole.alias("text")), held, risky.where(~F.col("alone")), max_terms, everywhere)
-    if alone:
-        own = beside.join(risky.where("alone").select("entity", "term"), ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("own"))
-        own = texts.join(small_side(materialize(own, "own")), "key").select("key", F.explode(F.filter("words", lambda w: F.array_contains("own", F.lower(w)))).alias("word"))
-        hits = hits.unionByName(own.withColumn("kind", F.lit(4)))
+    risky = materialize(rated.where(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, 4).otherwise(5).alias("kind")), "risky")
+    hits = _shown(docs.select(content_key(F.col(text)).alias("key"), whole.alias("text")), held, risky, max_terms, everywhere)
     # A term of two entities may have both verdicts: the stricter one counts.
     hits = hits.groupBy("key", "word").agg(F.min("kind").alias("kind")).groupBy("key").agg(F.collect_list(F.struct("word", "kind")).alias("hits"))
     hits = small_side(materialize(hits, "hits"))

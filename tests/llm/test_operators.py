@@ -440,14 +440,14 @@ def test_revealing_terms_in_whole_texts(spark):
         assert wide[45] == ["Li"] and wide[0] == [v for _, _, v in got[0]] and not wide[10]
 
 
-def brute_personal(texts, min_texts=3, generalise=0.7, remove=0.9, everywhere=False, alone=False):
+def brute_personal(texts, min_texts=3, generalise=0.7, remove=0.9, everywhere=False):
     """Spans of every text, all said again in plain Python."""
     import regex
 
     letters = regex.compile(r"[\p{L}\p{M}\p{N}]+")
     lower = lambda t: {w.lower() for w in letters.findall(t)}
     different = sorted(set(t or "" for t in texts))
-    base, terms, holders, beside = {}, {}, {}, {}
+    base, terms, holders = {}, {}, {}
     for t in different:
         base[t] = brute_spans(t)
         bare = list(t)
@@ -457,25 +457,17 @@ def brute_personal(texts, min_texts=3, generalise=0.7, remove=0.9, everywhere=Fa
         for a, k, b in base[t]:
             entity = (k, t[a:b].lower() if k < 2 else re.sub("[^0-9]", "", t[a:b]))
             holders.setdefault(entity, set()).add(t)
-            left, right = t[max(a - 200, 0) : a], t[b : b + 200]
-            left = regex.sub(r"^[\p{L}\p{M}\p{N}]+", "", left) if a > 200 else left
-            right = regex.sub(r"[\p{L}\p{M}\p{N}]+$", "", right) if len(t) - b > 200 else right
-            beside.setdefault((entity, t), set()).update(lower(re.split(r"[.!?\n\u3002]", left)[-1] + " " + re.split(r"[.!?\n\u3002]", right)[0]) & terms[t])
-    n, kinds, own = len(different), {}, {}
+    n, own = len(different), {}
     for entity, of in holders.items():
         ce = len(of)
-        if ce < min_texts and not alone:
+        if ce < min_texts or n <= ce:
             continue
-        for term in set().union(*(terms[t] if ce >= min_texts else beside[entity, t] for t in of)):
-            cet = sum(term in (terms[t] if ce >= min_texts else beside[entity, t]) for t in of)
-            if ce >= min_texts and cet < min_texts or n <= ce:
-                continue
+        for term in set().union(*(terms[t] for t in of)):
+            cet = sum(term in terms[t] for t in of)
             share = np.log2(cet * n / (ce * sum(term in terms[t] for t in different))) / np.log2(n / ce)
-            if share >= (generalise if ce >= min_texts else remove):
-                kind = 4 if share >= remove else 5
-                for t in different if everywhere and ce >= min_texts else of if ce >= min_texts else [t for t in of if term in beside[entity, t]]:
-                    own.setdefault(t, {})[term] = min(kind, own.get(t, {}).get(term, 5))
-                kinds[term] = kind
+            if cet >= min_texts and share >= generalise:
+                for t in different if everywhere else of:
+                    own.setdefault(t, {})[term] = min(4 if share >= remove else 5, own.get(t, {}).get(term, 5))
     out = []
     for t in texts:
         t = t or ""
@@ -484,8 +476,8 @@ def brute_personal(texts, min_texts=3, generalise=0.7, remove=0.9, everywhere=Fa
     return out
 
 
-@pytest.mark.parametrize("everywhere, alone, most", [(False, False, 50), (True, True, 50), (True, True, 0), (False, True, 50)])
-def test_spans_are_those_of_brute_force(spark, texts, everywhere, alone, most):
+@pytest.mark.parametrize("everywhere, min_texts, most", [(False, 3, 50), (True, 3, 50), (True, 2, 0), (False, 2, 50)])
+def test_spans_are_those_of_brute_force(spark, texts, everywhere, min_texts, most):
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(2, 5))) for _ in range(150)]
     prose = lambda k: " ".join(rng.choice(words) for _ in range(k))
@@ -493,8 +485,8 @@ def test_spans_are_those_of_brute_force(spark, texts, everywhere, alone, most):
     extra += [f"{prose(60)} Uniqua{i} {prose(3)} 10.1.2.{i} {prose(70)} Secunda{i}. Tertia{i} {prose(10)}\nUniqua{i} again" for i in range(4)]
     extra += [f"{prose(9)} Falke1 {prose(9)}", "Zwei +49 (30) 555-7713 und zwei@y.de, zwei", extra[0], extra[0], "a@b.co"]
     every = list(texts) + extra
-    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in pii.personal_data(frame(spark, every).repartition(3), everywhere=everywhere, alone=alone, max_terms=most).collect()}
-    want = brute_personal(every, everywhere=everywhere, alone=alone)
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in pii.personal_data(frame(spark, every).repartition(3), everywhere=everywhere, min_texts=min_texts, max_terms=most).collect()}
+    want = brute_personal(every, everywhere=everywhere, min_texts=min_texts)
     assert got == dict(enumerate(want))
     assert sum(k >= 4 for spans in want for _, k, _ in spans) > 10
 
