@@ -10,16 +10,19 @@ that agree in their first PREFIX = LENGTH - REACH + 1 bytes.
 1. Suffixes whose prefix is found nowhere else can't be part of a match and are left out; a
    context that is found twice as a whole is settled at once. Both are counts over the corpus.
 2. The contexts that are left (edges of matches, mostly) enter the index. A batch becomes a
-   suffix array: its suffixes sorted by their text. The array is merge-scanned against all
-   levels: suffixes that agree in PREFIX bytes stand side by side, and the windows of their
-   contexts are matched there. Then the batch is a level; two levels of one size merge into
-   one of twice the size, so that there are never more than log2(batches) levels.
+   suffix array: its suffixes sorted by their text, in buckets by prefix. The array is
+   merge-scanned against itself and each level: buckets of one number meet where they lie, so
+   that nothing of a level is dealt out again; suffixes that agree in PREFIX bytes come side by
+   side, and the windows of their contexts are matched there. Then the batch is a level; two levels
+   of one size merge, bucket by bucket, into one of twice the size, so that there are never more
+   than log2(batches) levels.
 3. Matched windows go back to the texts that have the context.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,8 @@ LENGTH, REACH = 400, 300
 GRAM = 16
 #: A whole corpus enters the index in so many batches, more where they hold more than BATCH_CONTEXTS contexts.
 LEAST_BATCHES, MOST_BATCHES, BATCH_CONTEXTS = 2, 16, 200_000
+#: Buckets of a level at most, and contexts in a part of the prefix classes on average.
+MOST_BUCKETS, PART_CONTEXTS = 4096, 4_000
 #: Contexts of one prefix that one task matches at once.
 MOST_CONTEXTS = 20_000
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -121,88 +126,108 @@ def matched_windows(texts: list[bytes], before: list[int], length: int) -> list[
     return list(zip(owner[begin].tolist(), inner[begin].tolist(), inner[end].tolist(), strict=True))
 
 
+_LEVEL = "part bigint, prefix bigint, suffix binary, left binary, context bigint"
+
+
+def _side_by_side(rows: list[tuple[int, bytes, bytes, int, bool]], agree: int, length: int) -> list[tuple[int, int, int]]:
+    """Runs of windows that suffixes share with others, rows(prefix, suffix, left, context, new) in order: neighbours of one prefix class that agree in so many bytes belong together; among old ones alone nothing is new."""
+    out, start = [], 0
+    for k in range(1, len(rows) + 1):
+        if k < len(rows) and rows[k][0] == rows[start][0] and rows[k][1][:agree] == rows[start][1][:agree]:
+            continue
+        run = rows[start:k]
+        if len(run) > 1 and any(new for *_, new in run):
+            found = matched_windows([left + suffix for _, suffix, left, *_ in run], [len(left) for _, _, left, *_ in run], length)
+            out += [(run[i][3], a, b) for i, a, b in found]
+        start = k
+    return out
+
+
+def _rows(tables: list[tuple[pa.Table, bool]]) -> list[tuple[int, bytes, bytes, int, bool]]:
+    """The rows of levels in the order of prefix class and suffix; each comes in order, so that they are merged."""
+    found = []
+    for t, new in tables:
+        if t.num_rows:
+            found += zip(*(t.column(c).to_pylist() for c in ("prefix", "suffix", "left", "context")), [new] * t.num_rows, strict=True)
+    return sorted(found, key=lambda r: r[:2])
+
+
 class SuffixIndex:
     """Levels of suffix arrays in the shared folder.
 
-    A level is a table of (prefix, suffix, left, context) sorted by prefix class and suffix text:
-    the suffix from its sampled place to the end of its context, what the context has before it,
-    and the context's hash. add() takes a batch and returns the runs of matched windows.
+    A level is a table of (prefix, suffix, left, context) in buckets, sorted by part (of the prefix
+    classes), prefix class and suffix text: the suffix from its sampled place to the end of its
+    context, what the context has before it, and the context's hash. All levels have the same parts
+    and buckets. add() takes a batch and returns the runs of matched windows.
     """
 
-    def __init__(self, spark: SparkSession, length: int = LENGTH, reach: int = REACH, most: int = MOST_CONTEXTS):
+    def __init__(self, spark: SparkSession, length: int = LENGTH, reach: int = REACH, most: int = MOST_CONTEXTS, parts: int = 1):
         self.spark, self.length, self.prefix, self.most = spark, length, length - reach + 1, most
+        self.buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+        self.parts = max(parts, self.buckets)
         self.levels: list[tuple[int, str]] = []
 
     def add(self, batch: DataFrame) -> DataFrame:
         """batch(prefix, suffix, left, context) with distinct contexts → (context, from, to): runs of windows, counted from the context's start, that another context of the batch or of a level has; of both sides."""
-        array = self._sorted(batch)
-        path = new_path(self.spark, "level")
-        array.write.parquet(path)
-        new = self._read(path).withColumn("new", F.lit(True))
-        old = [self._read(p).withColumn("new", F.lit(False)) for _, p in self.levels]
-        both = new
-        for x in old:
-            both = both.unionByName(x)
-        found = materialize(self._scan(both), "matches")
-        self.levels.append((1, path))
+        part = F.pmod(F.xxhash64("prefix"), F.lit(self.parts)).alias("part")
+        new = self._write(batch.select(part, "prefix", "suffix", "left", "context").repartition(self.buckets, "part"))
+        found = materialize(self._scan(new), "matches")
+        self.levels.append((1, new))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (_, b) = self.levels.pop(), self.levels.pop()
-            merged = new_path(self.spark, "level")
-            self._sorted(self._read(a).unionByName(self._read(b))).write.parquet(merged)
-            for old_path in (a, b):
-                delete_path(self.spark, old_path)
-            self.levels.append((2 * n, merged))
+            self.levels.append((2 * n, self._write(self.merged(a, b))))
+            self._drop(a)
+            self._drop(b)
         return found
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("prefix bigint, suffix binary, left binary, context bigint").parquet(path)
-
-    @staticmethod
-    def _sorted(rows: DataFrame) -> DataFrame:
-        return rows.select("prefix", "suffix", "left", "context").repartition("prefix").sortWithinPartitions("prefix", "suffix")
-
-    def _scan(self, both: DataFrame) -> DataFrame:
-        length, prefix = self.length, self.prefix
-        sizes = materialize(both.groupBy("prefix").agg(F.count("*").alias("n"), F.max("new").alias("any_new")).where("n > 1 AND any_new"), "prefixes")
-        # Of the levels only what stands beside the batch is moved.
-        rows = both.join(small_side(sizes).where(F.col("n") <= self.most), "prefix").select("prefix", "suffix", "left", "context")
-        rows = rows.repartition("prefix").sortWithinPartitions("prefix", "suffix")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, group = None, []
-
-            def done() -> list[tuple[int, int, int]]:
-                """The group's suffixes stand in order: neighbours that agree in the whole prefix belong together."""
-                out, run_of = [], []
-                for k, (suffix, left, context) in enumerate(group):
-                    if run_of and suffix[:prefix] != run_of[-1][0][:prefix]:
-                        out += match(run_of)
-                        run_of = []
-                    run_of.append((suffix, left, context))
-                return out + match(run_of)
-
-            def match(rows: list) -> list[tuple[int, int, int]]:
-                if len(rows) < 2:
-                    return []
-                found = matched_windows([left + suffix for suffix, left, _ in rows], [len(left) for _, left, _ in rows], length)
-                return [(rows[i][2], a, b) for i, a, b in found]
-
-            for batch in batches:
-                out = []
-                for p, suffix, left, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if p != now:
-                        out += done()
-                        now, group = p, []
-                    group.append((suffix, left, context))
-                if out:
-                    yield table(out)
-            if out := done():
-                yield table(out)
-
-        def table(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["context", "from", "to"])
-
-        found = rows.mapInArrow(run, "context bigint, from bigint, to bigint")
+    def merged(self, a: str, b: str) -> DataFrame:
+        """The rows of two levels, part by part where they lie."""
+        both = lambda x, y: pa.concat_tables([t for t in (x, y) if t.num_rows])
+        return self.spark.table(a).groupBy("part").cogroup(self.spark.table(b).groupBy("part")).applyInArrow(both, _LEVEL)
+
+    def _write(self, rows: DataFrame) -> str:
+        """A level of rows that lie in its buckets."""
+        name = f"level_{uuid.uuid4().hex}"
+        writer = rows.write.format("parquet").bucketBy(self.buckets, "part").sortBy("part", "prefix", "suffix")
+        writer.option("path", new_path(self.spark, name)).saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        path = self.spark.table(name).inputFiles()
+        self.spark.sql(f"DROP TABLE {name}")
+        if path:
+            delete_path(self.spark, path[0].rpartition("/")[0])
+
+    def drop(self) -> None:
+        for _, name in self.levels:
+            self._drop(name)
+        self.levels = []
+
+    def matches(self, new: str, level: str | None, sizes: DataFrame) -> DataFrame:
+        """Runs of windows that a new level shares with itself, or with an older one, in prefixes of `sizes`."""
+        length, agree = self.length, self.prefix
+        kept = lambda name: self.spark.table(name).join(small_side(sizes), "prefix", "left_semi").groupBy("part")
+        runs = "context bigint, from bigint, to bigint"
+
+        def match(*sides: tuple[pa.Table, bool]) -> pa.Table:
+            found = _side_by_side(_rows(list(sides)), agree, length) if sides[0][0].num_rows else []
+            return pa.table([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ((), (), ()))], names=["context", "from", "to"])
+
+        if level is None:
+            return kept(new).applyInArrow(lambda own: match((own, True)), runs)
+        return kept(new).cogroup(kept(level)).applyInArrow(lambda own, old: match((own, True), (old, False)), runs)
+
+    def _scan(self, new: str) -> DataFrame:
+        length = self.length
+        both = self.spark.table(new).withColumn("new", F.lit(True))
+        for _, level in self.levels:
+            both = both.unionByName(self.spark.table(level).withColumn("new", F.lit(False)))
+        # How many suffixes there are of each prefix of the batch, in the batch and all levels: sums come from each task, not rows.
+        sizes = materialize(both.groupBy("prefix").agg(F.count("*").alias("n"), F.max("new").alias("any_new")).where("n > 1 AND any_new").drop("any_new"), "prefixes")
+        few = sizes.where(F.col("n") <= self.most)
+        found = self.matches(new, None, few)
+        for _, level in self.levels:
+            found = found.unionByName(self.matches(new, level, few))
         large = sizes.where(F.col("n") > self.most)
         if large.isEmpty():
             return found
@@ -328,12 +353,14 @@ def dedup_long_strings(docs: DataFrame, length: int = LENGTH, reach: int = REACH
     texts = materialize(texts.select("key", "text", "mixed", "settled"), "texts")
     entries = texts.where(F.size("mixed") > 0).select("key", "text", "mixed").mapInArrow(_entries(length, reach), "prefix bigint, suffix binary, left binary, context bigint")
     entries = materialize(entries.dropDuplicates(["context"]), "entries")
-    batches = batches or min(max(LEAST_BATCHES, -(-entries.count() // BATCH_CONTEXTS)), MOST_BATCHES)
+    n_entries = entries.count()
+    batches = batches or min(max(LEAST_BATCHES, -(-n_entries // BATCH_CONTEXTS)), MOST_BATCHES)
     entries = entries.withColumn("batch", F.pmod(F.xxhash64("context"), F.lit(batches)))
-    index, found = SuffixIndex(spark, length, reach, most), None
+    index, found = SuffixIndex(spark, length, reach, most, -(-n_entries // PART_CONTEXTS)), None
     for b in range(batches):
         part = index.add(entries.where(F.col("batch") == b).drop("batch"))
         found = part if found is None else found.unionByName(part)
+    index.drop()
     found = found.distinct()
     runs = status.where("mixed AND NOT settled").select("key", "context").distinct().join(found, "context").groupBy("key").agg(F.collect_list(F.struct("context", "from", "to")).alias("runs"))
     judged = texts.select("key", "text", "settled").join(runs, "key", "left").select("key", "text", "settled", "runs")

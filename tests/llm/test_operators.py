@@ -98,6 +98,22 @@ def test_levels_merge_geometrically(spark):
         sizes.append([n for n, _ in index.levels])
         assert bool(found) == (b > 0)
     assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
+    index.drop()
+
+
+def test_levels_are_scanned_where_they_lie(spark):
+    """Neither a scan nor a merge deals out the rows of a level again."""
+    index = suffix_dedup.SuffixIndex(spark, 10, 6)
+    rows = [(i % 5, bytearray(b"abcdefghijkl%d" % i), bytearray(b"x"), i) for i in range(20)]
+    for b in range(3):
+        index.add(spark.createDataFrame([(p, s, x, c + 100 * b) for p, s, x, c in rows], "prefix long, suffix binary, left binary, context long"))
+    (_, old), (_, new) = index.levels
+    sizes = suffix_dedup.materialize(spark.createDataFrame([(p, 12) for p in range(5)], "prefix long, n long"), "sizes")
+    for plan in (index.matches(new, old, sizes), index.matches(new, None, sizes), index.merged(new, old)):
+        said = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in said and "hashpartitioning(part" not in said, said
+    assert index.matches(new, old, sizes).count() > 0 and index.merged(new, old).count() == 60
+    index.drop()
 
 
 # ------------------------------------------------------------------ 2
