@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import shared_dir
+
 #: ASCII white space, as in `[\x20\x09-\x0D]`.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes of text that one vectorised pass handles; a longer single text makes a pass of its own.
@@ -24,17 +24,6 @@ U64 = np.uint64
 # ------------------------------------------------------------------ tables between steps
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it. Unset, it is an error on a cluster; on one machine (tests) a temporary one is set."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -703,6 +703,37 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+@pytest.mark.parametrize("prior, steps", [(0.05, 25), (0.3, 25), (0.7, 60)])
+def test_the_fit_follows_the_risk(monkeypatch, prior, steps):
+    """Step by step the weights are those of plain steps against finite differences of the risk, text by text; also where its corrected part falls below zero."""
+    rng = np.random.default_rng(3)
+    size = 8
+    rows = lambda n, odds: [sorted(np.flatnonzero(rng.random(size) < odds).tolist()) for _ in range(n)]
+    positive, unlabelled = rows(20, np.linspace(0.9, 0.1, size)), rows(50, np.linspace(0.1, 0.3, size))
+    packed = lambda side: (np.array(sum(side, []), np.int64), np.concatenate(([0], np.cumsum([len(x) for x in side]))))
+
+    def loss(x, side, sign):
+        return sum(np.log1p(np.exp(-sign * (sum(x[i] for i in ids) + x[-1]))) for ids in side) / len(side)
+
+    def slopes(f, x, h=1e-5):
+        return np.array([(f(x + h * e) - f(x - h * e)) / (2 * h) for e in np.eye(size + 1)])
+
+    negative = lambda x: loss(x, unlabelled, -1) - prior * loss(x, positive, -1)
+    x, m, v, below = np.append(np.zeros(size), np.log(prior / (1 - prior))), 0.0, 0.0, 0
+    for step in range(1, steps + 1):
+        if negative(x) >= 0:
+            grad = slopes(lambda y: prior * loss(y, positive, 1) + negative(y), x)
+        else:
+            grad, below = -slopes(negative, x), below + 1
+        grad = grad + toxicity.DECAY * np.append(x[:-1], 0.0)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        x = x - toxicity.RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * m / (np.sqrt(v) + 1e-8)
+    monkeypatch.setattr(toxicity, "STEPS", steps)
+    w, bias = toxicity.fit(packed(positive), packed(unlabelled), size, prior)
+    assert np.allclose(np.append(w, bias), x, atol=2e-3)
+    assert prior < 0.7 or below > 0
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = toxic_corpus(spark, 50)
     scores = [r.score for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()]

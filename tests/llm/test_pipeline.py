@@ -40,3 +40,19 @@ def test_stages(spark, tmp_path):
     # 5: every row has one shard.
     assert sorted(ids[4]) == sorted(ids[3]) and all(r.shard_bytes <= 1 << 20 for r in kept[4])
     assert sorted((r.doc_id, r.shard) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.shard) for r in kept[4])
+
+
+def test_nulls_and_empty_tables(spark, tmp_path):
+    """Rows with nulls in any column pass or go like others; without documents, labels and items there is nothing, and no failure."""
+    rows = [(1, "a b c d e f", "en", "s", 11), (None, "g h i j k l m", None, None, None), (3, None, "en", "s", None), (None, None, None, None, None), (5, "", None, "s", 0), (None, "g h i j k l m", "de", None, 13), (1, "n o p q r s", None, "s", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, table in (("some", docs), ("none", docs.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(None, None, None), (None, 1, 1), (1, None, None), (3, None, 0)], "doc_id long, quality int, toxic int").limit(4 if name == "some" else 0).write.parquet(str(tmp_path / name / "labels.parquet"))
+        spark.createDataFrame([(None, None), (None, "n o p q r s"), (3, None)], "item_id long, text string").limit(3 if name == "some" else 0).write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    # The texts of one source are mixed up to its target; the copy and the benchmark's text are gone.
+    assert {r.text for r in found} <= {"a b c d e f", "g h i j k l m"} | {" ".join("a b c d e f".split()[:k]) for k in range(1, 6)} | {" ".join("g h i j k l m".split()[:k]) for k in range(1, 7)}
+    assert any(r.doc_id is None for r in found) and any(r.doc_id == 1 for r in found) and all(r.shard is not None for r in found)
+    empty = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and set(docs.columns) <= set(empty.columns)
