@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.conditions import Both, Comparison, Field, In, Not, TopN, compiled
+from ..functions.lineage import cut_lineage
 from ..operators import compare as C
 from ..operators import visual_query as V
 
@@ -118,14 +119,15 @@ def _segment_lines(spark, d):
 
 
 def attribution_by_segment(spark, d):
-    """Old, crossed and new sides of every segment in one shuffle: the filter changes for some segments, the measure for others."""
-    rows = _segment_lines(spark, d)
+    """Old, crossed and new sides of every segment out of one pass over the lines: the filter changes for some segments, the measure for others."""
     by = ["c_mktsegment", "c_nationkey"]
     keep = F.expr("c_mktsegment IN ('BUILDING', 'MACHINERY') OR l_quantity > 1")
-    old = rows.groupBy(*by).agg(F.sum(F.expr(CENTS)).alias("v"))
-    cross = rows.where(keep).groupBy(*by).agg(F.sum(F.expr(CENTS)).alias("v"))
-    new = rows.where(keep).groupBy(*by).agg(F.sum(F.expr(f"CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 2 ELSE 1 END * {CENTS}")).alias("v"))
-    return C.attribute(old, cross, new, ["c_nationkey"], ["v"], FINE, ["c_mktsegment"])
+    cents = F.expr(CENTS)
+    changed = F.expr(f"CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 2 ELSE 1 END * {CENTS}")
+    sums = cut_lineage(_segment_lines(spark, d).groupBy(*by).agg(F.sum(cents).alias("old"), F.sum(F.when(keep, cents)).alias("cross"), F.sum(F.when(keep, changed)).alias("new"), F.count_if(keep).alias("kept")))
+    side = lambda name, rows: rows.select(*by, F.col(name).alias("v"))
+    kept = sums.where("kept > 0")
+    return C.attribute(side("old", sums), side("cross", kept), side("new", kept), ["c_nationkey"], ["v"], FINE, ["c_mktsegment"])
 
 
 def partly_compared(spark, d):
