@@ -198,7 +198,7 @@ WHEN category IN ('page', 'visual', 'ai') THEN 'info' WHEN category IN ('field',
 
 
 def findings(spark, d):
-    rows = table(spark, d, "events").select((F.col("user_id") % 30).alias("run"), F.expr(_PATH).alias("path"), F.expr(_CATEGORY).alias("category"), F.expr(_CHANGE).alias("change"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message"), F.lit(None).cast("string").alias("old"), F.floor(F.col("value") * 100).cast("string").alias("new"), F.expr("CASE WHEN event_id % 16 = 7 THEN 'p1/v1' END").alias("visual_path"))
+    rows = table(spark, d, "events").select(F.expr("user_id div 5").alias("run"), F.expr(_PATH).alias("path"), F.expr(_CATEGORY).alias("category"), F.expr(_CHANGE).alias("change"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message"), F.lit(None).cast("string").alias("old"), F.floor(F.col("value") * 100).cast("string").alias("new"), F.expr("CASE WHEN event_id % 16 = 7 THEN 'p1/v1' END").alias("visual_path"))
     return N.completed(rows)
 
 
@@ -228,12 +228,12 @@ def findings_open_data(spark, d):
 
 def item_statuses(spark, d):
     side = F.expr("CASE WHEN user_id % 5 = 0 THEN 'new' WHEN user_id % 5 = 1 THEN 'old' ELSE 'both' END")
-    visuals = table(spark, d, "events").select((F.col("user_id") % 30).alias("run"), F.expr("'p' || (user_id % 7) || '/v' || (user_id % 21)").alias("path"), side.alias("side")).distinct()
+    visuals = table(spark, d, "events").select(F.expr("user_id div 5").alias("run"), F.expr("'p' || (user_id % 7) || '/v' || (user_id % 21)").alias("path"), side.alias("side")).distinct()
     return N.item_status(visuals, findings(spark, d).where("run % 4 <> 1 AND change IN ('added', 'retyped')"), ["run"])
 
 
 def findings_by_visual(spark, d):
-    visuals = table(spark, d, "events").where("user_id % 2 = 0").select((F.col("user_id") % 30).alias("run"), F.expr("'p' || (user_id % 7) || '/v' || (user_id % 21)").alias("visual"))
+    visuals = table(spark, d, "events").where("user_id % 2 = 0").select(F.expr("user_id div 5").alias("run"), F.expr("'p' || (user_id % 7) || '/v' || (user_id % 21)").alias("visual"))
     found = N.by_visual(N.numbered(findings(spark, d), ["run"]), visuals, ["run"])
     return found.select("run", "visual", "part", "n", F.md5(F.array_join("keys", ",")).alias("keys_md5"))
 
@@ -663,7 +663,7 @@ o2 AS (SELECT * FROM old WHERE page_id NOT IN (SELECT old_page_id FROM p1)),
 n2 AS (SELECT * FROM new WHERE page_id NOT IN (SELECT new_page_id FROM p1)),
 p2 AS (SELECT o.page_id AS old_page_id, n.page_id AS new_page_id FROM (SELECT *, count(*) OVER (PARTITION BY display) AS c FROM o2) o JOIN (SELECT *, count(*) OVER (PARTITION BY display) AS c FROM n2) n USING (display) WHERE o.c = 1 AND n.c = 1)"""
 _FINDINGS = f"""
-f0 AS (SELECT user_id % 30 AS run, {_PATH} AS path, {_CATEGORY} AS category, {_CHANGE} AS change, 'm' || event_id AS message, NULL::VARCHAR AS old, floor(value * 100)::BIGINT::VARCHAR AS new, CASE WHEN event_id % 16 = 7 THEN 'p1/v1' END AS visual_path FROM events),
+f0 AS (SELECT user_id // 5 AS run, {_PATH} AS path, {_CATEGORY} AS category, {_CHANGE} AS change, 'm' || event_id AS message, NULL::VARCHAR AS old, floor(value * 100)::BIGINT::VARCHAR AS new, CASE WHEN event_id % 16 = 7 THEN 'p1/v1' END AS visual_path FROM events),
 f1 AS (SELECT *, {_SEVERITY} AS severity, CASE category WHEN 'measure' THEN 'model' WHEN 'ai' THEN 'ai' ELSE 'page' END AS scope FROM f0),
 f2 AS (SELECT *, scope || ':' || category || ':' || change || ':' || path AS base_key, CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END AS rank FROM f1),
 f AS (SELECT *, base_key || CASE WHEN k > 1 THEN '#' || k ELSE '' END AS key FROM (SELECT *, row_number() OVER (PARTITION BY run, base_key ORDER BY path, category, change, message, coalesce(old, ''), coalesce(new, '')) AS k FROM f2))"""
@@ -796,11 +796,11 @@ SELECT result, old_name, n.name AS new_name, CASE WHEN old_name IS NULL THEN 'on
     "findings_gate": f"WITH {_FINDINGS}, g AS (SELECT run, count(*) FILTER (WHERE category <> 'ai' AND rank >= 2) AS severe, count(*) FILTER (WHERE category = 'data' AND change = 'error') AS unvalidated FROM f WHERE category NOT IN ('data', 'filter', 'slicer', 'page', 'visual') OR run % 3 = 0 GROUP BY run) SELECT *, severe > 0 OR unvalidated > 0 AS failed FROM g",
     "findings_most_severe": f"WITH {_FINDINGS} SELECT run, path, category, change, severity, message FROM f WHERE category <> 'ai' AND rank >= 1 ORDER BY rank DESC, path, category, change, message LIMIT 50",
     "findings_open_data": f"WITH {_FINDINGS} SELECT run, count(*) AS n FROM f WHERE category = 'data' AND change = 'error' GROUP BY run",
-    "item_statuses": f"""WITH {_FINDINGS}, v AS (SELECT DISTINCT user_id % 30 AS run, 'p' || (user_id % 7) || '/v' || (user_id % 21) AS path, CASE WHEN user_id % 5 = 0 THEN 'new' WHEN user_id % 5 = 1 THEN 'old' ELSE 'both' END AS side FROM events),
+    "item_statuses": f"""WITH {_FINDINGS}, v AS (SELECT DISTINCT user_id // 5 AS run, 'p' || (user_id % 7) || '/v' || (user_id % 21) AS path, CASE WHEN user_id % 5 = 0 THEN 'new' WHEN user_id % 5 = 1 THEN 'old' ELSE 'both' END AS side FROM events),
 h AS (SELECT * FROM f WHERE run % 4 <> 1 AND change IN ('added', 'retyped') AND scope = 'page'),
 c AS (SELECT v.run, v.path, v.side, count(h.path) AS n, count(h.path) FILTER (WHERE h.path = v.path AND h.change = CASE v.side WHEN 'new' THEN 'added' WHEN 'old' THEN 'removed' END) AS said FROM v LEFT JOIN h ON v.run = h.run AND (h.path = v.path OR starts_with(h.path, v.path || '/')) GROUP BY ALL)
 SELECT run, path, side, CASE WHEN said > 0 THEN CASE side WHEN 'new' THEN 'added' ELSE 'removed' END WHEN n > 0 OR side <> 'both' THEN 'modified' ELSE 'unchanged' END AS status FROM c""",
-    "findings_by_visual": f"""WITH {_FINDINGS}, v AS (SELECT DISTINCT user_id % 30 AS run, 'p' || (user_id % 7) || '/v' || (user_id % 21) AS visual FROM events WHERE user_id % 2 = 0),
+    "findings_by_visual": f"""WITH {_FINDINGS}, v AS (SELECT DISTINCT user_id // 5 AS run, 'p' || (user_id % 7) || '/v' || (user_id % 21) AS visual FROM events WHERE user_id % 2 = 0),
 x AS (SELECT run, key, coalesce(visual_path, CASE WHEN scope = 'page' THEN array_to_string(string_split(path, '/')[1:2], '/') END) AS visual FROM f),
 y AS (SELECT run, visual, key, (row_number() OVER (PARTITION BY run, visual ORDER BY key) - 1) // 10000 AS part FROM x JOIN v USING (run, visual))
 SELECT run, visual, part, count(*) AS n, md5(string_agg(key, ',' ORDER BY key)) AS keys_md5 FROM y GROUP BY ALL""",
