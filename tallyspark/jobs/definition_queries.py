@@ -613,6 +613,12 @@ def archived_filters(spark, d):
     return found.select("project", "level", "page", "visual", "name", "filter_type", X.field_key(F.col("field.table"), F.col("field.name")).alias("field"), "condition", "unread")
 
 
+def archive_issues(spark, d):
+    """Archives that are none, unsafe, or hold a model but no report."""
+    rows = _model_json(spark, d).withColumn("part", F.regexp_extract("text", "T ([0-9]+)", 1).cast("long")).select("project", "part", "text")
+    return R.archive_issues(rows.mapInPandas(_packed, "project string, path string, content binary")).select("project", "file", "message")
+
+
 _BROKEN_FIELDS = ("5", "[1]", '"x"', "[]", "{}", "null", '{"Column": {"Property": "a", "Expression": 5}}', '{"Odd": {"b": [1, "\u00e9"]}}', '{"Measure": {"Expression": {"SourceRef": {"Entity": "T"}}, "Property": "M"}}')
 
 
@@ -650,7 +656,7 @@ def conditions_renamed(spark, d):
     return found.select("p_partkey", "condition", X.field_key(F.col("fields")[0]["table"], F.col("fields")[0]["name"]).alias("field"))
 
 
-QUERIES = {f.__name__: f for f in (visual_contexts, visual_contexts_of_documents, single_document_fields, archived_fields, archived_filters, broken_definitions, broken_fields, conditions_renamed, pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, visuals_comparable, models_missing, columns_paired, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, pairable_categories, renames_vetted, findings_explained, findings_markdown, findings_documents, projects_result, view_pages, view_visuals, files_changed, units_changed, model_readers, project_runs, literals, json_properties, definition_pages, definition_visuals, definition_issues, definition_fields, definition_filters, definition_models, definition_models_json, archived_models, single_document_pages, single_document_visuals, definition_slicers, ranked_filters, one_sided_visuals, issues_on_old_pages)}
+QUERIES = {f.__name__: f for f in (visual_contexts, visual_contexts_of_documents, single_document_fields, archived_fields, archived_filters, archive_issues, broken_definitions, broken_fields, conditions_renamed, pages_paired, pages_left_over, pages_unique_titles, part_candidates, part_pairs, measures_renamed, measures_changed, fields_changed, filters_changed, slicers_changed, pages_changed, pages_reordered, visuals_changed, one_sided_pages, first_locations, fields_renamed, issues_by_name, visuals_comparable, models_missing, columns_paired, findings_numbered, findings_by_severity, findings_by_category, findings_gate, findings_most_severe, findings_open_data, item_statuses, findings_by_visual, findings_masked, pairable_categories, renames_vetted, findings_explained, findings_markdown, findings_documents, projects_result, view_pages, view_visuals, files_changed, units_changed, model_readers, project_runs, literals, json_properties, definition_pages, definition_visuals, definition_issues, definition_fields, definition_filters, definition_models, definition_models_json, archived_models, single_document_pages, single_document_visuals, definition_slicers, ranked_filters, one_sided_visuals, issues_on_old_pages)}
 
 # ------------------------------------------------------------------ the same in SQL
 
@@ -713,6 +719,7 @@ ORACLE = {
     "single_document_fields": _LAYER_FIELDS,
     "archived_fields": _LAYER_FIELDS,
     "archived_filters": _LAYER_FILTERS,
+    "archive_issues": "SELECT p_brand || '/P' || p_partkey || '.SemanticModel' AS project, 'P' || p_partkey || '.pbit' AS file, CASE p_partkey % 10 WHEN 3 THEN 'an entry leaves the archive' WHEN 4 THEN 'File is not a zip file' ELSE 'no Report/Layout in the archive' END AS message FROM part",
     "broken_definitions": f"""{_BROKEN}
 SELECT project, project || '/definition/pages/pages.json' AS file, NULL AS page, NULL AS visual, 'the page order is not a list of names' AS message FROM b WHERE m >= 2
 UNION ALL SELECT project, project || '/definition/pages/p/visuals/v/visual.json', 'p', 'v', 'no list of fields in role Values' FROM b WHERE m = 3
