@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, materialize
+from .common import content_key, materialize, small_side
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -19,6 +19,8 @@ WINDOW = 10
 MAX_BROADCAST_WINDOWS = 100_000
 #: Bits of the filter for each window, and the most words of 64 bits it has (8 MB): beyond, more windows pass that are then found to be none.
 FILTER_BITS, MAX_FILTER_WORDS = 16, 1 << 20
+#: Texts with hits, each with the places of its hits, that may be broadcast where spans are removed.
+MAX_BROADCAST_TEXTS = 10_000
 #: Rows (window, item) that may be broadcast where hits are verified.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -126,15 +128,15 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     """The rows of docs, all columns, whose text has no window of the benchmark; rows with null or empty texts stay."""
     _, of_items = hits(docs, benchmark.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit(""))), window, text, "item_id", max_broadcast)
     keyed = docs.withColumn("_key", content_key(F.col(text)))
-    bad = of_items.select(F.col("key").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = materialize(of_items.select(F.col("key").alias("_key")).distinct(), "bad")
+    return keyed.join(small_side(bad), "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """The rows of docs with the hit words taken out of their texts; texts that hit nothing are left as they are."""
     per_text, _ = hits(docs, benchmark.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit(""))), window, text, "item_id", max_broadcast)
-    bad = per_text.where(F.col("hit_words").isNotNull()).select(F.col("key").alias("_key"), "hit_words")
-    rows = docs.withColumn("_key", content_key(F.col(text))).join(bad, "_key", "left")
+    bad = materialize(per_text.where(F.col("hit_words").isNotNull()).select(F.col("key").alias("_key"), "hit_words"), "bad")
+    rows = docs.withColumn("_key", content_key(F.col(text))).join(small_side(bad, MAX_BROADCAST_TEXTS), "_key", "left")
     own = F.regexp_extract_all(F.col(text), F.lit(_ANY_CASE), F.lit(0))
     kept = F.transform(own, lambda w, i: F.when(F.array_contains("hit_words", i + 1), F.lit("")).otherwise(w))
     glue = F.split(F.col(text), _ANY_CASE, -1)
