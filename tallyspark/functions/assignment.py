@@ -22,7 +22,7 @@ from .ordering import positions_within
 TASK_PAIRS, LEAST_SHARE = 100_000, 0.1
 
 
-def _alike(left: DataFrame, right: DataFrame, columns: dict[str, str]) -> Column:
+def alike(left: DataFrame, right: DataFrame, columns: dict[str, str]) -> Column:
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in columns.items()])
 
 
@@ -30,7 +30,7 @@ def _without(pairs: DataFrame, taken: DataFrame, block: list[str]) -> DataFrame:
     """Pairs of which neither end is taken."""
     for end in ("old", "new"):
         used = taken.select(*[F.col(c).alias(f"_{c}") for c in (*block, end)])
-        pairs = pairs.join(used, _alike(pairs, used, {c: f"_{c}" for c in (*block, end)}), "left_anti")
+        pairs = pairs.join(used, alike(pairs, used, {c: f"_{c}" for c in (*block, end)}), "left_anti")
     return pairs
 
 
@@ -61,7 +61,7 @@ def first_come(pairs: DataFrame, block: list[str], order: list[Column], task_pai
     while True:
         sizes = left.groupBy(*block).agg(F.count("*").alias("_size"))
         large = cut_lineage(sizes.where(F.col("_size") > task_pairs).select(*[F.col(c).alias(f"_{c}") for c in block], "_size"))
-        on = _alike(left, large, {c: f"_{c}" for c in block}) if block else F.lit(True)
+        on = alike(left, large, {c: f"_{c}" for c in block}) if block else F.lit(True)
         taken.append(_settled(left.join(large, on, "left_anti"), block))
         before = large.agg(F.sum("_size")).first()[0]
         if not before:
@@ -70,7 +70,7 @@ def first_come(pairs: DataFrame, block: list[str], order: list[Column], task_pai
         first = lambda end: left.groupBy(*block, end).agg(F.min("_place").alias("_first")).select(*block, F.col("_first").alias("_place"))  # noqa: B023, E731
         both = first("old").intersect(first("new"))
         both = both.select(*[F.col(c).alias(f"_{c}") for c in (*block, "_place")])
-        winners = cut_lineage(left.join(both, _alike(left, both, {c: f"_{c}" for c in (*block, "_place")}), "left_semi"))
+        winners = cut_lineage(left.join(both, alike(left, both, {c: f"_{c}" for c in (*block, "_place")}), "left_semi"))
         taken.append(winners)
         left = cut_lineage(_without(left, winners, block))
         if before - left.count() < LEAST_SHARE * before:
