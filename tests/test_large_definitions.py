@@ -54,3 +54,11 @@ def test_filters_parse_nothing_again(spark):
 def test_few_splits_are_dealt_out(spark):
     for raw in (Q._single_documents(spark, SMALL), Q._broken_files(spark, SMALL), Q._model_json(spark, SMALL)):
         assert raw.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_visuals_of_one_document_go_to_all_cores(spark):
+    boxes = ",".join('{"x": 1, "y": 2, "width": 3, "height": 4, "config": "{\\"name\\": \\"v%d\\"}"}' % i for i in range(200))
+    text = '{"sections": [{"name": "a", "visualContainers": [%s]}]}' % boxes
+    raw = spark.createDataFrame([("p", "p/report.json", text.encode())], RAW).coalesce(1)
+    found = R._document_visuals(raw).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(found) == 200 and sum(n > 0 for n in found) >= spark.sparkContext.defaultParallelism and max(found) < 100
