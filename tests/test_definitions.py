@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import zipfile
 
 import pandas as pd
@@ -133,6 +134,15 @@ def test_literals(spark, raw, kind, value):
     assert one == (None if kind == "null" else value == "true" if kind == "boolean" else float(value) if kind == "number" else value)
 
 
+def test_literals_are_taken_apart_once(spark):
+    raw = ["2025L", "1.50D", "-0", "'it''s'", "TRUE", "null", "datetime'2025-01-01'", "x y", "1E+3", "2.50e-3D", ".5", "12.M", "1E101", "1E99999999", "datetime'a", "'a", "5L\n", "-", ".", "", "Edge", "1.5e", None]
+    df = spark.createDataFrame([(r,) for r in raw], "raw string")
+    found = X.with_literals(df)
+    assert sorted(map(str, found.collect())) == sorted(map(str, df.select("raw", X.literal_kind(F.col("raw")).alias("kind"), X.literal_value(F.col("raw")).alias("value")).collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RLIKE|regexp_", plan)) < 30  # several times as many, where each mention of a part takes the literal apart again
+
+
 def test_floats_as_text(spark):
     numbers = [0.1, -2.5, 1e-4, 1.5e-5, 123456789.25, 1e-10, 2.5e-101, 1234567.125, 3.0, -0.0, 1e15, 12345678901234567890.0, 1e22, 9007199254740993.0, 0.30000000000000004, None, float("nan")]
     df = spark.createDataFrame([(x,) for x in numbers], "x double")
