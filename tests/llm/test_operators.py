@@ -89,6 +89,21 @@ def test_long_strings(docs, texts, length, reach, most):
         assert r.kept_chars == sum(b & 0xC0 != 0x80 for b in kept)
 
 
+def test_passages_of_fifty_words_by_their_bytes(spark):
+    """A passage that repeats across documents goes from 400 bytes on, however many words it has; documents without one keep every character."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz\u00e9"), n))
+    own = lambda: " ".join(word(6) for _ in range(80))
+    short, long = " ".join(word(5) for _ in range(55)), " ".join(word(8) for _ in range(55))
+    assert len(short.encode()) < 390 and len(long.encode()) > 410
+    texts = [f"{own()} {p} {own()}" for p in (short, short, long, long)] + [own() for _ in range(4)]
+    want = brute_removed(texts, 400)
+    got = suffix_dedup.dedup_long_strings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id][:4]
+        assert (r.kept_chars < len(texts[r.doc_id])) == (r.n_removed > 0) == (r.doc_id in (2, 3))
+
+
 def test_levels_merge_geometrically(spark):
     index = suffix_dedup.SuffixIndex(spark, 10, 6)
     sizes = []
