@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 from tallyspark.jobs import definition_queries as Q
+from tallyspark.operators import contexts as C
 from tallyspark.sources import definitions as D
 from tallyspark.sources import reports as R
 
@@ -62,3 +63,19 @@ def test_visuals_of_one_document_go_to_all_cores(spark):
     raw = spark.createDataFrame([("p", "p/report.json", text.encode())], RAW).coalesce(1)
     found = R._document_visuals(raw).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(found) == 200 and sum(n > 0 for n in found) >= spark.sparkContext.defaultParallelism and max(found) < 100
+
+
+def test_contexts_as_texts_are_those_of_lists(spark):
+    """Slicers without conditions, of one name twice, unreadable ones, pages with one slicer or none; and no row holds a list of its page's slicers."""
+    names = ["a", "b", "c", "é", "z"]
+    visuals = spark.createDataFrame([("p", page, v) for page in ("one", "two", "three", "none", "odd", "odds") for v in names], "project string, page string, visual string")
+    filters = [("p", "report", None, None, 0, "f", "R", ["r1", "r2"], None), ("p", "page", "two", None, 0, "f", "P", ["p"], None), ("p", "visual", "two", "c", 1, "f", "V", ["v"], None), ("p", "visual", "three", "b", 0, "bad", None, None, "x")]
+    filters = spark.createDataFrame(filters, "project string, level string, page string, visual string, idx int, name string, condition string, parts array<string>, unread string")
+    chosen = [("one", "c", ["s"], None), ("two", "a", ["sa", "t"], None), ("two", "b", [], None), ("two", "é", ["sé"], None), ("two", "z", ["sz"], None), ("two", "z", ["sz2"], None), ("three", "a", ["sa"], None), ("three", "c", [], None)]
+    chosen += [("odd", "a", ["sa"], None), ("odd", "b", None, "x"), ("odds", "a", None, "x"), ("odds", "z", None, "y"), ("none", "b", None, None)]
+    slicers = spark.createDataFrame([("p", page, v, None if parts is None else "and".join(parts) or "all", parts, bad) for page, v, parts, bad in chosen], "project string, page string, visual string, condition string, parts array<string>, unread string")
+    listed = {(r.page, r.visual): (" and ".join(r.conditions), r.reason) for r in C.visual_contexts(visuals, filters, slicers).collect()}
+    found = C.context_texts(visuals, filters, slicers)
+    assert {(r.page, r.visual): (r.conditions, r.reason) for r in found.collect()} == listed and len(listed) == 30
+    joins = [line for line in plan(found).splitlines() if "Join" in line and "_slicers" in line]
+    assert not joins
