@@ -1,6 +1,7 @@
 """What keeps definition files linear: rows dealt out, archives opened once, texts parsed once."""
 
 import io
+import json
 import re
 import zipfile
 from pathlib import Path
@@ -10,6 +11,7 @@ import pytest
 from tallyspark.jobs import definition_queries as Q
 from tallyspark.operators import contexts as C
 from tallyspark.sources import definitions as D
+from tallyspark.sources import documents as DOC
 from tallyspark.sources import reports as R
 
 SMALL = "/root/testdata/sf0.001"
@@ -79,3 +81,27 @@ def test_contexts_as_texts_are_those_of_lists(spark):
     assert {(r.page, r.visual): (r.conditions, r.reason) for r in found.collect()} == listed and len(listed) == 30
     joins = [line for line in plan(found).splitlines() if "Join" in line and "_slicers" in line]
     assert not joins
+
+
+def test_documents_are_taken_apart_in_bounded_rows(spark, monkeypatch):
+    """Texts stand as they are in pieces, broken documents give none, and no row holds a list of sections or visuals."""
+    boxes = [{"x": 1, "y": 2, "width": 3, "height": 4, "config": json.dumps({"name": f"v{i}", "t": "é]}\\\"" * 9})} for i in range(50)]
+    good = json.dumps({"filters": "[]", "sections": [{"name": "a", "visualContainers": boxes}, None, "{}", {"visualContainers": boxes[:1]}, {"name": 5, "visualContainers": [None, 7, "x"]}]}, ensure_ascii=False, indent=1)
+    got = list(DOC.pieces(("﻿" + good).encode()))
+    assert json.loads(got[0][5]) == {"filters": "[]", "sections": []}
+    assert [(r[1], r[2], r[5] and json.loads(r[5])) for r in got if r[0] == "section"] == [(5, 0, {"name": "a", "visualContainers": []}), (5, 1, None), (5, 2, {}), (5, 3, {"visualContainers": []}), (5, 4, {"name": 5, "visualContainers": []})]
+    assert [json.loads(r[5]) for r in got if r[0] == "container" and r[2] == 0] == boxes and max(len(r[5] or "") for r in got) < 300
+    assert [r[2:6] for r in got if r[0] == "container" and r[2] == 4] == [(4, 0, '{"name": 5}', None), (4, 1, '{"name": 5}', "7"), (4, 2, '{"name": 5}', "x")]
+    none = [("document", None, None, None, None, None)]
+    for bad in (b"", b"\n{}", b"\xff", b"[1]", b'{"a": 1', b'{"a": 1, "a": 2}', b'{"sections": [{"visualContainers": [{"x": NaN}]}]}', b'{"sections": [{"visualContainers": [1,]}]}', b'{"sections": [1 2]}', b'{"sections" []}', b'{5: 1}'):
+        assert list(DOC.pieces(bad)) == none, bad
+    # An archive's layout larger than one entry may be is read all the same, since it is no row; what is larger than all may be is not.
+    at = io.BytesIO()
+    with zipfile.ZipFile(at, "w") as z:
+        z.writestr("Report/Layout", good.encode("utf-16-le"))
+    batch = lambda: iter([D.pa.RecordBatch.from_arrays([D.pa.array(["p"]), D.pa.array(["a.pbit"]), D.pa.array([at.getvalue()])], names=["project", "path", "content"])])
+    monkeypatch.setattr(D, "MAX_ENTRY", 100)
+    assert [r[3:] for r in DOC._all_pieces(batch(), True)] == got
+    assert R.pages(R.taken_apart(spark.createDataFrame([("p", "a.pbit", at.getvalue())], RAW), archives=True)).count() == 2
+    monkeypatch.setattr(D, "MAX_TOTAL", 100)
+    assert list(DOC._all_pieces(batch(), True)) == []
